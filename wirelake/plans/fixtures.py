@@ -11,8 +11,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 VIEWS: dict[str, str] = {}
 
 VIEWS["fx_obj"] = """
-WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
-             ORDER BY l_linenumber, l_partkey, l_suppkey) AS obj_idx FROM lineitem),
+WITH b AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey
+             ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS obj_idx FROM lineitem),
 lab AS (SELECT * FROM (VALUES (0,'resistor'),(1,'capacitor.polarized'),(2,'inductor'),(3,'voltage.dc'),
         (4,'voltage.battery'),(5,'diode'),(6,' Diode.Zener '),(7,'gnd'),(8,'junction'),(9,'crossover'),
         (10,'text'),(11,'transistor.bjt'),(12,'lamp')) AS t(k, label)),
@@ -27,8 +27,8 @@ SELECT l_orderkey AS image_id, obj_idx, label,
 FROM b JOIN lab ON k = l_partkey % 13 JOIN val ON v = l_suppkey % 7"""
 
 VIEWS["fx_net"] = """
-WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
-             ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem),
+WITH b AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey
+             ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS ord FROM lineitem),
 p AS (SELECT * FROM (VALUES (0,'R','1k'),(1,'C','4.7u'),(2,'L','1m'),(3,'V','DC 5'),(4,'D','DMOD')) AS t(k, prefix, val))
 SELECT l_orderkey AS circuit_id, ord, prefix, concat(prefix, CAST(l_linenumber AS STRING)) AS ref,
        CAST(l_partkey % 4 AS STRING) AS n1, CAST(l_suppkey % 4 AS STRING) AS n2,
@@ -50,8 +50,8 @@ SELECT page_id AS image_id, 600 + CAST(page_id % 5 AS INT) * 100 AS raw_w, 600 +
             ELSE 600 + CAST(page_id % 3 AS INT) * 100 END AS h FROM pages"""
 
 VIEWS["fx_frag"] = """
-WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
-             ORDER BY l_linenumber, l_partkey, l_suppkey) AS det_idx FROM lineitem)
+WITH b AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey
+             ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS det_idx FROM lineitem)
 SELECT l_orderkey AS image_id, det_idx, l_partkey % 9 AS frag_a, l_suppkey % 9 AS frag_b,
        CASE l_linenumber % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'top' ELSE 'bottom' END AS side_a,
        CASE l_linenumber % 4 WHEN 0 THEN 'right' WHEN 1 THEN 'left' WHEN 2 THEN 'bottom' ELSE 'top' END AS side_b
