@@ -12,7 +12,8 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register a query. `sql` may use any view of fixtures.py as a table."""
     def add(fn):
-        assert name not in QUERIES, name
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = with_views(sql)

@@ -339,13 +339,13 @@ def srt4(spark, sf):
 def a37(spark, sf):
     picked = stratified_sample(label_images(spark, sf), 24).select("image_id", "split", "priority")
     d = A.clipped(view(spark, sf, "fx_obj")).filter("box IS NOT NULL")
-    n = d.join(F.broadcast(picked), "image_id").groupBy("image_id", "split", "priority").agg(
+    n = picked.join(d.select("image_id", "cls"), "image_id", "left").groupBy("image_id", "split", "priority").agg(
         *[F.count_if(C("cls") == c).alias(c) for c in CLASSES])
     return n.withColumn("tag", F.when(C("priority"), "re-encoded").otherwise("")).drop("priority")
 
 
 _HASH = "(image_id * 48271 + obj_idx * 16807) % 2147483647"
-_GROUPS = f"""SELECT *, concat(coalesce(CAST(bin AS VARCHAR), 'none'), coalesce(concat(' mirror=', mirror), '')) AS tbin FROM ({_RAWROT}) WHERE lower(label) LIKE 'diode%' OR lower(label) LIKE 'voltage%'"""
+_GROUPS = f"""SELECT *, concat(coalesce(CAST(bin AS VARCHAR), 'none'), coalesce(' mirror=' || mirror, '')) AS tbin FROM ({_RAWROT}) WHERE lower(label) LIKE 'diode%' OR lower(label) LIKE 'voltage%'"""
 
 
 @query("win8_group_samples", f"""SELECT label, tbin AS bin, group_size, CAST(rn AS INTEGER) AS rn, image_id, obj_idx FROM (SELECT *, count(*) OVER (PARTITION BY label, tbin) AS group_size,

@@ -57,7 +57,7 @@ def tolerant(expected: DataFrame, artefacts: DataFrame, key: str, schema: str) -
 
 
 def shown(value: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(NOT_AVAILABLE))
+    return F.when(value.isNull(), NOT_AVAILABLE).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def write_lines(lines: DataFrame, path: str, by: list[str], order: list[str]) -> None:
