@@ -90,10 +90,10 @@ def j6(spark, sf):
     return M.attach_values(d).select("image_id", "element_idx", "label_idx", "value")
 
 
-@query("j7_crowding", f"WITH {CROWD_SQL} SELECT image_id, round(crowding, 6) AS crowding FROM crowd WHERE crowding < 1e6")
+@query("j7_crowding", f"WITH {CROWD_SQL} SELECT image_id, CASE WHEN crowding < 1e6 THEN round(crowding, 6) END AS crowding FROM crowd")
 def j7(spark, sf):
     d = M.crowding(view(spark, sf, "fx_gt").withColumn("idx", C("gt_idx")))
-    return d.withColumn("crowding", F.round("crowding", 6)).filter("crowding < 1e6")
+    return d.withColumn("crowding", F.when(C("crowding") < 1e6, F.round("crowding", 6)))
 
 
 @query("j8_double_labels", f"""SELECT p.image_id, p.pred_idx AS a_idx, g.pred_idx AS b_idx, p.cls AS a_cls, g.cls AS b_cls FROM fx_pred p JOIN fx_pred g ON p.image_id = g.image_id AND p.pred_idx < g.pred_idx AND p.cls <> g.cls
@@ -120,11 +120,11 @@ def j13(spark, sf):
     return M.wire_fragments(f, view(spark, sf, "fx_gt").filter("cls <> 'junction'"), ["det_idx"], 40.0, 40.0).select("image_id", "det_idx")
 
 
-@query("a16_image_scores", f"WITH RECURSIVE {SCORES_SQL} SELECT image_id, gt, tp, fp, fn, misclassified, text_confusion, round(crowding, 3) AS crowding FROM scores WHERE crowding < 1e6")
+@query("a16_image_scores", f"WITH RECURSIVE {SCORES_SQL} SELECT image_id, gt, tp, fp, fn, misclassified, text_confusion, CASE WHEN crowding < 1e6 THEN round(crowding, 3) END AS crowding FROM scores")
 def a16(spark, sf):
     gt, pred = gp(spark, sf)
     d = E.image_scores(pred, gt, cut(M.match_predictions(pred, gt)))
-    return d.withColumn("crowding", F.round("crowding", 3)).filter("crowding < 1e6")
+    return d.withColumn("crowding", F.when(C("crowding") < 1e6, F.round("crowding", 3)))  # coincident centres: NULL
 
 
 @query("a16_confusion_pairs", f"WITH RECURSIVE {MATCH_SQL} SELECT confused_with AS true_cls, cls AS pred_cls, count(*) AS n FROM outc WHERE confused_with IS NOT NULL GROUP BY 1, 2")
@@ -171,10 +171,10 @@ def a18(spark, sf):
 _KIND_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, image_id, {v} AS key FROM scores WHERE {p}" for k, (p, v) in E.KINDS.items())
 
 
-@query("win5_failure_examples", f"WITH RECURSIVE {SCORES_SQL} SELECT kind, CAST(rn AS INTEGER) AS rn, image_id, round(key, 3) AS key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(key, 6) DESC, image_id) AS rn FROM ({_KIND_SQL})) WHERE rn <= 6")
+@query("win5_failure_examples", f"WITH RECURSIVE {SCORES_SQL} SELECT kind, CAST(rn AS INTEGER) AS rn, image_id, round(key, 3) AS key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(key, 3) DESC, image_id) AS rn FROM ({_KIND_SQL})) WHERE rn <= 6")
 def win5(spark, sf):
     gt, pred = gp(spark, sf)
-    s = E.image_scores(pred, gt, cut(M.match_predictions(pred, gt))).withColumn("crowding", F.round("crowding", 6))
+    s = E.image_scores(pred, gt, cut(M.match_predictions(pred, gt))).withColumn("crowding", F.round("crowding", 3))
     return E.failure_examples(s).select("kind", "rn", "image_id", F.round("key", 3).alias("key"))
 
 

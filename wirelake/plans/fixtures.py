@@ -95,6 +95,28 @@ SELECT image_id, gt_idx * 2 + dup AS pred_idx,
        CASE WHEN gt_idx % 5 = 0 THEN (rotation + 90) % 360 ELSE rotation END AS rotation
 FROM two"""
 
+# All detections of an image, and which wire fragment touches which side of them.
+VIEWS["fx_det"] = """
+SELECT image_id, obj_idx AS det_idx, coalesce(cls, 'other') AS cls, CAST(floor(try_cast(rotation AS DOUBLE) / 90 + 0.5) AS INT) * 90 % 360 AS rotation,
+       x1, y1, x2, y2, txt, ((image_id * 31 + obj_idx * 17) % 1000) / CAST(1000 AS DOUBLE) AS conf
+FROM fx_obj LEFT JOIN fx_map ON lab = lower(trim(label))"""
+
+VIEWS["fx_hit"] = """
+SELECT image_id, det_idx, side_a AS side, frag_a AS frag FROM fx_frag UNION SELECT image_id, det_idx, side_b AS side, frag_b AS frag FROM fx_frag"""
+
+# Evaluation rows: one per photo and mode.
+VIEWS["fx_eval"] = """
+WITH c AS (SELECT circuit_id, count(*) AS elements, avg(CASE WHEN n1 <> n2 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS two,
+       sum(CAST(n1 AS BIGINT) * 3 + CAST(n2 AS BIGINT)) AS s FROM fx_net GROUP BY circuit_id),
+m AS (SELECT * FROM (VALUES ('gt_boxes', 0), ('detector', 1)) AS t(mode, k))
+SELECT circuit_id AS image_id, mode, CASE WHEN s % 4 = 0 THEN 1 ELSE 0 END AS in_scope, CASE WHEN s % 13 = 0 THEN NULL ELSE two END AS terminals_ok,
+       CASE WHEN (s + k) % 3 = 0 THEN 1 ELSE 0 END AS valid, CASE WHEN s % 7 = 0 THEN NULL WHEN (s + k) % 5 = 0 THEN 1 ELSE 0 END AS simulates,
+       CASE s % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'none' ELSE 'implicit: most connected net' END AS ground,
+       CASE WHEN (s + k) % 3 = 0 THEN NULL WHEN s % 2 = 0 THEN concat('node ', CAST(s % 17 AS STRING), ' is floating (1 connection)')
+            WHEN s % 5 = 0 THEN 'no ground node (0)' ELSE concat('duplicate reference R', CAST(s % 9 AS STRING)) END AS first_error,
+       CASE WHEN s % 6 = 0 THEN NULL WHEN (s + k) % 4 = 0 THEN 1 ELSE 0 END AS topology_match, CASE WHEN s % 6 = 0 THEN NULL WHEN (s + k) % 8 = 0 THEN 1 ELSE 0 END AS exact_match
+FROM c, m"""
+
 # Netlist text, one row per line.
 VIEWS["fx_lines"] = """
 WITH e AS (SELECT *, count(*) OVER (PARTITION BY circuit_id) + CASE WHEN circuit_id % 5 = 0 THEN 1 ELSE 0 END AS n FROM fx_net)
