@@ -4,6 +4,7 @@ Input: lines(circuit_id, line_no, line)."""
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values as V
+from ..session import cut
 from ..vocabulary import ELEMENT_PREFIX
 
 C = F.col
@@ -93,12 +94,13 @@ def syntax_errors(lines: DataFrame, circuits: DataFrame) -> DataFrame:
 
 def semantic_errors(lines: DataFrame, circuits: DataFrame) -> DataFrame:
     """Rows (circuit_id, kind, ord, message) in report order: duplicates, ground, floating, shorted, models."""
-    el = elements(lines)
+    el = cut(elements(lines))
     row = lambda d, kind, ord_, msg: d.select("circuit_id", F.lit(kind).alias("kind"), ord_.cast("long").alias("ord"), msg.alias("message"))
     dup = el.groupBy("circuit_id", "ref").agg(F.count("*").alias("n"), F.min("line_no").alias("o")).filter("n > 1")
     ends = el.select("circuit_id", F.explode(F.array(F.struct((C("line_no") * 2).alias("o"), C("n1").alias("node")),
                                                      F.struct((C("line_no") * 2 + 1).alias("o"), C("n2").alias("node")))).alias("e"))
     deg = ends.groupBy("circuit_id", C("e.node").alias("node")).agg(F.count("*").alias("n"), F.min("e.o").alias("o"))
+    deg = cut(deg)
     grounded = deg.filter("node = '0'").select("circuit_id")
     models = lines.filter(F.lower("line").startswith(".model")).select(
         "circuit_id", F.upper(F.get(F.split(F.trim("line"), U + r"\s+"), F.lit(1))).alias("model")).filter("model IS NOT NULL").distinct()
@@ -119,14 +121,16 @@ def semantic_errors(lines: DataFrame, circuits: DataFrame) -> DataFrame:
 
 def errors(lines: DataFrame) -> DataFrame:
     """All messages; a syntax error hides the semantic ones."""
+    lines = cut(lines)
     circuits = lines.select("circuit_id").distinct()
-    syn = syntax_errors(lines, circuits)
+    syn = cut(syntax_errors(lines, circuits))
     sem = semantic_errors(lines, circuits).join(syn.select("circuit_id"), "circuit_id", "left_anti")
     return syn.select("circuit_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"), "message").unionByName(sem)
 
 
 def validation(lines: DataFrame) -> DataFrame:
     """(circuit_id, valid, first_error, n_errors) for every circuit."""
+    lines = cut(lines)
     e = errors(lines).groupBy("circuit_id").agg(F.min_by("message", F.struct("kind", "ord")).alias("first_error"), F.count("*").alias("n_errors"))
     d = lines.select("circuit_id").distinct().join(e, "circuit_id", "left")
     return d.select("circuit_id", C("n_errors").isNull().alias("valid"), "first_error", F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
@@ -137,6 +141,7 @@ REDUCED_ALLOWED = r"^(node \S+ is floating \(1 connection\)|no ground node \(0\)
 
 def reference_rules(lines: DataFrame, names: DataFrame) -> DataFrame:
     """Rules for reference texts: name pattern, title line, and no errors beyond those an omitted part explains."""
+    lines = cut(lines)
     meta = lines.groupBy("circuit_id").agg(F.min_by("line", "line_no").alias("title"), F.max(C("line").startswith("* omitted:")).alias("reduced"))
     e = errors(lines).join(meta.select("circuit_id", "reduced"), "circuit_id")
     left = e.filter(~(C("reduced") & C("message").rlike(REDUCED_ALLOWED))).groupBy("circuit_id").agg(F.count("*").alias("n"))

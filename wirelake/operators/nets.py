@@ -96,6 +96,7 @@ def ground_rule(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def components(terms: DataFrame) -> DataFrame:
     """Elements with running reference names and their nets, ground nets replaced by 0, plus the rule."""
+    terms = cut(terms)
     rules, zero = ground_rule(terms)
     el = terms.filter(C("cls").isin(*ELEMENT_PREFIX)).withColumn("prefix", F.try_element_at(S.literal_map(ELEMENT_PREFIX), C("cls")))
     el = numbered(el, ["image_id", "prefix"], "det_idx", "no").withColumn("ref", F.concat("prefix", C("no").cast("string")))
@@ -109,9 +110,10 @@ def components(terms: DataFrame) -> DataFrame:
 
 def trace(hits: DataFrame, detections: DataFrame) -> DataFrame:
     """Detections and fragment hits -> components with references, nets, values and the ground rule."""
+    hits, detections = cut(hits), cut(detections)
     nodes = hits.select("image_id", C("frag").alias("node")).distinct()
     nets = net_numbers(connected(nodes, crossover_edges(hits, detections)))
-    comps = components(cut(terminals(hits, detections, nets)))
+    comps = components(terminals(hits, detections, nets))
     vals = attach_values(detections.withColumn("idx", C("det_idx"))).select("image_id", C("element_idx").alias("det_idx"), "value")
     return comps.join(vals, ["image_id", "det_idx"], "left")
 

@@ -90,7 +90,7 @@ TRACE_SQL = COMP_SQL + ", " + ATTACH_SQL + """, traced AS (SELECT c.image_id, c.
 
 
 def hits_dets(spark, sf):
-    return view(spark, sf, "fx_hit"), view(spark, sf, "fx_det")
+    return cut(view(spark, sf, "fx_hit")), cut(view(spark, sf, "fx_det"))
 
 
 def net_table(spark, sf):
@@ -139,7 +139,7 @@ def arr2(spark, sf):
 
 @query("win2_ground_rule", "WITH RECURSIVE " + GROUND_SQL + " SELECT r.image_id, rule, coalesce(string_agg(net, ',' ORDER BY net), '') AS zero_nets FROM rules r LEFT JOIN zero z ON z.image_id = r.image_id GROUP BY 1, 2")
 def win2(spark, sf):
-    rules, zero = W.ground_rule(term_table(spark, sf))
+    rules, zero = W.ground_rule(cut(term_table(spark, sf)))
     z = zero.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list("net")).cast("array<string>"), ",").alias("zero_nets"))
     return rules.join(z, "image_id", "left").fillna("", ["zero_nets"])
 
@@ -150,7 +150,7 @@ def win1(spark, sf):
 
 
 def traced(spark, sf):
-    return W.trace(*hits_dets(spark, sf))
+    return W.trace(view(spark, sf, "fx_hit"), view(spark, sf, "fx_det"))
 
 
 @query("grf5_trace", "WITH RECURSIVE " + TRACE_SQL + " SELECT image_id, det_idx, ref, cls, array_to_string(nets, ',') AS nets, rule, value FROM traced")
@@ -256,7 +256,7 @@ def parsed_elements(spark, sf):
 
 
 def circuit_classes(spark, sf, values):
-    el = parsed_elements(spark, sf)
+    el = cut(parsed_elements(spark, sf))
     return Q.classes(el, el.select("circuit_id").distinct(), values)
 
 
@@ -267,8 +267,10 @@ def pairs(spark, sf):
 @query("grf3_equivalence", f"""WITH {CANON_SQL} SELECT p.circuit_id, p.ref_id, CAST(a.canon = b.canon AS INTEGER) AS topology_match, CAST(c.canon = d.canon AS INTEGER) AS exact_match FROM fx_pair p
 JOIN topo a ON a.circuit_id = p.circuit_id JOIN topo b ON b.circuit_id = p.ref_id JOIN exact c ON c.circuit_id = p.circuit_id JOIN exact d ON d.circuit_id = p.ref_id""")
 def grf3(spark, sf):
-    d = Q.compared(pairs(spark, sf), circuit_classes(spark, sf, False), "topology_match")
-    d = Q.compared(d, circuit_classes(spark, sf, True), "exact_match")
+    el = cut(parsed_elements(spark, sf))
+    circuits = el.select("circuit_id").distinct()
+    d = Q.compared(pairs(spark, sf), Q.classes(el, circuits, False), "topology_match")
+    d = Q.compared(d, Q.classes(el, circuits, True), "exact_match")
     return d.select("circuit_id", "ref_id", C("topology_match").cast("int").alias("topology_match"), C("exact_match").cast("int").alias("exact_match"))
 
 
