@@ -1,0 +1,151 @@
+"""Seeded generators of annotated sentences and annotation tables. All choices are hashes of
+(id, seed, slot), so the same ids give the same rows on any cluster."""
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .. import vocabulary as W
+from ..functions import boxes as B
+from ..functions.symbols import literal_map
+from ..functions.values import drawn_value, sentence_value
+from . import sentences as P
+
+C = F.col
+
+
+class Dice:
+    """Named hash choices for one seed."""
+
+    def __init__(self, key: Column, seed: int):
+        self.key, self.seed = key, seed
+
+    def below(self, slot: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(self.key, F.lit(self.seed), F.lit(slot)), F.lit(n)).cast("int")
+
+    def share(self, slot: str) -> Column:
+        return self.below(slot, 1_000_000) / 1_000_000
+
+    def pick(self, slot: str, options: list) -> Column:
+        return F.get(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), self.below(slot, len(options)))
+
+
+def _tok(word, tag) -> Column:
+    c = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(c(word).alias("w"), c(tag).alias("t"))
+
+
+def _phrase(text: str) -> Column:
+    return F.array(*[_tok(w, W.CONNECTOR_TAG.get(w, "O")) for w in text.split()])
+
+
+def _value_tokens(text: Column) -> Column:
+    """'47 uf' -> a VAL and a UNIT token."""
+    parts = F.split(text, " ")
+    return F.transform(parts, lambda w, i: F.struct(w.alias("w"), F.when(i == 0, "VAL").otherwise("UNIT").alias("t")))
+
+
+def _component(d: Dice, slot: str, held_out: bool) -> Column:
+    nouns = W.HELD_OUT_NOUNS if held_out else W.NOUNS
+    branches = []
+    for cls in W.NOUNS:
+        noun = d.pick(slot + "noun", nouns[cls])
+        tok = F.array(_tok(noun, W.NOUN_TAG[cls]))
+        if cls == "diode":
+            named = F.concat(_phrase("a"), F.array(_tok(d.pick(slot + "name", W.DIODE_NAMES), "O")), tok)
+            plain = F.concat(F.array(_tok(F.when(noun == "led", "an").otherwise("a"), "O")), tok)
+            toks, value = F.when(d.share(slot + "named") < 0.3, named).otherwise(plain), F.lit(None).cast("string")
+        else:
+            text = d.pick(slot + "value", W.PART_VALUES[cls])
+            val, form = _value_tokens(text), d.below(slot + "form", 3)
+            toks = F.when(form == 0, F.concat(_phrase("a"), val, tok)).when(form == 1, F.concat(_phrase("a"), tok, _phrase("of"), val)).otherwise(F.concat(val, tok))
+            value = sentence_value(F.replace(text, F.lit(" "), F.lit("")), F.lit(cls))
+        branches.append(F.struct(toks.alias("toks"), F.lit(cls).alias("cls"), value.alias("value")))
+    return F.get(F.array(*branches), d.below(slot + "cls", len(branches)))
+
+
+def sentences(ids: DataFrame, seed: int = 0, held_out: bool = False) -> DataFrame:
+    """ids(id) -> (id, text, words, tags, source, tree). held_out uses phrasings training never shows."""
+    d = Dice(C("id"), seed + (1_000 if held_out else 0))
+    ser, par = (W.HELD_OUT_SERIES_WORDS, W.HELD_OUT_PARALLEL_WORDS) if held_out else (W.SERIES_WORDS, W.PARALLEL_WORDS)
+    pre, post = (W.HELD_OUT_PRE_VERBS, W.HELD_OUT_POST_VERBS) if held_out else (W.PRE_VERBS, W.POST_VERBS)
+    df = ids.select("id")
+    for k in "123":
+        df = P.staged(df, "c" + k, _component(d, "part" + k, held_out))
+    kinds = ["single", "chain2", "chain3", "list", "list", "comma_group", "paren", "count"]
+    df = P.staged(df, "kind", d.pick("kind", kinds))
+    df = P.staged(df, "k1", d.pick("k1", ["S", "P"]))
+    df = P.staged(df, "k2", d.pick("k2", ["S", "P"]))
+    df = P.staged(df, "copies", 2 + d.below("copies", 2))
+    join = lambda k, slot: F.when(C(k) == "S", d.pick(slot + "s", [_phrase(x) for x in ser])).otherwise(d.pick(slot + "p", [_phrase(x) for x in par]))
+    plain = lambda k: F.when(C(k) == "S", _phrase("in series")).otherwise(_phrase("in parallel"))
+    t1, t2, t3 = C("c1.toks"), C("c2.toks"), C("c3.toks")
+    listed = F.when(C("copies") == 3, F.concat(t1, _phrase(","), t2, _phrase("and"), t3)).otherwise(F.concat(t1, _phrase("and"), t2))
+    rval = d.pick("count_value", W.PART_VALUES["resistor"])
+    inner = F.when(d.share("form") < 0.5, F.concat(t1, _phrase("and"), t2, plain("k1"))).otherwise(F.concat(t1, join("k1", "a"), t2))
+    every = F.when(d.share("all") < 0.5, _phrase("all")).otherwise(F.slice(_phrase("all"), 1, 0))
+    load = (F.when(C("kind") == "single", t1).when(C("kind") == "chain2", F.concat(t1, join("k1", "a"), t2))
+            .when(C("kind") == "chain3", F.concat(t1, join("k1", "a"), t2, d.pick("rel", [_phrase(x) for x in W.RELATIVE_WORDS]), join("k2", "b"), t3))
+            .when(C("kind") == "list", F.concat(listed, plain("k1")))
+            .when(C("kind") == "comma_group", F.concat(inner, _phrase(","), every, join("k2", "b"), t3))
+            .when(C("kind") == "paren", F.concat(F.array(_tok("(", "O")), t1, join("k1", "a"), t2, F.array(_tok(")", "O")), join("k2", "b"), t3))
+            .otherwise(F.concat(F.array(_tok(F.when(C("copies") == 2, "two").otherwise("three"), "O")), _value_tokens(rval), F.array(_tok("resistors", "RES")), plain("k1"))))
+    df = P.staged(df, "load", load)
+    for k in "123":
+        df = P.staged(df, "e" + k, P._leaf(C("c" + k)))
+    count = F.struct(F.lit("resistor").alias("cls"), sentence_value(F.replace(rval, F.lit(" "), F.lit("")), F.lit("resistor")).alias("value"))
+    df = P.staged(df, "e0", P._leaf(count))
+    grown = P._joined(C("k1"), C("e1"), C("e2"))
+    more = lambda first, rest: F.when(C("copies") == 3, P._joined(C("k1"), first, rest)).otherwise(first)
+    tree = (F.when(C("kind") == "single", C("e1")).when(C("kind") == "chain2", grown)
+            .when(C("kind") == "chain3", P._joined(C("k1"), C("e1"), P._joined(C("k2"), C("e2"), C("e3"))))
+            .when(C("kind") == "list", more(grown, C("e3"))).when(C("kind") == "count", more(P._joined(C("k1"), C("e0"), C("e0")), C("e0")))
+            .otherwise(P._joined(C("k2"), grown, C("e3"))))
+    df = P.staged(df, "node", tree)
+    sval = d.pick("source_value", W.SOURCE_VALUES)
+    snoun = F.array(_tok(d.pick("source_noun", W.SOURCE_NOUNS), "SRC"))
+    src = F.when(d.share("source_form") < 0.7, F.concat(_phrase("a"), _value_tokens(sval), snoun)).otherwise(F.concat(_phrase("a voltage"), snoun, _phrase("of"), _value_tokens(sval)))
+    r = d.share("place")
+    toks = (F.when(r < 0.45, F.concat(src, d.pick("pre", [_phrase(x) for x in pre]), C("load")))
+            .when(r < 0.9, F.concat(C("load"), d.pick("post", [_phrase(x) for x in post]), src)).otherwise(C("load")))
+    df = P.staged(df, "toks", toks)
+    value = sentence_value(F.replace(sval, F.lit(" "), F.lit("")), F.lit("voltage_source"))
+    return df.select("id", F.array_join(F.transform("toks", lambda x: x["w"]), " ").alias("text"), F.transform("toks", lambda x: x["w"]).alias("words"),
+                     F.transform("toks", lambda x: x["t"]).alias("tags"), F.when(r < 0.9, value).alias("source"), P._text(C("node")).alias("tree"))
+
+
+def _parts(spark) -> DataFrame:
+    """The fixed part table of the known circuits: 24 rows."""
+    rows = [(i, name, j, cls, float(x), float(y), v, n[0], n[1] if len(n) > 1 else None, float(a), float(b))
+            for i, (name, parts) in enumerate(W.KNOWN_CIRCUITS.items()) for j, (cls, x, y, v, n, a, b) in enumerate(parts)]
+    return spark.createDataFrame(rows, "circuit_no int, circuit string, part int, cls string, cx double, cy double, vertical boolean, n1 int, n2 int, long double, short double")
+
+
+def annotated_photos(photos: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """photos(image_id) -> object rows of drawn known circuits, and the lines of their true netlists."""
+    d = Dice(F.concat_ws("/", "image_id", "part"), seed)
+    pick = photos.select("image_id", F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit("circuit")), F.lit(len(W.KNOWN_CIRCUITS))).cast("int").alias("circuit_no"),
+                         (1 + F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit("scale")), F.lit(3))).cast("double").alias("scale"))
+    p = pick.join(F.broadcast(_parts(photos.sparkSession)), "circuit_no")
+    value = F.lit(None).cast("string")
+    for cls, options in W.DRAWN_VALUES.items():
+        value = F.when(C("cls") == cls, d.pick("value", options)).otherwise(value)
+    base = F.when(C("vertical"), 270).otherwise(0)
+    rot = F.when(C("cls").isin("diode", "voltage_source", "resistor"), F.pmod(base + d.below("turn", 9) - 4, F.lit(360)))
+    box = B.part_box(C("cx"), C("cy"), C("long"), C("short"), C("vertical"), C("scale"))
+    p = p.withColumn("value", value).withColumn("box", box)
+    label = F.try_element_at(literal_map(W.CLASS_LABEL), C("cls"))
+    objects = p.select("image_id", (C("part") + 1).cast("long").alias("obj_idx"), label.alias("label"), "box.x1", "box.y1", "box.x2", "box.y2",
+                       rot.cast("string").alias("rotation"), F.lit(None).cast("string").alias("txt"))
+    side = (C("scale") * 10).cast("int")
+    texts = p.filter("value IS NOT NULL").select("image_id", (C("part") + 101).cast("long").alias("obj_idx"), F.lit("text").alias("label"), C("box.x1").alias("x1"),
+                                                 (C("box.y1") - 2 * side).alias("y1"), (C("box.x1") + side * F.length("value")).alias("x2"), (C("box.y1") - side).alias("y2"),
+                                                 F.lit(None).cast("string").alias("rotation"), C("value").alias("txt"))
+    el = p.filter(C("cls").isin(*W.ELEMENT_PREFIX)).withColumn("prefix", F.try_element_at(literal_map(W.ELEMENT_PREFIX), C("cls")))
+    from pyspark.sql import Window
+    no = F.row_number().over(Window.partitionBy("image_id", "prefix").orderBy("part"))     # at most six parts
+    val = F.coalesce(drawn_value(C("value"))["value"], F.try_element_at(literal_map(W.ELEMENT_DEFAULT), C("cls")))
+    body = el.select("image_id", F.lit(1).alias("section"), "part", F.concat_ws(" ", F.concat("prefix", no.cast("string")), C("n1").cast("string"), C("n2").cast("string"), val).alias("line"))
+    frame = p.groupBy("image_id", "circuit").agg(F.max(C("cls") == "diode").alias("model"))
+    rows = F.array_compact(F.array(F.struct(F.lit(0).alias("section"), F.concat(F.lit("* "), "circuit", F.lit(" (reference)")).alias("line")),
+                                   F.when(C("model"), F.struct(F.lit(2).alias("section"), F.lit(".model DMOD D").alias("line"))),
+                                   F.struct(F.lit(3).alias("section"), F.lit(".op").alias("line")), F.struct(F.lit(4).alias("section"), F.lit(".end").alias("line"))))
+    head = frame.select("image_id", F.explode(rows).alias("r")).select("image_id", "r.section", F.lit(0).alias("part"), "r.line")
+    return objects.unionByName(texts), body.unionByName(head)

@@ -32,6 +32,13 @@ def _null(of: str) -> Column:
     return F.lit(None).cast(of)
 
 
+def staged(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose expression later steps must not take apart: a one-element explode keeps the
+    optimizer from copying it into everything that refers to it."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))
+
+
 def value_spans() -> Column:
     """VAL tokens, each with the UNIT tokens after it while the whole is still a value."""
     def step(st, i):
@@ -82,35 +89,47 @@ def _item(pos, kind, cls=None, value=None):
                     s(cls).alias("cls"), s(value).alias("value")).cast(ITEM)
 
 
-def items() -> Column:
-    """Entities, operators, separators and parentheses in text order."""
+def claims() -> Column:
+    """Nouns with the class and number of copies they stand for."""
     def noun(p):
         text, diode = p["pick"]["text"], p["tag"] == "DIO"
         own = F.try_element_at(literal_map(NOUN_CLASS), p["tag"])
         cls = F.when(diode | p["pick"].isNull(), own).otherwise(F.coalesce(V.unit_class(text), F.when(own == "voltage_source", "resistor").otherwise(own)))
-        value = F.when(~diode & p["pick"].isNotNull(), V.sentence_value(text, cls))
-        return F.transform(F.sequence(F.lit(0), copies(p) - 1), lambda k: _item(p["n"] + k / 10, "ENT", cls, value))
-    taken = F.transform(F.filter("picks", lambda p: p["pick"].isNotNull() & (p["tag"] != "DIO")), lambda p: p["pick"]["s"])
-    by_diode = lambda s: (F.coalesce(F.get("tags", s["s"] + 1), F.lit("")) == "DIO") | ((s["s"] > 0) & (F.coalesce(F.get("tags", s["s"] - 1), F.lit("")) == "DIO"))
+        return F.struct(p["n"].alias("n"), cls.alias("cls"), F.when(~diode, text).alias("text"), F.when(~diode, p["pick"]["s"]).alias("s"), copies(p).alias("copies"))
+    return F.transform("picks", noun)
+
+
+def loose_values() -> Column:
+    """Values no noun took, away from diodes, with the class their unit implies."""
+    taken = F.transform(F.filter("claims", lambda p: p["s"].isNotNull()), lambda p: p["s"])
+    tag_at = lambda k: F.coalesce(F.get("tags", k), F.lit(""))
+    by_diode = lambda s: (tag_at(s["s"] + 1) == "DIO") | ((s["s"] > 0) & (tag_at(s["s"] - 1) == "DIO"))
     loose = F.filter("spans", lambda s: ~F.array_contains(taken, s["s"]) & ~by_diode(s))
+    return F.transform(loose, lambda s: F.struct(s["s"].alias("s"), s["text"].alias("text"), F.coalesce(V.unit_class(s["text"]), F.lit("resistor")).alias("cls")))
+
 
-    def back_off(s):
-        cls = F.coalesce(V.unit_class(s["text"]), F.lit("resistor"))
-        return _item(s["s"], "ENT", cls, V.sentence_value(s["text"], cls))
+def items() -> Column:
+    """Entities, operators, separators and parentheses in text order."""
+    def noun(p):
+        value = V.sentence_value(p["text"], p["cls"])
+        return F.transform(F.sequence(F.lit(0), p["copies"] - 1), lambda k: _item(p["n"] + k / 10, "ENT", p["cls"], value))
 
     def word(i):
         w, t = F.get("words", i), F.get("tags", i)
         return (F.when(w == "(", _item(i, "LP")).when(w == ")", _item(i, "RP")).when(t == "SER", _item(i, "OP", F.lit("S")))
                 .when(t == "PAR", _item(i, "OP", F.lit("P"))).when(t == "SEP", _item(i, "SEP")))
-    parts = [F.flatten(F.transform("picks", noun)), F.filter(F.transform(loose, back_off), lambda x: x["value"].isNotNull()),
+    back_off = F.transform("loose", lambda s: _item(s["s"], "ENT", s["cls"], V.sentence_value(s["text"], s["cls"])))
+    parts = [F.flatten(F.transform("claims", noun)), F.filter(back_off, lambda x: x["value"].isNotNull()),
              F.filter(F.transform(_index("words"), word), lambda x: x.isNotNull())]
     return F.array_sort(F.concat(*parts))
 
 
 def chunked(tagged: DataFrame) -> DataFrame:
     """tagged(id, words, tags, ...) with spans, picks and items."""
-    nouns = F.filter(_index("tags"), lambda i: F.get("tags", i).isin(*NOUN_CLASS))
-    return tagged.withColumn("nouns", nouns).withColumn("spans", value_spans()).withColumn("picks", noun_values()).withColumn("items", items())
+    d = staged(tagged, "nouns", F.filter(_index("tags"), lambda i: F.get("tags", i).isin(*NOUN_CLASS)))
+    for name, make in (("spans", value_spans), ("picks", noun_values), ("claims", claims), ("loose", loose_values), ("items", items)):
+        d = staged(d, name, make())
+    return d.drop("nouns", "claims", "loose")
 
 
 def entities(chunks: DataFrame) -> DataFrame:
@@ -164,20 +183,31 @@ def clauses(source: str = "parts") -> Column:
         st["done"], F.struct(st["opener"].alias("opener"), st["cur"].alias("items")).cast(CLAUSE)))
 
 
-def clause_tree(items_) -> Column:
-    """List form (a separator inside, an operator at the end) or a chain that attaches to the right."""
-    ents = F.filter(items_, lambda x: x["kind"] == "ENT")
-    n = F.size(ents)
-    first, last = F.get(ents, F.lit(0))["pos"], F.get(ents, n - 1)["pos"]
-    tail = F.get(F.filter(items_, lambda x: (x["kind"] == "OP") & (x["pos"] > last)), F.lit(0))["cls"]
-    listed = tail.isNotNull() & F.exists(items_, lambda x: (x["kind"] == "SEP") & (x["pos"] > first) & (x["pos"] < last))
-    default = F.coalesce(tail, F.lit("S"))
+def clause_facts(c) -> Column:
+    ents = F.filter(c["items"], lambda x: x["kind"] == "ENT")
+    return F.struct(c["opener"].alias("opener"), c["items"].alias("items"), ents.alias("ents"))
+
+
+def clause_operators(c) -> Column:
+    """The clause's last operator, and whether it is a list: a separator inside, an operator at the end."""
+    first, last = F.get(c["ents"], F.lit(0))["pos"], F.get(c["ents"], F.size(c["ents"]) - 1)["pos"]
+    tail = F.get(F.filter(c["items"], lambda x: (x["kind"] == "OP") & (x["pos"] > last)), F.lit(0))["cls"]
+    inner = F.exists(c["items"], lambda x: (x["kind"] == "SEP") & (x["pos"] > first) & (x["pos"] < last))
+    ops = F.filter(c["items"], lambda x: x["kind"] == "OP")
+    return F.struct(c["opener"].alias("opener"), c["ents"].alias("ents"), ops.alias("ops"), tail.alias("tail"), inner.alias("inner"))
+
+
+def clause_tree(c) -> Column:
+    """List form, or a chain that attaches to the right; parts without an operator between them take
+    the clause's last operator, else series."""
+    ents, n = c["ents"], F.size(c["ents"])
 
     def step(tree, k):
-        """k counts from the right: entity n-2-k joins what is already built of the entities after it."""
+        """k counts from the right: entity n-2-k joins what is built of the entities after it."""
         a, b = F.get(ents, n - 2 - k), F.get(ents, n - 1 - k)
-        between = F.filter(items_, lambda x: (x["kind"] == "OP") & (x["pos"] > a["pos"]) & (x["pos"] < b["pos"]))
-        op = F.when(listed, tail).otherwise(F.coalesce(F.get(between, F.size(between) - 1)["cls"], default))
+        between = F.array_max(F.transform(F.filter(c["ops"], lambda x: (x["pos"] > a["pos"]) & (x["pos"] < b["pos"])),
+                                          lambda x: F.struct(x["pos"].alias("pos"), x["cls"].alias("cls"))))["cls"]
+        op = F.when(c["inner"] & c["tail"].isNotNull(), c["tail"]).otherwise(F.coalesce(between, c["tail"], F.lit("S")))
         return _joined(op, _leaf(a), tree)
     back = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(_empty("int"))
     return F.when(n > 0, F.aggregate(back, _leaf(F.get(ents, n - 1)), step))
@@ -186,16 +216,19 @@ def clause_tree(items_) -> Column:
 def structured(chunks: DataFrame) -> DataFrame:
     """Adds source (struct or NULL), tree (structure), tree_text and error."""
     is_src = lambda x: (x["kind"] == "ENT") & (x["cls"] == "voltage_source")
-    d = chunks.withColumn("source", F.get(F.filter("items", is_src), F.lit(0))).withColumn("parts", F.filter("items", lambda x: ~is_src(x)))
-    d = d.withColumn("parens", F.exists("items", lambda x: x["kind"].isin("LP", "RP"))).withColumn("clauses", clauses())
-    d = d.withColumn("trees", F.filter(F.transform("clauses", lambda c: F.struct(c["opener"].alias("op"), clause_tree(c["items"]).alias("node"))),
-                                       lambda c: c["node"].isNotNull()))
+    d = staged(chunks, "source", F.get(F.filter("items", is_src), F.lit(0)))
+    d = staged(d, "parts", F.filter("items", lambda x: ~is_src(x)))
+    d = staged(d, "clauses", clauses())
+    for make in (clause_facts, clause_operators, lambda c: F.struct(c["opener"].alias("op"), clause_tree(c).alias("node"))):
+        d = staged(d, "clauses", F.transform("clauses", make))
 
     def fold(acc, c):
         return F.when(acc.isNull(), c["node"]).otherwise(_joined(F.coalesce(c["op"], F.lit("S")), acc, c["node"]))
-    d = d.withColumn("tree", F.when(~C("parens"), F.aggregate("trees", _null(NODE), fold)))
-    error = F.when(C("parens"), "parentheses are not supported").when(C("tree").isNull(), "no components found")
-    return d.withColumn("tree_text", F.when(C("tree").isNotNull(), _text(C("tree")))).withColumn("error", error).drop("clauses", "trees", "parens")
+    parens = F.exists("items", lambda x: x["kind"].isin("LP", "RP"))
+    whole = F.aggregate(F.filter("clauses", lambda c: c["node"].isNotNull()), _null(NODE), fold)
+    d = staged(d, "tree", F.when(~parens, whole))
+    error = F.when(parens, "parentheses are not supported").when(C("tree").isNull(), "no components found")
+    return staged(d.withColumn("error", error), "tree_text", F.when(C("tree").isNotNull(), _text(C("tree")))).drop("clauses")
 
 
 # ---- netlist ----
@@ -218,7 +251,7 @@ def netlist(trees: DataFrame, title: Column) -> DataFrame:
         row = F.struct(p.alias("p"), st["next"].alias("base"), m.alias("m"))
         return F.struct((st["next"] + m - 1).alias("next"), F.array_append(st["out"], row).alias("out")).cast(grow)
     zero = F.struct(F.lit(2).alias("next"), _empty("struct<p:array<int>,base:int,m:int>").alias("out")).cast(grow)
-    d = trees.withColumn("series", F.aggregate(series, zero, number, lambda st: st["out"]))
+    d = staged(staged(trees, "series", series), "series", F.aggregate("series", zero, number, lambda st: st["out"]))
 
     def ends(l):
         """Walk down the path: a parallel keeps the end nodes, a series hands on its inner ones."""
@@ -232,7 +265,7 @@ def netlist(trees: DataFrame, title: Column) -> DataFrame:
         return F.aggregate(levels, F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")).cast("struct<a:int,b:int>"), down)
     prefix = lambda c: F.try_element_at(literal_map(ELEMENT_PREFIX), c)
     default = lambda c: F.try_element_at(literal_map(ELEMENT_DEFAULT), c)
-    d = d.withColumn("placed", F.transform("tree.leaves", lambda l: F.struct(l["cls"].alias("cls"), l["value"].alias("value"), ends(l).alias("n"))))
+    d = staged(d, "placed", F.transform("tree.leaves", lambda l: F.struct(l["cls"].alias("cls"), l["value"].alias("value"), ends(l).alias("n"))))
 
     def line(l, i):
         no = F.size(F.filter(F.slice("placed", 1, i + 1), lambda x: x["cls"] == l["cls"]))
@@ -240,7 +273,7 @@ def netlist(trees: DataFrame, title: Column) -> DataFrame:
     src = F.concat(F.lit("V1 1 0 "), F.coalesce(C("source.value"), F.lit(ELEMENT_DEFAULT["voltage_source"])))
     model = F.when(F.exists("placed", lambda x: x["cls"] == "diode"), F.array(F.lit(".model DMOD D"))).otherwise(_empty("string"))
     rows = F.concat(F.array(F.concat(F.lit("* "), title), src), F.transform("placed", line), model, F.array(F.lit(".op"), F.lit(".end")))
-    return d.withColumn("netlist", F.when(C("tree").isNotNull(), F.concat(F.array_join(rows, "\n"), F.lit("\n")))).drop("series", "placed")
+    return staged(d, "netlist", F.when(C("tree").isNotNull(), F.concat(F.array_join(rows, "\n"), F.lit("\n")))).drop("series", "placed")
 
 
 def notes() -> Column:

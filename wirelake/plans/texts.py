@@ -90,7 +90,7 @@ def seq3(spark, sf):
 @query("seq4_clause_structure", f"WITH {CIRC} SELECT id, tree FROM circ WHERE conn < 3")
 def seq4(spark, sf):
     """Sentences of a single clause."""
-    d = trees(spark, sf).withColumn("clauses", P.clauses())
+    d = P.staged(trees(spark, sf), "clauses", P.clauses())
     return d.filter(F.size("clauses") == 1).select("id", C("tree_text").alias("tree"))
 
 
@@ -214,8 +214,7 @@ def gold_trees(spark, sf):
     return d.select("id", "text", "words", "tags", C("source.value").alias("source"), C("tree_text").alias("tree"))
 
 
-def wrong_trees(spark, sf):
-    d = gold_trees(spark, sf)
+def wrong_trees(d):
     return d.withColumn("tree", F.when(C("id") % 5 == 0, F.regexp_replace("tree", r"resistor:\d+k", "resistor:99k")).otherwise(C("tree"))) \
             .withColumn("source", F.when(C("id") % 7 != 0, C("source")))
 
@@ -225,19 +224,20 @@ def str14(spark, sf):
     return P.tree_leaves(gold_trees(spark, sf))
 
 
-def overlap(spark, sf):
-    return G.component_counts(P.tree_leaves(gold_trees(spark, sf)), P.tree_leaves(wrong_trees(spark, sf)), ["cls", "value"])
+def overlap(g):
+    return G.component_counts(P.tree_leaves(g), P.tree_leaves(wrong_trees(g)), ["cls", "value"])
 
 
 @query("a26_component_scores", f"WITH {PLEAVES} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(sum(tp) / sum(tp + fp), 6) AS precision, round(sum(tp) / sum(tp + fn), 6) AS recall FROM cmp")
 def a26(spark, sf):
-    d = overlap(spark, sf).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    d = overlap(cut(gold_trees(spark, sf))).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return d.select("tp", "fp", "fn", F.round(F.try_divide(C("tp"), C("tp") + C("fp")), 6).alias("precision"), F.round(F.try_divide(C("tp"), C("tp") + C("fn")), 6).alias("recall"))
 
 
 @query("set1_multiset_operations", f"WITH {PLEAVES} SELECT 'both' AS side, id, cls, value FROM (SELECT * FROM g INTERSECT ALL SELECT * FROM p) UNION ALL SELECT 'gold_only', id, cls, value FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM p) UNION ALL SELECT 'pred_only', id, cls, value FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM g)")
 def set1(spark, sf):
-    g, p = cut(P.tree_leaves(gold_trees(spark, sf))), cut(P.tree_leaves(wrong_trees(spark, sf)))
+    t = cut(gold_trees(spark, sf))
+    g, p = P.tree_leaves(t), P.tree_leaves(wrong_trees(t))
     side = lambda d, s: d.select(F.lit(s).alias("side"), "id", "cls", "value")
     return side(g.intersectAll(p), "both").unionByName(side(g.exceptAll(p), "gold_only")).unionByName(side(p.exceptAll(g), "pred_only"))
 
@@ -245,9 +245,9 @@ def set1(spark, sf):
 @query("a27_error_types", f"""WITH {PLEAVES} SELECT error_type, count(*) AS n FROM (SELECT CASE WHEN c.id % 3 = 1 AND c.id % 5 = 0 THEN 'tagging' WHEN c.id % 5 <> 0 THEN 'source' WHEN fp + fn > 0 THEN 'components/values' ELSE 'structure' END AS error_type
 FROM circ c JOIN cmp ON cmp.id = c.id WHERE c.id % 5 = 0 OR c.id % 7 = 0) GROUP BY 1""")
 def a27(spark, sf):
-    g = gold_trees(spark, sf)
-    p = wrong_trees(spark, sf).select("id", C("tree").alias("pt"), C("source").alias("ps"))
-    n = overlap(spark, sf)
+    g = cut(gold_trees(spark, sf))
+    p = wrong_trees(g).select("id", C("tree").alias("pt"), C("source").alias("ps"))
+    n = overlap(g)
     pred = F.when((C("id") % 3 == 1) & (C("id") % 5 == 0), F.transform("tags", lambda t: F.lit("O"))).otherwise(C("tags"))
     errors = P.tag_mismatches(C("words"), C("tags"), pred)
     d = g.join(p, "id").join(n, "id").filter(~((C("tree") == C("pt")) & C("source").eqNullSafe(C("ps"))))
