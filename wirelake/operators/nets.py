@@ -47,7 +47,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def net_numbers(components: DataFrame) -> DataFrame:
     """Nets numbered from 1 in the order of their lowest fragment: (image_id, frag, net)."""
-    roots = numbered(components.select("image_id", "root").distinct(), ["image_id"], "root", "net")
+    roots = numbered(components.select("image_id", "root").distinct(), ["image_id"], ["root"], "net")
     return components.join(roots, ["image_id", "root"]).select("image_id", C("node").alias("frag"), "net")
 
 
@@ -99,7 +99,7 @@ def components(terms: DataFrame) -> DataFrame:
     terms = cut(terms)
     rules, zero = ground_rule(terms)
     el = terms.filter(C("cls").isin(*ELEMENT_PREFIX)).withColumn("prefix", F.try_element_at(S.literal_map(ELEMENT_PREFIX), C("cls")))
-    el = numbered(el, ["image_id", "prefix"], "det_idx", "no").withColumn("ref", F.concat("prefix", C("no").cast("string")))
+    el = numbered(el, ["image_id", "prefix"], ["det_idx"], "no").withColumn("ref", F.concat("prefix", C("no").cast("string")))
     pos = el.select("image_id", "det_idx", F.posexplode("nets").alias("pos", "net"))
     pos = pos.join(zero.withColumn("zero", F.lit(0).cast("long")), ["image_id", "net"], "left")
     node = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("zero", "net").alias("node"))))

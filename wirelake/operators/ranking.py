@@ -11,11 +11,11 @@ def report_positions(df: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, out: str, span: int = SPAN) -> DataFrame:
-    """row_number over (keys, order) for an integer order column, in two levels: positions inside
-    spans of the order column, plus the counts of the earlier spans of the key."""
-    d = df.withColumn("_span", F.floor(C(order) / span))
-    inner = Window.partitionBy(*keys, "_span").orderBy(order)
+def numbered(df: DataFrame, keys: list[str], order: list, out: str, piece: Column | None = None) -> DataFrame:
+    """row_number over (keys, order) in two levels: positions inside pieces of a key, plus the counts of
+    its earlier pieces. `piece` must rise with the order; by default it is a span of the first order column."""
+    d = df.withColumn("_span", F.floor(C(order[0]) / SPAN) if piece is None else piece)
+    inner = Window.partitionBy(*keys, "_span").orderBy(*order)
     d = d.withColumn(out, F.row_number().over(inner).cast("long"))
     per = d.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)

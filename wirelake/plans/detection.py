@@ -195,11 +195,14 @@ def a30(spark, sf):
                                                               n("junction").alias("junctions"), n("crossover").alias("crossovers"), n("text").alias("labels"))
 
 
-@query("srt3_parts_by_confidence", """SELECT image_id, pred_idx, CAST(row_number() OVER (PARTITION BY image_id ORDER BY conf, pred_idx) AS INTEGER) AS pos,
-format('  {:<15} confidence {:.2f}{}', cls, conf, CASE WHEN conf < 0.5 THEN '  <- uncertain' ELSE '' END) AS line FROM fx_pred WHERE cls NOT IN ('junction','crossover','text') AND round(conf * 1000) % 10 <> 5""")
+@query("srt3_parts_by_confidence", """SELECT image_id, pred_idx, row_number() OVER (PARTITION BY image_id ORDER BY conf, pred_idx) AS pos,
+format('  {:<15} confidence {:.2f}{}', cls, CASE WHEN CAST(round_even(conf * 1000, 0) AS BIGINT) % 10 = 5 THEN CAST(floor(conf * 100) AS DOUBLE) / 100 ELSE conf END, CASE WHEN conf < 0.5 THEN '  <- uncertain' ELSE '' END) AS line
+FROM fx_pred WHERE cls NOT IN ('junction','crossover','text')""")
 def srt3(spark, sf):
-    from pyspark.sql import Window
-    d = view(spark, sf, "fx_pred").filter(~C("cls").isin("junction", "crossover", "text") & (F.round(C("conf") * 1000) % 10 != 5))
-    w = Window.partitionBy("image_id").orderBy("conf", "pred_idx")
-    line = F.concat(F.format_string("  %-15s confidence %.2f", "cls", "conf"), F.when(C("conf") < 0.5, "  <- uncertain").otherwise(""))
-    return d.select("image_id", "pred_idx", F.row_number().over(w).alias("pos"), line.alias("line"))
+    from ..operators.ranking import numbered
+    d = view(spark, sf, "fx_pred").filter(~C("cls").isin("junction", "crossover", "text"))
+    d = numbered(d, ["image_id"], ["conf", "pred_idx"], "pos", F.floor(C("conf") * 100))
+    tenths = F.round(C("conf") * 1000).cast("long")     # confidences have three digits; halves of a hundredth are shown rounded down
+    shown = F.when(tenths % 10 == 5, (tenths - 5) / 1000).otherwise(C("conf"))
+    line = F.concat(F.format_string("  %-15s confidence %.2f", C("cls"), shown), F.when(C("conf") < 0.5, "  <- uncertain").otherwise(""))
+    return d.select("image_id", "pred_idx", "pos", line.alias("line"))
