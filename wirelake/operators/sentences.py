@@ -15,9 +15,9 @@ from . import netlists as N, tagging
 
 C = F.col
 SPAN = "struct<s:int,e:int,text:string>"
-ITEM = "struct<pos:double,kind:string,cls:string,value:string>"
 LEAVES = "array<struct<cls:string,value:string,path:array<int>>>"
 NODE = f"struct<kind:string,n:int,text:array<string>,leaves:{LEAVES}>"
+ITEM = f"struct<pos:double,kind:string,cls:string,value:string,node:{NODE}>"     # node: what a closed parenthesis holds
 
 
 def _empty(of: str) -> Column:
@@ -83,10 +83,10 @@ def copies(p) -> Column:
     return F.when(p["pick"].isNotNull() & (s < p["n"]) & (s > 0) & plural, n).otherwise(1)
 
 
-def _item(pos, kind, cls=None, value=None):
+def _item(pos, kind, cls=None, value=None, node=None):
     s = lambda c: _null("string") if c is None else c
     return F.struct(pos.cast("double").alias("pos"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"),
-                    s(cls).alias("cls"), s(value).alias("value")).cast(ITEM)
+                    s(cls).alias("cls"), s(value).alias("value"), (_null(NODE) if node is None else node).alias("node")).cast(ITEM)
 
 
 def claims() -> Column:
@@ -166,7 +166,7 @@ def _joined(kind, a, b) -> Column:
 CLAUSE = f"struct<opener:string,items:array<{ITEM}>>"
 
 
-def clauses(source: str = "parts") -> Column:
+def clauses(source="parts") -> Column:
     """Split at a separator that an operator follows, once the clause holds an entity. Operators that
     open a later clause are kept apart: the last one joins the clauses."""
     def step(st, i):
@@ -208,9 +208,47 @@ def clause_tree(c) -> Column:
         between = F.array_max(F.transform(F.filter(c["ops"], lambda x: (x["pos"] > a["pos"]) & (x["pos"] < b["pos"])),
                                           lambda x: F.struct(x["pos"].alias("pos"), x["cls"].alias("cls"))))["cls"]
         op = F.when(c["inner"] & c["tail"].isNotNull(), c["tail"]).otherwise(F.coalesce(between, c["tail"], F.lit("S")))
-        return _joined(op, _leaf(a), tree)
+        return _joined(op, _operand(a), tree)
     back = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(_empty("int"))
-    return F.when(n > 0, F.aggregate(back, _leaf(F.get(ents, n - 1)), step))
+    return F.when(n > 0, F.aggregate(back, _operand(F.get(ents, n - 1)), step))
+
+
+def _operand(it) -> Column:
+    return F.coalesce(it["node"], _leaf(it))
+
+
+def _clause_steps():
+    return clause_facts, clause_operators, lambda c: F.struct(c["opener"].alias("op"), clause_tree(c).alias("node"))
+
+
+def _fold_clauses(built) -> Column:
+    def fold(acc, c):
+        return F.when(acc.isNull(), c["node"]).otherwise(_joined(F.coalesce(c["op"], F.lit("S")), acc, c["node"]))
+    return F.aggregate(F.filter(built, lambda c: c["node"].isNotNull()), _null(NODE), fold)
+
+
+def _structure(items_) -> Column:
+    """Structure of items without parentheses, as one expression."""
+    built = clauses(items_)
+    for make in _clause_steps():
+        built = F.transform(built, make)
+    return _fold_clauses(built)
+
+
+def grouped() -> Column:
+    """Each closed parenthesis becomes one item that carries its structure, from the inside out. An
+    opening one that is never closed is ignored."""
+    def step(st, it):
+        close = (it["kind"] == "RP") & (F.size(st["stack"]) > 0)
+        inner = _structure(st["out"])
+        item = F.filter(F.array(_item(it["pos"], "ENT", node=inner)), lambda x: x["node"].isNotNull())
+        below = F.get(st["stack"], F.size(st["stack"]) - 1)
+        stack = F.when(it["kind"] == "LP", F.array_append(st["stack"], st["out"])).when(close, F.slice(st["stack"], 1, F.size(st["stack"]) - 1)).otherwise(st["stack"])
+        out = (F.when(it["kind"] == "LP", _empty(ITEM)).when(close, F.concat(below, item)).when(it["kind"] == "RP", st["out"])
+               .otherwise(F.array_append(st["out"], it)))
+        return F.struct(stack.alias("stack"), out.alias("out"))
+    zero = F.struct(_empty(f"array<{ITEM}>").alias("stack"), _empty(ITEM).alias("out"))
+    return F.aggregate("parts", zero, step, lambda st: F.concat(F.flatten(st["stack"]), st["out"]))
 
 
 def structured(chunks: DataFrame) -> DataFrame:
@@ -218,16 +256,13 @@ def structured(chunks: DataFrame) -> DataFrame:
     is_src = lambda x: (x["kind"] == "ENT") & (x["cls"] == "voltage_source")
     d = staged(chunks, "source", F.get(F.filter("items", is_src), F.lit(0)))
     d = staged(d, "parts", F.filter("items", lambda x: ~is_src(x)))
+    parens = F.exists("parts", lambda x: x["kind"].isin("LP", "RP"))
+    d = staged(d, "parts", F.when(parens, grouped()).otherwise(C("parts")))
     d = staged(d, "clauses", clauses())
-    for make in (clause_facts, clause_operators, lambda c: F.struct(c["opener"].alias("op"), clause_tree(c).alias("node"))):
+    for make in _clause_steps():
         d = staged(d, "clauses", F.transform("clauses", make))
-
-    def fold(acc, c):
-        return F.when(acc.isNull(), c["node"]).otherwise(_joined(F.coalesce(c["op"], F.lit("S")), acc, c["node"]))
-    parens = F.exists("items", lambda x: x["kind"].isin("LP", "RP"))
-    whole = F.aggregate(F.filter("clauses", lambda c: c["node"].isNotNull()), _null(NODE), fold)
-    d = staged(d, "tree", F.when(~parens, whole))
-    error = F.when(parens, "parentheses are not supported").when(C("tree").isNull(), "no components found")
+    d = staged(d, "tree", _fold_clauses(C("clauses")))
+    error = F.when(C("tree").isNull(), "no components found")
     return staged(d.withColumn("error", error), "tree_text", F.when(C("tree").isNotNull(), _text(C("tree")))).drop("clauses")
 
 
