@@ -46,10 +46,11 @@ def threshold_matches(preds: DataFrame, gts: DataFrame, thresholds: list[float])
 
 def precision_curve(counts: DataFrame, gts: DataFrame) -> DataFrame:
     """Cumulative precision and recall in falling confidence, and the envelope of precision."""
+    counts = cut(counts)
     total = gts.groupBy("cls").agg(F.count("*").alias("n_gt"))
     fall = [C("conf").desc()]
     d = running(counts, ["cls", "thr"], F.floor((1 - C("conf")) * 1000), fall, {"cum_tp": "tp", "cum_n": "n"})
-    d = d.join(total, "cls").withColumns({"precision": C("cum_tp") / C("cum_n"), "recall": C("cum_tp") / C("n_gt")})
+    d = cut(d).join(total, "cls").withColumns({"precision": C("cum_tp") / C("cum_n"), "recall": C("cum_tp") / C("n_gt")})
     return later_max(d, ["cls", "thr"], fall, "precision", "envelope")
 
 
