@@ -9,10 +9,12 @@ _DIR_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach. The cluster names it in spark.checkpoint.dir;
-    a temporary folder is used only where that is unset (tests on one machine)."""
+    """Folder every executor can reach. The cluster names it in spark.checkpoint.dir. Where that is unset, a temporary
+    folder serves if driver and executors are one process (local mode: tests, bench); elsewhere it is an error."""
     found = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getConf().get(_DIR_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{_DIR_KEY} has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_DIR_KEY, found)
     return found
