@@ -4,8 +4,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, url_filter
-from .common import table
+from . import chat, decontamination, mixing, near_dedup, neighbours, pii, secret_scan, token_counts, toxicity, url_filter
+from .common import prefix_sums, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,71 @@ def query(f):
     return f
 
 
+def _n(spans: str, kind: int, name: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(name)
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_tokens(docs, "doc_id"))
+    d = secret_scan.scan(docs, model)
+    return d.select("doc_id", _n("base", 0, "n_assign"), _n("base", 1, "n_access"), _n("base", 2, "n_hex"),
+                    F.sha2(secret_scan.digest_text(F.col("base")), 256).alias("base_sha256"), secret_scan.digest_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = pii.find(docs, pii.train(docs, "doc_id"))
+    return d.select("doc_id", _n("base", 0, "n_email"), _n("base", 1, "n_ip"), _n("base", 2, "n_card"), _n("base", 3, "n_phone"),
+                    F.sha2(pii.digest_text(F.col("base")), 256).alias("base_sha256"), pii.digest_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after an edit of every document: runs of five digits and more are masked, as a redaction would."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs, gaps = F.regexp_extract_all("text", F.lit("[0-9]{5,}"), 0), F.split("text", "[0-9]{5,}")
+    d = token_counts.index(docs).withColumns({"_runs": F.coalesce(runs, F.array()), "_gaps": F.coalesce(gaps, F.array())})
+    d = d.withColumn("_steps", F.zip_with(F.slice("_gaps", 1, F.size("_runs")), "_runs", lambda g, r: (F.length(g) + F.length(r)).cast("bigint")))
+    d = d.withColumn("_at", prefix_sums(F.col("_steps")))
+    edits = F.transform("_runs", lambda r, i: F.struct(
+        (F.element_at("_at", i + 1) + F.length(F.element_at("_gaps", i + 1))).alias("start"),
+        (F.element_at("_at", i + 1) + F.length(F.element_at("_gaps", i + 1)) + F.length(r)).alias("end"), F.lit("#").alias("replacement")))
+    d = token_counts.update(d.withColumn("edits", edits), "edits")
+    return d.select("doc_id", "n_tokens", F.size("edits").cast("bigint").alias("n_edits"), "n_tokens_after", "n_encoded", F.size("tree.counts").cast("bigint").alias("n_leaves"))
+
+
+def held_out(key: str):
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    d = toxicity.score(docs, toxicity.train(docs, labels))
+    return d.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_tokens", "best_segment", "p_value")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item where the document holds a copy of the item."""
+    return decontamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(v, v.where(F.pmod("vec_id", F.lit(20)) == 0), 20)
+
+
+@query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2).drop("print")
+
+
 #: fixed by the contract of the query
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
