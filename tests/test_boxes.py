@@ -83,9 +83,37 @@ def test_crowding_grid_equals_direct(spark):
     c = [((b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for _, b in rows]
     near = [min(math.dist(p, q) for j, q in enumerate(c) if j != i) for i, p in enumerate(c)]
     want = sum(max(b[2] - b[0], b[3] - b[1]) / (m + 1e-9) for (_, b), m in zip(rows, near)) / len(rows)
-    for small in (64, 1000):
-        got = M.crowding(d, small).collect()[0].crowding
-        assert abs(got - want) / want < 1e-9
+    assert abs(M.crowding(d).collect()[0].crowding - want) / want < 1e-9
+
+
+def test_crowding_without_corners(spark):
+    """Boxes without corners don't count, in small images as in large ones."""
+    rows = [(1, k, float(10 * k), 0.0, float(10 * k + 5), 5.0) for k in range(70)] + [(1, 70, None, None, None, None), (2, 0, 0.0, 0.0, 5.0, 5.0), (2, 1, 10.0, 0.0, 15.0, 5.0), (2, 2, None, 0.0, 1.0, 1.0),
+            (3, 0, None, None, None, None), (4, 0, 0.0, 0.0, 1.0, 1.0), (5, 0, float("nan"), 0.0, 1.0, 1.0)]
+    got = {r.image_id: round(r.crowding, 6) for r in M.crowding(spark.createDataFrame(rows, "image_id long, idx long, x1 double, y1 double, x2 double, y2 double")).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.0, 4: 0.0, 5: 0.0}
+
+
+def test_low_threshold_and_far_sizes(spark):
+    a, b = random_boxes(60, 8, 150) + [("resistor", (-1e7, -1e7, 1e7, 1e7))], random_boxes(60, 9, 150) + [("resistor", (0, 0, 1e6, 1e6))]
+    want = {(i, j) for (i, (_, p)), (j, (_, q)) in itertools.product(enumerate(a), enumerate(b)) if py_iou(p, q) >= 0.3}
+    got = [(r.l_i, r.r_j) for r in M.close_pairs(frame(spark, a, "i"), frame(spark, b, "j"), ["image_id"], 0.3).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_chain_of_contested_edges(spark):
+    """Each edge waits for the one before it."""
+    d = spark.createDataFrame([(1, k // 2, (k + 1) // 2, k) for k in range(24)], "image_id long, l long, r long, w long")
+    got = {(x.l, x.r) for x in M.greedy_one_to_one(d, ["image_id"], "l", "r", [F.col("w")]).collect()}
+    assert got == {(k // 2, (k + 1) // 2) for k in range(0, 24, 2)}
+
+
+def test_confusion_cells_add_up(spark):
+    gt = frame(spark, [("resistor", (0, 0, 10, 10)), ("capacitor", (20, 0, 30, 10)), ("text", (40, 0, 50, 10))], "gt_idx")
+    pr = preds(spark, [("diode", (0, 0, 10, 10), .9), ("capacitor", (20, 0, 30, 10), .8), ("diode", (20, 0, 30, 11), .99), ("text", (80, 0, 90, 10), .7)])
+    rows = {r.predicted: r.asDict() for r in E.confusion_matrix(gt, pr).collect()}
+    cells = {(p, t): n for p, r in rows.items() for t, n in r.items() if t != "predicted" and n}
+    assert cells == {("diode", "resistor"): 1, ("capacitor", "capacitor"): 1, ("diode", "background"): 1, ("text", "background"): 1, ("background", "text"): 1}
 
 
 def test_value_labels(spark):

@@ -3,13 +3,12 @@
 Equivalence is a partition, so every circuit gets a class id once and comparing two circuits, or
 counting equal pairs in a group, is a comparison of ids. No pairs are formed."""
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.values import value_label
 from ..session import cut
 
 C = F.col
-ROUNDS = 4
 
 
 def _lanes(h: Column) -> list[Column]:
@@ -23,7 +22,8 @@ def _edges(elements: DataFrame, values: bool) -> DataFrame:
 
 
 def _colours(edges: DataFrame) -> DataFrame:
-    """Colour refinement: a net's colour hashes the labels, sides and neighbour colours around it."""
+    """Colour refinement: a net's colour hashes the labels, sides and neighbour colours around it. Rounds go on until the number of
+    colours stands still over all circuits, so the result is the coarsest stable colouring whatever the graphs are."""
     side = lambda k: F.when(C("polar"), F.lit(k)).otherwise(F.lit(2))
     ends = cut(edges.select("circuit_id", F.explode(F.array(
         F.struct(C("n1").alias("net"), C("n2").alias("other"), F.xxhash64("label", side(0)).alias("h")),
@@ -31,64 +31,82 @@ def _colours(edges: DataFrame) -> DataFrame:
         .select("circuit_id", "e.net", "e.other", "e.h"))
     fold = lambda d: d.groupBy("circuit_id", "net").agg(*_lanes(C("h"))).select(
         "circuit_id", "net", F.xxhash64("_lo", "_hi", "_n").alias("colour"))
-    col = fold(ends)
-    for k in range(ROUNDS):
+    col, before = cut(fold(ends)), -1
+    while True:
+        now = col.select("circuit_id", "colour").distinct().count()
+        if now == before:
+            return col
+        before = now
         near = ends.join(col.select("circuit_id", C("net").alias("other"), "colour"), ["circuit_id", "other"])
         new = fold(near.select("circuit_id", "net", F.xxhash64("h", "colour").alias("h")))
-        col = new.withColumnRenamed("colour", "c2").join(col, ["circuit_id", "net"]).select(
-            "circuit_id", "net", F.xxhash64("colour", "c2").alias("colour"))
-        if k % 2:
-            col = cut(col)
-    return col
+        col = cut(new.withColumnRenamed("colour", "c2").join(col, ["circuit_id", "net"]).select(
+            "circuit_id", "net", F.xxhash64("colour", "c2").alias("colour")))
 
 
 @F.pandas_udf(T.BooleanType())
 def same_graph(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact check of two small edge lists 'label<TAB>polar<TAB>net<TAB>net<TAB>colour<TAB>colour;...'."""
+    """Exact check of two edge lists, rows 'label<TAB>polar<TAB>net<TAB>net<TAB>colour<TAB>colour'."""
     return pd.Series([_isomorphic(x, y) for x, y in zip(a, b)])
 
 
+def _stable(edges: list, colour: dict) -> dict:
+    """Colour refinement of one graph; equal graphs get equal colours."""
+    at: dict = {n: [] for n in colour}
+    for lab, polar, u, v in edges:
+        at[u].append((lab, "a" if polar else "", v))
+        at[v].append((lab, "b" if polar else "", u))
+    while True:
+        new = {n: hash((colour[n], tuple(sorted((lab, s, colour[o]) for lab, s, o in at[n])))) for n in colour}
+        if len(set(new.values())) == len(set(colour.values())):
+            return new
+        colour = new
+
+
 def _isomorphic(a: str, b: str) -> bool:
-    import sys
+    """Individualise and refine: while nets are tied, one net of the smallest tied colour of the first graph is marked, and a net of that colour of the
+    second that leads to the same colours; only graphs that refinement confuses even then make it try another one."""
     from collections import Counter
 
     def read(text):
-        rows = [r.split("\t") for r in text.split("\n")]
-        colour = {}
-        for _, _, u, v, cu, cv in rows:
-            colour[u], colour[v] = cu, cv
-        return rows, colour
-
-    def keyed(rows, name):
-        return Counter((lab, tuple(x) if pol == "1" else tuple(sorted(x)))
-                       for lab, pol, u, v, *_ in rows for x in [(name(u), name(v))])
-    (ra, ca), (rb, cb) = read(a), read(b)
-    target = keyed(rb, lambda n: n)
-    members = {}
-    for n, c in cb.items():
-        members.setdefault(c, []).append(n)
-    order = sorted(ca, key=lambda n: (len(members.get(ca[n], ())), n))
-    rank = {n: i for i, n in enumerate(order)}
-    ready = [[] for _ in order]
-    for r in ra:
-        ready[max(rank[r[2]], rank[r[3]])].append(r)
-    image, taken = {}, set()
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(order) + 1000))
-
-    def place(i):
-        if i == len(order):
-            return keyed(ra, image.__getitem__) == target
-        for m in members.get(ca[order[i]], ()):
-            if m in taken:
-                continue
-            image[order[i]] = m
-            taken.add(m)
-            if all(target[k] >= c for k, c in keyed(ready[i], image.__getitem__).items()) and place(i + 1):
-                return True
-            taken.discard(m)
-            del image[order[i]]
+        edges, colour = [], {}
+        for r in text.split("\n"):
+            lab, polar, u, v, cu, cv = r.split("\t")
+            edges.append((lab, polar == "1", u, v))
+            colour[u], colour[v] = hash(cu), hash(cv)
+        return edges, colour
+
+    def named(edges, colour):
+        return Counter((lab, (colour[u], colour[v]) if polar else tuple(sorted((colour[u], colour[v])))) for lab, polar, u, v in edges)
+    (ea, ca), (eb, cb) = read(a), read(b)
+    # a stack of choices instead of recursion: colours of the first graph, and the colourings of the second still to try beside it
+    ca, cb = _stable(ea, ca), _stable(eb, cb)
+    if Counter(ca.values()) != Counter(cb.values()):
         return False
-    return len(ca) == len(cb) and place(0)
+    stack = [(ca, iter([cb]))]
+    while stack:
+        left, options = stack[-1]
+        right = next(options, None)
+        if right is None:
+            stack.pop()
+            continue
+        sizes = Counter(left.values())
+        tied = [(n, c) for c, n in sizes.items() if n > 1]
+        if not tied:
+            if named(ea, left) == named(eb, right):
+                return True
+            continue
+        _, c = min(tied)
+        pick = min(n for n, x in left.items() if x == c)
+        marked = _stable(ea, left | {pick: hash((c, "marked"))})
+        want = Counter(marked.values())
+
+        def tries(right=right, c=c, want=want):
+            for m in sorted(n for n, x in right.items() if x == c):
+                got = _stable(eb, right | {m: hash((c, "marked"))})
+                if Counter(got.values()) == want:
+                    yield got
+        stack.append((marked, tries()))
+    return False
 
 
 def classes(elements: DataFrame, circuits: DataFrame, values: bool = True) -> DataFrame:
@@ -110,10 +128,16 @@ def classes(elements: DataFrame, circuits: DataFrame, values: bool = True) -> Da
     by_net = per_colour.groupBy("circuit_id").agg(*_lanes(F.xxhash64("colour", "m")), F.max("m").alias("tied")).select(
         "circuit_id", F.concat_ws(":", "_lo", "_hi", "_n").alias("fn"), "tied")
     fp = cut(by_edge.join(by_net, "circuit_id").select("circuit_id", F.concat_ws("/", "fe", "fn").alias("fp"), (C("tied") > 1).alias("tied")))
-    # edge lists of circuits with tied nets, nets renamed by their position among (colour, name)
+    # edge lists of circuits with tied nets. Nets are renamed by their position among (colour, name), ends of unpolarised elements are ordered,
+    # so copies with other names mostly become the same list
     tied = fp.filter("tied").select("circuit_id", "fp")
-    row = F.concat_ws("\t", "label", F.when(C("polar"), "1").otherwise("0"), "n1", "n2", "c1", "c2")
-    lists = e.join(tied, "circuit_id").groupBy("circuit_id", "fp").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("edges"))
+    place = F.row_number().over(Window.partitionBy("circuit_id").orderBy("colour", "net")).cast("string")
+    at = lambda k: col.join(tied.select("circuit_id"), "circuit_id", "left_semi").select("circuit_id", C("net").alias("n" + k), place.alias("p" + k))
+    turned = ~C("polar") & (F.struct("c1", "p1") > F.struct("c2", "p2"))
+    one = lambda x: F.when(turned, C(x + "2")).otherwise(C(x + "1"))
+    two = lambda x: F.when(turned, C(x + "1")).otherwise(C(x + "2"))
+    row = F.concat_ws("\t", "label", F.when(C("polar"), "1").otherwise("0"), one("p"), two("p"), one("c"), two("c"))
+    lists = e.join(tied, "circuit_id").join(at("1"), ["circuit_id", "n1"]).join(at("2"), ["circuit_id", "n2"]).groupBy("circuit_id", "fp").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("edges"))
     lists = cut(lists)
     pending = cut(lists.select("fp", "edges").distinct())
     settled, k = None, 0

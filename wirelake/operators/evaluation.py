@@ -20,7 +20,7 @@ def by_subset(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    metrics = ["terminals_ok", "valid", "simulates", "topology_match", "exact_match"]
+    metrics = ["terminals_ok", "valid", "simulates", "topology_match", "exact_match", "op_match", "struct_match_vs_gt_boxes", "isomorphic_to_gt_boxes"]
     return by_subset(rows).groupBy("mode", "subset").agg(
         F.count("*").alias("images"), *[mean(m, 6).alias(m) for m in metrics], F.count("topology_match").alias("reference_rows"))
 

@@ -15,9 +15,9 @@ def quarter_turns(rows: DataFrame, feature: str, label: str, block: int) -> Data
     return d.withColumn(feature, turned).withColumn(label, F.pmod(C(label) + C("k"), F.lit(4))).drop("k")
 
 
-def orientation_accuracy(rows: DataFrame, classes: list[str], block: int = 16, reg: float = 0.01, iterations: int = 8) -> DataFrame:
+def orientation_accuracy(rows: DataFrame, classes: list[str], block: int = 16, reg: float = 0.01, iterations: int = 1000) -> DataFrame:
     """rows(cls, features ARRAY<DOUBLE>, label 0..3, is_test) -> per class the test accuracy on plain and
-    turned rows. One linear one-vs-rest model per class."""
+    turned rows. One linear one-vs-rest model per class, trained until the solver stands still (`iterations` is far beyond that)."""
     vec = lambda d: d.withColumn("x", array_to_vector("features")).withColumn("y", C("label").cast("double"))
     out = None
     for cls in classes:

@@ -2,7 +2,7 @@
 
 Boxes meet through grid cells: the join key is (image, cell), so a photo with very many boxes is
 spread over its cells and no image is compared all against all."""
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import boxes as B
 from ..functions.values import drawn_value
@@ -34,8 +34,9 @@ def close_pairs(left: DataFrame, right: DataFrame, group: list[str], min_iou: fl
 
     At such an overlap the centre of one box lies in the other and their longer sides differ by at
     most a factor 2. So a left box needs one cell (its centre, at its size level) and a right box
-    the few cells it covers at the one or two levels a partner can have."""
-    assert min_iou >= 0.5
+    the few cells it covers at the one or two levels a partner can have. Lower thresholds go through overlapping_pairs."""
+    if min_iou < 0.5:
+        return overlapping_pairs(left, right, group, min_iou)
     sound = (C("x2") > C("x1")) & (C("y2") > C("y1"))
     side = B.longer_side(*B.corners())
     cx, cy = B.centre(*B.corners())
@@ -49,37 +50,60 @@ def close_pairs(left: DataFrame, right: DataFrame, group: list[str], min_iou: fl
     return d.withColumn("iou", B.iou(B.corners("l_"), B.corners("r_"))).filter(C("iou") >= min_iou)
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, group: list[str], cell: float = 64.0) -> DataFrame:
-    """All pairs with any overlap. Both boxes are spread over the cells they cover; a pair counts only
-    in the cell that holds the low corner of its intersection, so it appears once."""
+def _known_levels(*dfs: DataFrame) -> list[int]:
+    """Size levels that occur: a few tens at most, one for each factor of four in size."""
+    d = dfs[0]
+    for o in dfs[1:]:
+        d = d.unionByName(o)
+    return sorted(r[0] for r in d.distinct().filter("_lv IS NOT NULL").collect())
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, group: list[str], min_iou: float = 0.0) -> DataFrame:
+    """All pairs with an IoU above 0 and of at least min_iou, columns prefixed l_ and r_.
+
+    Boxes meet at the size level of the larger one: every box is spread over the cells it covers (four at most) at its own
+    level and at the higher levels that occur. A pair counts only in the cell that holds the low corner of its intersection,
+    so it appears once. The output is all such pairs: in a dense photo give a min_iou."""
     sound = (C("x2") > C("x1")) & (C("y2") > C("y1"))
+    side = B.longer_side(*B.corners())
+    a, b = (d.filter(sound).withColumn("_own", _level(side)) for d in (left, right))
+    levels = _known_levels(a.select(C("_own").alias("_lv")), b.select(C("_own").alias("_lv")))
+    all_levels = F.array(*[F.lit(n) for n in levels]).cast("array<int>")
 
     def spread(df):
-        s = F.lit(cell)
-        return df.filter(sound).withColumn("_gx", F.explode(_cells(C("x1"), C("x2"), s))) \
-                 .withColumn("_gy", F.explode(_cells(C("y1"), C("y2"), s)))
-    keys = [*group, "_gx", "_gy"]
-    d = _renamed(spread(left), "l_", keys).join(_renamed(spread(right), "r_", keys), keys)
-    home = (F.floor(F.greatest("l_x1", "r_x1") / cell) == C("_gx")) & (F.floor(F.greatest("l_y1", "r_y1") / cell) == C("_gy"))
-    d = d.filter(home).drop("_gx", "_gy").withColumn("iou", B.iou(B.corners("l_"), B.corners("r_")))
-    return d.filter(C("iou") > 0)
+        d = df.withColumn("_lv", F.explode(F.filter(all_levels, lambda n: n >= C("_own"))))
+        return d.withColumn("_gx", F.explode(_cells(C("x1"), C("x2"), _cell_size(C("_lv"))))) \
+                .withColumn("_gy", F.explode(_cells(C("y1"), C("y2"), _cell_size(C("_lv")))))
+    keys = [*group, "_lv", "_gx", "_gy"]
+    d = _renamed(spread(a), "l_", keys).join(_renamed(spread(b), "r_", keys), keys)
+    d = d.filter(C("_lv") == F.greatest("l__own", "r__own"))
+    size = _cell_size(C("_lv"))
+    home = (F.floor(F.greatest("l_x1", "r_x1") / size) == C("_gx")) & (F.floor(F.greatest("l_y1", "r_y1") / size) == C("_gy"))
+    d = d.filter(home).drop("_lv", "_gx", "_gy", "l__own", "r__own").withColumn("iou", B.iou(B.corners("l_"), B.corners("r_")))
+    return d.filter((C("iou") > 0) & (C("iou") >= min_iou))
 
 
 def greedy_one_to_one(edges: DataFrame, group: list[str], left: str, right: str, order: list[Column]) -> DataFrame:
-    """Edges a sequential greedy pass in `order` would accept, each end used once.
-
-    An edge that comes first at both of its ends is accepted whatever happens elsewhere, so every
-    round accepts all such edges and drops their neighbours; `order` must be free of ties."""
-    e = cut(edges.withColumn("_o", F.struct(*order)).select(*group, left, right, "_o"))
-    taken = None
-    while not e.isEmpty():
-        first = lambda end, other: e.groupBy(*group, end).agg(F.min(F.struct("_o", other)).alias("m")) \
-            .select(*group, end, C("m." + other).alias(other))
-        won = cut(first(left, right).join(first(right, left), [*group, left, right]))
-        taken = won if taken is None else taken.unionByName(won)
-        e = cut(e.join(won.select(*group, left), [*group, left], "left_anti")
-                 .join(won.select(*group, right), [*group, right], "left_anti"))
-    return e.select(*group, left, right) if taken is None else taken
+    """Edges a sequential greedy pass in `order` would accept, each end used once; `order` must be free of ties.
+
+    An edge that comes first at both of its ends is accepted whatever happens elsewhere, so every round accepts all such edges
+    and drops their neighbours. Edges that stand alone at both ends are accepted before the first round and never written;
+    a round is one window pass over the contested edges and one written table."""
+    first = lambda end: F.min("_o").over(Window.partitionBy(*group, end))
+    alone = lambda end: F.count("*").over(Window.partitionBy(*group, end)) == 1
+    e = edges.withColumn("_o", F.struct(*order)).select(*group, left, right, "_o")
+    e = cut(e.withColumn("_alone", alone(left) & alone(right)))
+    taken = e.filter("_alone").select(*group, left, right)
+    e = e.filter("NOT _alone").drop("_alone")
+    while True:
+        won = (C("_o") == first(left)) & (C("_o") == first(right))
+        e = e.withColumn("_won", won)
+        gone = lambda end: F.max("_won").over(Window.partitionBy(*group, end))
+        e = cut(e.withColumn("_gone", gone(left) | gone(right)).filter("_won OR NOT _gone").select(*group, left, right, "_o", "_won"))
+        taken = taken.unionByName(e.filter("_won").select(*group, left, right))
+        e = e.filter("NOT _won").drop("_won")
+        if e.isEmpty():
+            return taken
 
 
 def _gt_pairs(preds: DataFrame, gts: DataFrame, thr: float) -> DataFrame:
@@ -131,14 +155,17 @@ def double_labels(parts: DataFrame, idx: str, min_iou: float = 0.7) -> DataFrame
     return d.filter((C(f"l_{idx}") < C(f"r_{idx}")) & (C("l_cls") != C("r_cls")) & (C("iou") > min_iou))
 
 
-def contained(items: DataFrame, boxes: DataFrame, key: list[str], cell: float = 64.0) -> DataFrame:
-    """Items that lie wholly inside one box of their image."""
-    s = F.lit(cell)
-    a = items.withColumns({"_gx": F.floor(C("x1") / s), "_gy": F.floor(C("y1") / s)})
-    b = boxes.select("image_id", *[C(k).alias("b" + k) for k in BOX]) \
-             .withColumn("_gx", F.explode(_cells(C("bx1"), C("bx2"), s))).withColumn("_gy", F.explode(_cells(C("by1"), C("by2"), s)))
+def contained(items: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
+    """Items that lie wholly inside one box of their image. A box is spread over its cells at its own size level, four at most; the low corner
+    of an item has one cell at every level that occurs."""
+    b = boxes.filter("x2 >= x1 AND y2 >= y1").withColumn("_lv", _level(B.longer_side(*B.corners())))
+    levels = F.array(*[F.lit(n) for n in _known_levels(b.select("_lv"))]).cast("array<int>")
+    size = _cell_size(C("_lv"))
+    a = items.withColumn("_lv", F.explode(levels)).withColumns({"_gx": F.floor(C("x1") / size), "_gy": F.floor(C("y1") / size)})
+    b = b.select("image_id", "_lv", *[C(k).alias("b" + k) for k in BOX]) \
+         .withColumn("_gx", F.explode(_cells(C("bx1"), C("bx2"), size))).withColumn("_gy", F.explode(_cells(C("by1"), C("by2"), size)))
     inside = (C("bx1") <= C("x1")) & (C("by1") <= C("y1")) & (C("x2") <= C("bx2")) & (C("y2") <= C("by2"))
-    return a.join(b, ["image_id", "_gx", "_gy"]).filter(inside).select("image_id", *key).distinct()
+    return a.join(b, ["image_id", "_lv", "_gx", "_gy"]).filter(inside).select("image_id", *key).distinct()
 
 
 def wire_fragments(frags: DataFrame, symbols: DataFrame, key: list[str], reach: float, min_area: float) -> DataFrame:
@@ -151,7 +178,6 @@ def wire_fragments(frags: DataFrame, symbols: DataFrame, key: list[str], reach:
 
 # ---- value labels ----
 BASE_LIMIT = 150.0
-TOP_LEVEL = 5
 
 
 def label_candidates(elements: DataFrame, labels: DataFrame, max_dist: float | None = None) -> DataFrame:
@@ -161,15 +187,15 @@ def label_candidates(elements: DataFrame, labels: DataFrame, max_dist: float | N
     lab = labels.withColumn("v", v).filter("v.value IS NOT NULL").select(
         "image_id", C("idx").alias("label_idx"), *[e.alias(n) for e, n in zip(B.centre(*B.corners()), ("tx", "ty"))],
         C("v.value").alias("value"), C("v.cls").alias("unit_cls"))
-    lab = lab.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL))))
-    size = lambda: F.pow(F.lit(4.0), C("_lv")) * (2 * BASE_LIMIT)
-    lab = lab.withColumns({"_gx": F.floor(C("tx") / size()), "_gy": F.floor(C("ty") / size())})
+    size = F.pow(F.lit(4.0), C("_lv")) * (2 * BASE_LIMIT)
     limit = F.lit(float(max_dist)) if max_dist else F.greatest(F.lit(BASE_LIMIT), 1.5 * B.longer_side(*B.corners()))
     cx, cy = B.centre(*B.corners())
     el = elements.select("image_id", C("idx").alias("element_idx"), "cls", cx.alias("cx"), cy.alias("cy"), limit.alias("reach"))
-    el = el.withColumn("_lv", F.least(F.lit(TOP_LEVEL), F.ceil(F.log(4.0, F.greatest(C("reach") / BASE_LIMIT, F.lit(1.0)))).cast("int")))
-    el = el.withColumn("_gx", F.explode(_cells(C("cx") - C("reach"), C("cx") + C("reach"), size()))) \
-           .withColumn("_gy", F.explode(_cells(C("cy") - C("reach"), C("cy") + C("reach"), size())))
+    el = el.filter("cx IS NOT NULL AND cy IS NOT NULL AND reach IS NOT NULL").withColumn("_lv", F.ceil(F.log(4.0, F.greatest(C("reach") / BASE_LIMIT, F.lit(1.0)))).cast("int"))
+    levels = F.array(*[F.lit(n) for n in _known_levels(el.select("_lv"))]).cast("array<int>")
+    lab = lab.withColumn("_lv", F.explode(levels)).withColumns({"_gx": F.floor(C("tx") / size), "_gy": F.floor(C("ty") / size)})
+    el = el.withColumn("_gx", F.explode(_cells(C("cx") - C("reach"), C("cx") + C("reach"), size))) \
+           .withColumn("_gy", F.explode(_cells(C("cy") - C("reach"), C("cy") + C("reach"), size)))
     d = el.join(lab, ["image_id", "_lv", "_gx", "_gy"])
     dx, dy = C("cx") - C("tx"), C("cy") - C("ty")
     d = d.withColumn("dist", F.sqrt(dx * dx + dy * dy))
@@ -187,17 +213,6 @@ def attach_values(objects: DataFrame, max_dist: float | None = None) -> DataFram
 
 
 # ---- crowding ----
-SMALL_IMAGE = 64
-
-
-def _nearest_small(pts: DataFrame) -> DataFrame:
-    """Nearest other centre in images of at most SMALL_IMAGE boxes: a bounded self join."""
-    o = pts.select("image_id", C("idx").alias("j"), C("cx").alias("ox"), C("cy").alias("oy"))
-    dx, dy = C("cx") - C("ox"), C("cy") - C("oy")
-    return pts.join(o, "image_id").filter("idx <> j").groupBy("image_id", "idx").agg(
-        F.min(F.sqrt(dx * dx + dy * dy)).alias("d"))
-
-
 def _nearest_grid(pts: DataFrame, first_cell: float = 32.0) -> DataFrame:
     """Nearest other centre through rising cell sizes. A centre looks at its 3 x 3 cells; a hit within
     one cell length is final, the others look again in cells four times as large. Centres still open
@@ -215,22 +230,23 @@ def _nearest_grid(pts: DataFrame, first_cell: float = 32.0) -> DataFrame:
         dx, dy = C("cx") - C("ox"), C("cy") - C("oy")
         hit = q.join(o, ["image_id", "_gx", "_gy"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter("d > 0") \
                .groupBy("image_id", "cx", "cy").agg(F.min("d").alias("d")).filter(C("d") <= size)
-        hit = cut(hit)
-        found = found.unionByName(hit)
-        open_ = cut(open_.join(hit, ["image_id", "cx", "cy"], "left_anti"))
+        # one table a round: what was found, and what is still open (d is null)
+        both = cut(open_.join(hit, ["image_id", "cx", "cy"], "left"))
+        found = found.unionByName(both.filter("d IS NOT NULL"))
+        open_ = both.filter("d IS NULL").drop("d")
         if open_.isEmpty():
             return pts.join(found, ["image_id", "cx", "cy"]).select("image_id", "idx", "d")
         size *= 4
 
 
-def crowding(boxes: DataFrame, small: int = SMALL_IMAGE) -> DataFrame:
-    """Per image the mean of longer side / distance to the nearest other centre; 0 below two boxes."""
+def crowding(boxes: DataFrame) -> DataFrame:
+    """Per image the mean of longer side / distance to the nearest other centre; 0 below two boxes. Boxes without four finite corners
+    don't count, but their image has a row."""
     cx, cy = B.centre(*B.corners())
-    n = boxes.groupBy("image_id").agg(F.count("*").alias("n"))
-    pts = boxes.select("image_id", "idx", cx.alias("cx"), cy.alias("cy"), B.longer_side(*B.corners()).alias("side")).join(n, "image_id")
-    near = _nearest_small(pts.filter(C("n").between(2, small)))
-    hot = cut(pts.filter(C("n") > small))
-    if not hot.isEmpty():
-        near = near.unionByName(_nearest_grid(hot.filter("n > 1")))
-    d = pts.join(near, ["image_id", "idx"], "left")
-    return d.groupBy("image_id").agg(F.coalesce(F.avg(C("side") / (C("d") + 1e-9)), F.lit(0.0)).alias("crowding"))
+    pts = boxes.select("image_id", "idx", cx.alias("cx"), cy.alias("cy"), B.longer_side(*B.corners()).alias("side"))
+    finite = lambda c: C(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    pts = cut(pts.withColumn("ok", finite("cx") & finite("cy") & finite("side")))
+    n = pts.filter("ok").groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1")
+    near = _nearest_grid(pts.filter("ok").join(n, "image_id", "left_semi"))
+    d = pts.filter("ok").join(near, ["image_id", "idx"]).groupBy("image_id").agg(F.avg(C("side") / (C("d") + 1e-9)).alias("crowding"))
+    return pts.select("image_id").distinct().join(d, "image_id", "left").select("image_id", F.coalesce("crowding", F.lit(0.0)).alias("crowding"))

@@ -21,15 +21,23 @@ def image_scores(preds: DataFrame, gts: DataFrame, outcomes: DataFrame) -> DataF
     return d.withColumn("fn", C("gt") - C("tp"))
 
 
-def confusion_matrix(gts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Predicted class x true class counts, with 'background' for whatever has no partner."""
-    true = F.when(C("kind") == "tp", C("cls")).otherwise(F.coalesce("confused_with", F.lit("background")))
-    hit = outcomes.select(C("cls").alias("predicted"), true.alias("true"))
-    lost = M.missed(gts, outcomes).select(F.lit("background").alias("predicted"), C("cls").alias("true"))
-    d = hit.unionByName(lost).groupBy("predicted", "true").agg(F.count("*").alias("n"))
+def confusion_matrix(gts: DataFrame, preds: DataFrame, thr: float = 0.5) -> DataFrame:
+    """Predicted class x true class counts. Objects and predictions are matched one to one whatever their classes, highest IoU first, so each of
+    them is in one cell; 'background' stands for whatever has no partner."""
+    won = M.greedy_one_to_one(M._gt_pairs(preds, gts, thr), ["image_id"], "pred_idx", "gt_idx",
+                              [(-C("iou")).alias("a"), (-C("conf")).alias("b"), C("pred_idx").alias("c"), C("gt_idx").alias("d")])
+    p = preds.select("image_id", "pred_idx", C("cls").alias("predicted")).join(won, ["image_id", "pred_idx"], "left")
+    d = p.join(gts.select("image_id", "gt_idx", C("cls").alias("true")), ["image_id", "gt_idx"], "full_outer")
+    d = d.select(F.coalesce("predicted", F.lit("background")).alias("predicted"), F.coalesce("true", F.lit("background")).alias("true"))
+    d = d.groupBy("predicted", "true").agg(F.count("*").alias("n"))
     return d.groupBy("predicted").pivot("true", [*CLASSES, "background"]).agg(F.sum("n")).fillna(0)
 
 
+def with_mean(scores: DataFrame) -> DataFrame:
+    """Scores per class and their means over the classes."""
+    return scores.unionByName(scores.agg(F.lit("all classes").alias("cls"), *[F.avg(c).alias(c) for c in scores.columns if c != "cls"]))
+
+
 def threshold_matches(preds: DataFrame, gts: DataFrame, thresholds: list[float]) -> DataFrame:
     """Counts of true positives and predictions per (class, threshold, confidence). Rows of equal
     confidence enter the curve together, so its shape does not depend on their order."""

@@ -37,7 +37,7 @@ def elements(lines: DataFrame) -> DataFrame:
     p = F.split(_stripped(), U + r"\s+")
     at = lambda k: F.get("p", F.lit(k))
     d = lines.withColumn("p", p).filter(at(0).rlike(ELEMENT) & (F.size("p") >= 3))
-    rest = F.slice("p", 4, 1_000_000)
+    rest = F.slice("p", F.lit(4), F.size("p"))
     d = d.select("circuit_id", "line_no", F.upper(at(0)).alias("ref"), F.upper(F.substring(at(0), 1, 1)).alias("prefix"),
                  at(1).alias("n1"), at(2).alias("n2"), F.when(F.size(rest) > 0, F.array_join(rest, " ")).alias("rest"))
     v = V.netlist_number(C("rest"))
@@ -173,10 +173,11 @@ def element_voltages(elements_: DataFrame, op: DataFrame) -> DataFrame:
 
 
 def voltages_match(pairs: DataFrame, volts: DataFrame, rel: float = 1e-3, tol: float = 1e-6) -> DataFrame:
-    """pairs(circuit_id, ref_id) -> op_match: equal labels, equally many values, all within tolerance."""
-    a = pairs.join(volts, "circuit_id").select("circuit_id", "label", C("volts").alias("a"))
-    b = pairs.join(volts.select(C("circuit_id").alias("ref_id"), "label", C("volts").alias("b")), "ref_id").select("circuit_id", "label", "b")
+    """pairs(circuit_id, ref_id) -> op_match: equal labels, equally many values, all within tolerance. A circuit may have several references."""
+    keys = ["circuit_id", "ref_id"]
+    a = pairs.join(volts, "circuit_id").select(*keys, "label", C("volts").alias("a"))
+    b = pairs.join(volts.select(C("circuit_id").alias("ref_id"), "label", C("volts").alias("b")), "ref_id").select(*keys, "label", "b")
     near = F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y) <= tol + rel * F.greatest(F.abs(x), F.abs(y))), lambda x: x)
     ok = C("a").isNotNull() & C("b").isNotNull() & (F.size("a") == F.size("b")) & near
-    d = a.join(b, ["circuit_id", "label"], "full_outer").groupBy("circuit_id").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
-    return pairs.join(d, "circuit_id", "left").select("circuit_id", "ref_id", F.coalesce("ok", F.lit(False)).alias("op_match"))
+    d = a.join(b, [*keys, "label"], "full_outer").groupBy(*keys).agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
+    return pairs.join(d, keys, "left").select(*keys, F.coalesce("ok", F.lit(False)).alias("op_match"))

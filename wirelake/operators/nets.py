@@ -148,7 +148,7 @@ def warnings(comps: DataFrame, detections: DataFrame, doubles: DataFrame, low: f
     ground = comps.select("image_id", "rule").distinct().filter(C("rule").startswith("implicit")).select(
         "image_id", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("ord"),
         F.concat(F.lit("No ground symbol: ground was chosen automatically ("), "rule", F.lit(").")).alias("text"))
-    twice = doubles.select("image_id", F.lit(3).alias("kind"), (C("l_det_idx") * 1000 + C("r_det_idx")).alias("ord"), F.concat(
+    twice = doubles.select("image_id", F.lit(3).alias("kind"), (C("l_det_idx") * 2 ** 31 + C("r_det_idx")).cast("long").alias("ord"), F.concat(
         F.lit("One symbol was detected as both "), "l_cls", F.format_string(" (%.2f) and ", "l_conf"), "r_cls", F.format_string(" (%.2f)", "r_conf"),
         F.lit("; one of them is wrong, so the netlist has an extra part.")).alias("text"))
     weak = detections.filter((C("conf") < low) & ~C("cls").isin("junction", "crossover", "text")).select("image_id").distinct().select(

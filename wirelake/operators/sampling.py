@@ -1,7 +1,7 @@
 """Seeded, stratified sampling."""
 from pyspark.sql import DataFrame, functions as F
 
-from .audit import first_k
+from ..session import cut
 
 C = F.col
 
@@ -10,18 +10,16 @@ def stratified_sample(images: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows of images(image_id, split, classes ARRAY<STRING>, priority BOOLEAN): priority rows up to
     n // 4, two per split, every class (rare first) up to n // classes, then any row; no row twice.
 
-    Spark reduces the table to the 2n lowest hashes of each stratum; only those few rows reach the
-    driver, which settles the quotas. The result is the matching rows of the input."""
+    Every stratum is reduced to its 2n lowest hashes by a top-k that each task applies to its own rows, so the stratum of
+    all rows is no single task. Only these 2n rows of each stratum reach the driver, which settles the quotas in order."""
     d = images.withColumn("h", F.xxhash64("image_id", F.lit(seed)))
     strata = F.flatten(F.array(
         F.array(F.lit("any")), F.when(C("priority"), F.array(F.lit("priority"))).otherwise(F.array().cast("array<string>")),
         F.array(F.concat(F.lit("split:"), "split")), F.transform("classes", lambda c: F.concat(F.lit("class:"), c))))
-    long = d.select("image_id", "split", "classes", "h", F.explode(strata).alias("stratum"))
-    class_size = {r["stratum"]: r["count"] for r in long.filter(C("stratum").startswith("class:")).groupBy("stratum").count().collect()}
-    pool = first_k(long, ["stratum"], [C("h"), C("image_id")], 2 * n).orderBy("stratum", "rn").collect()
-    by: dict[str, list] = {}
-    for r in pool:
-        by.setdefault(r["stratum"], []).append(r)
+    long = cut(d.select("image_id", "split", "classes", "h", F.explode(strata).alias("stratum")))
+    size = {r["stratum"]: r["count"] for r in long.groupBy("stratum").count().collect()}
+    class_size = {k: v for k, v in size.items() if k.startswith("class:")}
+    by = {k: long.filter(C("stratum") == k).orderBy("h", "image_id").limit(2 * n).collect() for k in size}
     chosen: dict = {}
 
     def take(stratum, k):
@@ -35,4 +33,5 @@ def stratified_sample(images: DataFrame, n: int, seed: int = 0) -> DataFrame:
     for s in sorted(class_size, key=lambda k: (class_size[k], k)):
         take(s, per_class - sum(s[6:] in r["classes"] for r in chosen.values()))
     take("any", n - len(chosen))
-    return images.filter(C("image_id").isin(*list(chosen)[:n]))
+    picked = images.sparkSession.createDataFrame([(i,) for i in list(chosen)[:n]], images.select("image_id").schema)
+    return images.join(F.broadcast(picked), "image_id", "left_semi")  # n rows

@@ -180,7 +180,7 @@ SELECT image_id, CASE WHEN len(nets) = 2 THEN 1 ELSE 0 END AS kind, det_idx AS o
 WHEN value IS NULL AND cls <> 'diode' THEN concat(ref, ': no value label was read; the default ', {DEFAULT_SQL}, ' was used.')
 WHEN value IS NOT NULL THEN concat(ref, ' = ', value, ': read from a handwritten label by OCR; check it against the drawing (e.g. a ''+'' is easily read as ''4'').') END AS text FROM traced
 UNION ALL SELECT image_id, 2, 0, concat('No ground symbol: ground was chosen automatically (', rule, ').') FROM traced WHERE rule LIKE 'implicit%' GROUP BY image_id, rule
-UNION ALL SELECT p.image_id, 3, p.det_idx * 1000 + g.det_idx, format('One symbol was detected as both {{}} ({{:.2f}}) and {{}} ({{:.2f}}); one of them is wrong, so the netlist has an extra part.', p.cls, p.conf, g.cls, g.conf)
+UNION ALL SELECT p.image_id, 3, p.det_idx * 2147483648 + g.det_idx, format('One symbol was detected as both {{}} ({{:.2f}}) and {{}} ({{:.2f}}); one of them is wrong, so the netlist has an extra part.', p.cls, p.conf, g.cls, g.conf)
  FROM fx_det p JOIN fx_det g ON p.image_id = g.image_id AND p.det_idx < g.det_idx AND p.cls <> g.cls WHERE p.cls NOT IN ('junction','crossover','text') AND g.cls NOT IN ('junction','crossover','text') AND {IOU_SQL} > 0.7
 UNION ALL SELECT image_id, 4, 0, 'Some parts were detected with confidence below 0.5; check them on the overlay.' FROM fx_det WHERE conf < 0.5 AND cls NOT IN ('junction','crossover','text') GROUP BY image_id) WHERE text IS NOT NULL""")
 def str19(spark, sf):
@@ -302,16 +302,16 @@ def volts(spark, sf):
     return N.element_voltages(parsed_elements(spark, sf), view(spark, sf, "fx_op"))
 
 
-@query("j11_element_voltages", f"WITH {VOLT_SQL} SELECT circuit_id, len(volts) AS n, round(list_sum(volts), 6) AS total, round(volts[1], 6) AS lowest FROM lists")
+@query("j11_element_voltages", f"WITH {VOLT_SQL} SELECT circuit_id, round(volts[pos], 6) AS volt, pos FROM (SELECT *, unnest(range(1, len(volts) + 1)) AS pos FROM lists)")
 def j11(spark, sf):
-    total = F.aggregate("volts", F.lit(0.0), lambda s, x: s + x)
-    return volts(spark, sf).select("circuit_id", F.size("volts").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(F.get("volts", F.lit(0)), 6).alias("lowest"))
+    d = volts(spark, sf).select("circuit_id", "label", F.posexplode("volts").alias("p", "volt"))
+    return d.select("circuit_id", F.round("volt", 6).alias("volt"), (C("p") + 1).cast("long").alias("pos"))
 
 
-OP_SQL = f"""{VOLT_SQL}, opm AS (SELECT p.circuit_id, p.ref_id, coalesce(bool_and(x.ok), FALSE) AS op_match FROM fx_pair p LEFT JOIN (SELECT coalesce(a.pid, b.pid) AS pid, coalesce(len(a.volts) = len(b.volts)
+OP_SQL = f"""{VOLT_SQL}, opm AS (SELECT p.circuit_id, p.ref_id, coalesce(bool_and(x.ok), FALSE) AS op_match FROM fx_pair p LEFT JOIN (SELECT coalesce(a.pid, b.pid) AS pid, coalesce(a.rid, b.rid) AS rid, coalesce(len(a.volts) = len(b.volts)
 AND len(list_filter(list_zip(a.volts, b.volts), lambda z: abs(z[1] - z[2]) > 1e-6 + 1e-3 * greatest(abs(z[1]), abs(z[2])))) = 0, FALSE) AS ok
-FROM (SELECT p.circuit_id AS pid, label, volts FROM fx_pair p JOIN lists l ON l.circuit_id = p.circuit_id) a FULL OUTER JOIN (SELECT p.circuit_id AS pid, label, volts FROM fx_pair p JOIN lists l ON l.circuit_id = p.ref_id) b
-ON a.pid = b.pid AND a.label = b.label) x ON x.pid = p.circuit_id GROUP BY 1, 2)"""
+FROM (SELECT p.circuit_id AS pid, p.ref_id AS rid, label, volts FROM fx_pair p JOIN lists l ON l.circuit_id = p.circuit_id) a FULL OUTER JOIN (SELECT p.circuit_id AS pid, p.ref_id AS rid, label, volts FROM fx_pair p JOIN lists l ON l.circuit_id = p.ref_id) b
+ON a.pid = b.pid AND a.rid = b.rid AND a.label = b.label) x ON x.pid = p.circuit_id AND x.rid = p.ref_id GROUP BY 1, 2)"""
 
 
 @query("j12_voltages_match", f"WITH {OP_SQL} SELECT circuit_id, ref_id, CAST(op_match AS INTEGER) AS op_match FROM opm")
@@ -408,7 +408,7 @@ def a19(spark, sf):
 SUBSET_SQL = "sub AS (SELECT 'all' AS subset, * FROM fx_eval UNION ALL SELECT 'in_scope_only', * FROM fx_eval WHERE in_scope = 1)"
 
 
-@query("a20_mode_subset_summary", f"WITH {SUBSET_SQL} SELECT mode, subset, count(*) AS images, round(avg(terminals_ok), 6) AS terminals_ok, round(avg(valid), 6) AS valid, round(avg(simulates), 6) AS simulates, round(avg(topology_match), 6) AS topology_match, round(avg(exact_match), 6) AS exact_match, count(topology_match) AS reference_rows FROM sub GROUP BY 1, 2")
+@query("a20_mode_subset_summary", f"WITH {SUBSET_SQL} SELECT mode, subset, count(*) AS images, round(avg(terminals_ok), 6) AS terminals_ok, round(avg(valid), 6) AS valid, round(avg(simulates), 6) AS simulates, round(avg(topology_match), 6) AS topology_match, round(avg(exact_match), 6) AS exact_match, round(avg(op_match), 6) AS op_match, round(avg(struct_match_vs_gt_boxes), 6) AS struct_match_vs_gt_boxes, round(avg(isomorphic_to_gt_boxes), 6) AS isomorphic_to_gt_boxes, count(topology_match) AS reference_rows FROM sub GROUP BY 1, 2")
 def a20(spark, sf):
     return E.summary(view(spark, sf, "fx_eval"))
 

@@ -41,6 +41,11 @@ SCORES_SQL = f"""{MATCH_SQL}, {CROWD_SQL}, scores AS (SELECT coalesce(g.image_id
  count(*) FILTER (confused_with IS NOT NULL AND (cls = 'text' OR confused_with = 'text')) AS txt FROM outc GROUP BY 1) p ON p.image_id = g.image_id LEFT JOIN crowd c ON c.image_id = g.image_id)"""
 
 
+def shown_crowding(digits: int):
+    """Coincident centres give numbers of ten digits and more: these are shown in millions."""
+    return F.when(C("crowding") < 1e6, F.round("crowding", digits)).otherwise(F.round(C("crowding") / 1e6) * 1e6)
+
+
 def gp(spark, sf):
     return view(spark, sf, "fx_gt"), view(spark, sf, "fx_pred")
 
@@ -90,10 +95,10 @@ def j6(spark, sf):
     return M.attach_values(d).select("image_id", "element_idx", "label_idx", "value")
 
 
-@query("j7_crowding", f"WITH {CROWD_SQL} SELECT image_id, CASE WHEN crowding < 1e6 THEN round(crowding, 6) END AS crowding FROM crowd")
+@query("j7_crowding", f"WITH {CROWD_SQL} SELECT image_id, CASE WHEN crowding < 1e6 THEN round(crowding, 6) ELSE round(crowding / 1e6) * 1e6 END AS crowding FROM crowd")
 def j7(spark, sf):
     d = M.crowding(view(spark, sf, "fx_gt").withColumn("idx", C("gt_idx")))
-    return d.withColumn("crowding", F.when(C("crowding") < 1e6, F.round("crowding", 6)))
+    return d.withColumn("crowding", shown_crowding(6))
 
 
 @query("j8_double_labels", f"""SELECT p.image_id, p.pred_idx AS a_idx, g.pred_idx AS b_idx, p.cls AS a_cls, g.cls AS b_cls FROM fx_pred p JOIN fx_pred g ON p.image_id = g.image_id AND p.pred_idx < g.pred_idx AND p.cls <> g.cls
@@ -120,11 +125,17 @@ def j13(spark, sf):
     return M.wire_fragments(f, view(spark, sf, "fx_gt").filter("cls <> 'junction'"), ["det_idx"], 40.0, 40.0).select("image_id", "det_idx")
 
 
-@query("a16_image_scores", f"WITH RECURSIVE {SCORES_SQL} SELECT image_id, gt, tp, fp, fn, misclassified, text_confusion, CASE WHEN crowding < 1e6 THEN round(crowding, 3) END AS crowding FROM scores")
+@query("a16_image_scores", f"WITH RECURSIVE {SCORES_SQL} SELECT image_id, gt, tp, fp, fn, misclassified, text_confusion, CASE WHEN crowding < 1e6 THEN round(crowding, 3) ELSE round(crowding / 1e6) * 1e6 END AS crowding FROM scores")
 def a16(spark, sf):
     gt, pred = gp(spark, sf)
     d = E.image_scores(pred, gt, cut(M.match_predictions(pred, gt)))
-    return d.withColumn("crowding", F.when(C("crowding") < 1e6, F.round("crowding", 3)))  # coincident centres: NULL
+    return d.withColumn("crowding", shown_crowding(3))
+
+
+@query("a16_totals", f"WITH RECURSIVE {SCORES_SQL} SELECT CAST(sum(gt) AS BIGINT) AS gt, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM scores")
+def a16c(spark, sf):
+    gt, pred = gp(spark, sf)
+    return E.image_scores(pred, gt, cut(M.match_predictions(pred, gt))).agg(*[F.sum(c).alias(c) for c in ("gt", "tp", "fp", "fn")])
 
 
 @query("a16_confusion_pairs", f"WITH RECURSIVE {MATCH_SQL} SELECT confused_with AS true_cls, cls AS pred_cls, count(*) AS n FROM outc WHERE confused_with IS NOT NULL GROUP BY 1, 2")
@@ -135,12 +146,16 @@ def a16b(spark, sf):
 _BG = ["resistor", "capacitor", "inductor", "voltage_source", "diode", "gnd", "junction", "crossover", "text", "background"]
 
 
-@query("a17_confusion_matrix", f"""WITH RECURSIVE {MATCH_SQL}, cells AS (SELECT cls AS predicted, CASE WHEN kind = 'tp' THEN cls ELSE coalesce(confused_with, 'background') END AS t FROM outc
+_ANY_PAIR = f"pairs AS MATERIALIZED (SELECT * FROM ({PAIRS}) WHERE iou >= 0.5), " + greedy_sql("SELECT * FROM pairs", "image_id", "pred_idx", "gt_idx", "iou DESC, conf DESC, pred_idx, gt_idx")
+
+
+@query("a17_confusion_matrix", f"""WITH RECURSIVE {_ANY_PAIR}, cells AS (SELECT p.cls AS predicted, coalesce(g.cls, 'background') AS t FROM fx_pred p LEFT JOIN won w ON w.image_id = p.image_id AND w.pred_idx = p.pred_idx
+LEFT JOIN fx_gt g ON g.image_id = w.image_id AND g.gt_idx = w.gt_idx
 UNION ALL SELECT 'background', g.cls FROM fx_gt g WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.image_id = g.image_id AND w.gt_idx = g.gt_idx))
 SELECT predicted, {', '.join(f"count(*) FILTER (t = '{c}') AS {c}" for c in _BG)} FROM cells GROUP BY predicted""")
 def a17(spark, sf):
     gt, pred = gp(spark, sf)
-    return E.confusion_matrix(gt, cut(M.match_predictions(pred, gt)))
+    return E.confusion_matrix(gt, pred)
 
 
 THR = [round(0.5 + 0.05 * k, 2) for k in range(10)]
@@ -151,30 +166,31 @@ curve AS MATERIALIZED (SELECT *, cum_tp / cum_n AS prec, cum_tp / n_gt AS rec, m
  SELECT cls, thr, conf, sum(tp) OVER w AS cum_tp, sum(n) OVER w AS cum_n, n_gt FROM cnt JOIN (SELECT cls, count(*) AS n_gt FROM fx_gt GROUP BY cls) g USING (cls) WINDOW w AS (PARTITION BY cls, thr ORDER BY conf DESC)))"""
 
 
-@query("win4_precision_curve", f"WITH RECURSIVE {CURVE_SQL} SELECT cls, conf, CAST(cum_tp AS BIGINT) AS cum_tp, CAST(cum_n AS BIGINT) AS cum_n, round(prec, 6) AS prec, round(rec, 6) AS rec, round(envelope, 6) AS envelope FROM curve WHERE thr = 0.5")
+@query("win4_precision_curve", f"WITH RECURSIVE {CURVE_SQL} SELECT cls, thr, conf, CAST(cum_tp AS BIGINT) AS cum_tp, CAST(cum_n AS BIGINT) AS cum_n, round(prec, 6) AS prec, round(rec, 6) AS rec, round(envelope, 6) AS envelope FROM curve")
 def win4(spark, sf):
     gt, pred = gp(spark, sf)
-    d = E.precision_curve(E.threshold_matches(pred, gt, [0.5]), gt)
-    return d.select("cls", "conf", "cum_tp", "cum_n", F.round("precision", 6).alias("prec"), F.round("recall", 6).alias("rec"), F.round("envelope", 6).alias("envelope"))
+    d = E.precision_curve(E.threshold_matches(pred, gt, THR), gt)
+    return d.select("cls", "thr", "conf", "cum_tp", "cum_n", F.round("precision", 6).alias("prec"), F.round("recall", 6).alias("rec"), F.round("envelope", 6).alias("envelope"))
 
 
 @query("a18_average_precision", f"""WITH RECURSIVE {CURVE_SQL}, pts AS (SELECT cls, thr, r, coalesce(max(prec) FILTER (rec * 100 + 1e-9 >= r), 0) AS p FROM curve, range(101) q(r) GROUP BY 1, 2, 3),
-ap AS (SELECT cls, thr, sum(p) / 101 AS ap FROM pts GROUP BY 1, 2)
-SELECT cls, round(ap50, 6) AS ap50, round(ap50_95, 6) AS ap50_95, round(prec, 6) AS prec, round(rec, 6) AS rec FROM (SELECT cls, max(ap) FILTER (thr = 0.5) AS ap50, avg(ap) AS ap50_95 FROM ap GROUP BY cls)
-JOIN (SELECT cls, arg_min(prec, conf) AS prec, arg_min(rec, conf) AS rec FROM curve WHERE thr = 0.5 AND conf >= 0.25 GROUP BY cls) USING (cls)""")
+ap AS (SELECT cls, thr, sum(p) / 101 AS ap FROM pts GROUP BY 1, 2),
+per AS (SELECT * FROM (SELECT cls, max(ap) FILTER (thr = 0.5) AS ap50, avg(ap) AS ap50_95 FROM ap GROUP BY cls)
+JOIN (SELECT cls, arg_min(prec, conf) AS prec, arg_min(rec, conf) AS rec FROM curve WHERE thr = 0.5 AND conf >= 0.25 GROUP BY cls) USING (cls))
+SELECT cls, round(ap50, 6) AS ap50, round(ap50_95, 6) AS ap50_95, round(prec, 6) AS prec, round(rec, 6) AS rec FROM (SELECT cls, ap50, ap50_95, prec, rec FROM per UNION ALL SELECT 'all classes', avg(ap50), avg(ap50_95), avg(prec), avg(rec) FROM per)""")
 def a18(spark, sf):
     gt, pred = gp(spark, sf)
-    d = E.average_precision(E.threshold_matches(pred, gt, THR), gt)
+    d = E.with_mean(E.average_precision(E.threshold_matches(pred, gt, THR), gt))
     return d.select("cls", *[F.round(a, 6).alias(b) for a, b in (("ap50", "ap50"), ("ap50_95", "ap50_95"), ("precision", "prec"), ("recall", "rec"))])
 
 
 _KIND_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, image_id, {v} AS key FROM scores WHERE {p}" for k, (p, v) in E.KINDS.items())
 
 
-@query("win5_failure_examples", f"WITH RECURSIVE {SCORES_SQL} SELECT kind, CAST(rn AS INTEGER) AS rn, image_id, round(key, 3) AS key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(key, 3) DESC, image_id) AS rn FROM ({_KIND_SQL})) WHERE rn <= 6")
+@query("win5_failure_examples", f"WITH RECURSIVE {SCORES_SQL} SELECT kind, CAST(rn AS INTEGER) AS rn, image_id, CASE WHEN key < 1e6 THEN round(key, 3) ELSE round(key / 1e6) * 1e6 END AS key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN key < 1e6 THEN round(key, 3) ELSE round(key / 1e6) * 1e6 END DESC, image_id) AS rn FROM ({_KIND_SQL})) WHERE rn <= 6")
 def win5(spark, sf):
     gt, pred = gp(spark, sf)
-    s = E.image_scores(pred, gt, cut(M.match_predictions(pred, gt))).withColumn("crowding", F.round("crowding", 3))
+    s = E.image_scores(pred, gt, cut(M.match_predictions(pred, gt))).withColumn("crowding", shown_crowding(3))
     return E.failure_examples(s).select("kind", "rn", "image_id", F.round("key", 3).alias("key"))
 
 
@@ -196,13 +212,11 @@ def a30(spark, sf):
 
 
 @query("srt3_parts_by_confidence", """SELECT image_id, pred_idx, row_number() OVER (PARTITION BY image_id ORDER BY conf, pred_idx) AS pos,
-format('  {:<15} confidence {:.2f}{}', cls, CASE WHEN CAST(round_even(conf * 1000, 0) AS BIGINT) % 10 = 5 THEN CAST(floor(conf * 100) AS DOUBLE) / 100 ELSE conf END, CASE WHEN conf < 0.5 THEN '  <- uncertain' ELSE '' END) AS line
-FROM fx_pred WHERE cls NOT IN ('junction','crossover','text')""")
+format('  {:<15} confidence {:.2f}{}', cls, conf, CASE WHEN conf < 0.5 THEN '  <- uncertain' ELSE '' END) AS line
+FROM (SELECT * REPLACE (conf + 0.0001 AS conf) FROM fx_pred) WHERE cls NOT IN ('junction','crossover','text')""")
 def srt3(spark, sf):
     from ..operators.ranking import numbered
-    d = view(spark, sf, "fx_pred").filter(~C("cls").isin("junction", "crossover", "text"))
+    d = view(spark, sf, "fx_pred").filter(~C("cls").isin("junction", "crossover", "text")).withColumn("conf", C("conf") + 0.0001)  # no exact halves of a hundredth
     d = numbered(d, ["image_id"], ["conf", "pred_idx"], "pos", F.floor(C("conf") * 100))
-    tenths = F.round(C("conf") * 1000).cast("long")     # confidences have three digits; halves of a hundredth are shown rounded down
-    shown = F.when(tenths % 10 == 5, (tenths - 5) / 1000).otherwise(C("conf"))
-    line = F.concat(F.format_string("  %-15s confidence %.2f", C("cls"), shown), F.when(C("conf") < 0.5, "  <- uncertain").otherwise(""))
+    line = F.concat(F.format_string("  %-15s confidence %.2f", C("cls"), C("conf")), F.when(C("conf") < 0.5, "  <- uncertain").otherwise(""))
     return d.select("image_id", "pred_idx", "pos", line.alias("line"))

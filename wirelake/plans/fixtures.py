@@ -41,6 +41,12 @@ SELECT o_orderkey AS photo_id, concat('drafter_', CAST(o_custkey % 31 - 1 AS STR
               CAST(o_orderkey AS STRING)) AS stem,
        o_orderstatus <> 'P' AS has_image, o_orderpriority <> '1-URGENT' AS has_xml FROM orders"""
 
+# Photos on their way into the training set: annotation faults and image headers.
+VIEWS["fx_conv"] = """
+SELECT photo_id AS image_id, drafter, stem, has_image, has_xml, photo_id % 37 = 0 AS broken, photo_id % 43 = 0 AS sizeless,
+       CASE WHEN photo_id % 3 = 0 THEN 380 ELSE 280 END AS raw_w, CASE WHEN photo_id % 3 = 0 THEN 280 ELSE 380 END AS raw_h,
+       CAST(1 + photo_id % 8 AS INT) AS exif, photo_id % 17 <> 0 AS readable FROM fx_photo"""
+
 VIEWS["fx_hdr"] = """
 SELECT page_id AS image_id, 600 + CAST(page_id % 5 AS INT) * 100 AS raw_w, 600 + CAST(page_id % 3 AS INT) * 100 AS raw_h,
        CAST(1 + page_id % 8 AS INT) AS exif, page_id % 17 <> 0 AS readable,
@@ -114,6 +120,8 @@ SELECT circuit_id AS image_id, mode, CASE WHEN s % 4 = 0 THEN 1 ELSE 0 END AS in
        CASE s % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'none' ELSE 'implicit: most connected net' END AS ground,
        CASE WHEN (s + k) % 3 = 0 THEN NULL WHEN s % 2 = 0 THEN concat('node ', CAST(s % 17 AS STRING), ' is floating (1 connection)')
             WHEN s % 5 = 0 THEN 'no ground node (0)' ELSE concat('duplicate reference R', CAST(s % 9 AS STRING)) END AS first_error,
+       CASE WHEN s % 6 = 0 OR s % 5 = 0 THEN NULL WHEN (s + k) % 9 = 0 THEN 1 ELSE 0 END AS op_match,
+       CASE WHEN k = 0 THEN NULL WHEN s % 11 < 8 THEN 1 ELSE 0 END AS struct_match_vs_gt_boxes, CASE WHEN k = 0 THEN NULL WHEN s % 11 < 5 THEN 1 ELSE 0 END AS isomorphic_to_gt_boxes,
        CASE WHEN s % 6 = 0 THEN NULL WHEN (s + k) % 4 = 0 THEN 1 ELSE 0 END AS topology_match, CASE WHEN s % 6 = 0 THEN NULL WHEN (s + k) % 8 = 0 THEN 1 ELSE 0 END AS exact_match
 FROM c, m"""
 

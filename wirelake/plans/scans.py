@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B, symbols as S, wording as T
-from ..operators import audit as A
+from ..operators import audit as A, conversion as V
 from ..operators.sampling import stratified_sample
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources import annotations as X, artefacts as J, inventory as I
 from ..vocabulary import CLASSES
 from .fixtures import view
@@ -31,6 +31,22 @@ def split_images(spark, sf):
     return view(spark, sf, "fx_photo").select(C("photo_id").alias("image_id"), S.split_of(C("drafter"), VAL, TEST).alias("split"))
 
 
+def converted(spark, sf):
+    """Outcome of every annotated photo, and the objects of those whose boxes are looked at."""
+    docs = xml_docs(spark, sf).withColumn("xml", F.when(C("image_id") % 43 == 0, F.regexp_replace("xml", "<width>[0-9]+", "<width>0")).otherwise(C("xml")))
+    parsed = cut(X.parse(docs))
+    photos = view(spark, sf, "fx_conv")
+    out = cut(V.outcomes(photos.select("image_id", "drafter", "stem", "has_image", "has_xml"), parsed, photos.select("image_id", "raw_w", "raw_h", "exif", "readable")))
+    reached = out.filter(C("outcome").isin(*V.REACHED)).select("image_id", "outcome")
+    return out, X.objects(parsed, ["image_id"]).join(reached, "image_id")
+
+
+def kept_images(out):
+    return out.filter("outcome = 'converted'").select("image_id", S.split_of(C("drafter"), VAL, TEST).alias("split"))
+
+
+CONV = """conv AS (SELECT *, CASE WHEN NOT has_image THEN 'missing_image' WHEN broken OR image_id NOT IN (SELECT image_id FROM fx_obj) THEN 'xml_parse_error' WHEN sizeless THEN 'missing_size' WHEN exif <> 1 AND NOT readable THEN 'unreadable_image' ELSE 'converted' END AS outcome FROM fx_conv WHERE has_xml)"""
+
 GOOD = "SELECT * FROM fx_obj WHERE image_id % 37 <> 0"
 
 
@@ -95,21 +111,29 @@ def src8(spark, sf):
     return spark.read.option("header", True).schema("image STRING, mode STRING, elements STRING, struct_match STRING").csv(path)
 
 
-@query("src9_label_documents", f"""SELECT photo_id AS image_id, {SPLIT_SQL} AS split, obj_idx, line FROM fx_photo LEFT JOIN (
-SELECT image_id, obj_idx, printf('%d %.6f %.6f %.6f %.6f', cls_id, (cx1 + cx2) / 2 / w, (cy1 + cy2) / 2 / h, (cx2 - cx1) / w, (cy2 - cy1) / h) AS line
-FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok) ON image_id = photo_id""")
+@query("src9_label_documents", f"""WITH {CONV} SELECT conv.image_id, {SPLIT_SQL} AS split, line FROM conv LEFT JOIN (
+SELECT image_id, printf('%d %.6f %.6f %.6f %.6f', cls_id, (cx1 + cx2) / 2 / w, (cy1 + cy2) / 2 / h, (cx2 - cx1) / w, (cy2 - cy1) / h) AS line
+FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok) l ON l.image_id = conv.image_id WHERE outcome = 'converted'""")
 def src9(spark, sf):
-    return A.label_lines(view(spark, sf, "fx_obj"), split_images(spark, sf)).select("image_id", "split", "obj_idx", "line")
+    """Label lines of the converted photos, written below a folder for each split and read back; the photo leads the line, so that a corpus
+    makes a few large files. A photo without objects has one empty line."""
+    out, objects = converted(spark, sf)
+    path = scratch_path(spark, "labels")
+    lines = A.label_lines(objects, kept_images(out))
+    J.write_lines(lines.withColumn("line", F.concat(C("image_id").cast("string"), F.lit("\t"), F.coalesce("line", F.lit("")))), path, ["split"], ["image_id", "obj_idx"])
+    p = F.split("value", "\t")
+    return spark.read.schema("value string, split string").text(path).select(p[0].cast("long").alias("image_id"), "split", F.when(p[1] != "", p[1]).alias("line"))
 
 
-_SPLITS = f"""SELECT split, count(DISTINCT photo_id) AS images, count(cls) AS objects FROM (
-SELECT photo_id, {SPLIT_SQL} AS split, cls FROM fx_photo LEFT JOIN (SELECT image_id, cls FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok AND image_id % 37 <> 0) ON image_id = photo_id) GROUP BY split"""
+_SPLITS = f"""WITH {CONV} SELECT split, count(DISTINCT image_id) AS images, count(cls) AS objects FROM (
+SELECT conv.image_id, {SPLIT_SQL} AS split, cls FROM conv LEFT JOIN (SELECT image_id, cls FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok) l ON l.image_id = conv.image_id WHERE outcome = 'converted') GROUP BY split"""
 
 
 @query("src11_json_summary", f"""SELECT concat('{{"images":', sum(images)::BIGINT, ',"objects":', sum(objects)::BIGINT, ',"splits":{{',
 string_agg(concat('"', split, '":', objects), ',' ORDER BY split), '}}}}') AS summary FROM ({_SPLITS})""")
 def src11(spark, sf):
-    d = A.split_counts(parsed_objects(spark, sf), split_images(spark, sf))
+    out, objects = converted(spark, sf)
+    d = A.split_counts(objects, kept_images(out))
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "objects"))))
     return d.agg(F.to_json(F.struct(F.sum("images").alias("images"), F.sum("objects").alias("objects"), entries.alias("splits"))).alias("summary"))
 
@@ -118,7 +142,8 @@ def src11(spark, sf):
 UNION ALL SELECT 2 + row_number() OVER (ORDER BY split), format('| {{}} | {{}} | {{}} |', split, images, objects) FROM ({_SPLITS}))""")
 def src12(spark, sf):
     from ..operators.reports import markdown_table
-    d = A.split_counts(parsed_objects(spark, sf), split_images(spark, sf)).select("split", "images", "objects")
+    out, objects = converted(spark, sf)
+    d = A.split_counts(objects, kept_images(out)).select("split", "images", "objects")
     return markdown_table(d, ["split", "images", "objects"], order="split")
 
 
@@ -153,28 +178,26 @@ def src16(spark, sf):
 _CLS_COLS = ", ".join(f"count(cls) FILTER (cls = '{c}') AS {c}" for c in CLASSES)
 
 
-@query("a1_split_class_counts", f"""SELECT split, count(DISTINCT photo_id) AS images, count(cls) AS objects, {_CLS_COLS} FROM (
-SELECT photo_id, {SPLIT_SQL} AS split, cls FROM fx_photo LEFT JOIN (SELECT image_id, cls FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok AND image_id % 37 <> 0) ON image_id = photo_id) GROUP BY split""")
+@query("a1_split_class_counts", f"""WITH {CONV} SELECT split, count(DISTINCT image_id) AS images, count(cls) AS objects, {_CLS_COLS} FROM (
+SELECT conv.image_id, {SPLIT_SQL} AS split, cls FROM conv LEFT JOIN (SELECT image_id, cls FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok) l ON l.image_id = conv.image_id WHERE outcome = 'converted') GROUP BY split""")
 def a1(spark, sf):
-    return A.split_counts(parsed_objects(spark, sf), split_images(spark, sf))
+    out, objects = converted(spark, sf)
+    return A.split_counts(objects, kept_images(out))
 
 
-@query("a2_problem_counts", f"""SELECT problem, count(*) AS n FROM (
-SELECT CASE WHEN NOT ok THEN 'boxes_dropped' WHEN cx1 <> x1 OR cx2 <> x2 OR cy1 <> y1 OR cy2 <> y2 THEN 'boxes_clipped' END AS problem FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE image_id % 37 <> 0
-UNION ALL SELECT DISTINCT ON (image_id) 'xml_parse_error' FROM fx_obj WHERE image_id % 37 = 0
-UNION ALL SELECT 'missing_image' FROM fx_photo WHERE has_xml AND NOT has_image
+@query("a2_problem_counts", f"""WITH {CONV} SELECT problem, count(*) AS n FROM (
+SELECT CASE WHEN NOT ok THEN 'boxes_dropped' WHEN cx1 <> x1 OR cx2 <> x2 OR cy1 <> y1 OR cy2 <> y2 THEN 'boxes_clipped' END AS problem FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE image_id IN (SELECT image_id FROM conv WHERE outcome IN ('converted', 'unreadable_image'))
+UNION ALL SELECT outcome FROM conv WHERE outcome <> 'converted'
 UNION ALL SELECT CASE WHEN NOT readable THEN 'exif_frame_unreadable' WHEN exif = 1 THEN NULL WHEN sw = w AND sh = h AND raw_w = w AND raw_h = h THEN 'exif_frame_ambiguous'
   WHEN raw_w = w AND raw_h = h THEN 'exif_frame_raw' WHEN sw = w AND sh = h THEN 'exif_frame_displayed' ELSE 'exif_frame_mismatch' END FROM (SELECT *, CASE WHEN exif IN (5,6,7,8) THEN raw_h ELSE raw_w END AS sw, CASE WHEN exif IN (5,6,7,8) THEN raw_w ELSE raw_h END AS sh FROM fx_hdr)
 UNION ALL SELECT CASE WHEN readable AND NOT (sw = w AND sh = h) AND NOT (raw_w = w AND raw_h = h) THEN 'xml_size_placeholder' END FROM (SELECT *, CASE WHEN exif IN (5,6,7,8) THEN raw_h ELSE raw_w END AS sw, CASE WHEN exif IN (5,6,7,8) THEN raw_w ELSE raw_h END AS sh FROM fx_hdr)
 ) WHERE problem IS NOT NULL GROUP BY problem""")
 def a2(spark, sf):
-    parsed = X.parse(xml_docs(spark, sf))
+    out, objects = converted(spark, sf)
     hdr = view(spark, sf, "fx_hdr")
     cols = [C(k) for k in ("raw_w", "raw_h", "exif", "readable", "w", "h")]
     frame = S.frame_class(*cols)
-    parts = [A.counted(A.clipped(X.objects(parsed, ["image_id"])), C("box_problem")),
-             A.counted(parsed, F.when(C("parse_error"), "xml_parse_error")),
-             A.counted(view(spark, sf, "fx_photo"), F.when(C("has_xml") & ~C("has_image"), "missing_image")),
+    parts = [A.counted(A.clipped(objects), C("box_problem")), A.counted(out, F.when(C("outcome") != "converted", C("outcome"))),
              A.counted(hdr, F.when(frame != "upright", F.concat(F.lit("exif_frame_"), frame)),
                        F.when(S.repaired_size(*cols)["placeholder"], "xml_size_placeholder"))]
     out = parts[0]
@@ -183,16 +206,19 @@ def a2(spark, sf):
     return out
 
 
-@query("a3_ignored_labels", f"SELECT label, count(*) AS n FROM {MAPPED} WHERE cls IS NULL GROUP BY label")
+@query("a3_ignored_labels", f"WITH {CONV} SELECT label, count(*) AS n FROM {MAPPED} WHERE cls IS NULL AND image_id IN (SELECT image_id FROM conv WHERE outcome IN ('converted', 'unreadable_image')) GROUP BY label")
 def a3(spark, sf):
-    d = view(spark, sf, "fx_obj").filter(S.canonical_class(C("label")).isNull())
-    return A.histogram(d, "label").orderBy(C("n").desc(), "label")
+    _, objects = converted(spark, sf)
+    return A.histogram(objects.filter(S.canonical_class(C("label")).isNull()), "label").orderBy(C("n").desc(), "label")
 
 
-@query("a4_failure_list", """SELECT concat(drafter, '/', stem, '.xml: no image') AS failure FROM fx_photo WHERE has_xml AND NOT has_image ORDER BY 1 LIMIT 200""")
+@query("a4_failure_list", f"""WITH {CONV} SELECT concat(drafter, '/', stem, CASE outcome WHEN 'missing_image' THEN '.xml: no image' WHEN 'xml_parse_error' THEN '.xml: parse error' WHEN 'missing_size' THEN '.xml: size 0x280'
+ELSE ': EXIF frame ambiguous' END) AS failure FROM conv WHERE outcome IN ('missing_image', 'xml_parse_error', 'missing_size')
+UNION ALL SELECT concat(drafter, '/', stem, ': EXIF frame ', frame) FROM (SELECT *, CASE WHEN sw = 380 AND sh = 280 AND raw_w = 380 AND raw_h = 280 THEN 'ambiguous' WHEN raw_w = 380 AND raw_h = 280 THEN 'raw'
+WHEN sw = 380 AND sh = 280 THEN 'displayed' ELSE 'mismatch' END AS frame FROM (SELECT *, CASE WHEN exif IN (5,6,7,8) THEN raw_h ELSE raw_w END AS sw, CASE WHEN exif IN (5,6,7,8) THEN raw_w ELSE raw_h END AS sh
+FROM conv WHERE outcome = 'converted' AND exif <> 1)) WHERE frame IN ('ambiguous', 'mismatch')""")
 def a4(spark, sf):
-    d = view(spark, sf, "fx_photo").filter("has_xml AND NOT has_image")
-    return d.select(F.concat("drafter", F.lit("/"), "stem", F.lit(".xml: no image")).alias("failure")).orderBy("failure").limit(200)
+    return V.failures(converted(spark, sf)[0])
 
 
 _STATE = """SELECT drafter, stem, CASE WHEN has_xml AND has_image THEN 'paired' WHEN has_xml THEN 'xml_without_image' ELSE 'image_without_xml' END AS state

@@ -132,19 +132,26 @@ step AS (SELECT a.tag AS prev, b.tag, ln((coalesce(n, 0) + 0.1) / (coalesce(tota
 start AS (SELECT tag, ln((count(g.id) + 0.1) / ((SELECT count(*) FROM fx_sent) + 1.1)) AS lp FROM tags LEFT JOIN (SELECT * FROM gold WHERE pos = 0) g ON g.gold = tag GROUP BY tag)"""
 
 
-@query("a33_sequence_model", f"WITH {MODEL_SQL} SELECT 'start' AS part, '' AS prev, tag, '' AS word, round(lp, 6) AS lp FROM start UNION ALL SELECT 'step', prev, tag, '', round(lp, 6) FROM step UNION ALL SELECT 'emit', '', tag, word, round(lp, 6) FROM emit")
+MODEL_TABLES = f"WITH {MODEL_SQL} SELECT 'start' AS part, '' AS prev, tag, '' AS word, round(lp, 6) AS lp FROM start UNION ALL SELECT 'step', prev, tag, '', round(lp, 6) FROM step UNION ALL SELECT 'emit', '', tag, word, round(lp, 6) FROM emit"
+
+
+@query("a33_sequence_model", MODEL_TABLES)
 def a33(spark, sf):
-    m = trained(spark, sf)
+    return model_tables(trained(spark, sf))
+
+
+def model_tables(m):
     e = F.lit("")
     cols = lambda part, prev, word: [F.lit(part).alias("part"), prev.alias("prev"), C("tag"), word.alias("word"), F.round("lp", 6).alias("lp")]
     return m.start.select(*cols("start", e, e)).unionByName(m.step.select(*cols("step", C("prev"), e))).unionByName(m.emit.select(*cols("emit", e, C("word"))))
 
 
-@query("src17_model_round_trip", f"WITH {MODEL_SQL} SELECT tag, word, round(lp, 6) AS lp FROM emit")
+@query("src17_model_round_trip", MODEL_TABLES)
 def src17(spark, sf):
+    """Written, read back, all three tables."""
     path = scratch_path(spark, "model")
     trained(spark, sf).save(path)
-    return G.Model.load(spark, path).emit.select("tag", "word", F.round("lp", 6).alias("lp"))
+    return model_tables(G.Model.load(spark, path))
 
 
 @query("win6_tag_bigrams", f"WITH {MODEL_SQL} SELECT prev, tag, n FROM bi")
@@ -228,10 +235,11 @@ def overlap(g):
     return G.component_counts(P.tree_leaves(g), P.tree_leaves(wrong_trees(g)), ["cls", "value"])
 
 
-@query("a26_component_scores", f"WITH {PLEAVES} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(sum(tp) / sum(tp + fp), 6) AS precision, round(sum(tp) / sum(tp + fn), 6) AS recall FROM cmp")
+@query("a26_component_scores", f"WITH {PLEAVES} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(sum(tp) / sum(tp + fp), 6) AS precision, round(sum(tp) / sum(tp + fn), 6) AS recall, round(2 * sum(tp) / sum(2 * tp + fp + fn), 6) AS f1 FROM cmp")
 def a26(spark, sf):
     d = overlap(cut(gold_trees(spark, sf))).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return d.select("tp", "fp", "fn", F.round(F.try_divide(C("tp"), C("tp") + C("fp")), 6).alias("precision"), F.round(F.try_divide(C("tp"), C("tp") + C("fn")), 6).alias("recall"))
+    return d.select("tp", "fp", "fn", F.round(F.try_divide(C("tp"), C("tp") + C("fp")), 6).alias("precision"), F.round(F.try_divide(C("tp"), C("tp") + C("fn")), 6).alias("recall"),
+                    F.round(F.try_divide(2 * C("tp"), 2 * C("tp") + C("fp") + C("fn")), 6).alias("f1"))
 
 
 @query("set1_multiset_operations", f"WITH {PLEAVES} SELECT 'both' AS side, id, cls, value FROM (SELECT * FROM g INTERSECT ALL SELECT * FROM p) UNION ALL SELECT 'gold_only', id, cls, value FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM p) UNION ALL SELECT 'pred_only', id, cls, value FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM g)")
@@ -280,18 +288,3 @@ def str22(spark, sf):
     s = view(spark, sf, "fx_sent")
     odd = s.withColumn("text", F.when(C("id") % 9 == 0, " ").when(C("id") % 10 == 0, "a and a").otherwise(C("text")))
     return P.report(P.described(odd, trained(spark, sf)))
-
-
-@query("a36_generated_set_scores")
-def a36(spark, sf):
-    """Tagger trained on generated sentences, scored on others in phrasings it never saw."""
-    from ..operators.generators import sentences as generate
-    ids = table(spark, sf, "part").select(C("p_partkey").alias("id"))
-    model = G.fit(cut(generate(ids, seed=0)), dropout=0.05)
-    test = cut(generate(ids, seed=2, held_out=True))
-    got = P.structured(P.chunked(G.tag(test.select("id", "words"), model))).select(
-        "id", C("tags").alias("pred"), C("tree_text").alias("got_tree"), C("source.value").alias("got_source"))
-    d = cut(test.withColumnRenamed("tags", "gold").join(got, "id"))
-    acc = G.token_pairs(d).agg(F.avg((C("gold") == C("pred")).cast("int")).alias("token_accuracy")).withColumn("k", F.lit(1))
-    ok = F.coalesce((C("got_tree") == C("tree")) & C("got_source").eqNullSafe(C("source")), F.lit(False))
-    return d.agg(F.count("*").alias("sentences"), F.avg(ok.cast("int")).alias("exact_circuit")).withColumn("k", F.lit(1)).join(acc, "k").drop("k")

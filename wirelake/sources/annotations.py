@@ -19,9 +19,10 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds the parsed document as `doc`; a malformed text keeps its row with `parse_error` set."""
+    """Adds the parsed document as `doc`; a malformed text, or one with an object without four corners in numbers, keeps its row with `parse_error` set."""
     d = docs.withColumn("doc", F.from_xml(F.col(xml), ANNOTATION, OPTIONS)).drop(xml)
-    bad = F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull()
+    lame = lambda o: F.greatest(*[o["bndbox"][k].try_cast("double").isNull() for k in ("xmin", "ymin", "xmax", "ymax")])
+    bad = F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull() | F.coalesce(F.exists("doc.object", lame), F.lit(False))
     return d.withColumn("parse_error", bad)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.audit import clipped, signed_diff
 from ..session import scratch_path
+from ..sources.annotations import objects, parse
 
 C = F.col
 
@@ -25,14 +26,32 @@ def incremental_counts(objects: DataFrame, images: DataFrame, out: str, checkpoi
 
 
 def drift_guard(rows: DataFrame, approved: DataFrame, key: str, out: str, checkpoint: str) -> None:
-    """Stream of label rows; every batch is compared with the approved rows of the same keys."""
+    """Stream of label rows. Each batch is kept under out/seen; all rows seen so far of its keys are compared with the approved rows of these keys, so a
+    key whose rows arrive in several batches is judged anew on all of them. drift() reads the newest judgement of every key. Files are
+    named by the batch, so a batch that runs again after a failure replaces its own."""
     def check(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/seen/epoch={epoch}")
+        seen = spark.read.schema(batch.schema).parquet(*[f"{out}/seen/epoch={e}" for e in range(epoch + 1)])
         keys = batch.select(key).distinct()
-        diff = signed_diff(batch, approved.join(keys, key, "left_semi"))
-        diff.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        diff = signed_diff(seen.join(keys, key, "left_semi"), approved.join(keys, key, "left_semi"))
+        keys.write.mode("overwrite").parquet(f"{out}/keys/epoch={epoch}")
+        diff.write.mode("overwrite").parquet(f"{out}/drift/epoch={epoch}")
     _drain(rows, "append", check, checkpoint)
 
 
+def drift(spark: SparkSession, key: str, out: str) -> DataFrame:
+    """Signed differences of every key by the last batch that held rows of it."""
+    last = spark.read.parquet(f"{out}/keys").groupBy(key).agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{out}/drift").join(last, [key, "epoch"]).drop("epoch")
+
+
+def annotation_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Annotation texts (image_id, xml) of a folder as a stream of object rows, parsed as they arrive; unreadable texts give none."""
+    docs = spark.readStream.schema("image_id long, xml string").parquet(folder)
+    return objects(parse(docs), ["image_id"])
+
+
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A folder's files of one table as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
