@@ -58,5 +58,12 @@ def prefix_sums(lengths: Column, block: int = 256) -> Column:
                   F.flatten(F.transform(scan(sums, F.lit(0)), lambda start, b: scan(part(b), start)))).otherwise(empty)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Batches of texts that go to Python: 1,000 rows instead of Spark's 10,000, so that a worker holds a few MB of texts. A setting made by the user stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .graph import components
 
 #: words of a shingle and percent of similarity, unless given
@@ -44,7 +44,7 @@ class _Words(dict):
     """Word -> 64-bit hash; emptied when it has grown large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = h = xxhash.xxh64_intdigest(w)
         return h
@@ -122,11 +122,12 @@ def _leaves(reps: DataFrame) -> DataFrame:
     done = None
     for depth in range(LEVELS + 1):
         level = written(level, f"level{depth}")
-        sizes = level.groupBy("node").count().where("count > 1")
-        level = level.join(sizes, "node")
-        small = level.where(F.col("count") <= NODE).select("id", "node", F.lit(0).cast("bigint").alias("part"))
+        sizes = level.groupBy("node").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("count > 1")
+        # trees agree on most groups of near copies: nodes with the same members are compared once
+        fresh = sizes.where(F.col("count") <= NODE).groupBy("count", "x", "y").agg(F.min("node").alias("node")).select("node")
+        small = level.join(fresh, "node").select("id", "node", F.lit(0).cast("bigint").alias("part"))
         done = small if done is None else done.unionByName(small)
-        level = level.where(F.col("count") > NODE)
+        level = written(level.join(sizes.where(F.col("count") > NODE).select("node", "count"), "node"), f"large{depth}")
         if level.limit(1).count() == 0:
             return done.withColumn("side", F.lit(0))
         if depth < LEVELS:
@@ -189,70 +190,121 @@ def _forests(leaves: DataFrame, percent: int) -> DataFrame:
     return leaves.groupBy("bucket").applyInPandas(within, "a bigint, b bigint, left bigint")
 
 
+def _linked(sets: list[np.ndarray], percent: int, comp: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links between different components of a group, found on full sets until there is one component or no pair is left; comp is merged on the way. Postings
+    of the shingles count the intersections of one document with all others at a time."""
+    n = np.array([len(x) for x in sets], np.int64)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    posting = np.repeat(np.arange(len(sets)), n)[np.argsort(code, kind="stable")]
+    first, at = np.concatenate(([0], np.cumsum(np.bincount(code)))), np.concatenate(([0], np.cumsum(n)))
+    for i in range(len(sets)):
+        others = comp != comp[i]
+        if not others.any():
+            return
+        own = code[at[i]:at[i + 1]]
+        size = first[own + 1] - first[own]
+        where = np.repeat(first[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        common = np.bincount(posting[where], minlength=len(sets))
+        near = others & (100 * common >= percent * (n + n[i] - common))
+        if side is not None and side[i]:
+            near &= side != side[i]
+        for j in np.flatnonzero(near).tolist():
+            if comp[j] != comp[i]:
+                yield i, j
+                comp[comp == comp[j]] = comp[i]
+
+
 def _exhaust(leaves: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between different components (column root) of each leaf, on full sets (column s), until they are one or no pair is left. Postings of
-    the shingles count the intersections of one document with all others at a time, so no pair is ever a row."""
+    """(a, b): links between different components (column root) of each leaf, on full sets (column s)."""
     def within(d: pd.DataFrame) -> pd.DataFrame:
         d, ranges = _leaf_ranges(d)
         out = []
         for lo, hi in ranges:
             part = d.iloc[lo:hi]
-            ids, side = part["id"].tolist(), part["side"].to_numpy()
+            ids = part["id"].tolist()
             _, comp = np.unique(part["root"].to_numpy(), return_inverse=True)
-            n = np.array([len(x) for x in part["s"]], np.int64)
-            flat = np.concatenate([np.asarray(x, np.int64) for x in part["s"]])
-            owner = np.repeat(np.arange(hi - lo), n)
-            _, code = np.unique(flat, return_inverse=True)
-            by = np.argsort(code, kind="stable")
-            posting, first = owner[by], np.concatenate(([0], np.cumsum(np.bincount(code))))
-            at = np.concatenate(([0], np.cumsum(n)))
-            for i in range(hi - lo):
-                others = comp != comp[i]
-                if not others.any():
-                    break
-                common = np.zeros(hi - lo, np.int64)
-                for c in code[at[i]:at[i + 1]].tolist():
-                    common[posting[first[c]:first[c + 1]]] += 1
-                linked = others & (100 * common >= percent * (n + n[i] - common))
-                if side[i]:
-                    linked &= side != side[i]
-                for j in np.flatnonzero(linked).tolist():
-                    if comp[j] != comp[i]:
-                        out.append((ids[i], ids[j]))
-                        comp[comp == comp[j]] = comp[i]
+            out += [(ids[i], ids[j]) for i, j in _linked([np.asarray(x, np.int64) for x in part["s"]], percent, comp.copy(), part["side"].to_numpy())]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
     return leaves.groupBy("bucket").applyInPandas(within, "a bigint, b bigint")
 
 
+def _settle(texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """id, root (smallest id) of the rows id, comp, text: the groups comp are compared exhaustively on full sets."""
+    def within(d: pd.DataFrame) -> pd.DataFrame:
+        memo = _Words()
+        d = d.sort_values(["comp", "id"], ignore_index=True)
+        comp = d["comp"].to_numpy()
+        cuts = np.flatnonzero(comp[1:] != comp[:-1]) + 1
+        root = d["id"].to_numpy().copy()
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)], strict=True):
+            sets = [shingles(t, size, memo) for t in d["text"].iloc[lo:hi]]
+            if len(sets) == 2:
+                k = len(np.intersect1d(*sets, assume_unique=True))
+                if 100 * k >= percent * (len(sets[0]) + len(sets[1]) - k):
+                    root[lo + 1] = root[lo]
+                continue
+            label = np.arange(hi - lo)
+            for _ in _linked(sets, percent, label):
+                pass
+            _, at, back = np.unique(label, return_index=True, return_inverse=True)
+            root[lo:hi] = d["id"].to_numpy()[lo:hi][at][back]  # rows are in the order of ids: the first of a component is its smallest
+        return pd.DataFrame({"id": d["id"], "root": root})
+    return texts.groupBy("bucket").applyInPandas(within, "id bigint, root bigint")
+
+
 #: up to this number of ids (some 40 bytes each) a semi join sends them to every task, so that texts aren't shuffled
 BROADCAST_IDS = 300_000
 
 
-def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """id, s (full set) of the ids; only their documents are read again."""
-    ids = written(ids.distinct(), "named")
-    named = ids.join(reps.select("id", "key", "print"), "id")
-    if ids.count() <= BROADCAST_IDS:
+def _texts(named: DataFrame, reps: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """Text beside the rows named (id and more); only their documents are read again. Where the table repeats rows, one of each is taken."""
+    named = written(named.join(reps.select("id", F.col("key").alias("_key"), "print"), "id"), "named")
+    if named.count() <= BROADCAST_IDS:
         named = F.broadcast(named)
+    found = docs.join(named, (docs["print"] == named["print"]) & docs["key"].eqNullSafe(named["_key"])).drop("key", "_key", "print")
+    return found.dropDuplicates(["id"]) if repeated else found
 
+
+def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """id, s (full set) of the ids."""
     @F.pandas_udf("array<bigint>")
     def full(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = _Words()
         for texts in batches:
             yield pd.Series([shingles(t, size, memo).astype(np.int64) for t in texts], dtype=object)
-    named = named.withColumnRenamed("key", "_key")
-    found = docs.join(named, (docs["print"] == named["print"]) & docs["key"].eqNullSafe(named["_key"])).select("id", "text").dropDuplicates(["id"])
-    return written(found.select("id", full(F.col("text")).alias("s")), "sets")
+    return written(_texts(ids.distinct(), reps, docs, repeated).select("id", full(F.col("text")).alias("s")), "sets")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, size: int, repeated: bool) -> DataFrame:
     """Those pairs of ids whose full sets are similar enough: 100 x intersection >= percent x union."""
-    sets = _sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), reps, docs, size)
+    sets = _sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), reps, docs, size, repeated)
     p = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return p.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+#: a group of candidates of at most so many documents and so many shingles is settled in one task
+GROUP_DOCS, GROUP_WORDS = 4_096, 4_000_000
+
+
+def _settle_large(leaves, found, pairs, large, reps, docs, percent: int, size: int, repeated: bool) -> DataFrame:
+    """node, root for groups of any size: the forests' pairs are confirmed one by one; leaves that had more pairs and are still several
+    components are compared again, exhaustively."""
+    links = written(_confirmed(pairs, reps, docs, percent, size, repeated), "links")
+    comp = components(links)
+    open_ = found.where("left > 0").select(F.col("a").alias("node"), F.col("b").alias("part"))
+    rooted = (leaves.join(large, "id", "left_semi").join(open_, ["node", "part"]).join(comp.withColumnRenamed("node", "id"), "id", "left")
+              .withColumn("root", F.coalesce("root", "id")))
+    several = rooted.groupBy("node", "part").agg((F.min("root") != F.max("root")).alias("m")).where("m").select("node", "part")
+    again = written(rooted.join(several, ["node", "part"]), "again")
+    rows = again.count()
+    if rows:
+        more = _exhaust(_dealt(again.join(_sets(again.select("id"), reps, docs, size, repeated), "id"), rows, NODE // 4), percent)
+        links = written(links.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
+        comp = components(links)
+    return comp
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id (smallest key that links lead to, its own included), kept (key is component_id), print
     (xxhash64 of the text, which with the key names the row).
@@ -262,11 +314,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     keys only has a null component_id, and kept is false for null keys. Rows that repeat a key stay rows of their own and share its component_id
     where they are linked. Extra columns are ignored. An empty table gives an empty result.
 
-    Links between different sets: none is lost but by the sketches (see TREES, SLACK). Of each leaf first a forest is confirmed on full sets; leaves whose
-    documents are not one component then are compared again, exhaustively and on full sets.
+    Links between different sets: none is lost but by the sketches (see TREES, SLACK). A forest of the candidates of each leaf connects the groups; within
+    a group every pair is decided on full sets (_settle; _settle_large for groups beyond GROUP_DOCS or GROUP_WORDS, with the same result).
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print"))
     made = written(sketched(d, "text", size).select("key", "print", F.col("_n").alias("n"), F.col("_set").alias("set"), F.col("_sketch").alias("sketch")), "sketches")
+    repeated = made.groupBy("key", "print").count().where("count > 1").limit(1).count() > 0
     # one row for each different set; crowds of copies meet in a partial aggregate
     reps = (made.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct("key", "print", "n", "sketch")).alias("m"), F.min("key").alias("least"))
             .select("set", "m.*", "least").withColumn("id", F.monotonically_increasing_id()))
@@ -275,19 +329,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     rows = leaves.count()
     found = written(_forests(_dealt(leaves.join(reps.select("id", "sketch", "n"), "id"), rows, 4 * NODE), percent), "candidates")
     pairs = found.where("left = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(_confirmed(pairs, reps, d, percent, size), "links")
-    comp = components(links)
-    # leaves with pairs that were not given out: again, if they are more than one component
-    open_ = found.where("left > 0").select(F.col("a").alias("node"), F.col("b").alias("part"))
-    rooted = leaves.join(open_, ["node", "part"]).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = rooted.groupBy("node", "part").agg((F.min("root") != F.max("root")).alias("m")).where("m").select("node", "part")
-    again = written(rooted.join(several, ["node", "part"]), "again")
-    rows = again.count()
-    if rows:
-        sets = _sets(again.select("id"), reps, d, size)
-        more = _exhaust(_dealt(again.join(sets, "id"), rows, NODE // 4), percent)
-        links = written(links.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
-        comp = components(links)
+    # the forests connect what candidates connect. Groups of a bounded size are settled in one task each, every pair of them on full sets
+    loose = components(pairs).withColumnRenamed("node", "id").withColumnRenamed("root", "comp")
+    sizes = loose.join(reps.select("id", "n"), "id").groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("words"))
+    bounded = (F.col("docs") <= GROUP_DOCS) & (F.col("words") <= GROUP_WORDS)
+    loose = written(loose.join(sizes, "comp").withColumn("bounded", bounded), "groups")
+    total = loose.where("bounded").agg(F.sum("words"), F.count("*")).first()
+    buckets = max(1, -(-(total[1] or 0) // (GROUP_DOCS // 2)))
+    near = loose.where("bounded").select("id", "comp", F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket"))
+    comp = written(_settle(_texts(near, reps, d, repeated), percent, size), "settled").withColumnRenamed("id", "node")
+    if loose.where("NOT bounded").limit(1).count():
+        large = loose.where("NOT bounded").select("id")
+        comp = comp.unionByName(_settle_large(leaves, found, pairs.join(large.withColumnRenamed("id", "a"), "a", "left_semi"), large, reps, d, percent, size, repeated))
     rooted = (reps.select("id", "set", "least").join(comp.withColumnRenamed("node", "id"), "id", "left")
               .select("set", F.coalesce("root", "id").alias("root"), "least"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
