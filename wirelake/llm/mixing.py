@@ -86,6 +86,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
               .withColumn("_p", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
               .withColumn("_vt", ((F.col("_p") - 1) * F.col("_size") + F.col("_end")) / F.col("target")))
     # global order: ranges of virtual time hold about as many tokens each; their totals, then the rows of the range
+    # a source has had its target at virtual time 1; a copy that this falls in is served if its middle comes before
+    copies = copies.where(F.col("_vt") - F.col("size") / 2 / F.col("target") <= 1)
     copies = copies.select("_row", "size", "_vt", "_h", "_p", F.floor(F.col("_vt") * pieces).alias("_range"))
     spans = copies.groupBy("_range").agg(F.sum("size").alias("_sum"))
     ahead = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
