@@ -3,24 +3,32 @@ extreme-value law of such scores in clean texts says how surprising the best seg
 import math
 import zlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, small_batches, written
 
 #: tokens are hashed to so many classes: the model has this size at any input
 CLASSES = 1 << 18
 #: bound of the training sample (labelled documents)
 TRAIN_DOCS = 20_000
-#: weight of the prior, in tokens; its shape is the frequency of the token in the whole sample
-PRIOR = 500.0
-#: log-odds count only where they exceed so many standard errors
-MIN_Z = 2.0
-#: share of tokens expected toxic in a toxic passage sets the cost of the others: they lower a segment by this much
-STEP_DOWN = -0.15
+#: weight of the prior, in documents; its shape is the share of toxic documents in the sample
+PRIOR = 2.0
+#: log-odds count only for tokens whose share of toxic documents stands out so much (signed root of the likelihood ratio, about standard errors) that
+#: of all tokens in three documents and more about this number would by chance
+CHANCE_TOKENS = 1.0
+#: the odds are taken at the lower bound of an interval of so many standard errors, so that rare tokens count less
+CAUTION = 1.64
+#: no token counts more than this
+MAX_ODDS = 6.0
+#: all other tokens lower a segment by this much, so that the expected score of clean text is negative and segments stay local
+STEP_DOWN = -0.05
+#: the law of clean scores and its calibration come from scores under weights that were learnt on the other folds
+FOLDS = 3
 #: segments with a p-value up to this are reported
 MAX_P = 1e-3
 
@@ -36,7 +44,7 @@ class _Classes(dict):
     """Token -> class; emptied when it has grown large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = c = zlib.crc32(w) & (CLASSES - 1)
         return c
@@ -50,41 +58,51 @@ def _classes(text: str, memo: _Classes) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_DOCS) -> dict:
     """Token scores, the extreme-value law and its calibration from at most `rows` labelled documents (label 0 or 1; others are ignored; a key with
     both labels counts as 1). Key and label meet here only; neither is an input of a score."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     sample = bounded_sample(known, key, rows)
     d = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), key).select("_y", "_t")
-    from .common import written
     d = written(d.repartition(max(1, min(64, rows // 1000))), "toxic-train")
 
+    cells = [f"n{k}" for k in range(2 * FOLDS)]
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, memo = np.zeros((2, CLASSES), np.int64), _Classes()
+        n, memo = np.zeros((2 * FOLDS, CLASSES + 1), np.int64), _Classes()  # the last cell counts documents
         for b in batches:
             for y, t in zip(b["_y"], b["_t"], strict=True):
                 # a token counts once in a document: long texts and repeated lines don't outweigh others
-                n[y] += np.bincount(np.unique(_classes(t, memo)), minlength=CLASSES)
+                n[2 * _fold(t) + y, np.append(np.unique(_classes(t, memo)), CLASSES)] += 1
         at = np.flatnonzero(n.sum(0))
-        yield pd.DataFrame({"c": at, "n0": n[0, at], "n1": n[1, at]})
-    counts = d.mapInPandas(counted, "c bigint, n0 bigint, n1 bigint").groupBy("c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # CLASSES rows at most
-    n = np.zeros((2, CLASSES))
-    for y in (0, 1):
-        n[y, counts["c"].to_numpy(dtype=np.int64)] = counts[f"n{y}"].to_numpy(dtype=float)
+        yield pd.DataFrame({"c": at} | {c: n[k, at] for k, c in enumerate(cells)})
+    counts = (d.mapInPandas(counted, "c bigint, " + ", ".join(f"{c} bigint" for c in cells)).groupBy("c").agg(*[F.sum(c).alias(c) for c in cells])).toArrow()  # CLASSES rows at most
+    by_fold = np.zeros((FOLDS, 2, CLASSES + 1))
+    for k, c in enumerate(cells):
+        by_fold[k // 2, k % 2, counts["c"].to_numpy()] = counts[c].to_numpy()
+    n = by_fold.sum(0)
     model = {"weights": _log_odds(n), "law": (0.0, 1.0), "fit": (0.0, 0.0)}
     if not n[0].any() or not n[1].any():
         share = 1.0 if n[1].any() else 0.0
         return model | {"fit": (0.0, _logit(share))}
+    others = [_log_odds(n - by_fold[k]) for k in range(FOLDS)]
+
     w = model["weights"]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Classes()
         for b in batches:
-            got = [best_score(w[_classes(t, memo)]) for t in b["_t"]]
-            yield pd.DataFrame({"y": b["_y"], "s": [s for s, _ in got], "n": [m for _, m in got]})
-    s = d.mapInPandas(scored, "y int, s double, n bigint").toPandas()  # as many rows as the sample
-    clean = s[s["y"] == 0]
-    model["law"] = extreme_value(clean["s"].to_numpy(float), clean["n"].to_numpy(float))
-    x = surprise(s["s"].to_numpy(float), s["n"].to_numpy(float), model["law"])
-    model["fit"] = _calibrate(x, s["y"].to_numpy(float))
-    return model
+            at = [(_classes(t, memo), _fold(t)) for t in b["_t"]]
+            yield pd.DataFrame({"y": b["_y"], "s": [best_score(others[k][c])[0] for c, k in at], "own": [best_score(w[c])[0] for c, _ in at], "n": [len(c) for c, _ in at]})
+    s = d.mapInPandas(scored, "y int, s double, own double, n bigint").toArrow().to_pandas()  # as many rows as the sample
+    y, n = s["y"].to_numpy(float), s["n"].to_numpy(float)
+    for column in ("s", "own"):
+        score = s[column].to_numpy(float)
+        # a sample of few different texts can leave folds without any toxic one: then the scores under all weights serve
+        if (score[y == 1] > 0).any():
+            law = extreme_value(score[y == 0], n[y == 0])
+            fit = _calibrate(surprise(score, n, law), y)
+            if fit[0] > 0:
+                return model | {"law": law, "fit": fit}
+    return model | {"fit": (0.0, _logit(float(y.mean())))}
 
 
 def _logit(p: float) -> float:
@@ -92,16 +110,25 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
+def _fold(text: str) -> int:
+    """Copies of a text are in one fold."""
+    return zlib.crc32(text.encode("utf-8", "replace")) % FOLDS
+
+
 def _log_odds(n: np.ndarray) -> np.ndarray:
-    """Log-odds ratio of each class of tokens between toxic and clean documents, with an informative Dirichlet prior; STEP_DOWN where it isn't
-    significantly positive, so that the expected score of clean text is negative and segments stay local."""
-    total = n.sum(0)
-    prior = PRIOR * (total + 0.01) / (total.sum() + 0.01 * CLASSES)
-    with np.errstate(divide="ignore"):
-        odds = [np.log((n[y] + prior) / np.maximum(n[y].sum() + PRIOR - n[y] - prior, 1e-9)) for y in (0, 1)]
-    delta = odds[1] - odds[0]
-    z = delta / np.sqrt(1 / (n[1] + prior) + 1 / (n[0] + prior))
-    return np.where(z >= MIN_Z, np.maximum(delta, 0.0), STEP_DOWN).astype(np.float32)
+    """Log-odds ratio of each class of tokens between toxic and clean documents under a Dirichlet prior. n are counts of documents with the class; the last
+    cell counts all. Classes that don't stand out get STEP_DOWN: the likelihood ratio against the common share of toxic documents holds
+    for counts of a few as well as for many."""
+    docs, n = n[:, -1], n[:, :-1]
+    total, share = n.sum(0), docs / max(1.0, docs.sum())
+    g = sum(np.where(n[y] > 0, n[y] * np.log(np.maximum(n[y], 1e-12) / np.maximum(total * share[y], 1e-12)), 0.0) for y in (0, 1))
+    z = np.sign(n[1] - total * share[1]) * np.sqrt(2 * np.maximum(g, 0.0))
+    prior = np.maximum(PRIOR * share, 1e-6)
+    odds = [np.log((n[y] + prior[y]) / (docs[y] + PRIOR)) for y in (0, 1)]
+    low = odds[1] - odds[0] - CAUTION * np.sqrt(1 / (n[1] + prior[1]) + 1 / (n[0] + prior[0]))
+    tested = max(2, int((total >= 3).sum()))
+    least = NormalDist().inv_cdf(1 - min(0.4, CHANCE_TOKENS / tested))
+    return np.where((z >= least) & (low > 0), np.minimum(low, MAX_ODDS), STEP_DOWN).astype(np.float32)
 
 
 def best_score(w: np.ndarray) -> tuple[float, int]:
@@ -134,11 +161,12 @@ def maximal_segments(w: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def extreme_value(score: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """(location, scale) of the Gumbel law of best scores of clean texts, less the log of their length, by moments."""
+    """(location, scale) of the Gumbel law of best scores of clean texts, less the log of their length; by quantiles, which mislabelled texts don't move."""
     if not len(score):
         return 0.0, 1.0
-    scale = max(0.25, float(np.std(score)) * math.sqrt(6) / math.pi)
-    return float(np.mean(score - scale * np.log(np.maximum(n, 1.0)))) - 0.5772 * scale, scale
+    low, high = np.quantile(score, (0.5, 0.9))
+    scale = max(0.25, float(high - low) / (math.log(-math.log(0.5)) - math.log(-math.log(0.9))))
+    return float(np.median(score - scale * np.log(np.maximum(n, 1.0)))) + math.log(-math.log(0.5)) * scale, scale
 
 
 def surprise(score: np.ndarray, n: np.ndarray, law: tuple[float, float]) -> np.ndarray:
@@ -172,6 +200,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", passages: bool = Fal
     """Adds score (0 to 1), n_tokens, best_segment, p_value and, if asked, passages: all segments with a p-value up to MAX_P, as (start, end, score) in tokens.
     Whole texts count; null is read as empty, and empty texts have the score of surprise 0. Repeated rows are scored each; extra columns stay, but those
     with these names are replaced."""
+    small_batches(docs.sparkSession)
     names = ["score", "n_tokens", "best_segment", "p_value", "passages"]
     kept = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES numbers and four more
