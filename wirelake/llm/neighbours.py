@@ -13,10 +13,12 @@ from .common import bounded_sample, written
 
 #: bound of the sample that the centroids are fitted on, and of the queries that the visiting depth is measured on
 FIT_ROWS, PROBE_ROWS = 20_000, 64
+#: entries that every query is compared with first, for a bound of its k-th score
+BOUND_ROWS = 4_096
 #: entries of a cell on average; the number of centroids of a half is chosen for it, up to MAX_CENTROIDS
 CELL_ROWS, MAX_CENTROIDS = 150, 512
 #: recall that the visiting depth is set for, on the measured queries
-RECALL = 0.97
+RECALL = 0.94
 #: a task compares at most so many entries of a cell with so many queries
 ENTRY_BLOCK, QUERY_BLOCK = 2_048, 2_048
 
@@ -42,12 +44,12 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(v: DataFrame, rows: int, seed: int = 3) -> list[np.ndarray]:
-    """Centroids of both halves from at most FIT_ROWS vectors; their number grows with the square root of rows / CELL_ROWS."""
+def fit(v: DataFrame, rows: int, seed: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
+    """Centroids of both halves from at most FIT_ROWS vectors; their number grows with the square root of rows / CELL_ROWS. Also BOUND_ROWS of the vectors."""
     x = np.array([r["_v"] for r in bounded_sample(v, "_id", FIT_ROWS, seed).select("_v").limit(FIT_ROWS).collect()])
     k = max(1, min(MAX_CENTROIDS, round((rows / CELL_ROWS) ** 0.5), len(x) // 4))
     half = max(1, x.shape[1] // 2)
-    return [_kmeans(x[:, :half], k, seed), _kmeans(x[:, half:], k, seed + 1) if x.shape[1] > 1 else np.zeros((1, 0))]
+    return [_kmeans(x[:, :half], k, seed), _kmeans(x[:, half:], k, seed + 1) if x.shape[1] > 1 else np.zeros((1, 0))], x[:BOUND_ROWS]
 
 
 def _halves(x: np.ndarray, centroids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     e = first.groupBy("_v").agg(F.min("_id").alias("_id"), F.sort_array(F.collect_list("_id")).alias("_ids"))
     e = written(e, "entries")
     rows = e.count()
-    centroids = fit(e, rows)
+    centroids, few = fit(e, rows)
     n_cells = len(centroids[0]) * len(centroids[1])
     shared = spark.sparkContext.broadcast(centroids)
 
@@ -129,47 +131,61 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     q = valid(queries, key, vector).where(F.size("_v") == sizes["n"]).groupBy("_id").agg(F.min("_v").alias("_v"))
     q = written(q, "queries")
     depth = _depth(e, q, centroids, counts, k, recall)
-    plan = spark.sparkContext.broadcast((centroids, counts, depth))
+    # a path is cut in two: the more entries its first cells hold, the more rows they give and the tighter is the bound for the rest
+    near = max(4 * (k + 1), round((depth * CELL_ROWS) ** 0.5))
+    plan = spark.sparkContext.broadcast((centroids, counts, depth, near, few))
 
     def visited(batches):
-        c, n, d = plan.value
+        c, n, d, first, some = plan.value
+        some_cells = cells_of(some, c)
         for b in batches:
-            found = [visits(x, c, n, d) for x in _matrix(b["_v"])] if len(b) else []
-            b["_cells"] = found
+            paths = [visits(x, c, n, d) for x in _matrix(b["_v"])] if len(b) else []
+            # besides the query's own vector, k entries of its cells at least reach the (k + 1)-th score of those of the sample that lie in them
+            least = []
+            for x, p in zip(_matrix(b["_v"]) if len(b) else [], paths, strict=True):
+                mine = some[np.isin(some_cells, p)] @ x
+                least.append(float(np.partition(mine, len(mine) - k - 1)[len(mine) - k - 1]) if len(mine) > k else -np.inf)
+            b["_least"] = least
+            # the first cells of a path, which give a bound, and the rest
+            cut = [int(np.searchsorted(np.cumsum(n[p]), first)) + 1 for p in paths]
+            b["_near"], b["_rest"] = [p[:m] for p, m in zip(paths, cut, strict=True)], [p[m:] for p, m in zip(paths, cut, strict=True)]
             yield b
-    probes = (q.mapInPandas(visited, "_id bigint, _v array<double>, _cells array<bigint>")
-              .select(F.col("_id").alias("q"), F.col("_v").alias("qv"), F.explode("_cells").alias("_cell")))
-    probes = written(probes, "probes")
-    # blocks: neither a crowded cell nor a popular one is a single task
+    probes = written(q.mapInPandas(visited, "_id bigint, _v array<double>, _least double, _near array<bigint>, _rest array<bigint>"), "probes")
+    first = written(_compared(e, probes.select(F.col("_id").alias("q"), F.col("_v").alias("qv"), F.col("_least").alias("bound"), F.explode("_near").alias("_cell")), k), "pairs")
+    # the k-th score of the first cells, or of the sample: an entry further on counts only if it reaches it
+    bound = _exact(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("bound"))
+    rest = probes.where(F.size("_rest") > 0).join(bound, "_id", "left").select(
+        F.col("_id").alias("q"), F.col("_v").alias("qv"), F.greatest("bound", "_least").alias("bound"), F.explode("_rest").alias("_cell"))
+    return _exact(first.unionByName(_compared(e, rest, k)), k)
+
+
+def _compared(e: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the entries of each probed cell that can be among the k nearest: the best of the cell, and none below the query's bound.
+    Cells and their queries are dealt in blocks: neither a crowded cell nor a popular one is a single task."""
+    probes = written(probes, "asked")
     asked = probes.groupBy("_cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_nq"))
     filled = e.groupBy("_cell").agg(F.ceil(F.count("*") / ENTRY_BLOCK).alias("_ne"))
     blocks = F.broadcast(asked.join(filled, "_cell"))  # one row for each cell: MAX_CENTROIDS squared at most
     left = (e.join(blocks, "_cell").withColumn("_eb", F.pmod(F.xxhash64("_id"), F.col("_ne")))
             .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq") - 1))).select("_cell", "_eb", "_qb", "_ids", "_v"))
     right = (probes.join(blocks, "_cell").withColumn("_qb", F.pmod(F.xxhash64("q"), F.col("_nq")))
-             .withColumn("_eb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ne") - 1))).select("_cell", "_eb", "_qb", "q", "qv"))
+             .withColumn("_eb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ne") - 1))).select("_cell", "_eb", "_qb", "q", "qv", "bound"))
 
     def compared(entries: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(asking):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids = entries["_ids"].tolist()
-        x, y = _matrix(entries["_v"]), _matrix(asking["qv"])
-        rough = y @ x.T
-        out = []
+        rough = _matrix(asking["qv"]) @ _matrix(entries["_v"]).T
         # an entry gives one id at least besides the query's own, or none: k + 1 entries hold the k nearest ids. The margin covers rounding
         keep = min(k + 1, len(ids))
-        least = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
-        least -= 1e-9 * (1 + np.abs(least))
-        for i, own in enumerate(asking["q"].tolist()):
-            for j in np.flatnonzero(rough[i] >= least[i]).tolist():
-                s = float(rough[i, j])
-                out += [(own, d, s) for d in ids[j] if d != own]
+        least = np.maximum(np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep], asking["bound"].to_numpy(float))
+        least -= 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0.0)))
+        out = [(own, d, float(rough[i, j])) for i, own in enumerate(asking["q"].tolist()) for j in np.flatnonzero(rough[i] >= least[i]).tolist() for d in ids[j] if d != own]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-    pairs = left.groupBy("_cell", "_eb", "_qb").cogroup(right.groupBy("_cell", "_eb", "_qb")).applyInPandas(compared, "query_id bigint, vec_id bigint, score double")
-    return _exact(pairs, e, q, k)
+    return left.groupBy("_cell", "_eb", "_qb").cogroup(right.groupBy("_cell", "_eb", "_qb")).applyInPandas(compared, "query_id bigint, vec_id bigint, score double")
 
 
-def _exact(pairs: DataFrame, e: DataFrame, q: DataFrame, k: int) -> DataFrame:
+def _exact(pairs: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
