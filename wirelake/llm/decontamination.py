@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: words of a seed
 N = 4
@@ -123,6 +123,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
     one row, with the better passage (ties: the earlier). Extra columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     b = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("t")).dropna().where(F.length("t") > 0)
     chars = b.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // BLOCK_CHARS))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import env_path
+from .common import env_path, small_batches
 
 #: ranks of a public byte-level vocabulary and the pre-token pattern that belongs to it
 VOCABULARY = env_path("WIRELAKE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -128,6 +128,8 @@ def apply(tree: dict, text: str, edits: list[tuple[int, int, str]], encoder: Enc
 
 def index(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Adds tree and n_tokens to every row. Null and empty texts have an empty tree and 0 tokens. Keep it as a table beside the texts."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(f"struct<tree:{TREE},n:bigint>")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocabulary)
