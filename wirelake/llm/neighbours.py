@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, written
 
 #: bound of the sample that the centroids are fitted on, and of the queries that the visiting depth is measured on
-FIT_ROWS, PROBE_ROWS = 20_000, 64
+FIT_ROWS, PROBE_ROWS = 20_000, 256
 #: entries that every query is compared with first, for a bound of its k-th score
 BOUND_ROWS = 4_096
 #: entries of a cell on average; the number of centroids of a half is chosen for it, up to MAX_CENTROIDS
 CELL_ROWS, MAX_CENTROIDS = 150, 512
 #: recall that the visiting depth is set for, on the measured queries
-RECALL = 0.94
+RECALL = 0.95
 #: a task compares at most so many entries of a cell with so many queries
 ENTRY_BLOCK, QUERY_BLOCK = 2_048, 2_048
 
