@@ -96,6 +96,26 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+#: windows of 256 tokens with 64 of history, as chat.windows() has them
+ORACLES["op8_chat"] = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM c),
+h AS (SELECT conv_id, max(CASE WHEN k = 1 AND role = 'system' THEN 1 ELSE 0 END) AS sys, greatest(1, 192 - max(CASE WHEN k = 1 AND role = 'system' THEN tokens ELSE 0 END)) AS room FROM t GROUP BY 1),
+b AS (SELECT t.conv_id, t.k - sys - 1 AS i, tokens, room, coalesce(sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+ FROM t JOIN h ON h.conv_id IS NOT DISTINCT FROM t.conv_id WHERE k > sys),
+f AS (SELECT conv_id, 0 AS i, 0 AS w, CAST(0 AS HUGEINT) AS base, TRUE AS opens FROM h UNION ALL
+ SELECT b.conv_id, CAST(b.i AS INTEGER), CASE WHEN b.s + b.tokens - f.base > room THEN f.w + 1 ELSE f.w END, CASE WHEN b.s + b.tokens - f.base > room THEN b.s ELSE f.base END, b.s + b.tokens - f.base > room
+ FROM f JOIN b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.i = f.i + 1),
+n AS (SELECT t.conv_id, t.k - sys - 1 AS i, 24 + length(url_encode(role)) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) AS size FROM t JOIN h ON h.conv_id IS NOT DISTINCT FROM t.conv_id),
+w AS (SELECT conv_id, i, base, coalesce(lead(i) OVER (PARTITION BY conv_id ORDER BY i), 1000000000) AS stop FROM f WHERE opens),
+z AS (SELECT w.conv_id, sum(size) AS chars FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM n.conv_id AND b.i = n.i
+ WHERE n.i < 0 OR (n.i < w.stop AND (n.i >= w.i OR b.s >= w.base - 64)) GROUP BY 1),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+ coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY 1)
+SELECT d.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM d JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES), "page_id")
