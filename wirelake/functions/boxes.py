@@ -75,7 +75,7 @@ def part_box(cx, cy, long_side, short_side, vertical, scale) -> Column:
 def jitter(key: Column, share: float, seed: int, x1, y1, x2, y2) -> Column:
     """Shift and resize by at most `share` of the size; the noise is a hash of the key."""
     def noise(slot):
-        h = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(slot)), F.lit(1_000_000))
+        h = F.conv(F.substring(F.md5(F.concat_ws("/", key, F.lit(seed), F.lit(slot))), 1, 8), 16, 10).cast("long") % 1_000_000
         return (h / 1_000_000.0 * 2 - 1) * share
     w, h = x2 - x1, y2 - y1
     cx, cy = (x1 + x2) / 2 + noise(0) * w, (y1 + y2) / 2 + noise(1) * h
