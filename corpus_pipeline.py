@@ -15,10 +15,15 @@ from wirelake.llm.common import table, written  # noqa: E402
 TOXIC = 0.3
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The row as one column beside its text: columns of the table can't clash with those that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; the scorer learns from the labelled ones."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score(_packed(docs), model).where(F.col("score") < TOXIC).select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +45,11 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the name of its kind; n_chars follows the text."""
-    d = pii.redact(pii.find(docs, pii.train(docs, "doc_id")))
+    d = pii.redact(pii.find(_packed(docs), pii.train(docs, "doc_id")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return d.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

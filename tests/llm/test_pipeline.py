@@ -73,4 +73,9 @@ def test_odd_rows(spark):
     assert got[5].count() == got[4].count() == got[3].count()
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+    more = docs.selectExpr("*", "'mine' AS score", "7 AS spans", "'b' AS base", "1 AS size", "2 AS target", "'t' AS tokens", "0 AS item_id")
+    for name, stage in cp.STAGES[:-1]:
+        d = stage(spark, more, SF)
+        assert d.columns == more.columns and {tuple(r) for r in d.select("score", "spans", "base", "size", "target", "tokens", "item_id").collect()} == {("mine", 7, "b", 1, 2, "t", 0)}
+    assert cp.STAGES[-1][1](spark, more, SF).count() == docs.count()
     assert [s[1].__module__ for s in cp.STAGES] == ["corpus_pipeline"] * 5 and all((mixing, near_dedup, toxicity, F))
