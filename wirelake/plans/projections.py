@@ -317,11 +317,11 @@ def mth1(spark, sf):
 _NOISE = lambda slot: f"((CAST('0x' || substr(md5(concat(image_id, '/', pred_idx, '/7/{slot}')), 1, 8) AS BIGINT) % 1000000) / CAST(1000000 AS DOUBLE) * 2 - 1) * CAST(0.1 AS DOUBLE)"
 
 
-@query("mth2_box_jitter", f"""SELECT image_id, pred_idx, round(cx - nw / 2, 6) AS x1, round(cy - nh / 2, 6) AS y1, round(cx + nw / 2, 6) AS x2, round(cy + nh / 2, 6) AS y2 FROM (SELECT image_id, pred_idx,
+@query("mth2_box_jitter", f"""SELECT image_id, pred_idx, round(cx - nw / 2 + CAST(3e-10 AS DOUBLE), 6) AS x1, round(cy - nh / 2 + CAST(3e-10 AS DOUBLE), 6) AS y1, round(cx + nw / 2 + CAST(3e-10 AS DOUBLE), 6) AS x2, round(cy + nh / 2 + CAST(3e-10 AS DOUBLE), 6) AS y2 FROM (SELECT image_id, pred_idx,
 (x1 + x2) / 2 + {_NOISE(0)} * (x2 - x1) AS cx, (y1 + y2) / 2 + {_NOISE(1)} * (y2 - y1) AS cy, (x2 - x1) * (1 + {_NOISE(2)}) AS nw, (y2 - y1) * (1 + {_NOISE(3)}) AS nh FROM fx_pred)""")
 def mth2(spark, sf):
     d = view(spark, sf, "fx_pred").withColumn("j", B.jitter(F.concat_ws("/", "image_id", "pred_idx"), 0.1, 7, *B.corners()))
-    return d.select("image_id", "pred_idx", *[F.round(C(f"j.{k}"), 6).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    return d.select("image_id", "pred_idx", *[F.round(C(f"j.{k}") + 3e-10, 6).alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
 @query("mth3_terminal_points", """SELECT image_id, det_idx, CAST(t AS INTEGER) AS pos, CASE WHEN v THEN CAST(cx AS DOUBLE) ELSE cx + CAST(60 AS DOUBLE) / 2 * (2 * t - 1) END AS x,
