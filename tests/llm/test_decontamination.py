@@ -83,3 +83,35 @@ def test_query_finds_all_whole_items(spark):
     want = {(d, i) for d, t in docs for i, x in items if x in t}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op5_decontamination(spark, SF).collect()}
     assert want and want <= got and len(got) <= 1.2 * len(want) + 2
+
+
+def test_edits_every_few_words_and_changed_ends(spark):
+    rng = random.Random(9)
+    items = [words(rng, n) for n in (6, 12, 21, 37, 59, 200)]
+    kinds, docs, want = {}, [], []
+    for i, x in enumerate(items):
+        for step in (4, 5, 6, 7):
+            for start in range(step):
+                kinds["every", i, step, start] = [w if k % step != start else "changed" for k, w in enumerate(x)]
+        kinds["inserted", i] = [w for k, y in enumerate(x) for w in ([y, "new"] if k % 2 else [y])]
+        kinds["ends", i] = ["changed"] * 3 + [w if k % 6 else "changed" for k, w in enumerate(x)][3:-3] + ["changed"] * 3
+        kinds["deleted", i] = [w for k, w in enumerate(x) if k % 5]
+    for n, ((_, i, *_), x) in enumerate(kinds.items()):
+        docs.append((n, " ".join(words(rng, 40) + x + words(rng, 40))))
+        if brute_score(np.array(docs[-1][1].split()), np.array(items[i])) >= dc.MIN_SCORE * dc.MATCH * len(items[i]):
+            want.append((n, i))
+    # a verbatim copy elsewhere has the n-grams that the edits broke
+    docs += [(10_000 + i, " ".join(x)) for i, x in enumerate(items)]
+    want += [(10_000 + i, i) for i in range(len(items))]
+    d = dc.find(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string"), ["doc_id"])
+    assert len(want) > 100 and found(d) == sorted(want, key=str)
+
+
+def test_all_pairs_of_small_vocabularies(spark):
+    rng = random.Random(3)
+    items = [[rng.choice("abcdefgh") for _ in range(rng.randrange(4, 30))] for _ in range(40)]
+    docs = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60))] for _ in range(100)]
+    want = [(n, i) for n, x in enumerate(docs) for i, y in enumerate(items) if brute_score(np.array(x), np.array(y)) >= dc.MIN_SCORE * dc.MATCH * len(y)]
+    d = dc.find(spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(docs)], "doc_id bigint, text string"),
+                spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string"), ["doc_id"])
+    assert want and found(d) == sorted(want, key=str)

@@ -1,18 +1,18 @@
-"""Benchmark items in training text, also edited or paraphrased copies: rare word n-grams of the items are seeds that join passages
-of the documents to items, then local alignment (Smith-Waterman, on words) scores each pair of passage and item."""
+"""Benchmark items in training text, also edited or paraphrased copies: pairs of near words that an item and a document share are counted in
+windows of the document; pairs of passage and item with as many as a copy must have are scored by local alignment (Smith-Waterman, on words)."""
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches
 
-#: words of a seed
-N = 4
-#: of RUN n-grams in a row the RARE rarest are seeds, so that a copy of any part of an item still holds some
-RUN, RARE = 6, 3
+#: items of fewer words match nothing
+LEAST_WORDS = 4
+#: two words up to so far apart, in the item and in the document, are a pair
+REACH = 2
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: share of the score of a perfect copy of the item from which a passage counts as a copy
 MIN_SCORE = 0.55
@@ -20,7 +20,6 @@ MIN_SCORE = 0.55
 BLOCK_CHARS = 8_000_000
 
 _SPLIT = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
-_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -32,67 +31,77 @@ class _Vocabulary(dict):
         return 0
 
 
-def _grams(ids: np.ndarray) -> np.ndarray:
-    """A number for each n-gram of word numbers; 0 where a word is none of the vocabulary."""
-    if len(ids) < N:
-        return np.zeros(0, np.uint64)
-    out, whole = np.zeros(len(ids) - N + 1, np.uint64), np.ones(len(ids) - N + 1, bool)
-    for k in range(N):
-        part = ids[k:len(ids) - N + 1 + k]
-        out = (out ^ part) * _P
-        out ^= out >> np.uint64(29)
-        whole &= part > 0
-    return np.where(whole, out | np.uint64(1), np.uint64(0))
+def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and first word of all pairs of words up to REACH apart; words that are none of the vocabulary (0) make none."""
+    key, at = [], []
+    for d in range(1, REACH + 1):
+        k = np.flatnonzero((ids[:-d] > 0) & (ids[d:] > 0))
+        key.append(ids[k] << np.uint64(32) | ids[k + d])
+        at.append(k)
+    return np.concatenate(key), np.concatenate(at)
 
 
-def _block_tables(items: list[tuple[int, str]]) -> dict:
-    vocabulary = _Vocabulary()
-    grams, longest = [], 0
-    for number, text in items:
+def least_pairs(n: int, min_score: float) -> int:
+    """In how many words of an item of n words a pair begins that the copy shares, at least. Between two matches that follow each other in an alignment lies
+    no pair only if two words or more are skipped on one side, at a cost of 2: M matches and k pairs score 2M - 2(M - 1 - k) at most."""
+    return max(1, int(np.ceil(min_score * n - 1 - 1e-9)))
+
+
+def _block_tables(items: list[tuple[int, str]], min_score: float) -> dict | None:
+    vocabulary, kept, key, cell, first = {}, [], [], [], 0
+    for item, text in items:
         ws = words(text)
-        for w in ws:
-            if w not in vocabulary:
-                vocabulary[w] = len(vocabulary) + 1
-        ids = np.array([vocabulary[w] for w in ws], np.uint64)
-        grams += [(number, k, int(x)) for k, x in enumerate(_grams(ids).tolist())]
-        longest = max(longest, len(ws))
-    return {"vocabulary": dict(vocabulary), "grams": grams, "known": np.unique(np.array([g for *_, g in grams], np.uint64)), "longest": longest}
-
-
-def _passages(docs: DataFrame, tables: dict, keys: list[str], text: str) -> DataFrame:
-    """keys, passage (number in the document), first (its first word), words (joined by blanks), hits (seed numbers, as they occur).
-    One scan of the documents: all n-grams of the benchmark are looked up, and only the stretches around hits leave the task."""
-    shared = docs.sparkSession.sparkContext.broadcast({k: tables[k] for k in ("vocabulary", "known")})
-    margin_words = tables["longest"] + tables["longest"] // 4 + 1
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
-        vocabulary, known = _Vocabulary(t["vocabulary"]), t["known"]
-        for b in batches:
-            rows = []
-            for i, text_ in enumerate(b["_text"]):
-                ws = words(text_)
-                ids = np.fromiter(map(vocabulary.__getitem__, ws), np.uint64, len(ws))
-                g = _grams(ids)
-                at = np.flatnonzero(g)
-                if not len(at):
-                    continue
-                at = at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
-                if not len(at):
-                    continue
-                seeds = g[at]
-                # hits further apart than two margins lie in different passages
-                breaks = np.concatenate(([0], np.flatnonzero(np.diff(at) > 2 * margin_words) + 1, [len(at)]))
-                for k, (lo, hi) in enumerate(zip(breaks[:-1], breaks[1:], strict=True)):
-                    first, last = max(0, int(at[lo]) - margin_words), min(len(ws), int(at[hi - 1]) + N + margin_words)
-                    rows.append((i, k, first, b" ".join(ws[first:last]).decode("utf-8", "replace"), np.unique(seeds[lo:hi]).astype(np.int64)))
-            if rows:
-                out = b.iloc[[r[0] for r in rows]][keys].reset_index(drop=True)
-                for j, c in enumerate(("passage", "first", "words", "hits"), 1):
-                    out[f"_{c}"] = [r[j] for r in rows]
-                yield out
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
-    return docs.select(*keys, F.col(text).alias("_text")).mapInPandas(cut, f"{kinds}, _passage int, _first bigint, _words string, _hits array<bigint>")
+        if len(ws) >= LEAST_WORDS:
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], np.uint64)
+            k, at = _pairs(ids)
+            key.append(k)
+            cell.append(at + first)
+            first += len(ids)
+            kept.append((item, ids))
+    if not kept:
+        return None
+    known, slot = np.unique(np.concatenate(key), return_inverse=True)
+    cell = np.concatenate(cell)
+    count = np.bincount(slot)
+    lengths = np.array([len(ids) for _, ids in kept])
+    least = np.array([least_pairs(n, min_score) for n in lengths.tolist()])
+    # A copy has pairs in `least` of the n - 1 cells (words where a pair begins) of its item, so all but `some` - 1 of them can miss the commonest
+    # least - some cells, whichever they are: the others are looked up, and `some` of them have to be found.
+    some = -(-least // 2)
+    load = np.zeros(first, np.int64)
+    np.add.at(load, cell, count[slot])
+    looked_up = np.zeros(first, bool)
+    ends = np.cumsum(lengths)
+    for lo, n, skipped in zip((ends - lengths).tolist(), lengths.tolist(), (least - some).tolist(), strict=True):
+        looked_up[lo + np.argsort(load[lo:lo + n - 1], kind="stable")[:n - 1 - skipped]] = True
+    order = np.argsort(slot, kind="stable")
+    order = order[looked_up[cell[order]]]
+    parts = np.split(slot, np.cumsum([len(k) for k in key])[:-1])
+    return {"vocabulary": vocabulary, "known": known, "cells": cell[order], "starts": np.searchsorted(slot[order], np.arange(len(known) + 1)), "some": some, "least": least,
+            "item_of": np.repeat(np.arange(len(kept)), lengths), "slots": [np.unique(x) for x in parts], "items": kept}
+
+
+def _candidates(t: dict, slot: np.ndarray) -> np.ndarray:
+    """Items of which a text with these pairs has enough of the cells that are looked up."""
+    u = np.unique(slot)
+    n = t["starts"][u + 1] - t["starts"][u]
+    if n.sum() < t["some"].min():
+        return np.zeros(0, np.int64)
+    cells = np.unique(t["cells"][np.repeat(t["starts"][u] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])
+    item, n = np.unique(t["item_of"][cells], return_counts=True)
+    return item[n >= t["some"][item]]
+
+
+def _windows(at: np.ndarray, least: int, span: int, n: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a text of n words that hold every passage of up to `span` words with `least` of the pairs that begin at `at` (ascending)."""
+    lo = at[:max(0, len(at) - least + 1)]
+    hi = at[least - 1:]
+    near = hi - lo <= span
+    lo, hi = lo[near] - span, hi[near] + span + REACH
+    if len(lo):
+        breaks = np.concatenate(([0], np.flatnonzero(lo[1:] > hi[:-1]) + 1, [len(lo)]))
+        for a, b in zip(breaks[:-1], breaks[1:], strict=True):
+            yield max(0, int(lo[a])), min(n, int(hi[b - 1]))
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int]:
@@ -115,7 +124,7 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int]:
 def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text",
          min_score: float = MIN_SCORE) -> DataFrame:
     """One row for each pair of a row of docs and an item with a passage that scores at least `min_score` of a perfect copy: keys, item_id, score (0 to 1),
-    first_word, last_word (exclusive, of the best passage), n_seeds.
+    first_word, last_word (exclusive, of the best passage), n_seeds (words around the passage where a pair of the item begins).
 
     keys are the columns that name a row of docs (copied as they are, null or repeated ones too). Words are lower-cased runs of letters and digits;
     null and empty texts match nothing, and so do
@@ -130,55 +139,50 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
     out = None
     for k in range(blocks):
         part = b.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k).orderBy("item", "t").collect()  # about BLOCK_CHARS characters
-        found = _find_block(spark, docs, [(r["item"], r["t"]) for r in part], keys, text, min_score)
+        found = _find_block(docs, _block_tables([(r["item"], r["t"]) for r in part], min_score), keys, text, min_score)
         out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _find_block(spark, docs, items, keys, text, min_score) -> DataFrame:
-    numbered = [(i, t) for i, (_, t) in enumerate(items)]
-    tables = _block_tables(numbered)
-    if not tables["grams"]:
-        return docs.select(*keys, F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("score"), *[F.lit(0).cast("bigint").alias(c) for c in ("first_word", "last_word", "n_seeds")]).limit(0)
-    p = written(_passages(docs, tables, keys, text).withColumn("_id", F.monotonically_increasing_id()), "passages")
-    signed = [(i, k, g - (1 << 64) if g >> 63 else g) for i, k, g in tables["grams"]]
-    grams = spark.createDataFrame(signed, "number int, at int, seed bigint")
-    # in how many passages a seed occurs; then the rarest of each run of an item
-    df = p.select(F.explode("_hits").alias("seed")).groupBy("seed").count()
-    g = grams.join(df, "seed", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    in_run = Window.partitionBy("number", "run").orderBy("count", "at")
-    runs = g.withColumn("run", F.explode(F.sequence(F.floor(F.col("at") / RUN * 2) - 1, F.floor(F.col("at") / RUN * 2))))
-    seeds = runs.withColumn("r", F.row_number().over(in_run)).where(F.col("r") <= RARE).select("number", "seed").distinct()
-    # the seeds of a block number no more than its words: a bounded side, sent to every task
-    pairs = (p.select("_id", F.explode("_hits").alias("seed")).join(F.broadcast(seeds), "seed")
-             .groupBy("_id", "number").agg(F.count("*").alias("_n")))
-    shared = spark.sparkContext.broadcast((items, numbered))
+    best = F.struct("score", (-F.col("first_word")).alias("back"), "last_word", "n_seeds")
+    return (out.groupBy(*keys, "item_id").agg(F.max(best).alias("b"))
+            .select(*keys, "item_id", "b.score", (-F.col("b.back")).alias("first_word"), "b.last_word", "b.n_seeds"))
+
+
+def _find_block(docs: DataFrame, tables: dict | None, keys: list[str], text: str, min_score: float) -> DataFrame:
+    """One scan of the documents; pairs of passage and item are found and scored where the document is."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
+    columns = {"item_id": "bigint", "score": "double", "first_word": "bigint", "last_word": "bigint", "n_seeds": "bigint"}
+    if tables is None:
+        return docs.select(*keys, *[F.lit(0).cast(kind).alias(c) for c, kind in columns.items()]).limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts = [words(t) for _, t in shared.value[0]]
+        t = shared.value
+        vocabulary, known, own = _Vocabulary(t["vocabulary"]), t["known"], np.zeros(len(t["known"]), bool)
         for b in batches:
             rows = []
-            for i, (ws, number) in enumerate(zip(b["_words"], b["number"], strict=True)):
-                own = {w: k for k, w in enumerate(dict.fromkeys(texts[number]))}
-                one = np.array([own.get(w, -1) for w in words(ws)], np.int64)
-                two = np.array([own[w] for w in texts[number]], np.int64)
-                perfect = MATCH * len(two)
-                # matching words of the passage bound the score
-                if MATCH * min(len(two), int((one >= 0).sum())) < min_score * perfect:
-                    continue
-                s, end = align(one, two)
-                if s >= min_score * perfect:
-                    _, back = align(one[:end][::-1], two[::-1])
-                    rows.append((i, s / perfect, end - back, end))
+            for i, text_ in enumerate(b["_text"]):
+                ws = words(text_)
+                ids = np.fromiter(map(vocabulary.__getitem__, ws), np.uint64, len(ws))
+                key, at = _pairs(ids)
+                slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[slot] == key
+                slot, at = slot[hit], at[hit]
+                for k in _candidates(t, slot).tolist():
+                    item_id, item = t["items"][k]
+                    own[t["slots"][k]] = True
+                    mine = np.unique(at[own[slot]])
+                    own[t["slots"][k]] = False
+                    best = None
+                    # an alignment of that score is shorter than two items
+                    for lo, hi in _windows(mine, int(t["least"][k]), 2 * len(item), len(ids)):
+                        s, end = align(ids[lo:hi], item)
+                        if s >= min_score * MATCH * len(item) and (best is None or s > best[0]):
+                            _, back = align(ids[lo:lo + end][::-1], item[::-1])
+                            best = s, lo + end - back, lo + end, int(((mine >= lo) & (mine < hi)).sum())
+                    if best:
+                        rows.append((i, item_id, best[0] / (MATCH * len(item)), *best[1:]))
             if rows:
-                o = b.iloc[[r[0] for r in rows]].drop(columns="_words").reset_index(drop=True)
-                o["score"] = [r[1] for r in rows]
-                o["_lo"], o["_hi"] = [r[2] for r in rows], [r[3] for r in rows]
-                o["item_id"] = [shared.value[0][n][0] for n in o["number"]]
+                o = b.iloc[[r[0] for r in rows]][keys].reset_index(drop=True)
+                for j, c in enumerate(columns, 1):
+                    o[c] = [r[j] for r in rows]
                 yield o
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
-    whole = p.join(pairs, "_id").select(*keys, "_passage", "_first", "_words", "number", F.col("_n"))
-    hit = whole.mapInPandas(scored, f"{kinds}, _passage int, _first bigint, number int, _n bigint, score double, _lo bigint, _hi bigint, item_id bigint")
-    best = F.struct("score", (-F.col("_first") - F.col("_lo")).alias("back"), "_first", "_lo", "_hi", "_n")
-    return (hit.groupBy(*keys, "item_id").agg(F.max(best).alias("b"))
-            .select(*keys, "item_id", "b.score", (F.col("b._first") + F.col("b._lo")).alias("first_word"), (F.col("b._first") + F.col("b._hi")).alias("last_word"), F.col("b._n").alias("n_seeds")))
+    return docs.select(*keys, F.col(text).alias("_text")).mapInPandas(scored, f"{kinds}, " + ", ".join(f"{c} {kind}" for c, kind in columns.items()))
