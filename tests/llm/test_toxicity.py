@@ -61,3 +61,15 @@ def test_no_labels(spark):
     assert 0 <= tx.score(d, m).first()["score"] <= 0.3
     assert tx.score(d.limit(0), m).count() == 0
     assert tx.train(d, spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int"))["fit"][1] > 0
+
+
+def test_separate_moderate_passages_add_up(spark):
+    weights = np.full(tx.CLASSES, tx.STEP_DOWN, np.float32)
+    weights[zlib.crc32(b"awful") & (tx.CLASSES - 1)] = 3.0
+    # one such passage is expected in every second clean text of this length
+    m = {"weights": weights, "law": (-0.18, 0.3), "fit": (1.0, -5.0)}
+    calm = "calm " * 999
+    texts = [(1, (calm + "awful ") * 20), (2, calm * 19 + "awful " + calm)]
+    got = {r["doc_id"]: r for r in tx.score(spark.createDataFrame(texts, "doc_id int, text string"), m, passages=True).collect()}
+    assert got[1]["score"] > 0.9 and got[1]["n_passages"] == len(got[1]["passages"]) == 20
+    assert got[2]["score"] < 0.1 and got[2]["n_passages"] == 0 and abs(got[1]["best_segment"] - got[2]["best_segment"]) < 1e-6

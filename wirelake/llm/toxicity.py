@@ -1,5 +1,5 @@
 """Toxic passages: every token has a log-odds under Dirichlet priors, a linear scan finds all segments of maximal score, and the
-extreme-value law of such scores in clean texts says how surprising the best segment of a document of its length is."""
+extreme-value law of such scores in clean texts says how surprising the best segments of a document of its length are, taken together."""
 import math
 import zlib
 from collections.abc import Iterator
@@ -91,15 +91,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         memo = _Classes()
         for b in batches:
             at = [(_classes(t, memo), _fold(t)) for t in b["_t"]]
-            yield pd.DataFrame({"y": b["_y"], "s": [best_score(others[k][c])[0] for c, k in at], "own": [best_score(w[c])[0] for c, _ in at], "n": [len(c) for c, _ in at]})
-    s = d.mapInPandas(scored, "y int, s double, own double, n bigint").toArrow().to_pandas()  # as many rows as the sample
+            yield pd.DataFrame({"y": b["_y"], "s": [segment_scores(others[k][c]) for c, k in at], "own": [segment_scores(w[c]) for c, _ in at], "n": [len(c) for c, _ in at]})
+    s = d.mapInPandas(scored, "y int, s array<double>, own array<double>, n bigint").toArrow().to_pandas()  # as many rows as the sample
     y, n = s["y"].to_numpy(float), s["n"].to_numpy(float)
     for column in ("s", "own"):
-        score = s[column].to_numpy(float)
+        score = np.array([max(x, default=0.0) for x in s[column]], float)
         # a sample of few different texts can leave folds without any toxic one: then the scores under all weights serve
         if (score[y == 1] > 0).any():
             law = extreme_value(score[y == 0], n[y == 0])
-            fit = _calibrate(surprise(score, n, law), y)
+            fit = _calibrate(np.array([together(np.asarray(x, float), k, law)[0] for x, k in zip(s[column], n, strict=True)]), y)
             if fit[0] > 0:
                 return model | {"law": law, "fit": fit}
     return model | {"fit": (0.0, _logit(float(y.mean())))}
@@ -160,6 +160,11 @@ def maximal_segments(w: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(s), int(e), b - a) for s, e, a, b, _ in out]
 
 
+def segment_scores(w: np.ndarray) -> list[float]:
+    """Scores of all maximal segments, the best first."""
+    return sorted((v for *_, v in maximal_segments(w)), reverse=True)
+
+
 def extreme_value(score: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """(location, scale) of the Gumbel law of best scores of clean texts, less the log of their length; by quantiles, which mislabelled texts don't move."""
     if not len(score):
@@ -177,6 +182,22 @@ def surprise(score: np.ndarray, n: np.ndarray, law: tuple[float, float]) -> np.n
     return np.where(n > 0, -np.log(np.maximum(-np.expm1(-e), 1e-300)), 0.0)
 
 
+def together(scores: np.ndarray, n: float, law: tuple[float, float]) -> tuple[float, int]:
+    """Surprise of all segments of a text together, and how many of the best ones it rests on. In clean texts the number of segments with a score is
+    Poisson, of the mean that the extreme-value law has; so for each r there is a chance of r segments as good as the r-th. The least of them counts, under
+    weights 2 / (r (r + 1)), so that a single segment keeps its chance. scores: the best first."""
+    if not len(scores):
+        return float(surprise(np.zeros(1), np.array([n]), law)[0]), 0
+    r = np.arange(1, len(scores) + 1)
+    t = np.clip((scores - law[0]) / law[1] - math.log(max(n, 1.0)), -30, 700)
+    mean = np.exp(-t)
+    # the first term of the tail, and a bound of the ratio of the others to it
+    x = np.where(mean < r, t * r + mean + np.cumsum(np.log(r)) + np.log1p(-np.minimum(mean / (r + 1), 0.999)), 0.0) - np.log(r * (r + 1) / 2)
+    x[0] = surprise(scores[:1], np.array([n]), law)[0]
+    k = int(x.argmax())
+    return max(0.0, float(x[k])), k + 1
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the logistic curve from surprise to label: Newton's steps with a small ridge, until they stand still."""
     a, b = 0.0, _logit(float(y.mean()))
@@ -197,34 +218,38 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", passages: bool = False) -> DataFrame:
-    """Adds score (0 to 1), n_tokens, best_segment, p_value and, if asked, passages: all segments with a p-value up to MAX_P, as (start, end, score) in tokens.
+    """Adds score (0 to 1), n_tokens, best_segment, p_value (of all segments together), n_passages (segments in the text, if p_value is up to MAX_P: those that
+    it rests on and those that alone reach MAX_P) and, if asked, passages: these segments, as (start, end, score) in tokens.
     Whole texts count; null is read as empty, and empty texts have the score of surprise 0. Repeated rows are scored each; extra columns stay, but those
     with these names are replaced."""
     small_batches(docs.sparkSession)
-    names = ["score", "n_tokens", "best_segment", "p_value", "passages"]
+    names = ["score", "n_tokens", "best_segment", "p_value", "n_passages", "passages"]
     kept = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES numbers and four more
-    kind = "struct<score:double,n_tokens:bigint,best_segment:double,p_value:double" + (",passages:array<struct<start:int,end:int,score:double>>" if passages else "") + ">"
+    kind = "struct<score:double,n_tokens:bigint,best_segment:double,p_value:double,n_passages:bigint" + (",passages:array<struct<start:int,end:int,score:double>>" if passages else "") + ">"
 
     @F.pandas_udf(kind)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m, memo = shared.value, _Classes()
         w, law, (a, b) = m["weights"], m["law"], m["fit"]
         for texts in batches:
-            best, n, found = [], [], []
+            best, n, x, found = [], [], [], []
             for t in texts:
                 values = w[_classes(t or "", memo)]
-                s, k = best_score(values)
-                best.append(s)
+                segments, k = maximal_segments(values), len(values)
+                scores = np.array(sorted((v for *_, v in segments), reverse=True), float)
+                how, r = together(scores, k, law)
+                best.append(scores[0] if r else 0.0)
                 n.append(k)
-                if passages:
-                    # the score that a segment needs in a text of this length
-                    least = law[0] + law[1] * (math.log(max(k, 1)) - math.log(-math.log1p(-MAX_P)))
-                    found.append([{"start": x, "end": y, "score": v} for x, y, v in maximal_segments(values) if v >= max(least, 1e-9)] if s >= least else [])
-            best, n = np.array(best, float), np.array(n, float)
-            x = surprise(best, n, law)
+                x.append(how)
+                # the score that a segment alone needs in a text of this length
+                least = law[0] + law[1] * (math.log(max(k, 1)) - math.log(-math.log1p(-MAX_P)))
+                if r and how >= -math.log(MAX_P):
+                    least = min(least, scores[r - 1])
+                found.append([{"start": lo, "end": hi, "score": v} for lo, hi, v in segments if v >= max(least, 1e-9)])
+            best, n, x = np.array(best, float), np.array(n, float), np.array(x, float)
             p = 1 / (1 + np.exp(-np.clip(a * np.minimum(x, 60.0) + b, -50, 50)))
-            out = {"score": p, "n_tokens": n.astype(np.int64), "best_segment": best, "p_value": np.exp(-x)}
+            out = {"score": p, "n_tokens": n.astype(np.int64), "best_segment": best, "p_value": np.exp(-x), "n_passages": [len(f) for f in found]}
             yield pd.DataFrame(out | ({"passages": found} if passages else {}))
     d = docs.select(*kept, judged(F.col(text)).alias("_j"))
-    return d.select(*kept, *[F.col(f"_j.{c}").alias(c) for c in (names if passages else names[:4])])
+    return d.select(*kept, *[F.col(f"_j.{c}").alias(c) for c in (names if passages else names[:5])])
