@@ -115,3 +115,13 @@ def test_all_pairs_of_small_vocabularies(spark):
     d = dc.find(spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(docs)], "doc_id bigint, text string"),
                 spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string"), ["doc_id"])
     assert want and found(d) == sorted(want, key=str)
+
+
+def test_long_excerpts(spark):
+    rng = random.Random(12)
+    items = [words(rng, n) for n in (200, 59, 200)]
+    edited = [w if k % 8 else "changed" for k, w in enumerate(items[0][20:80])]
+    parts = [(1, items[0][50:150]), (2, items[1][10:40]), (3, items[2][:20]), (4, edited), (5, items[2][:18]), (6, [w if k % 2 else "changed" for k, w in enumerate(items[0][:60])])]
+    docs = [(n, " ".join(words(rng, 300) + x + words(rng, 300))) for n, x in parts]
+    d = dc.find(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string"), ["doc_id"])
+    assert found(d) == [(1, 0), (2, 1), (3, 2), (4, 0)]

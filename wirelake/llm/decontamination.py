@@ -16,6 +16,8 @@ REACH = 2
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: share of the score of a perfect copy of the item from which a passage counts as a copy
 MIN_SCORE = 0.55
+#: a passage also counts, whatever its share of the item, if so many words match, with two more for each word that differs
+EXCERPT = 20
 #: items of so many characters in total go to the tasks at a time; a larger benchmark takes several passes, each over all documents
 BLOCK_CHARS = 8_000_000
 
@@ -44,7 +46,9 @@ def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def least_pairs(n: int, min_score: float) -> int:
     """In how many words of an item of n words a pair begins that the copy shares, at least. Between two matches that follow each other in an alignment lies
     no pair only if two words or more are skipped on one side, at a cost of 2: M matches and k pairs score 2M - 2(M - 1 - k) at most."""
-    return max(1, int(np.ceil(min_score * n - 1 - 1e-9)))
+    whole = max(1, int(np.ceil(min_score * n - 1 - 1e-9)))
+    # an excerpt of M matches has M - 1 pairs, less one at most for each word that differs
+    return min(whole, EXCERPT - 1) if n >= EXCERPT else whole
 
 
 def _block_tables(items: list[tuple[int, str]], min_score: float) -> dict | None:
@@ -104,16 +108,16 @@ def _windows(at: np.ndarray, least: int, span: int, n: int) -> Iterator[tuple[in
             yield max(0, int(lo[a])), min(n, int(hi[b - 1]))
 
 
-def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int]:
+def align(passage: np.ndarray, item: np.ndarray, mismatch: float = MISMATCH, gap: float = GAP) -> tuple[float, int]:
     """Best local alignment score and the end of it in the passage (exclusive). Row by row over the item; gaps along the passage come from a
     running maximum."""
     if not len(passage) or not len(item):
         return 0.0, 0
-    ramp = np.arange(len(passage) + 1) * -GAP
+    ramp = np.arange(len(passage) + 1) * -gap
     row, best, end = np.zeros(len(passage) + 1), 0.0, 0
     for w in item:
-        t = np.maximum(row + GAP, 0.0)
-        t[1:] = np.maximum(t[1:], row[:-1] + np.where(passage == w, MATCH, MISMATCH))
+        t = np.maximum(row + gap, 0.0)
+        t[1:] = np.maximum(t[1:], row[:-1] + np.where(passage == w, MATCH, mismatch))
         row = np.maximum.accumulate(t + ramp) - ramp
         k = int(row.argmax())
         if row[k] > best:
@@ -123,7 +127,8 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int]:
 
 def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text",
          min_score: float = MIN_SCORE) -> DataFrame:
-    """One row for each pair of a row of docs and an item with a passage that scores at least `min_score` of a perfect copy: keys, item_id, score (0 to 1),
+    """One row for each pair of a row of docs and an item with a passage that scores at least `min_score` of a perfect copy, or with an excerpt of the item
+    (EXCERPT matching words and two more for each that differs): keys, item_id, score (0 to 1),
     first_word, last_word (exclusive, of the best passage), n_seeds (words around the passage where a pair of the item begins).
 
     keys are the columns that name a row of docs (copied as they are, null or repeated ones too). Words are lower-cased runs of letters and digits;
@@ -172,10 +177,10 @@ def _find_block(docs: DataFrame, tables: dict | None, keys: list[str], text: str
                     mine = np.unique(at[own[slot]])
                     own[t["slots"][k]] = False
                     best = None
-                    # an alignment of that score is shorter than two items
+                    # an alignment of that score and an excerpt are shorter than two items
                     for lo, hi in _windows(mine, int(t["least"][k]), 2 * len(item), len(ids)):
                         s, end = align(ids[lo:hi], item)
-                        if s >= min_score * MATCH * len(item) and (best is None or s > best[0]):
+                        if (best is None or s > best[0]) and (s >= min_score * MATCH * len(item) or align(ids[lo:hi], item, -2 * MATCH, -2 * MATCH)[0] >= EXCERPT * MATCH):
                             _, back = align(ids[lo:lo + end][::-1], item[::-1])
                             best = s, lo + end - back, lo + end, int(((mine >= lo) & (mine < hi)).sum())
                     if best:
