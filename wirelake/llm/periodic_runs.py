@@ -27,18 +27,26 @@ GRAM = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _distances(x: np.ndarray, g: int) -> np.ndarray:
-    """For each position: how far back the same gram of g words was last seen; 0 if never."""
+def _distances(x: np.ndarray, g: int, below: int | None = None) -> np.ndarray:
+    """For each position: how far back the same gram of g words was last seen; 0 if never, or not nearer than `below`."""
     m = len(x) - g + 1
     if m < 2:
         return np.zeros(max(m, 0), np.int64)
+    out = np.zeros(m, np.int64)
+    if below is not None:
+        for k in range(below - 1, 0, -1):
+            same = x[k:] == x[:-k]
+            for j in range(1, g):
+                same = same[:-1] & (x[k + j:] == x[j:-k])
+            out[k:][same] = k
+        return out
     code = x[:m].astype(np.uint64)
     for k in range(1, g):
         code = (code * _MIX) ^ (code >> np.uint64(29)) ^ x[k:m + k].astype(np.uint64)
     order = np.argsort(code, kind="stable")
-    out = np.zeros(m, np.int64)
-    same = code[order[1:]] == code[order[:-1]]
-    out[order[1:][same]] = (order[1:] - order[:-1])[same]
+    code = code[order]
+    at = np.flatnonzero(code[1:] == code[:-1])
+    out[order[at + 1]] = order[at + 1] - order[at]
     return out
 
 
@@ -57,23 +65,25 @@ def _stretches(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
     octave reaches no more than 2 x octave - 1 - g grams into the beginning of that part and q0 - g into its end: the rest is cut out.
     Grams are compared by hashes; equal hashes of different ones only make distances smaller."""
     n, h = len(x), 1
-    d, of, same = np.zeros(0, np.int64), 0, (np.zeros(0, np.int64),) * 3
     while max(LEAST, POWER * h) <= n:
         g = min(h, GRAM)
-        if g != of:
-            d, of = _distances(x, g), g
-            cut = np.flatnonzero(np.diff(d)) + 1
-            at = np.concatenate(([0], cut))
-            same = (at, np.concatenate((cut, [len(d)])), d[at] if len(d) else np.zeros(1, np.int64))
-            longest = max((int((b - a).max()) for a, b in [_islands(d > 0)] if len(a)), default=0)
+        if h <= GRAM:  # the distances of the longest grams serve all octaves from there
+            d = _distances(x, g, 2 * h if h < GRAM else None)
+            seen = np.flatnonzero(d)
+            # islands of grams that were seen before
+            cut = np.flatnonzero(np.diff(seen) > 1)
+            longest = int(np.diff(np.concatenate(([-1], cut, [len(seen) - 1]))).max()) if len(seen) else 0
         need = max(LEAST, POWER * h) - h - g + 1
         if longest < need:
             if g == GRAM:
                 return  # longer octaves need more
             h *= 2
             continue
+        if h <= GRAM:
+            cut = np.flatnonzero(np.diff(d)) + 1
+            at = np.concatenate(([0], cut))
+            to, q0 = np.concatenate((cut, [len(d)])), d[at]
         near = (d > 0) & (d < 2 * h)
-        at, to, q0 = same
         for k in np.flatnonzero((q0 > 0) & (q0 < h) & (to - at >= 2 * h - g)).tolist():
             lo, hi = int(at[k]) + max(0, 2 * h - 1 - g), int(to[k]) - max(0, int(q0[k]) - g)
             if lo < hi:
