@@ -18,12 +18,15 @@ COLUMNS = {
     "op7_near_dedup": "doc_id bigint n_shingles bigint component_id bigint kept boolean",
     "op8_chat": "conv_id bigint n_turns bigint turns_sha256 string loss_chars bigint loss_sha256 string formatted_chars bigint",
     "op9_url_filter": "page_id bigint host string path string rule string verdict string",
-    "op10_mixing": "doc_id bigint size bigint source_size bigint target double taken bigint"}
+    "op10_mixing": "doc_id bigint size bigint source_size bigint target double taken bigint",
+    "op11_line_quality": "doc_id bigint n_words bigint word_chars bigint n_symbols bigint n_dup_lines bigint n_repeat_words bigint base_failed boolean kept boolean",
+    "op12_periodic_runs": "doc_id bigint n_runs bigint start bigint length bigint period bigint exponent_milli bigint runs_sha256 string collapsed_sha256 string",
+    "op13_turn_repair": "conv_id bigint gaps bigint blank bigint duplicate bigint truncated bigint illegal bigint cost bigint audit string repaired_sha256 string"}
 
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert set(q.QUERIES) | {"pipeline"} <= names and len(q.QUERIES) == 10 and set(q.ORACLES) <= names
+    assert set(q.QUERIES) | {"pipeline"} <= names and len(q.QUERIES) == 13 and set(q.ORACLES) <= names
 
 
 @pytest.mark.parametrize("name", COLUMNS)

@@ -4,8 +4,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontamination, mixing, near_dedup, neighbours, periodic_runs, pii, secret_scan, token_counts, toxicity,
-               turn_repair, url_filter)
+from . import (chat, decontamination, line_quality, mixing, near_dedup, neighbours, periodic_runs, pii, secret_scan, token_counts,
+               toxicity, turn_repair, url_filter)
 from .common import prefix_sums, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,14 @@ m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.m GROUP
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, FALSE) AS kept FROM d JOIN m ON m.r = d.r LEFT JOIN n ON n.r = d.r"""
 
 
+@query
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = line_quality.judge(docs, line_quality.train(docs, table(spark, sf_dir, "labels")))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words",
+                    F.size("boilerplate").cast("bigint").alias("n_boilerplate"))
+
+
 @query
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
