@@ -26,18 +26,21 @@ def preds(spark, rows):
     return spark.createDataFrame([(1, i, c, *map(float, b), float(p)) for i, (c, b, p) in enumerate(rows)], BOX.format("pred_idx") + ", conf double")
 
 
-def test_match_and_confusion(spark):
-    gt = frame(spark, [("resistor", (0, 0, 10, 10)), ("capacitor", (20, 0, 30, 10)), ("text", (40, 0, 50, 10))], "gt_idx")
-    pr = preds(spark, [("resistor", (0, 0, 10, 10), .9), ("resistor", (40, 0, 50, 10), .8), ("capacitor", (80, 0, 90, 10), .7)])
+def test_outcomes_in_a_row_of_tiles(spark):
+    """Tiles of 24 x 12 in a row: one found exactly, one found shifted, one read as another class, one not found, and a prediction beside them all."""
+    tile = lambda k, dx=0: (7 + 30 * k + dx, 3, 31 + 30 * k + dx, 15)
+    gt = frame(spark, [("inductor", tile(0)), ("gnd", tile(1)), ("diode", tile(2)), ("lamp", tile(3))], "gt_idx")
+    pr = preds(spark, [("gnd", tile(1, 5), .31), ("inductor", tile(0), .22), ("junction", tile(2, -3), .64), ("lamp", tile(9), .97)])
     out = M.match_predictions(pr, gt)
-    assert {(r.pred_idx, r.kind, r.gt_idx, r.confused_with) for r in out.collect()} == {(0, "tp", 0, None), (1, "fp", None, "text"), (2, "fp", None, None)}
-    assert sorted(r.gt_idx for r in M.missed(gt, out).collect()) == [1, 2]
+    got = {r.pred_idx: (r.kind, r.gt_idx, r.confused_with) for r in out.collect()}
+    assert got == {0: ("tp", 1, None), 1: ("tp", 0, None), 2: ("fp", None, "diode"), 3: ("fp", None, None)}
+    assert sorted(r.gt_idx for r in M.missed(gt, out).collect()) == [2, 3]
 
 
-def test_duplicate_prediction_is_fp(spark):
-    gt = frame(spark, [("resistor", (0, 0, 10, 10))], "gt_idx")
-    pr = preds(spark, [("resistor", (0, 0, 10, 10), .9), ("resistor", (1, 0, 11, 10), .95)])
-    assert {(r.pred_idx, r.kind) for r in M.match_predictions(pr, gt).collect()} == {(1, "tp"), (0, "fp")}
+def test_the_surer_of_three_predictions_takes_the_object(spark):
+    gt = frame(spark, [("gnd", (100, 40, 140, 60))], "gt_idx")
+    pr = preds(spark, [("gnd", (102, 40, 142, 60), .5), ("gnd", (100, 41, 140, 61), .7), ("gnd", (100, 40, 140, 60), .6)])
+    assert {r.pred_idx: r.kind for r in M.match_predictions(pr, gt).collect()} == {0: "fp", 1: "tp", 2: "fp"}
 
 
 def random_boxes(n, seed, spread):
@@ -77,13 +80,46 @@ def test_greedy_rounds_equal_the_sequential_pass(spark):
     assert {(x.l, x.r) for x in got.collect()} == want
 
 
-def test_crowding_grid_equals_direct(spark):
-    rows = random_boxes(120, 5, 2000) + [("resistor", (0, 0, 4, 4))] * 2
-    d = frame(spark, rows, "idx")
+def sequential(edges):
+    """(group, l, r, w) in the order of w, l, r."""
+    used, won = set(), set()
+    for g, l, r, _ in sorted(edges, key=lambda e: (e[3], e[1], e[2])):
+        if (g, "l", l) not in used and (g, "r", r) not in used:
+            used |= {(g, "l", l), (g, "r", r)}
+            won.add((g, l, r))
+    return won
+
+
+def test_greedy_on_sparse_and_dense_graphs(spark):
+    """Chains with branches, where pointers and ranks take turns."""
+    rnd = random.Random(11)
+    edges = [(g, l, r, rnd.randrange(1000)) for g in range(40) for l, r in itertools.product(range(14), range(14)) if rnd.random() < (0.04, 0.1, 0.15, 0.3)[g % 4]]
+    edges += [(99, k // 2, (k + 1) // 2, k if k % 7 else 1) for k in range(200)]
+    d = spark.createDataFrame(edges, "image_id long, l long, r long, w long")
+    got = M.greedy_one_to_one(d, ["image_id"], "l", "r", [F.col("w"), F.col("l").alias("a"), F.col("r").alias("b")])
+    assert {(x.image_id, x.l, x.r) for x in got.collect()} == sequential(edges)
+
+
+def direct_crowding(rows):
     c = [((b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for _, b in rows]
     near = [min(math.dist(p, q) for j, q in enumerate(c) if j != i) for i, p in enumerate(c)]
-    want = sum(max(b[2] - b[0], b[3] - b[1]) / (m + 1e-9) for (_, b), m in zip(rows, near)) / len(rows)
-    assert abs(M.crowding(d).collect()[0].crowding - want) / want < 1e-9
+    return sum(max(b[2] - b[0], b[3] - b[1]) / (m + 1e-9) for (_, b), m in zip(rows, near)) / len(rows)
+
+
+def test_crowding_grid_equals_direct(spark):
+    rows = random_boxes(120, 5, 2000) + [("resistor", (0, 0, 4, 4))] * 2
+    got, want = M.crowding(frame(spark, rows, "idx")).collect()[0].crowding, direct_crowding(rows)
+    assert abs(got - want) / want < 1e-9
+
+
+def test_crowding_of_clusters_and_far_boxes(spark):
+    """Dense clusters across the axes, lone boxes near and very far: the pyramid has many levels."""
+    rnd = random.Random(6)
+    box = lambda x, y, s: ("lamp", (x - s, y - s, x + s, y + s))
+    rows = [box(rnd.gauss(0, 3), rnd.gauss(0, 3), rnd.uniform(1, 4)) for _ in range(80)] + [box(5000 + rnd.gauss(0, 0.01), -900 + rnd.gauss(0, 0.01), 2) for _ in range(40)]
+    rows += [box(x, y, 5) for x, y in ((40, 0), (-170, 60), (4900, -900), (1e9, 3), (-3e8, 1e7), (4990, -880))]
+    got, want = M.crowding(frame(spark, rows, "idx")).collect()[0].crowding, direct_crowding(rows)
+    assert abs(got - want) / want < 1e-9
 
 
 def test_crowding_without_corners(spark):
@@ -101,11 +137,13 @@ def test_low_threshold_and_far_sizes(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_chain_of_contested_edges(spark):
-    """Each edge waits for the one before it."""
-    d = spark.createDataFrame([(1, k // 2, (k + 1) // 2, k) for k in range(24)], "image_id long, l long, r long, w long")
+def test_chain_of_contested_edges(spark, monkeypatch):
+    """Each of 1,000 edges waits for the one before it: rounds as the logarithm of their number."""
+    tables = []
+    monkeypatch.setattr(M, "cut", lambda d, f=M.cut: (tables.append(1), f(d))[1])
+    d = spark.createDataFrame([(1, k // 2, (k + 1) // 2, k) for k in range(1000)], "image_id long, l long, r long, w long")
     got = {(x.l, x.r) for x in M.greedy_one_to_one(d, ["image_id"], "l", "r", [F.col("w")]).collect()}
-    assert got == {(k // 2, (k + 1) // 2) for k in range(0, 24, 2)}
+    assert got == {(k // 2, (k + 1) // 2) for k in range(0, 1000, 2)} and len(tables) <= 14
 
 
 def test_confusion_cells_add_up(spark):

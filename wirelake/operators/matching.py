@@ -83,27 +83,57 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, group: list[str], min_i
     return d.filter((C("iou") > 0) & (C("iou") >= min_iou))
 
 
+def alone_and_contested(edges: DataFrame, group: list[str], left: str, right: str) -> tuple[DataFrame, DataFrame]:
+    """Edges that stand alone at both of their ends, and the others, from one written table."""
+    alone = lambda end: F.count("*").over(Window.partitionBy(*group, end)) == 1
+    e = cut(edges.withColumn("_alone", alone(left) & alone(right)))
+    return e.filter("_alone").drop("_alone"), e.filter("NOT _alone").drop("_alone")
+
+
 def greedy_one_to_one(edges: DataFrame, group: list[str], left: str, right: str, order: list[Column]) -> DataFrame:
-    """Edges a sequential greedy pass in `order` would accept, each end used once; `order` must be free of ties.
+    """Edges a sequential greedy pass in `order` would accept, each end used once; edges are distinct and `order` free of ties.
 
-    An edge that comes first at both of its ends is accepted whatever happens elsewhere, so every round accepts all such edges
-    and drops their neighbours. Edges that stand alone at both ends are accepted before the first round and never written;
-    a round is one window pass over the contested edges and one written table."""
-    first = lambda end: F.min("_o").over(Window.partitionBy(*group, end))
-    alone = lambda end: F.count("*").over(Window.partitionBy(*group, end)) == 1
+    Edges that stand alone at both ends are accepted before the first round. See settle() for the rest."""
     e = edges.withColumn("_o", F.struct(*order)).select(*group, left, right, "_o")
-    e = cut(e.withColumn("_alone", alone(left) & alone(right)))
-    taken = e.filter("_alone").select(*group, left, right)
-    e = e.filter("NOT _alone").drop("_alone")
+    taken, e = alone_and_contested(e, group, left, right)
+    return taken.select(*group, left, right).unionByName(settle(e, group, left, right))
+
+
+def settle(edges: DataFrame, group: list[str], left: str, right: str) -> DataFrame:
+    """Accepted ones among contested edges (group, left, right, _o: their order).
+
+    An edge is accepted if none of the earlier edges at its ends is. So one without undecided earlier edges is accepted, and its neighbours go;
+    and one with a single undecided earlier edge is what that one is not. Such edges point to the earlier one and jump from pointer to pointer,
+    counting turns: a chain of n edges that wait for each other is settled in about log2(n) rounds. A round is two passes of windows (by left
+    end, by right end), one join of the pointers and one written table; an end with very many edges is one window partition."""
+    key = [*group, left, right]
+    at = lambda end: Window.partitionBy(*group, end)
+    # state: true accepted, null open; a rejected edge is dropped. _pl, _pr: the edge it points to; _odd: it is what that one is not
+    e = edges.select(*key, "_o", F.lit(None).cast("boolean").alias("_state"), *[C(x).alias(y) for x, y in ((left, "_pl"), (right, "_pr"))], F.lit(None).cast("boolean").alias("_odd"))
     while True:
-        won = (C("_o") == first(left)) & (C("_o") == first(right))
-        e = e.withColumn("_won", won)
-        gone = lambda end: F.max("_won").over(Window.partitionBy(*group, end))
-        e = cut(e.withColumn("_gone", gone(left) | gone(right)).filter("_won OR NOT _gone").select(*group, left, right, "_o", "_won"))
-        taken = taken.unionByName(e.filter("_won").select(*group, left, right))
-        e = e.filter("NOT _won").drop("_won")
-        if e.isEmpty():
-            return taken
+        # accepted edges stay as targets of pointers; they take no part in the ranks of the others
+        done = C("_state").isNotNull()
+        e = e.withColumn("_hit", F.max(done).over(at(left)) | F.max(done).over(at(right))).filter(done | ~C("_hit")).withColumn("_done", done)
+        for end, other, name in ((right, left, "r"), (left, right, "l")):
+            w = Window.partitionBy(*group, end, "_done").orderBy("_o")
+            e = e.withColumns({"_n" + name: F.row_number().over(w), "_b" + name: F.lag(other).over(w)})
+        first = (C("_nl") == 1) & (C("_nr") == 1)
+        single = ~C("_done") & (C("_nl") + C("_nr") == 3) & C("_odd").isNull()
+        e = cut(e.select(*key, "_o", "_done", (C("_done") | F.when(first, True)).alias("_state"),
+                         F.when(single, F.when(C("_nl") == 2, C(left)).otherwise(C("_br"))).otherwise(C("_pl")).alias("_pl"),
+                         F.when(single, F.when(C("_nl") == 2, C("_bl")).otherwise(C(right))).otherwise(C("_pr")).alias("_pr"),
+                         F.when(single, True).otherwise(C("_odd")).alias("_odd")))
+        e = e.withColumn("_state", F.when(C("_state"), True))
+        if e.filter("_state IS NULL").isEmpty():
+            return e.select(*key)
+        # a target that is not there any more was rejected
+        to = e.select(*group, C(left).alias("_pl"), C(right).alias("_pr"), C("_state").alias("_ts"), C("_pl").alias("_tl"), C("_pr").alias("_tr"), C("_odd").alias("_todd"), F.lit(True).alias("_there"))
+        j = e.join(to, [*group, "_pl", "_pr"], "left")
+        waits = C("_state").isNull() & C("_odd").isNotNull()
+        state = F.when(waits & C("_there").isNull(), C("_odd")).when(waits & C("_ts"), ~C("_odd")).otherwise(C("_state"))
+        hop = waits & C("_there") & C("_ts").isNull() & C("_todd").isNotNull()
+        e = j.select(*key, "_o", state.alias("_state"), F.when(hop, C("_tl")).otherwise(C("_pl")).alias("_pl"), F.when(hop, C("_tr")).otherwise(C("_pr")).alias("_pr"),
+                     F.when(hop, C("_odd") != C("_todd")).otherwise(C("_odd")).alias("_odd")).filter("_state IS NULL OR _state")
 
 
 def _gt_pairs(preds: DataFrame, gts: DataFrame, thr: float) -> DataFrame:
@@ -213,40 +243,48 @@ def attach_values(objects: DataFrame, max_dist: float | None = None) -> DataFram
 
 
 # ---- crowding ----
-def _nearest_grid(pts: DataFrame, first_cell: float = 32.0) -> DataFrame:
-    """Nearest other centre through rising cell sizes. A centre looks at its 3 x 3 cells; a hit within
-    one cell length is final, the others look again in cells four times as large. Centres still open
-    are that far apart from everything, so few of them fall into one cell."""
-    at = pts.groupBy("image_id", "cx", "cy").agg(F.count("*").alias("n"))
-    spots = cut(at)
-    open_ = spots.filter("n = 1").select("image_id", "cx", "cy")
-    found = spots.filter("n > 1").select("image_id", "cx", "cy", F.lit(0.0).alias("d"))
-    size = first_cell
+#: side of the smallest cell; a level has cells four times as wide as the one below
+FINEST = 4.0
+
+
+def nearest_distances(spots: DataFrame) -> DataFrame:
+    """spots(image_id, cx, cy: distinct) -> distance d of each to the nearest other spot of its image (none: no row).
+
+    A pyramid of cells: every spot is counted in its cell of every level, in one aggregate. Cells nest, so a spot is alone in its cell up to some
+    level; in the cell above it another one lies within 1.5 cell sides. The 3 x 3 cells of the next level then hold the nearest one, and one join finds it.
+    Spots that look at one level are each alone in a cell 16 times as narrow, so few of them meet any other spot; those within the finest cell
+    are compared directly."""
+    box = spots.groupBy("image_id").agg(F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("_extent"), F.count("*").alias("_k")).filter("_k > 1")
+    # at the top level all spots of an image lie in 3 x 3 cells
+    top = F.ceil(F.log(4.0, F.greatest(C("_extent") / FINEST, F.lit(1.0)))).cast("int") + 1
+    s = spots.join(box.select("image_id", top.alias("_top")), "image_id").select("image_id", "cx", "cy", "_top")
+    size = F.lit(FINEST) * F.pow(F.lit(4.0), C("_lv"))
+    cell = lambda d: d.withColumns({"_gx": F.floor(C("cx") / size), "_gy": F.floor(C("cy") / size)})
+    levels = cell(s.withColumn("_lv", F.explode(F.sequence(F.lit(0), C("_top")))))
+    alone = (levels.filter("_lv < _top").groupBy("image_id", "_lv", "_gx", "_gy")
+             .agg(F.count("*").alias("_k"), F.min("cx").alias("cx"), F.min("cy").alias("cy")).filter("_k = 1"))
+    up = alone.groupBy("image_id", "cx", "cy").agg(F.max("_lv").alias("_alone"))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    while True:
-        q = open_.withColumn("_gx", F.explode(F.transform(near, lambda k: F.floor(C("cx") / size) + k))) \
-                 .withColumn("_gy", F.explode(F.transform(near, lambda k: F.floor(C("cy") / size) + k)))
-        o = spots.select("image_id", C("cx").alias("ox"), C("cy").alias("oy"), F.floor(C("cx") / size).alias("_gx"), F.floor(C("cy") / size).alias("_gy"))
-        dx, dy = C("cx") - C("ox"), C("cy") - C("oy")
-        hit = q.join(o, ["image_id", "_gx", "_gy"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter("d > 0") \
-               .groupBy("image_id", "cx", "cy").agg(F.min("d").alias("d")).filter(C("d") <= size)
-        # one table a round: what was found, and what is still open (d is null)
-        both = cut(open_.join(hit, ["image_id", "cx", "cy"], "left"))
-        found = found.unionByName(both.filter("d IS NOT NULL"))
-        open_ = both.filter("d IS NULL").drop("d")
-        if open_.isEmpty():
-            return pts.join(found, ["image_id", "cx", "cy"]).select("image_id", "idx", "d")
-        size *= 4
+    q = s.join(up, ["image_id", "cx", "cy"], "left").withColumn("_lv", F.least(C("_top"), F.coalesce("_alone", F.lit(-1)) + 2))
+    q = cell(q).withColumn("_gx", F.explode(F.transform(near, lambda k: C("_gx") + k))).withColumn("_gy", F.explode(F.transform(near, lambda k: C("_gy") + k)))
+    o = levels.select("image_id", C("cx").alias("ox"), C("cy").alias("oy"), "_lv", "_gx", "_gy")
+    dx, dy = C("cx") - C("ox"), C("cy") - C("oy")
+    return (q.join(o, ["image_id", "_lv", "_gx", "_gy"]).filter("cx <> ox OR cy <> oy")
+            .groupBy("image_id", "cx", "cy").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("d")))
 
 
 def crowding(boxes: DataFrame) -> DataFrame:
     """Per image the mean of longer side / distance to the nearest other centre; 0 below two boxes. Boxes without four finite corners
     don't count, but their image has a row."""
     cx, cy = B.centre(*B.corners())
-    pts = boxes.select("image_id", "idx", cx.alias("cx"), cy.alias("cy"), B.longer_side(*B.corners()).alias("side"))
+    pts = boxes.select("image_id", cx.alias("cx"), cy.alias("cy"), B.longer_side(*B.corners()).alias("side"))
     finite = lambda c: C(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    pts = cut(pts.withColumn("ok", finite("cx") & finite("cy") & finite("side")))
-    n = pts.filter("ok").groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1")
-    near = _nearest_grid(pts.filter("ok").join(n, "image_id", "left_semi"))
-    d = pts.filter("ok").join(near, ["image_id", "idx"]).groupBy("image_id").agg(F.avg(C("side") / (C("d") + 1e-9)).alias("crowding"))
-    return pts.select("image_id").distinct().join(d, "image_id", "left").select("image_id", F.coalesce("crowding", F.lit(0.0)).alias("crowding"))
+    ok = finite("cx") & finite("cy") & finite("side")
+    pts = pts.withColumns({c: F.when(ok, C(c)) for c in ("cx", "cy", "side")})
+    # boxes with one centre are one spot; those that don't count are one row of their image
+    spots = cut(pts.groupBy("image_id", "cx", "cy").agg(F.count("side").alias("n"), F.sum("side").alias("side")))
+    d = spots.filter("n > 0").join(nearest_distances(spots.filter("n > 0")), ["image_id", "cx", "cy"], "left")
+    # of several boxes on one spot each has another at distance 0
+    share = C("side") / (F.when(C("n") > 1, 0.0).otherwise(C("d")) + 1e-9)
+    d = d.groupBy("image_id").agg((F.sum(share) / F.sum("n")).alias("crowding"))
+    return spots.select("image_id").distinct().join(d, "image_id", "left").select("image_id", F.coalesce("crowding", F.lit(0.0)).alias("crowding"))

@@ -16,7 +16,7 @@ def image_scores(preds: DataFrame, gts: DataFrame, outcomes: DataFrame) -> DataF
         F.count_if(C("kind") == "tp").alias("tp"), F.count_if(C("kind") == "fp").alias("fp"),
         F.count("confused_with").alias("misclassified"), F.count_if(C("confused_with").isNotNull() & is_text).alias("text_confusion"))
     g = gts.groupBy("image_id").agg(F.count("*").alias("gt"))
-    d = g.join(p, "image_id", "full_outer").join(M.crowding(gts.withColumn("idx", C("gt_idx"))), "image_id", "left")
+    d = g.join(p, "image_id", "full_outer").join(M.crowding(gts), "image_id", "left")
     d = d.fillna(0, ["gt", "tp", "fp", "misclassified", "text_confusion"]).fillna(0.0, ["crowding"])
     return d.withColumn("fn", C("gt") - C("tp"))
 
@@ -41,10 +41,12 @@ def with_mean(scores: DataFrame) -> DataFrame:
 def threshold_matches(preds: DataFrame, gts: DataFrame, thresholds: list[float]) -> DataFrame:
     """Counts of true positives and predictions per (class, threshold, confidence). Rows of equal
     confidence enter the curve together, so its shape does not depend on their order."""
-    pairs = M._gt_pairs(preds, gts, 0.5).filter("cls = gt_cls")
-    at = F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= C("iou"))
-    edges = pairs.withColumn("thr", F.explode(at))
-    won = M.greedy_one_to_one(edges, ["thr", "image_id"], "pred_idx", "gt_idx", M.match_order())
+    pairs = M._gt_pairs(preds, gts, min(thresholds)).filter("cls = gt_cls").withColumn("_o", F.struct(*M.match_order()))
+    at = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= C("iou"))).alias("thr")
+    # what stands alone at the lowest threshold does so at all of them
+    alone, contested = M.alone_and_contested(pairs.select("image_id", "pred_idx", "gt_idx", "iou", "_o"), ["image_id"], "pred_idx", "gt_idx")
+    keys = ["thr", "image_id", "pred_idx", "gt_idx"]
+    won = alone.select("*", at).select(*keys).unionByName(M.settle(contested.select("*", at), ["thr", "image_id"], "pred_idx", "gt_idx").select(*keys))
     hits = preds.select("image_id", "pred_idx", "cls", "conf").join(won, ["image_id", "pred_idx"]) \
                 .groupBy("cls", "thr", "conf").agg(F.count("*").alias("tp"))
     n = preds.groupBy("cls", "conf").agg(F.count("*").alias("n"))
