@@ -121,3 +121,33 @@ def test_same_partition(spark):
     rows = [(1, 5, 1), (1, 6, 2), (1, 5, 1), (2, 5, 1), (2, 5, 2), (3, 5, 1), (3, 6, 1)]
     d = spark.createDataFrame(rows, "k long, pred long, true long")
     assert {r.k: r.same for r in W.same_partition(d, ["k"]).collect()} == {1: True, 2: False, 3: False}
+
+
+def grid(w, h, wrap):
+    cell = lambda x, y: str(x % w + w * (y % h))
+    return [f"R{k} {a} {b} 1k" for k, (a, b) in enumerate((cell(x, y), cell(x + dx, y + dy)) for x in range(w) for y in range(h) for dx, dy in ((1, 0), (0, 1))
+            if wrap or (x + dx < w and y + dy < h))]
+
+
+def test_symmetric_graphs(spark):
+    """Stars, complete graphs, bundles of equal chains, tori and many equal parts: thousands of automorphisms."""
+    star = [f"R{k} 0 {k} 1k" for k in range(1, 60)]
+    full = [f"C{a}x{b} {a} {b} 1u" for a in range(9) for b in range(a)]
+    bundle = [f"R{k}{x} {a} {b} 1k" for k in range(12) for x, (a, b) in enumerate((("0", f"{k}1"), (f"{k}1", f"{k}2"), (f"{k}2", "9")))]
+    parts = [x for k in range(25) for x in ring([f"{k}00{j}" for j in range(4)])]
+    graphs = {"star": star, "full": full, "bundle": bundle, "torus": grid(5, 5, True), "torus64": grid(6, 4, True), "torus83": grid(8, 3, True), "grid": grid(5, 5, False), "parts": parts,
+              "parts8": [x for k in range(12) for x in ring([f"{k}00{j}" for j in range(8)])] + ring(["1", "2", "3", "4"]), "rest": bundle + ["L1 0 9 1m"], "turned": star[:-1] + ["R99 1 2 1k"]}
+    texts = {f"{k}/{s}": "\n".join(shuffled(g, s)) for k, g in graphs.items() for s in range(3)}
+    c = classes(spark, texts, False)
+    assert all((c[a] == c[b]) == (a.split("/")[0] == b.split("/")[0]) for a in texts for b in texts)
+
+
+def test_large_circuits_are_refined_by_spark(spark, monkeypatch):
+    """With a small bound: the same partition by colours, fingerprints and canonical forms of what stays tied."""
+    chain = [f"{'RCL'[k % 3]}{k} {k} {k + 1} {k}k" for k in range(12)]
+    graphs = {"ring": ring([str(k) for k in range(12)]), "two": ring([str(k) for k in range(6)]) + ring([str(k) for k in range(6, 12)]), "chain": chain, "turned": chain[:-1] + ["V1 11 12 5"], "small": ["R1 0 1 1k"]}
+    texts = {f"{k}/{s}": "\n".join(shuffled(g, s) if k != "turned" else g) for k, g in graphs.items() for s in range(2)}
+    want = classes(spark, texts, False)
+    monkeypatch.setattr(Q, "LARGE", 8)
+    c = classes(spark, texts, False)
+    assert all((c[a] == c[b]) == (want[a] == want[b]) == (a.split("/")[0] == b.split("/")[0]) for a in texts for b in texts)

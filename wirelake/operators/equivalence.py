@@ -2,13 +2,20 @@
 
 Equivalence is a partition, so every circuit gets a class id once and comparing two circuits, or
 counting equal pairs in a group, is a comparison of ids. No pairs are formed."""
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import value_label
 from ..session import cut
+from .canonical import canonical_form
 
 C = F.col
+#: circuits with more elements have their colours refined by Spark; the others go through one grouped step
+LARGE = 20_000
+KINDS = {"topology": False, "exact": True}
 
 
 def _lanes(h: Column) -> list[Column]:
@@ -16,9 +23,9 @@ def _lanes(h: Column) -> list[Column]:
     return [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_lo"), F.sum(F.shiftrightunsigned(h, 32)).alias("_hi"), F.count("*").alias("_n")]
 
 
-def _edges(elements: DataFrame, values: bool) -> DataFrame:
-    lab = value_label(C("prefix"), C("num"), C("txt"), values)
-    return elements.select("circuit_id", lab.alias("label"), C("prefix").isin("D", "V").alias("polar"), "n1", "n2")
+def _edges(elements: DataFrame, kinds: list[str]) -> DataFrame:
+    labels = [value_label(C("prefix"), C("num"), C("txt"), KINDS[k]).alias(k) for k in kinds]
+    return elements.filter("circuit_id IS NOT NULL").select("circuit_id", *labels, C("prefix").isin("D", "V").alias("polar"), "n1", "n2")
 
 
 def _colours(edges: DataFrame) -> DataFrame:
@@ -43,81 +50,43 @@ def _colours(edges: DataFrame) -> DataFrame:
             "circuit_id", "net", F.xxhash64("colour", "c2").alias("colour")))
 
 
-@F.pandas_udf(T.BooleanType())
-def same_graph(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact check of two edge lists, rows 'label<TAB>polar<TAB>net<TAB>net<TAB>colour<TAB>colour'."""
-    return pd.Series([_isomorphic(x, y) for x, y in zip(a, b)])
-
-
-def _stable(edges: list, colour: dict) -> dict:
-    """Colour refinement of one graph; equal graphs get equal colours."""
-    at: dict = {n: [] for n in colour}
-    for lab, polar, u, v in edges:
-        at[u].append((lab, "a" if polar else "", v))
-        at[v].append((lab, "b" if polar else "", u))
-    while True:
-        new = {n: hash((colour[n], tuple(sorted((lab, s, colour[o]) for lab, s, o in at[n])))) for n in colour}
-        if len(set(new.values())) == len(set(colour.values())):
-            return new
-        colour = new
-
-
-def _isomorphic(a: str, b: str) -> bool:
-    """Individualise and refine: while nets are tied, one net of the smallest tied colour of the first graph is marked, and a net of that colour of the
-    second that leads to the same colours; only graphs that refinement confuses even then make it try another one."""
-    from collections import Counter
-
-    def read(text):
-        edges, colour = [], {}
-        for r in text.split("\n"):
-            lab, polar, u, v, cu, cv = r.split("\t")
-            edges.append((lab, polar == "1", u, v))
-            colour[u], colour[v] = hash(cu), hash(cv)
-        return edges, colour
-
-    def named(edges, colour):
-        return Counter((lab, (colour[u], colour[v]) if polar else tuple(sorted((colour[u], colour[v])))) for lab, polar, u, v in edges)
-    (ea, ca), (eb, cb) = read(a), read(b)
-    # a stack of choices instead of recursion: colours of the first graph, and the colourings of the second still to try beside it
-    ca, cb = _stable(ea, ca), _stable(eb, cb)
-    if Counter(ca.values()) != Counter(cb.values()):
-        return False
-    stack = [(ca, iter([cb]))]
-    while stack:
-        left, options = stack[-1]
-        right = next(options, None)
-        if right is None:
-            stack.pop()
-            continue
-        sizes = Counter(left.values())
-        tied = [(n, c) for c, n in sizes.items() if n > 1]
-        if not tied:
-            if named(ea, left) == named(eb, right):
-                return True
-            continue
-        _, c = min(tied)
-        pick = min(n for n, x in left.items() if x == c)
-        marked = _stable(ea, left | {pick: hash((c, "marked"))})
-        want = Counter(marked.values())
-
-        def tries(right=right, c=c, want=want):
-            for m in sorted(n for n, x in right.items() if x == c):
-                got = _stable(eb, right | {m: hash((c, "marked"))})
-                if Counter(got.values()) == want:
-                    yield got
-        stack.append((marked, tries()))
-    return False
-
-
-def classes(elements: DataFrame, circuits: DataFrame, values: bool = True) -> DataFrame:
-    """(circuit_id, class_id): equal ids exactly where the circuits are equivalent.
-
-    1. Colour refinement gives a fingerprint; different fingerprints are never equivalent.
-    2. Where all nets of a circuit have different colours the fingerprint settles it.
-    3. The rest is reduced to distinct edge lists, and each is checked against one representative of
-       its fingerprint; what fails stands against the next representative.
-    Circuits without elements form one class of their own."""
-    edges = _edges(elements, values)
+def _hashed(form: str) -> str:
+    return hashlib.sha256(form.encode()).hexdigest()
+
+
+def _forms(edges: DataFrame, kinds: list[str], colours: bool = False) -> DataFrame:
+    """(circuit_id, one class id for each kind) by the canonical form of each circuit. Rows of a circuit come side by side in a sorted partition,
+    so a task holds one circuit at a time. With `colours`, columns c1 and c2 tell the nets apart already."""
+    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows = None, []
+
+        def done() -> list:
+            found = {r[-4]: r[-2] for r in rows} | {r[-3]: r[-1] for r in rows} if colours else {}
+            rank = {c: i for i, c in enumerate(sorted(set(found.values())))}
+            start = {n: rank[c] for n, c in found.items()}
+            n = len(kinds)
+            return [at, *(_hashed(canonical_form([(r[k], r[n], r[n + 1], r[n + 2]) for r in rows], start or None)) for k in range(n))]
+        for b in batches:
+            out = []
+            for circuit, *row in zip(*[b[c] for c in b.columns], strict=True):
+                if circuit != at:
+                    if rows:
+                        out.append(done())
+                    at, rows = circuit, []
+                rows.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=["circuit_id", *kinds])
+        if rows:
+            yield pd.DataFrame([done()], columns=["circuit_id", *kinds])
+    d = edges.select("circuit_id", *kinds, "polar", "n1", "n2", *(["c1", "c2"] if colours else []))
+    kind = d.schema["circuit_id"].dataType.simpleString()
+    return d.repartition("circuit_id").sortWithinPartitions("circuit_id").mapInPandas(settled, f"circuit_id {kind}, " + ", ".join(f"{k} string" for k in kinds))
+
+
+def _large(edges: DataFrame, kind: str) -> DataFrame:
+    """(circuit_id, class id) of large circuits: a fingerprint of the stable colours where all nets have different ones, else the canonical
+    form that starts from them."""
+    edges = edges.withColumnRenamed(kind, "label")
     col = cut(_colours(edges))
     c = lambda k: col.select("circuit_id", C("net").alias("n" + k), C("colour").alias("c" + k))
     e = edges.join(c("1"), ["circuit_id", "n1"]).join(c("2"), ["circuit_id", "n2"])
@@ -128,30 +97,31 @@ def classes(elements: DataFrame, circuits: DataFrame, values: bool = True) -> Da
     by_net = per_colour.groupBy("circuit_id").agg(*_lanes(F.xxhash64("colour", "m")), F.max("m").alias("tied")).select(
         "circuit_id", F.concat_ws(":", "_lo", "_hi", "_n").alias("fn"), "tied")
     fp = cut(by_edge.join(by_net, "circuit_id").select("circuit_id", F.concat_ws("/", "fe", "fn").alias("fp"), (C("tied") > 1).alias("tied")))
-    # edge lists of circuits with tied nets. Nets are renamed by their position among (colour, name), ends of unpolarised elements are ordered,
-    # so copies with other names mostly become the same list
-    tied = fp.filter("tied").select("circuit_id", "fp")
-    place = F.row_number().over(Window.partitionBy("circuit_id").orderBy("colour", "net")).cast("string")
-    at = lambda k: col.join(tied.select("circuit_id"), "circuit_id", "left_semi").select("circuit_id", C("net").alias("n" + k), place.alias("p" + k))
-    turned = ~C("polar") & (F.struct("c1", "p1") > F.struct("c2", "p2"))
-    one = lambda x: F.when(turned, C(x + "2")).otherwise(C(x + "1"))
-    two = lambda x: F.when(turned, C(x + "1")).otherwise(C(x + "2"))
-    row = F.concat_ws("\t", "label", F.when(C("polar"), "1").otherwise("0"), one("p"), two("p"), one("c"), two("c"))
-    lists = e.join(tied, "circuit_id").join(at("1"), ["circuit_id", "n1"]).join(at("2"), ["circuit_id", "n2"]).groupBy("circuit_id", "fp").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("edges"))
-    lists = cut(lists)
-    pending = cut(lists.select("fp", "edges").distinct())
-    settled, k = None, 0
-    while not pending.isEmpty():
-        rep = pending.groupBy("fp").agg(F.min("edges").alias("rep"))
-        checked = cut(pending.join(rep, "fp").withColumn("same", (C("edges") == C("rep")) | same_graph("edges", "rep")))
-        hit = checked.filter("same").select("fp", "edges", F.lit(k).alias("k"))
-        settled = hit if settled is None else settled.unionByName(hit)
-        pending = checked.filter("NOT same").select("fp", "edges")
-        k += 1
-    plain = fp.filter("NOT tied").select("circuit_id", C("fp").alias("class_id"))
-    if settled is not None:
-        plain = plain.unionByName(lists.join(settled, ["fp", "edges"]).select("circuit_id", F.concat_ws("#", "fp", "k").alias("class_id")))
-    return circuits.join(plain, "circuit_id", "left").select("circuit_id", F.coalesce("class_id", F.lit("empty")).alias("class_id"))
+    tied = e.join(fp.filter("tied").select("circuit_id"), "circuit_id", "left_semi").withColumnRenamed("label", kind)
+    return fp.filter("NOT tied").select("circuit_id", C("fp").alias(kind)).unionByName(_forms(tied, [kind], colours=True))
+
+
+def class_ids(elements: DataFrame, circuits: DataFrame, kinds: list[str]) -> DataFrame:
+    """circuit_id and one class id for each of kinds ("topology": labels without values, "exact": with them): equal ids exactly where the
+    circuits are equivalent. One shuffle by circuit gives the canonical forms of all kinds; no circuit is compared with
+    another. Circuits of more than LARGE elements are refined by Spark first, so that only those whose nets stay tied are held by a task.
+    Circuits without elements form one class of their own."""
+    e = _edges(elements, kinds)
+    big = cut(e.groupBy("circuit_id").agg(F.count("*").alias("n")).filter(C("n") > LARGE).select("circuit_id"))
+    if big.isEmpty():
+        ids = _forms(e, kinds)
+    else:
+        ids, large = _forms(e.join(big, "circuit_id", "left_anti"), kinds), big
+        for k in kinds:
+            large = large.join(_large(cut(e.join(big, "circuit_id", "left_semi").select("circuit_id", k, "polar", "n1", "n2")), k), "circuit_id")
+        ids = ids.unionByName(large)
+    return circuits.join(ids, "circuit_id", "left").fillna("empty", kinds)
+
+
+def classes(elements: DataFrame, circuits: DataFrame, values: bool = True) -> DataFrame:
+    """(circuit_id, class_id), with or without values."""
+    kind = "exact" if values else "topology"
+    return class_ids(elements, circuits, [kind]).withColumnRenamed(kind, "class_id")
 
 
 def compared(pairs: DataFrame, cls: DataFrame, out: str) -> DataFrame:

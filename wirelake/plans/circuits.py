@@ -269,8 +269,9 @@ JOIN topo a ON a.circuit_id = p.circuit_id JOIN topo b ON b.circuit_id = p.ref_i
 def grf3(spark, sf):
     el = cut(parsed_elements(spark, sf))
     circuits = el.select("circuit_id").distinct()
-    d = Q.compared(pairs(spark, sf), Q.classes(el, circuits, False), "topology_match")
-    d = Q.compared(d, Q.classes(el, circuits, True), "exact_match")
+    ids = cut(Q.class_ids(el, circuits, ["topology", "exact"]))
+    d = Q.compared(pairs(spark, sf), ids.select("circuit_id", C("topology").alias("class_id")), "topology_match")
+    d = Q.compared(d, ids.select("circuit_id", C("exact").alias("class_id")), "exact_match")
     return d.select("circuit_id", "ref_id", C("topology_match").cast("int").alias("topology_match"), C("exact_match").cast("int").alias("exact_match"))
 
 
