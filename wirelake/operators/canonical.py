@@ -8,14 +8,11 @@ Edge = tuple[str, bool, object, object]  # label, polar, first net, second net
 def _refined(near: dict, colour: dict) -> dict:
     """Coarsest stable colouring below `colour`; colours are ranks of what is seen, so they don't depend on names."""
     while True:
-        seen = {n: (colour[n], sorted((lab, side, colour[o]) for lab, side, o in near[n])) for n in colour}
-        rank: dict = {}
-        for s in sorted(seen.values()):
-            rank.setdefault(repr(s), len(rank))
-        new = {n: rank[repr(s)] for n, s in seen.items()}
-        if len(rank) == len(set(colour.values())):
-            return new
-        colour = new
+        seen = {n: (colour[n], tuple(sorted((lab, side, colour[o]) for lab, side, o in near[n]))) for n in colour}
+        rank = {s: k for k, s in enumerate(sorted(set(seen.values())))}
+        if len(rank) == len(set(colour.values())) or len(rank) == len(colour):
+            return {n: rank[s] for n, s in seen.items()}
+        colour = {n: rank[s] for n, s in seen.items()}
 
 
 def _listed(edges: list[Edge], at: dict) -> list:

@@ -24,7 +24,7 @@ def _lanes(h: Column) -> list[Column]:
 
 
 def _edges(elements: DataFrame, kinds: list[str]) -> DataFrame:
-    labels = [value_label(C("prefix"), C("num"), C("txt"), KINDS[k]).alias(k) for k in kinds]
+    labels = [F.coalesce(value_label(C("prefix"), C("num"), C("txt"), KINDS[k]), F.lit("")).alias(k) for k in kinds]
     return elements.filter("circuit_id IS NOT NULL").select("circuit_id", *labels, C("prefix").isin("D", "V").alias("polar"), "n1", "n2")
 
 

@@ -244,7 +244,7 @@ def attach_values(objects: DataFrame, max_dist: float | None = None) -> DataFram
 
 # ---- crowding ----
 #: side of the smallest cell; a level has cells four times as wide as the one below
-FINEST = 4.0
+FINEST = 16.0
 
 
 def nearest_distances(spots: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def nearest_distances(spots: DataFrame) -> DataFrame:
     are compared directly."""
     box = spots.groupBy("image_id").agg(F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("_extent"), F.count("*").alias("_k")).filter("_k > 1")
     # at the top level all spots of an image lie in 3 x 3 cells
-    top = F.ceil(F.log(4.0, F.greatest(C("_extent") / FINEST, F.lit(1.0)))).cast("int") + 1
+    top = F.ceil(F.log(4.0, F.greatest(C("_extent") / FINEST, F.lit(1.0)))).cast("int")
     s = spots.join(box.select("image_id", top.alias("_top")), "image_id").select("image_id", "cx", "cy", "_top")
     size = F.lit(FINEST) * F.pow(F.lit(4.0), C("_lv"))
     cell = lambda d: d.withColumns({"_gx": F.floor(C("cx") / size), "_gy": F.floor(C("cy") / size)})
