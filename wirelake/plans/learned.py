@@ -30,7 +30,7 @@ def stm1(spark, sf):
     for k in (0, 1):
         docs.filter(C("image_id") % 2 == k).write.mode("append").parquet(folder)
         R.incremental_counts(R.annotation_stream(spark, folder), split_images(spark, sf), out, state)
-    return spark.read.parquet(out)
+    return R.counts(spark, out)
 
 
 @query("stm2_drift_guard", """SELECT image_id, k, label, CAST(1 AS BIGINT) AS extra, side FROM (SELECT l_orderkey AS image_id, concat(l_partkey, '/', l_suppkey, '/', l_linenumber) AS k, (['resistor','capacitor.polarized','inductor','voltage.dc','voltage.battery','diode',' Diode.Zener ','gnd','junction','crossover','text','transistor.bjt','lamp'])[l_partkey % 13 + 1] AS label, 'approved' AS side FROM lineitem
