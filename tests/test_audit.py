@@ -76,3 +76,26 @@ def test_drift(spark):
     new = spark.createDataFrame([(1, "a"), (2, "c")], "id long, label string")
     assert {tuple(r) for r in A.signed_diff(new, old).select("id", "label", "extra", "side").collect()} == {(1, "a", 1, "approved"), (2, "b", 1, "approved"), (2, "c", 1, "new")}
     assert A.signed_diff(old, old).isEmpty()
+
+
+def test_one_file_for_each_key(spark, tmp_path):
+    """Written whole or not at all: nothing is left of a failed write, a second write adds and replaces."""
+    import os
+
+    import pytest
+
+    from wirelake.sources import artefacts as J, inventory as I, keyed_files as K
+    root = str(tmp_path / "out")
+    files = lambda: sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs)
+    d = spark.range(200).selectExpr("concat('train/', id, '.txt') AS path", "concat('1 0.5 0.5 0.1 0.', id, '\\n2 0 0 0 0\\n') AS text").repartition(7)
+    K.write(d, root)
+    assert files() == sorted(["_SUCCESS", *(f"train/{k}.txt" for k in range(200))])
+    K.write(spark.createDataFrame([("val/x y.txt", None), ("train/3.txt", "new\n")], "path string, text string"), root)
+    assert {(r.split, r.stem): r.n for r in J.read_label_lines(spark, f"{root}/*").groupBy("split", "stem").count().withColumnRenamed("count", "n").collect()}[("train", "3")] == 1
+    listed = I.below(I.list_files(spark, root), root)
+    assert "val/x y.txt" in files() and listed.count() == 200 and listed.filter("path = 'train/7.txt'").count() == 1  # Spark lists no empty files
+    with pytest.raises(Exception):
+        K.write(spark.createDataFrame([("a/b.txt", "x"), ("a/../b.txt", "x")], "path string, text string").coalesce(1), root)
+    assert not any(f.startswith(("a/", "_staging")) for f in files())
+    K.write(d.limit(0), root)
+    assert len(files()) == 202

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from ..functions import symbols as S, wording as T
 from ..operators import equivalence as Q, evaluation as E, matching as M, netlists as N, nets as W
-from ..session import cut
+from ..session import cut, scratch_path
+from ..sources import artefacts as J, keyed_files as K
 from .detection import ATTACH_SQL, IOU_SQL
 from .fixtures import view
 from .projections import CHAR_ACC_SQL, IS_NUMBER_SQL, NUMBER_SQL, drawn_value_sql
@@ -165,16 +166,27 @@ ELSE concat('* WARNING ', ref, ': found ', len(nets), ' terminals [', array_to_s
 
 @query("str15_element_lines", f"WITH RECURSIVE {TRACE_SQL} {BODY_SQL}")
 def str15(spark, sf):
-    return src10(spark, sf).filter("section IN (2, 4)")
+    return netlist_rows(spark, sf).filter("section IN (2, 4)")
 
 
-@query("src10_netlist_text", f"""WITH RECURSIVE {TRACE_SQL} SELECT image_id, CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, line FROM ({BODY_SQL} UNION ALL SELECT image_id, 0, 0, concat('* image ', image_id) FROM traced GROUP BY image_id
+_TEXT_SQL = f"""SELECT image_id, CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, line FROM ({BODY_SQL} UNION ALL SELECT image_id, 0, 0, concat('* image ', image_id) FROM traced GROUP BY image_id
 UNION ALL SELECT image_id, 1, 0, concat('* ground: ', any_value(rule)) FROM traced GROUP BY image_id UNION ALL SELECT image_id, 3, 0, '.model DMOD D' FROM traced WHERE cls = 'diode' AND len(nets) = 2 GROUP BY image_id
-UNION ALL SELECT image_id, 5, 0, '.op' FROM traced GROUP BY image_id UNION ALL SELECT image_id, 6, 0, '.end' FROM traced GROUP BY image_id)""")
-def src10(spark, sf):
+UNION ALL SELECT image_id, 5, 0, '.op' FROM traced GROUP BY image_id UNION ALL SELECT image_id, 6, 0, '.end' FROM traced GROUP BY image_id)"""
+
+
+def netlist_rows(spark, sf):
     return W.netlist_lines(cut(traced(spark, sf)), F.concat(F.lit("image "), C("image_id").cast("string")), F.concat(F.lit("ground: "), C("rule")))
 
 
+@query("src10_netlist_text", f"WITH RECURSIVE {TRACE_SQL} SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY section, ord) AS line_no, line FROM ({_TEXT_SQL})")
+def src10(spark, sf):
+    """One netlist file for each image, written as such and read back line by line."""
+    root = scratch_path(spark, "traced")
+    docs = J.line_documents(netlist_rows(spark, sf).withColumn("at", F.struct("section", "ord")), "image_id", "at")
+    K.write(docs.select(F.concat(F.lit("image"), (C("image_id") % 100).cast("string"), F.lit("/"), C("image_id").cast("string"), F.lit(".cir")).alias("path"), "text"), root)
+    return J.text_lines(J.read_netlists(spark, f"{root}/*").select(C("stem").cast("long").alias("image_id"), "text"), ["image_id"])
+
+
 @query("str19_report_warnings", f"""WITH RECURSIVE {TRACE_SQL} SELECT image_id, CAST(kind AS INTEGER) AS kind, CAST(ord AS BIGINT) AS ord, text FROM (
 SELECT image_id, CASE WHEN len(nets) = 2 THEN 1 ELSE 0 END AS kind, det_idx AS ord, CASE WHEN len(nets) <> 2 THEN concat(ref, ' was left out: ', len(nets), ' wire ends were found at it instead of 2.')
 WHEN value IS NULL AND cls <> 'diode' THEN concat(ref, ': no value label was read; the default ', {DEFAULT_SQL}, ' was used.')

@@ -5,7 +5,7 @@ from ..functions import boxes as B, symbols as S, wording as T
 from ..operators import audit as A, conversion as V
 from ..operators.sampling import stratified_sample
 from ..session import cut, scratch_path
-from ..sources import annotations as X, artefacts as J, inventory as I
+from ..sources import annotations as X, artefacts as J, inventory as I, keyed_files as K
 from ..vocabulary import CLASSES
 from .fixtures import view
 from .projections import TEST, VAL, _CLIP, _RAWROT, _ROT, box_texts
@@ -65,15 +65,21 @@ SELECT path, split_part(path, '/', 1) AS drafter, regexp_extract(path, '/images/
 CASE regexp_extract(path, '(\.[^.]*)$', 1) WHEN '.jpg' THEN 1 WHEN '.JPG' THEN 2 WHEN '.jpeg' THEN 3 WHEN '.JPEG' THEN 4 WHEN '.png' THEN 5 ELSE 6 END AS r
 FROM fx_files WHERE contains(path, '/images/')) GROUP BY 1, 2""")
 def src3(spark, sf):
-    return I.photos(view(spark, sf, "fx_files"))
+    """The photos are real files, found by listing their folders; none is opened."""
+    root = scratch_path(spark, "photos")
+    K.write(view(spark, sf, "fx_files").filter(C("path").contains("/images/")).select("path", C("length").cast("string").alias("text")), root)
+    return I.photos(I.below(I.list_files(spark, root), root))
 
 
-@query("src4_label_file_scan", f"""SELECT image_id, obj_idx, cls_id, round(CAST(cx1 AS DOUBLE), 1) AS x1, round(CAST(cy1 AS DOUBLE), 1) AS y1, round(cx2, 1) AS x2, round(cy2, 1) AS y2
-FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok""")
+@query("src4_label_file_scan", f"""SELECT split, image_id, row_number() OVER (PARTITION BY image_id ORDER BY obj_idx) AS line_no, cls_id, round(CAST(cx1 AS DOUBLE), 1) AS x1, round(CAST(cy1 AS DOUBLE), 1) AS y1, round(cx2, 1) AS x2, round(cy2, 1) AS y2
+FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) JOIN (SELECT photo_id, {SPLIT_SQL} AS split FROM fx_photo) ON photo_id = image_id WHERE ok""")
 def src4(spark, sf):
-    lines = A.label_lines(view(spark, sf, "fx_obj"), split_images(spark, sf)).filter("line IS NOT NULL")
-    d = J.label_boxes(lines, F.lit(380), F.lit(280))
-    return d.select("image_id", "obj_idx", "cls_id", *[F.round(k, 1).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    """One label file for each photo, written, found and read."""
+    root = scratch_path(spark, "label-files")
+    lines = A.label_lines(view(spark, sf, "fx_obj"), split_images(spark, sf)).filter("line IS NOT NULL").withColumn("key", F.concat_ws("/", "split", "image_id"))
+    K.write(J.line_documents(lines, "key", "obj_idx").select(F.concat("key", F.lit(".txt")).alias("path"), "text"), root)
+    d = J.label_boxes(J.read_label_lines(spark, f"{root}/*"), F.lit(380), F.lit(280))
+    return d.select("split", C("stem").cast("long").alias("image_id"), "line_no", "cls_id", *[F.round(k, 1).alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
 @query("src5_sentence_scan", """SELECT p_partkey AS id, CAST(length(text) AS INTEGER) AS chars, CAST(CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 1 END
@@ -97,7 +103,11 @@ def src6(spark, sf):
 
 @query("src7_netlist_scan", "SELECT circuit_id, line_no, line FROM fx_lines")
 def src7(spark, sf):
-    return J.text_lines(J.line_documents(view(spark, sf, "fx_lines"), "circuit_id"), ["circuit_id"])
+    """One netlist file for each circuit, below a folder for each hundred, written, found and read."""
+    root = scratch_path(spark, "netlists")
+    docs = J.line_documents(view(spark, sf, "fx_lines"), "circuit_id")
+    K.write(docs.select(F.concat_ws("/", F.concat(F.lit("group"), (C("circuit_id") % 100).cast("string")), F.concat(C("circuit_id").cast("string"), F.lit(".cir"))).alias("path"), "text"), root)
+    return J.text_lines(J.read_netlists(spark, f"{root}/*").select(C("stem").cast("long").alias("circuit_id"), "text"), ["circuit_id"])
 
 
 @query("src8_ragged_csv", """SELECT CAST(image_id AS VARCHAR) AS image, mode, CAST(n AS VARCHAR) AS elements, CASE WHEN mode = 'detector' THEN CAST(n % 2 AS VARCHAR) END AS struct_match FROM (

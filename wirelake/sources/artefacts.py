@@ -39,9 +39,9 @@ def label_boxes(lines: DataFrame, w: Column, h: Column) -> DataFrame:
 
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Files split/stem.txt -> (split, stem, line)."""
-    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("line"))
-    return d.select(F.element_at(F.split("p", "/"), -2).alias("split"), F.regexp_extract("p", r"([^/]+)\.txt$", 1).alias("stem"), "line")
+    """Files split/stem.txt, one for each photo -> (split, stem, line_no, line)."""
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
+    return text_lines(d.select(F.element_at(F.split("p", "/"), -2).alias("split"), F.regexp_extract("p", r"([^/]+)\.txt$", 1).alias("stem"), "text"), ["split", "stem"])
 
 
 def read_artefacts(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,11 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
             .select("path", "length"))
 
 
+def below(files: DataFrame, root: str) -> DataFrame:
+    """Listed files with paths relative to root."""
+    return files.withColumn("path", F.substring_index("path", root.rstrip("/") + "/", -1))
+
+
 def parts(files: DataFrame) -> DataFrame:
     """Adds drafter, folder, stem and suffix of relative paths drafter/folder/stem.suffix."""
     p = F.split("path", "/")
