@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wirelake.operators import equivalence as Q, netlists as N, nets as W
+from wirelake.operators import components as K, equivalence as Q, netlists as N, nets as W
 from wirelake.sources.artefacts import text_lines
 
 GOOD = "* low pass\nV7 3 0 DC 9\nR4 3 8 47k\nC2 8 0 22n\n.op\n.end\n"
@@ -103,10 +103,30 @@ def test_components_on_long_chains(spark):
     edges = [(1, i, i + 1) for i in range(60) if i != 30] + [(2, 5, 7)]
     d = spark.createDataFrame(edges, "image_id long, u long, v long")
     nodes = d.select("image_id", F.explode(F.array("u", "v")).alias("node")).distinct()
-    got = {(r.image_id, r.node): r.root for r in W.connected(nodes, d).collect()}
+    got = {(r.image_id, r.node): r.root for r in K.connected(nodes, d).collect()}
     assert all(v == (0 if n <= 30 else 31) for (i, n), v in got.items() if i == 1) and got[(2, 7)] == 5
 
 
+def test_large_images_and_hubs(spark, monkeypatch):
+    """With small bounds: the same components by rounds of joins, and no join key with more than about SPAN rows."""
+    rnd = random.Random(4)
+    edges = [(1, 0, k) for k in range(1, 300)] + [(1, k, k + 1) for k in range(2000, 2006)] + [(2, rnd.randrange(30), rnd.randrange(30)) for _ in range(25)] + [(3, 8, 9), (3, 9, 9)]
+    d = spark.createDataFrame(edges, "image_id long, u long, v long").repartition(8)
+    nodes = d.select("image_id", F.explode(F.array("u", "v")).alias("node")).distinct()
+    got = lambda: {(r.image_id, r.node): r.root for r in K.connected(nodes, d).collect()}
+    want = got()
+    assert want[(1, 299)] == 0 and want[(1, 2006)] == 2000 and want[(3, 9)] == 8
+    monkeypatch.setattr(K, "LARGE", 20)
+    monkeypatch.setattr(K, "SPAN", 50)
+    assert got() == want
+    rows = spark.range(1000).selectExpr("id % 2 * (id % 7) AS k", "id AS n")
+    t = rows.groupBy("k").agg(F.count("*").alias("_rows")).withColumn("x", F.col("k") * 10)
+    j = K.spread_join(rows, t, ["k"], ["n"])
+    assert j.count() == 1000 and j.filter("x <> k * 10").count() == 0
+    counted = K.spread_join(rows, t.withColumn("part", F.monotonically_increasing_id()), ["k"], ["n"])
+    assert counted.columns == ["k", "n", "x", "part"]
+
+
 def test_ground_rules(spark):
     rows = [(1, 1, "resistor", [1, 2]), (1, 2, "gnd", [2]), (2, 1, "voltage_source", [1, 2, 3]), (2, 2, "voltage_source", [3, 1]), (3, 1, "resistor", [1, 2]), (3, 2, "diode", [2, 3]), (4, 1, "other", [1])]
     t = spark.createDataFrame(rows, "image_id long, det_idx long, cls string, nets array<bigint>")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import boxes as B, symbols as S
 from ..session import cut
 from ..vocabulary import ELEMENT_DEFAULT, ELEMENT_PREFIX, OPPOSITE, SIDES
+from .components import connected
 from .matching import attach_values
 from .ranking import numbered
 
@@ -22,29 +23,6 @@ def crossover_edges(hits: DataFrame, detections: DataFrame) -> DataFrame:
     return d.join(low, ["image_id", "det_idx", "axis"]).filter("frag <> u").select("image_id", "u", C("frag").alias("v")).distinct()
 
 
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected components by image: nodes(image_id, node), edges(image_id, u, v) -> root = lowest node.
-
-    Every round a node takes the lowest root among its neighbours and then the root of that root, so
-    the number of rounds grows with the logarithm of the diameter. Rounds end when nothing changes."""
-    both = cut(edges.select("image_id", "u", "v").unionByName(edges.select("image_id", C("v").alias("u"), C("u").alias("v"))).distinct())
-    linked = both.select("image_id", C("u").alias("node")).distinct()
-    lab = cut(linked.withColumn("root", C("node")))
-    while not lab.isEmpty():
-        near = both.join(lab.select("image_id", C("node").alias("v"), "root"), ["image_id", "v"]) \
-                   .groupBy("image_id", C("u").alias("node")).agg(F.min("root").alias("near"))
-        step = lab.join(near, ["image_id", "node"], "left").select(
-            "image_id", "node", C("root").alias("old"), F.least("root", "near").alias("mid"))
-        # roots of roots: a hooked root passes its new label on
-        hop = step.groupBy("image_id", C("old").alias("mid")).agg(F.min("mid").alias("hop"))
-        new = cut(step.join(hop, ["image_id", "mid"], "left").select(
-            "image_id", "node", "old", F.least("mid", F.coalesce("hop", "mid")).alias("root")))
-        lab = new.select("image_id", "node", "root")
-        if new.filter("root <> old").isEmpty():
-            break
-    return nodes.join(lab, ["image_id", "node"], "left").select("image_id", "node", F.coalesce("root", "node").alias("root"))
-
-
 def net_numbers(components: DataFrame) -> DataFrame:
     """Nets numbered from 1 in the order of their lowest fragment: (image_id, frag, net)."""
     roots = numbered(components.select("image_id", "root").distinct(), ["image_id"], ["root"], "net")

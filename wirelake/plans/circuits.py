@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import symbols as S, wording as T
+from ..operators.components import connected
 from ..operators import equivalence as Q, evaluation as E, matching as M, netlists as N, nets as W
 from ..session import cut, scratch_path
 from ..sources import artefacts as J, keyed_files as K
@@ -114,7 +115,7 @@ def grf1(spark, sf):
     d = view(spark, sf, "fx_frag")
     e = d.select("image_id", C("frag_a").alias("u"), C("frag_b").alias("v"))
     nodes = view(spark, sf, "fx_hit").select("image_id", C("frag").alias("node")).distinct()
-    return W.connected(nodes, e.filter("u <> v"))
+    return connected(nodes, e.filter("u <> v"))
 
 
 @query("win3_net_numbers", "WITH RECURSIVE " + NET_SQL + " SELECT image_id, frag, net FROM nets")
