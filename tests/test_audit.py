@@ -99,3 +99,29 @@ def test_one_file_for_each_key(spark, tmp_path):
     assert not any(f.startswith(("a/", "_staging")) for f in files())
     K.write(d.limit(0), root)
     assert len(files()) == 202
+
+
+def test_medians_by_selection(spark):
+    import random
+    import statistics
+
+    from wirelake.operators.ranking import medians
+    rnd = random.Random(2)
+    rows = [(k, rnd.choice([float(rnd.randrange(6)), rnd.uniform(-5, 5), rnd.uniform(0, 1)])) for k in range(25) for _ in range(rnd.randrange(1, 40))]
+    rows += [(90, 3.25)] * 4 + [(91, 1.0), (91, 1e6)]
+    got = {r.k: r.m for r in medians(spark.createDataFrame(rows + [(92, None)], "k long, v double"), "k", "v", "m").collect()}
+    assert got == {k: statistics.median([v for i, v in rows if i == k]) for k in {i for i, _ in rows}}
+
+
+def test_any_change_shows_in_the_approval(spark):
+    rows = [(i, k, label) for i in range(5) for k, label in enumerate(["resistor", "diode", "gnd"])]
+    sums = [A.approval(spark.createDataFrame(r, "image_id long, obj_idx long, label string")).first().checksum
+            for r in (rows, rows[::-1], [*rows[1:], (0, 0, "inductor")], [*rows[1:], (0, 7, "resistor")])]
+    assert sums[0] == sums[1] and len(set(sums)) == 3
+
+
+def test_size_check(spark):
+    rows = [(True, 4, 3, 4, 3, 4, 3), (True, 4, 3, 4, 3, 3, 4), (True, 3, 4, 4, 3, 3, 4), (True, 9, 9, 4, 3, 4, 3), (False, 4, 3, 4, 3, 4, 3)]
+    d = spark.createDataFrame(rows, "r boolean, w int, h int, rw int, rh int, sw int, sh int")
+    assert [x.c for x in d.select(A.size_check(*map(F.col, ("r", "w", "h", "rw", "rh", "sw", "sh"))).alias("c")).collect()] == [
+        "xml_matches_displayed", "xml_matches_raw_only(EXIF rotated)", "xml_matches_displayed", "xml_size_mismatch", "unreadable_image"]

@@ -87,6 +87,28 @@ def test_training_and_decoding(spark):
     assert G.tag(spark.createDataFrame([(1, [])], "id long, words array<string>"), model).collect()[0].tags == []
 
 
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    """The same tags where the scores are too many to go along, frequent words split."""
+    from wirelake.operators import components as K
+    model = trained(spark, SF)
+    d = spark.createDataFrame([(i, "A 5V battery driving Unheard 3k resistors in 1x2 series".split()[:i % 11]) for i in range(60)] + [(99, None)], "id long, words array<string>")
+    want = {r.id: r.tags for r in G.tag(d, model).collect()}
+    monkeypatch.setattr(G, "CARRIED", (0, 0))
+    monkeypatch.setattr(K, "SPAN", 10)
+    assert {r.id: r.tags for r in G.tag(d, model).collect()} == want and len(want[10]) == 10 and want[99] == []
+
+
+def test_a_model_is_trained_once(spark, tmp_path):
+    made = []
+
+    def train():
+        made.append(1)
+        return trained(spark, SF)
+    for _ in range(2):
+        assert G.Model.stored(str(tmp_path / "m"), train).step.count() == 121
+    assert len(made) == 1
+
+
 def test_reports(spark):
     d = spark.createDataFrame([(1, " "), (2, "a and a")], "id long, text string").unionByName(view(spark, SF, "fx_sent").limit(1).select(F.lit(3).cast("long").alias("id"), "text"))
     got = {r.id: r.report for r in P.report(P.described(d, trained(spark, SF))).collect()}

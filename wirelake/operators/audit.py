@@ -100,3 +100,16 @@ def rotation_groups(objs: DataFrame) -> DataFrame:
     d = objs.filter(F.lower("label").rlike("^(diode|voltage)")).withColumn("bin", bin_)
     return d.withColumn("bin_order", F.struct(C("bin").startswith("none").alias("none"),
                                               F.coalesce(F.split("bin", " ")[0].try_cast("int"), F.lit(0)).alias("deg"), C("bin").alias("bin")))
+
+
+def size_check(readable: Column, w: Column, h: Column, raw_w: Column, raw_h: Column, shown_w: Column, shown_h: Column) -> Column:
+    """How the size in an annotation stands to the size of its image as stored and as displayed."""
+    return (F.when(~readable, "unreadable_image").when((w == shown_w) & (h == shown_h), "xml_matches_displayed")
+            .when((w == raw_w) & (h == raw_h), "xml_matches_raw_only(EXIF rotated)").otherwise("xml_size_mismatch"))
+
+
+def approval(objs: DataFrame) -> DataFrame:
+    """One row for objs(image_id, obj_idx, label): how many, a checksum that any change of a key or label changes, and the time."""
+    label = F.conv(F.substring(F.md5("label"), 1, 7), 16, 10).cast("bigint")
+    mixed = (C("image_id") * 48271 + C("obj_idx") * 16807 + label * 69621) % 2147483647
+    return objs.agg(F.count("*").alias("objects"), F.sum(mixed).alias("checksum")).withColumn("approved_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))

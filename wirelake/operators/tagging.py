@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.wording import word_shape
 from ..session import cut
 from ..vocabulary import TAGS
+from .components import spread_join
 
 C = F.col
 SHAPES = ["<NUM>", "<UNK>"]
@@ -26,6 +28,16 @@ class Model:
         for name in ("start", "step", "emit"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    @staticmethod
+    def stored(path: str, train) -> "Model":
+        """The model under path; where there is none, train() makes one, which is stored first. A model counts as stored once its last table is."""
+        spark = SparkSession.active()
+        try:
+            return Model.load(spark, path)
+        except AnalysisException:  # a table is missing
+            train().save(path)
+            return Model.load(spark, path)
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Model":
         return Model(*[spark.read.parquet(f"{path}/{n}") for n in ("start", "step", "emit")])
@@ -89,42 +101,42 @@ def fit(sentences: DataFrame, k: float = 0.1, dropout: float = 0.0, seed: int =
     return Model(start, step, emit)
 
 
-def _decoder(start: np.ndarray, step: np.ndarray):
-    """Arrow-batched best path: sentences of similar length advance together, position by position."""
-    width, budget = len(TAGS), 200_000
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def decode(scores: pd.Series) -> pd.Series:
-        obs = [np.asarray(s, dtype=float).reshape(-1, width) for s in scores]
-        result: list = [[] for _ in obs]
-        todo = sorted((i for i in range(len(obs)) if len(obs[i])), key=lambda i: len(obs[i]))
-        while todo:
-            n = len(obs[todo[-1]])
-            take = max(1, budget // n)
-            part, todo = todo[-take:], todo[:-take]
-            part = part[::-1]                                   # longest first
-            size = np.array([len(obs[i]) for i in part])
-            cur = start + np.stack([obs[i][0] for i in part])
-            back = np.zeros((n, len(part), width), dtype=np.int8)
-            for t in range(1, n):
-                live = int(np.searchsorted(-size, -t, side="left"))   # rows longer than t
-                cand = cur[:live, :, None] + step
-                back[t, :live] = cand.argmax(1)
-                cur[:live] = cand.max(1) + np.stack([obs[i][t] for i in part[:live]])
-            for j, i in enumerate(part):
-                k = int(cur[j].argmax())
-                path = [k]
-                for t in range(size[j] - 1, 0, -1):
-                    k = int(back[t, j, k])
-                    path.append(k)
-                result[i] = [TAGS[k] for k in reversed(path)]
-        return pd.Series(result)
-    return decode
+def _best_paths(obs: list[np.ndarray], start: np.ndarray, step: np.ndarray, budget: int = 200_000) -> list[list[str]]:
+    """Best tags of each row of scores (tokens x tags): rows of similar length advance together, position by position."""
+    result: list = [[] for _ in obs]
+    todo = sorted((i for i in range(len(obs)) if len(obs[i])), key=lambda i: len(obs[i]))
+    while todo:
+        n = len(obs[todo[-1]])
+        take = max(1, budget // n)
+        part, todo = todo[-take:], todo[:-take]
+        part = part[::-1]                                   # longest first
+        size = np.array([len(obs[i]) for i in part])
+        cur = start + np.stack([obs[i][0] for i in part])
+        back = np.zeros((n, len(part), len(TAGS)), dtype=np.int8)
+        for t in range(1, n):
+            live = int(np.searchsorted(-size, -t, side="left"))   # rows longer than t
+            cand = cur[:live, :, None] + step
+            back[t, :live] = cand.argmax(1)
+            cur[:live] = cand.max(1) + np.stack([obs[i][t] for i in part[:live]])
+        for j, i in enumerate(part):
+            k = int(cur[j].argmax())
+            path = [k]
+            for t in range(size[j] - 1, 0, -1):
+                k = int(back[t, j, k])
+                path.append(k)
+            result[i] = [TAGS[k] for k in reversed(path)]
+    return result
+
+
+#: a vocabulary goes along with the tasks up to this size (words, characters in them): 18 MB of scores and the words
+CARRIED = (200_000, 4_000_000)
 
 
 def tag(sentences: DataFrame, model: Model) -> DataFrame:
-    """Adds `tags` to sentences(id, words, ...). Words are looked up by a join, so the vocabulary may
-    be of any size; only the fixed-size start, step and shape tables travel with the plan."""
+    """Adds `tags` to sentences(id, words, ...).
+
+    The scores of a vocabulary of up to CARRIED travel as one matrix: words are looked up where the sentences are, and nothing is shuffled. Those
+    of a larger one are joined to the distinct words of each sentence's tokens, frequent words split over tasks."""
     at = {t: i for i, t in enumerate(TAGS)}
     start, step = np.zeros(len(TAGS)), np.zeros((len(TAGS), len(TAGS)))
     for r in model.start.collect():
@@ -132,16 +144,33 @@ def tag(sentences: DataFrame, model: Model) -> DataFrame:
     for r in model.step.collect():
         step[at[r["prev"]], at[r["tag"]]] = r["lp"]
     order = F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, TAGS)), C("tag")).alias("i"), "lp")))
-    vec = model.emit.groupBy("word").agg(F.transform(order, lambda x: x["lp"]).alias("vec"))
+    vec = cut(model.emit.groupBy("word").agg(F.transform(order, lambda x: x["lp"]).alias("vec")))
+    n, chars = vec.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    words, number = F.transform("words", F.lower), F.transform("words", lambda w: word_shape(w) == SHAPES[0])
+    if n <= CARRIED[0] and chars <= CARRIED[1]:
+        rows = vec.collect()
+        shared = sentences.sparkSession.sparkContext.broadcast(({r["word"]: i for i, r in enumerate(rows)}, np.array([r["vec"] for r in rows])))
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def carried(words: pd.Series, number: pd.Series) -> pd.Series:
+            row, matrix = shared.value
+            shapes = [row[s] for s in SHAPES]
+            found = [[row.get(w, shapes[0 if k else 1]) for w, k in zip(ws, ks, strict=True)] if ws is not None else [] for ws, ks in zip(words, number, strict=True)]
+            return pd.Series(_best_paths([matrix[f] if f else np.zeros((0, len(TAGS))) for f in found], start, step))
+        return sentences.drop("tags").withColumn("tags", carried(words, number))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def scored(scores: pd.Series) -> pd.Series:
+        return pd.Series(_best_paths([np.asarray(s, dtype=float).reshape(-1, len(TAGS)) for s in scores], start, step))
     shape = {r["word"]: r["vec"] for r in vec.filter(C("word").isin(*SHAPES)).collect()}
     lit = lambda name: F.array(*map(F.lit, shape[name]))
-    tok = sentences.select("id", F.posexplode("words").alias("pos", "w")).withColumn("word", F.lower("w"))
-    tok = tok.join(vec, "word", "left").select("id", "pos", F.coalesce("vec", F.when(word_shape(C("w")) == "<NUM>", lit("<NUM>")).otherwise(lit("<UNK>"))).alias("vec"))
-    rows = F.array_sort(F.collect_list(F.struct("pos", "vec")))
-    obs = tok.groupBy("id").agg(F.flatten(F.transform(rows, lambda x: x["vec"])).alias("obs"))
-    got = obs.select("id", _decoder(start, step)("obs").alias("tags"))
-    empty = F.array().cast("array<string>")
-    return sentences.drop("tags").join(got, "id", "left").withColumn("tags", F.coalesce("tags", empty))
+    tok = sentences.select("id", F.posexplode("words").alias("pos", "w")).select("id", "pos", "w", F.lower("w").alias("word"))
+    seen = tok.groupBy("word").agg(F.count("*").alias("_rows"))
+    tok = spread_join(tok, vec.join(seen, "word"), ["word"], ["id", "pos"], "left")
+    tok = tok.select("id", "pos", F.coalesce("vec", F.when(word_shape(C("w")) == SHAPES[0], lit(SHAPES[0])).otherwise(lit(SHAPES[1]))).alias("vec"))
+    obs = tok.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda x: x["vec"])).alias("obs"))
+    got = obs.select("id", scored("obs").alias("tags"))
+    return sentences.drop("tags").join(got, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def token_pairs(sentences: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B, symbols as S, wording as T
 from ..operators import audit as A, conversion as V
+from ..operators.ranking import medians
 from ..operators.sampling import stratified_sample
 from ..session import cut, scratch_path
 from ..sources import annotations as X, artefacts as J, inventory as I, keyed_files as K
@@ -308,17 +309,22 @@ def a11(spark, sf):
 SELECT 'exif_orientation' AS kind, CAST(exif AS VARCHAR) AS key FROM fx_hdr
 UNION ALL SELECT 'image_dims', CASE WHEN exif IN (5,6,7,8) THEN concat(raw_h, 'x', raw_w) ELSE concat(raw_w, 'x', raw_h) END FROM fx_hdr WHERE readable
 UNION ALL SELECT 'file_types', concat(list_extract(string_split(path, '/'), -2), '/*', lower(regexp_extract(path, '(\.[^.]*)$', 1))) FROM fx_files
-UNION ALL SELECT 'subfolders', list_extract(string_split(path, '/'), -2) FROM (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) || '/x' AS path FROM fx_files)) GROUP BY ALL""")
+UNION ALL SELECT 'subfolders', list_extract(string_split(path, '/'), -2) FROM (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) || '/x' AS path FROM fx_files)
+UNION ALL SELECT 'size_check', CASE WHEN NOT readable THEN 'unreadable_image' WHEN w = CASE WHEN exif >= 5 THEN raw_h ELSE raw_w END AND h = CASE WHEN exif >= 5 THEN raw_w ELSE raw_h END THEN 'xml_matches_displayed'
+ WHEN w = raw_w AND h = raw_h THEN 'xml_matches_raw_only(EXIF rotated)' ELSE 'xml_size_mismatch' END FROM fx_hdr
+UNION ALL SELECT 'split_images', split FROM (SELECT """+SPLIT_SQL+""" AS split FROM fx_photo WHERE has_image AND has_xml)) GROUP BY ALL""")
 def a12(spark, sf):
     sw, sh = S.displayed_size(C("raw_w"), C("raw_h"), C("exif"))
     e = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("key"))
     hdr = view(spark, sf, "fx_hdr").select(F.explode(F.array(
-        e("exif_orientation", C("exif").cast("string")), e("image_dims", F.when(C("readable"), F.concat(sw, F.lit("x"), sh))))).alias("e"))
+        e("exif_orientation", C("exif").cast("string")), e("image_dims", F.when(C("readable"), F.concat(sw, F.lit("x"), sh))),
+        e("size_check", A.size_check(C("readable"), C("w"), C("h"), C("raw_w"), C("raw_h"), sw, sh)))).alias("e"))
     files = I.parts(view(spark, sf, "fx_files"))
     types = files.select(e("file_types", F.concat("folder", F.lit("/*"), F.lower("suffix"))).alias("e"))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     subs = files.select(folder.alias("dir")).distinct().select(e("subfolders", F.element_at(F.split("dir", "/"), -1)).alias("e"))
-    d = hdr.unionByName(types).unionByName(subs).select("e.kind", "e.key").filter("key IS NOT NULL")
+    paired = split_images(spark, sf).join(view(spark, sf, "fx_photo").filter("has_image AND has_xml").select(C("photo_id").alias("image_id")), "image_id", "left_semi")
+    d = hdr.unionByName(types).unionByName(subs).unionByName(paired.select(e("split_images", C("split")).alias("e"))).select("e.kind", "e.key").filter("key IS NOT NULL")
     return A.histogram(d, "kind", "key")
 
 
@@ -345,7 +351,7 @@ def a15(spark, sf):
 SELECT image_id, median(least(x2 - x1, y2 - y1)) AS m FROM fx_gt WHERE cls NOT IN ('junction','crossover','text') GROUP BY image_id) ON image_id = photo_id""")
 def a28(spark, sf):
     d = view(spark, sf, "fx_gt").filter(~C("cls").isin("junction", "crossover", "text"))
-    m = d.groupBy("image_id").agg(F.median(F.least(C("x2") - C("x1"), C("y2") - C("y1"))).alias("m"))
+    m = medians(d.select("image_id", F.least(C("x2") - C("x1"), C("y2") - C("y1")).alias("side")), "image_id", "side", "m")
     scale = F.greatest(F.lit(1.0), F.coalesce(C("m") / 24, F.lit(1.0)))
     return split_images(spark, sf).join(m, "image_id", "left").select("image_id", scale.alias("scale"))
 
@@ -365,15 +371,29 @@ def label_images(spark, sf):
     return split_images(spark, sf).join(cls, "image_id").withColumn("priority", C("image_id") % 41 == 0)
 
 
-@query("srt4_stratified_sample")
+_MIXED = "(image_id * 48271 % 2147483647) * 16807 % 2147483647"
+#: the rules one after the other over all members of each stratum
+SAMPLE_SQL = f"""im AS MATERIALIZED (SELECT photo_id AS image_id, {SPLIT_SQL} AS split, classes, photo_id % 41 = 0 AS priority FROM fx_photo JOIN (SELECT image_id, list_sort(list(DISTINCT cls) FILTER (cls IS NOT NULL)) AS classes FROM {MAPPED} GROUP BY 1) ON image_id = photo_id),
+strata AS (SELECT tier, name, list(image_id ORDER BY {_MIXED}, image_id) AS m FROM (SELECT 0 AS tier, '' AS name, image_id FROM im WHERE priority UNION ALL SELECT 1, split, image_id FROM im UNION ALL SELECT 2, unnest(classes), image_id FROM im UNION ALL SELECT 3, '', image_id FROM im) GROUP BY 1, 2),
+rules AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tier, CASE WHEN tier = 2 THEN len(m) ELSE 0 END, name) AS k, count(*) FILTER (tier = 2) OVER () AS n_classes FROM strata),
+taken AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ids UNION ALL SELECT r.k, list_concat(ids, (list_filter(m, lambda x: NOT list_contains(ids, x)))[1:greatest(0,
+ CASE tier WHEN 0 THEN 24 // 4 WHEN 1 THEN 2 - len(list_filter(ids, lambda x: list_contains(m, x))) WHEN 2 THEN greatest(1, 24 // greatest(1, n_classes)) - len(list_filter(ids, lambda x: list_contains(m, x))) ELSE 24 - len(ids) END)]) FROM taken t JOIN rules r ON r.k = t.k + 1),
+picked AS (SELECT unnest(ids[1:24]) AS image_id FROM taken WHERE k = (SELECT max(k) FROM rules))"""
+
+
+def sampled(spark, sf):
+    return stratified_sample(label_images(spark, sf), 24, order=F.expr(_MIXED))
+
+
+@query("srt4_stratified_sample", f"WITH RECURSIVE {SAMPLE_SQL} SELECT image_id, split, array_to_string(classes, ',') AS classes, priority FROM im JOIN picked USING (image_id)")
 def srt4(spark, sf):
-    d = stratified_sample(label_images(spark, sf), 24)
-    return d.select("image_id", "split", F.array_join("classes", ",").alias("classes"), "priority")
+    return sampled(spark, sf).select("image_id", "split", F.array_join("classes", ",").alias("classes"), "priority")
 
 
-@query("a37_sample_index")
+@query("a37_sample_index", f"""WITH RECURSIVE {SAMPLE_SQL} SELECT image_id, split, {', '.join(f"count(*) FILTER (cls = '{c}') AS {c}" for c in CLASSES)}, CASE WHEN any_value(priority) THEN 're-encoded' ELSE '' END AS tag
+FROM im JOIN picked USING (image_id) LEFT JOIN (SELECT image_id, cls FROM ({_CLIP}) JOIN fx_map ON lab = lower(trim(label)) WHERE ok) o USING (image_id) GROUP BY 1, 2""")
 def a37(spark, sf):
-    picked = stratified_sample(label_images(spark, sf), 24).select("image_id", "split", "priority")
+    picked = sampled(spark, sf).select("image_id", "split", "priority")
     d = A.clipped(view(spark, sf, "fx_obj")).filter("box IS NOT NULL")
     n = picked.join(d.select("image_id", "cls"), "image_id", "left").groupBy("image_id", "split", "priority").agg(
         *[F.count_if(C("cls") == c).alias(c) for c in CLASSES])
@@ -462,9 +482,8 @@ def jsn1(spark, sf):
     return d.select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
 
 
-@query("dat1_approval_stamp", "SELECT count(*) AS objects, CAST(sum((image_id * 48271 + obj_idx * 16807 + length(label) * 69621) % 2147483647) AS BIGINT) AS checksum, TRUE AS stamped FROM fx_obj")
+@query("dat1_approval_stamp", "SELECT count(*) AS objects, CAST(sum((image_id * 48271 + obj_idx * 16807 + CAST(concat('0x', md5(label)[1:7]) AS BIGINT) * 69621) % 2147483647) AS BIGINT) AS checksum, TRUE AS stamped FROM fx_obj")
 def dat1(spark, sf):
-    """Counts and an order-free checksum of what is approved, with the time of it (shown as: is there one that can be read back)."""
-    d = view(spark, sf, "fx_obj").agg(F.count("*").alias("objects"), F.sum(F.expr("(image_id * 48271 + obj_idx * 16807 + length(label) * 69621) % 2147483647")).alias("checksum"))
-    d = d.withColumn("approved_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    """Counts and an order-free checksum of what is approved, labels included, with the time of it (shown as: is there one that can be read back)."""
+    d = A.approval(view(spark, sf, "fx_obj"))
     return d.select("objects", "checksum", F.to_timestamp("approved_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").isNotNull().alias("stamped"))
