@@ -38,3 +38,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "host string, path string, action string")
     assert uf.judge(d.limit(0), uf.rules_table(spark, RULES), "page_id").count() == 0
     assert [r["verdict"] for r in uf.judge(d, none, "page_id", default="block").collect()] == ["block"]
+
+
+def test_hosts_of_very_many_labels(spark):
+    rules = uf.rules_table(spark, [("com", "/", "allow"), ("b.example.com", "/x", "block"), ("a.a.a", "/", "block")])
+    hosts = [".".join(["w"] * 50_000 + ["b", "example", "com"]), ".".join(["a"] * 50_000), "a.a", ".".join(["q"] * 50_000 + ["example", "com"]), "com"]
+    d = spark.createDataFrame([(i, f"https://{h}/xy") for i, h in enumerate(hosts)], "page_id int, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in uf.judge(d, rules, "page_id", default="review").collect()}
+    assert got == {0: ("b.example.com/x", "block"), 1: ("a.a.a/", "block"), 2: (None, "review"), 3: ("com/", "allow"), 4: ("com/", "allow")}

@@ -38,19 +38,20 @@ def judge(urls: DataFrame, rules: DataFrame, key: str, default: str = "allow", u
     """key, host, path, rule, verdict for every row of urls.
 
     The longest fitting rule (host and path together; among equals the longer host) gives the verdict; without one it is
-    `default`. Host suffixes end at label boundaries. Path prefixes are taken at those lengths that occur among the
-    rules, so any prefix rule is met exactly. An empty host fits no rule. Repeated rows are judged each on its own; extra
+    `default`. Host suffixes end at label boundaries. Path prefixes are taken at those lengths, host suffixes of those label counts that occur
+    among the rules, so any rule is met exactly and a long host costs no more than a short one. An empty host fits no rule. Repeated rows are judged each on its own; extra
     columns are ignored; empty tables give an empty result or the default everywhere.
     """
     spark = urls.sparkSession
     compiled = compile_rules(rules)
-    # distinct lengths of rule paths: no more of them than the longest rule path has characters
-    lengths = sorted(r[0] for r in compiled.select((F.col("length") - F.col("host_length")).alias("n")).distinct().collect()) or [0]
+    # distinct lengths of rule paths and label counts of rule hosts: no more of them than the longest rule has characters
+    shapes = compiled.select((F.col("length") - F.col("host_length")).alias("n"), F.size(F.split(F.substring("rule", F.lit(1), F.col("host_length")), r"\.")).alias("k")).distinct().collect()
+    lengths, counts = sorted({r["n"] for r in shapes}) or [0], sorted({r["k"] for r in shapes}) or [1]
     small = compiled.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     u = parts(urls.select(F.col(key).alias("_key"), F.col(url).alias("_url")), "_url")
     labels = F.split("host", r"\.")
     suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), ".")))
+        F.transform(F.filter(F.array(*[F.lit(n) for n in counts]), lambda n: n <= F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), ".")))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")),
                            lambda n: F.col("path").substr(F.lit(1), n))
     digests = F.array_distinct(F.flatten(F.transform("_suffixes", lambda h: F.transform("_prefixes", lambda p: F.sha2(F.concat_ws(" ", h, p), 256)))))
