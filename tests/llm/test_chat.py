@@ -57,3 +57,17 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert chat.read_back(chat.windows(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_conversation(spark):
+    """Memory grows with the conversation, not with turns times windows."""
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"w{k} " * 40, "") for k in range(8_000)] + [(2, k, "user", "", "") for k in range(3_000)]
+    d = chat.windows(spark.createDataFrame(rows, SCHEMA).repartition(4)).cache()
+    try:
+        assert d.where("conv_id = 1").count() >= 8_000 * 40 / 192 and d.where("conv_id = 2").count() == 1
+        assert d.where("conv_id = 1 and window > 0").agg({"n_history": "min"}).first()[0] == 1
+        back = {r["conv_id"]: r for r in chat.read_back(d).collect()}
+    finally:
+        d.unpersist()
+    assert [t["text"] for t in back[1]["turns"]] == [r[3] for r in rows[:8_000]] and len(back[2]["turns"]) == 3_000
+    assert back[1]["loss_text"] == "".join(r[3] for r in rows[1:8_000:2])

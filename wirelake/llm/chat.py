@@ -51,13 +51,21 @@ def windows(conversations: DataFrame, budget: int = 256, history: int = 64, **co
         F.struct(x["s"].alias("base"), F.concat(a["at"], F.array(F.struct(a["i"].alias("i"), x["s"].alias("s")))).alias("at"), (a["i"] + 1).alias("i"))).otherwise(
         F.struct(a["base"].alias("base"), a["at"].alias("at"), (a["i"] + 1).alias("i"))), lambda a: a["at"])
     t = t.withColumn("starts", fold)
-    w = t.select("conv_id", "turns", "body", "sums", "n_system", "starts", F.posexplode("starts").alias("window", "start"))
-    w = w.withColumn("stop", F.coalesce(F.try_element_at("starts", F.col("window") + 2)["i"], F.size("body")))
-    # the sums rise, so the turns within the history are a run that ends at the start
-    before = F.slice("sums", 1, F.col("start.i"))
-    w = w.withColumn("n_history", F.size(F.filter(before, lambda s: s >= F.col("start.s") - history)))
-    w = w.withColumn("shown", F.concat(F.slice("turns", 1, F.col("n_system")),
-                                       F.slice("body", F.col("start.i") - F.col("n_history") + 1, F.col("n_history") + F.col("stop") - F.col("start.i"))))
+    # the sums rise, so the turns within the history are a run that ends at the start; its beginning by halving
+    def first_from(least: Column, n: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi"))
+        mid = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        enough = lambda a: F.get("sums", mid(a)) >= least
+        return F.aggregate(F.sequence(F.lit(1), F.lit(32)), zero, lambda a, _: F.when(a["lo"] >= a["hi"], a).otherwise(
+            F.struct(F.when(enough(a), a["lo"]).otherwise(mid(a) + 1).alias("lo"), F.when(enough(a), mid(a)).otherwise(a["hi"]).alias("hi"))), lambda a: a["lo"])
+    # what each window shows is cut out before the windows become rows, so that no row carries the whole conversation
+    def piece(x: Column, k: Column) -> Column:
+        stop = F.coalesce(F.try_element_at("starts", k + 2)["i"], F.size("body"))
+        return F.struct(k.alias("window"), x["i"].alias("i"), stop.alias("stop"), first_from(x["s"] - history, x["i"]).alias("from"))
+    t = t.withColumn("pieces", F.transform("starts", piece))
+    shown = F.transform("pieces", lambda p: F.struct(p["window"].alias("window"), (p["i"] - p["from"]).alias("n_history"),
+                                                     F.concat(F.slice("turns", 1, F.col("n_system")), F.slice("body", p["from"] + 1, p["stop"] - p["from"])).alias("shown")))
+    w = t.select("conv_id", "n_system", F.explode(shown).alias("p")).select("conv_id", "n_system", "p.*")
     # role names are percent-encoded: no line break and no control string is left in them
     w = w.withColumn("chunks", F.transform("shown", lambda x: F.struct(
         F.concat(F.lit(START), F.url_encode(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), (x["role"] == "assistant").alias("target"))))
