@@ -27,13 +27,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, similarity 0.8): the one with the smallest doc_id. Rows that repeat doc_id and text
-    become one. Documents without words have no copies and stay. A null doc_id goes if a linked document has an id, else it stays."""
-    groups = near_dedup.groups(docs)
-    nameless = F.col("doc_id").isNull() & F.col("component_id").isNull()
-    keep = groups.where(F.col("kept") | nameless).groupBy(F.col("doc_id").alias("_k"), F.col("print").alias("_p")).agg(F.count("*").alias("_n"))
-    d = docs.withColumn("_print", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p")))
-    return d.where("_n = 1").unionByName(d.where("_n > 1").dropDuplicates(["doc_id", "_print"])).select(*docs.columns)
+    """One document of each group of near copies (shingles of five words, similarity 0.8): the one with the smallest doc_id, nulls last, then the smallest
+    text checksum, so each group keeps one row whether its ids are missing, shared or not. Rows that repeat doc_id and text become one, the first by the JSON of all
+    columns. Documents without words have no copies and stay."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.xxhash64("text").alias("print")).alias("_key")
+    d = docs.select(row, name, "text")
+    keep = near_dedup.groups(d.select("_key", "text"), key="_key").where("kept").groupBy("_key").agg(F.count("*").alias("_n"))
+    d = d.drop("text").join(keep, "_key")
+    several = d.where("_n > 1").groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return d.where("_n = 1").select("_row.*").unionByName(several.select("_row.*"))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

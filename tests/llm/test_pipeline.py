@@ -79,3 +79,17 @@ def test_odd_rows(spark):
         assert d.columns == more.columns and {tuple(r) for r in d.select("score", "spans", "base", "size", "target", "tokens", "item_id").collect()} == {("mine", 7, "b", 1, 2, "t", 0)}
     assert cp.STAGES[-1][1](spark, more, SF).count() == docs.count()
     assert [s[1].__module__ for s in cp.STAGES] == ["corpus_pipeline"] * 5 and all((mixing, near_dedup, toxicity, F))
+
+
+def test_one_survivor_whatever_the_ids(spark):
+    """Near copies without an id, with one id for all, and with some ids; repeated rows that differ in another column."""
+    words = [f"w{k}" for k in range(60)]
+    copy = lambda tag, i: " ".join([*(f"{tag}{w}" for w in words), f"end{i}"])
+    rows = [(None, copy("a", i), "x", "s") for i in range(6)] + [(7, copy("b", i), "x", "s") for i in range(6)] + [(i or None, copy("c", i), "x", "s") for i in (0, 31, 22, 0)]
+    rows += [(50, copy("d", 0), lang, "s") for lang in ("q", "p", None, "p")] + [(None, "", "x", "s"), (51, None, "x", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _key string")
+    runs = [sorted(map(tuple, cp.drop_near_copies(spark, d, SF).collect()), key=str) for d in (docs.repartition(3), docs.repartition(5, "text"))]
+    assert runs[0] == runs[1] and cp.drop_near_copies(spark, docs, SF).columns == docs.columns
+    assert [r[0] for r in runs[0]].count(None) == 2 and {r[0] for r in runs[0]} == {None, 7, 22, 50, 51} and len(runs[0]) == 6
+    (d,) = [r for r in runs[0] if r[0] == 50]
+    assert d[2] is None
