@@ -121,7 +121,11 @@ def semantic_errors(lines: DataFrame, circuits: DataFrame) -> DataFrame:
 
 def errors(lines: DataFrame) -> DataFrame:
     """All messages; a syntax error hides the semantic ones."""
-    lines = cut(lines)
+    return _errors(cut(lines))
+
+
+def _errors(lines: DataFrame) -> DataFrame:
+    """errors() of lines that are a written table."""
     circuits = lines.select("circuit_id").distinct()
     syn = cut(syntax_errors(lines, circuits))
     sem = semantic_errors(lines, circuits).join(syn.select("circuit_id"), "circuit_id", "left_anti")
@@ -131,7 +135,7 @@ def errors(lines: DataFrame) -> DataFrame:
 def validation(lines: DataFrame) -> DataFrame:
     """(circuit_id, valid, first_error, n_errors) for every circuit."""
     lines = cut(lines)
-    e = errors(lines).groupBy("circuit_id").agg(F.min_by("message", F.struct("kind", "ord")).alias("first_error"), F.count("*").alias("n_errors"))
+    e = _errors(lines).groupBy("circuit_id").agg(F.min_by("message", F.struct("kind", "ord")).alias("first_error"), F.count("*").alias("n_errors"))
     d = lines.select("circuit_id").distinct().join(e, "circuit_id", "left")
     return d.select("circuit_id", C("n_errors").isNull().alias("valid"), "first_error", F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
 
@@ -143,7 +147,7 @@ def reference_rules(lines: DataFrame, names: DataFrame) -> DataFrame:
     """Rules for reference texts: name pattern, title line, and no errors beyond those an omitted part explains."""
     lines = cut(lines)
     meta = lines.groupBy("circuit_id").agg(F.min_by("line", "line_no").alias("title"), F.max(C("line").startswith("* omitted:")).alias("reduced"))
-    e = errors(lines).join(meta.select("circuit_id", "reduced"), "circuit_id")
+    e = _errors(lines).join(meta.select("circuit_id", "reduced"), "circuit_id")
     left = e.filter(~(C("reduced") & C("message").rlike(REDUCED_ALLOWED))).groupBy("circuit_id").agg(F.count("*").alias("n"))
     d = names.join(meta, "circuit_id").join(left, "circuit_id", "left")
     return d.select("circuit_id", C("name").rlike(r"^C\d+_D\d+\.cir$").alias("name_ok"),
