@@ -4,14 +4,10 @@ The drawn-label rules are case-sensitive and the sentence rules mostly are not,
 so the two stay separate."""
 from pyspark.sql import Column, functions as F
 
-from ..vocabulary import (DRAWN_LETTER_POINT, DRAWN_R_SUFFIX, DRAWN_VALUE, NETLIST_NUMBER, SUFFIX_FACTOR,
-                          TEXT_LETTER_POINT, TEXT_R_SUFFIX, TEXT_VALUE, TEXT_VALUE_HEAD)
+from ..vocabulary import (DRAWN_LETTER_POINT, DRAWN_R_SUFFIX, DRAWN_VALUE, NETLIST_NUMBER, PREFIX_LETTER, SUFFIX_FACTOR,
+                          TEXT_LETTER_POINT, TEXT_R_SUFFIX, TEXT_VALUE, TEXT_VALUE_HEAD, UNIT_CLASS)
 from .symbols import literal_map
 
-_PREFIX = {"µ": "u", "μ": "u", "K": "k", "M": "meg", "G": "g", "R": ""}
-_UNIT_CLASS = {"ohm": "resistor", "ohms": "resistor", "Ω": "resistor",
-               "f": "capacitor", "h": "inductor", "v": "voltage_source"}
-
 
 def _group(text: Column, pattern: str, k: int) -> Column:
     return F.regexp_extract(text, pattern, k)
@@ -26,13 +22,13 @@ def drawn_value(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), ",", "."), r"^[+ ]+", "")
     plain, point = t.rlike(DRAWN_VALUE), t.rlike(DRAWN_LETTER_POINT)
     unit = lambda p, k: F.try_element_at(
-        literal_map(_UNIT_CLASS), F.when(_group(t, p, k) == "Ω", F.lit("Ω")).otherwise(F.lower(_group(t, p, k))))
+        literal_map(UNIT_CLASS), F.when(_group(t, p, k) == "Ω", F.lit("Ω")).otherwise(F.lower(_group(t, p, k))))
     make = lambda v, c: F.struct(v.alias("value"), c.alias("cls"))
     return (F.when(t.rlike(DRAWN_R_SUFFIX), make(_group(t, DRAWN_R_SUFFIX, 1), F.lit("resistor")))
             .when(point, make(F.concat(_group(t, DRAWN_LETTER_POINT, 1), F.lit("."), _group(t, DRAWN_LETTER_POINT, 3),
-                                       _mapped(_PREFIX, _group(t, DRAWN_LETTER_POINT, 2))),
+                                       _mapped(PREFIX_LETTER, _group(t, DRAWN_LETTER_POINT, 2))),
                               unit(DRAWN_LETTER_POINT, 4)))
-            .when(plain, make(F.concat(_group(t, DRAWN_VALUE, 1), _mapped(_PREFIX, _group(t, DRAWN_VALUE, 2))),
+            .when(plain, make(F.concat(_group(t, DRAWN_VALUE, 1), _mapped(PREFIX_LETTER, _group(t, DRAWN_VALUE, 2))),
                               unit(DRAWN_VALUE, 3)))
             .otherwise(make(F.lit(None).cast("string"), F.lit(None).cast("string"))))
 
@@ -47,7 +43,7 @@ def sentence_value(text: Column, cls: Column) -> Column:
     return (F.when(t.rlike(TEXT_R_SUFFIX), F.when(cls == "resistor", _group(t, TEXT_R_SUFFIX, 1)))
             .when(t.rlike(TEXT_LETTER_POINT),
                   F.concat(lead, _group(t, TEXT_LETTER_POINT, 1), F.lit("."), _group(t, TEXT_LETTER_POINT, 3),
-                           _mapped(_PREFIX, _group(t, TEXT_LETTER_POINT, 2))))
+                           _mapped(PREFIX_LETTER, _group(t, TEXT_LETTER_POINT, 2))))
             .when(t.rlike(TEXT_VALUE), F.concat(lead, _group(t, TEXT_VALUE_HEAD, 1), suffix)))
 
 
