@@ -28,8 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared one; all intermediate tables lie in it."""
+    return os.path.join(shared_dir(spark), f"run-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(run_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Delete the intermediate tables of this application. To be called when results have been written elsewhere: a DataFrame
+    of this library may still read such tables. Tells whether there were any."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_session(cores: str = "*", app: str = "wirelake") -> SparkSession:
