@@ -64,7 +64,7 @@ def test_cell_joins_find_every_pair_once(spark):
     fa, fb = frame(spark, a, "i"), frame(spark, b, "j")
     near = [(r.l_i, r.r_j) for r in M.close_pairs(fa, fb, ["image_id"]).collect()]
     assert sorted(near) == sorted(k for k, v in want.items() if v >= 0.5) and near
-    touch = [(r.l_i, r.r_j) for r in M.overlapping_pairs(fa, fb, ["image_id"]).collect()]
+    touch = [(r.l_i, r.r_j) for r in M.overlapping_pairs(fa, fb, ["image_id"], 0.0).collect()]
     assert sorted(touch) == sorted(k for k, v in want.items() if v > 0)
 
 

@@ -58,12 +58,12 @@ def _known_levels(*dfs: DataFrame) -> list[int]:
     return sorted(r[0] for r in d.distinct().filter("_lv IS NOT NULL").collect())
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, group: list[str], min_iou: float = 0.0) -> DataFrame:
+def overlapping_pairs(left: DataFrame, right: DataFrame, group: list[str], min_iou: float) -> DataFrame:
     """All pairs with an IoU above 0 and of at least min_iou, columns prefixed l_ and r_.
 
     Boxes meet at the size level of the larger one: every box is spread over the cells it covers (four at most) at its own
     level and at the higher levels that occur. A pair counts only in the cell that holds the low corner of its intersection,
-    so it appears once. The output is all such pairs: in a dense photo give a min_iou."""
+    so it appears once. A min_iou of 0 asks for every pair that touches, which in a dense photo grows with the square of its boxes."""
     sound = (C("x2") > C("x1")) & (C("y2") > C("y1"))
     side = B.longer_side(*B.corners())
     a, b = (d.filter(sound).withColumn("_own", _level(side)) for d in (left, right))

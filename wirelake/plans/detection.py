@@ -58,7 +58,7 @@ def scores(spark, sf):
 @query("j3_iou_pairs", f"SELECT image_id, pred_idx, gt_idx, round(iou, 6) AS iou FROM ({PAIRS}) WHERE iou > 0")
 def j3(spark, sf):
     gt, pred = gp(spark, sf)
-    d = M.overlapping_pairs(pred, gt, ["image_id"])
+    d = M.overlapping_pairs(pred, gt, ["image_id"], 0.0)
     return d.select("image_id", C("l_pred_idx").alias("pred_idx"), C("r_gt_idx").alias("gt_idx"), F.round("iou", 6).alias("iou"))
 
 
