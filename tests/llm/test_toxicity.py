@@ -73,3 +73,37 @@ def test_separate_moderate_passages_add_up(spark):
     got = {r["doc_id"]: r for r in tx.score(spark.createDataFrame(texts, "doc_id int, text string"), m, passages=True).collect()}
     assert got[1]["score"] > 0.9 and got[1]["n_passages"] == len(got[1]["passages"]) == 20
     assert got[2]["score"] < 0.1 and got[2]["n_passages"] == 0 and abs(got[1]["best_segment"] - got[2]["best_segment"]) < 1e-6
+
+
+def test_copies_count_as_one(spark):
+    """200 toxic copies of an ordinary text must not make its words toxic."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(x) for x in rng.choice(list("abcdefgh"), (400, 5))]
+
+    def text():
+        return " ".join(rng.choice(vocabulary, 60))
+    copied = " ".join(f"copied{i}" for i in range(60))
+    docs = [(i, text() + (" awful vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    docs += [(1000 + i, copied + f" own{i} awful vile", 1) for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, toxic int")
+    rows = tx._training_rows(d, d.select("doc_id", "toxic"), "doc_id", "text", "toxic", 1000).toPandas()
+    of_copies = rows["_t"].str.startswith("copied0")
+    assert len(rows) == 600 and rows["_w"][of_copies].sum() < 5 and (rows["_w"][~of_copies] == 1).all()
+    m = tx.train(d, d.select("doc_id", "toxic"))
+    probe = spark.createDataFrame([(1, copied), (2, text() + " awful vile"), (3, text())], "doc_id int, text string")
+    got = {r["doc_id"]: r["score"] for r in tx.score(probe, m).collect()}
+    assert got[1] < 0.3 and got[2] > 0.5 and got[3] < 0.3
+
+
+def test_shared_keys_keep_the_bound(spark):
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(i, f"other {i}") for i in range(2, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, toxic int")
+    assert tx._training_rows(d, labels, "doc_id", "text", "toxic", 50).count() == 50
+
+
+def test_odds_have_both_signs():
+    n = np.zeros((2, tx.CLASSES + 1))
+    n[:, -1] = 900, 100
+    n[:, 0], n[:, 1], n[:, 2] = (2, 60), (600, 2), (90, 10)
+    w = tx._log_odds(n)
+    assert w[0] > 1 and w[1] < -1 and -0.06 < w[2] <= tx.STEP_DOWN

@@ -18,17 +18,24 @@ CLASSES = 1 << 18
 TRAIN_DOCS = 20_000
 #: weight of the prior, in documents; its shape is the share of toxic documents in the sample
 PRIOR = 2.0
-#: log-odds count only for tokens whose share of toxic documents stands out so much (signed root of the likelihood ratio, about standard errors) that
-#: of all tokens in three documents and more about this number would by chance
+#: log-odds count only for tokens whose share of toxic documents stands out so much, upwards or downwards (signed root of the likelihood ratio, about
+#: standard errors), that of all tokens in three documents and more about this number would by chance
 CHANCE_TOKENS = 1.0
-#: the odds are taken at the lower bound of an interval of so many standard errors, so that rare tokens count less
+#: the odds are taken at the bound nearer to zero of an interval of so many standard errors, so that rare tokens count less
 CAUTION = 1.64
-#: no token counts more than this
+#: no token counts more than this, upwards or downwards
 MAX_ODDS = 6.0
-#: all other tokens lower a segment by this much, so that the expected score of clean text is negative and segments stay local
+#: all tokens are shifted by this and, if it is positive, by the mean weight of tokens in clean documents, so that the expected score of clean text is
+#: negative and segments stay local
 STEP_DOWN = -0.05
+#: tokens of a run whose minwise values tell copies of a document from others
+RUN = 3
+#: minwise values: documents that share a majority of them are taken for copies
+MARKS = 5
 #: the law of clean scores and its calibration come from scores under weights that were learnt on the other folds
 FOLDS = 3
+#: weights of documents are counted in whole parts of this size, so that sums don't depend on their order
+WEIGHT_UNIT = 1 << 20
 #: segments with a p-value up to this are reported
 MAX_P = 1e-3
 
@@ -55,29 +62,64 @@ def _classes(text: str, memo: _Classes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
 
 
+def _marks(at: np.ndarray) -> list[int]:
+    """Minwise values of the runs of RUN tokens (shorter texts: of the tokens)."""
+    if not len(at):
+        return [0] * MARKS
+    runs = np.lib.stride_tricks.sliding_window_view(at, RUN) if len(at) >= RUN else at[:, None]
+    h = pd.util.hash_array(np.unique((runs.astype(np.uint64) * (CLASSES + 1) ** np.arange(runs.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)))
+    # odd multipliers, then the upper half: another order of the same hashes for each mark
+    return [int((h * np.uint64(2 * zlib.crc32(b"%d" % k) + 1) >> np.uint64(32)).min()) for k in range(MARKS)]
+
+
+def _training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
+    """(_y, _t, _fold, _w) of at most `rows` documents, one for each key (of a key with several texts, one with the smallest checksum). Copies are not
+    independent: the weight of a document is one over the number of documents of the sample that it shares most of its minwise values
+    with, the median over these, and its fold goes by the first of them."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
+    sample = bounded_sample(known, key, rows)
+    d = (docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), key)
+         .groupBy(F.col(key).alias("_id"), "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), F.col("_t"))).alias("_t")))
+
+    @F.pandas_udf("array<bigint>")
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo = _Classes()
+        for texts in batches:
+            yield pd.Series([_marks(_classes(t, memo)) for t in texts])
+    d = written(d.repartition(max(1, min(64, rows // 1000)), "_id").withColumn("_m", marked("_t")), "toxic-sample")
+    one = d.select("_id", F.posexplode("_m").alias("_k", "_v"))
+    sizes = one.join(one.groupBy("_k", "_v").agg(F.count("*").alias("_n")), ["_k", "_v"]).groupBy("_id").agg(F.sort_array(F.collect_list("_n"))[MARKS // 2].alias("_n"))
+    return written(d.join(sizes, "_id").select("_y", "_t", F.pmod(F.xxhash64(F.col("_m")[0]), F.lit(FOLDS)).cast("int").alias("_fold"), (1 / F.col("_n")).alias("_w")), "toxic-train")
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_DOCS) -> dict:
     """Token scores, the extreme-value law and its calibration from at most `rows` labelled documents (label 0 or 1; others are ignored; a key with
     both labels counts as 1). Key and label meet here only; neither is an input of a score."""
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
-    sample = bounded_sample(known, key, rows)
-    d = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), key).select("_y", "_t")
-    d = written(d.repartition(max(1, min(64, rows // 1000))), "toxic-train")
+    d = _training_rows(docs, labels, key, text, label, rows)
+    model = _fitted(d)
+    if model["fit"][0] > 0:
+        return model
+    # a sample of a few texts and their copies: as groups nothing stands out in them, as documents it may
+    return _fitted(d.withColumn("_w", F.lit(1.0)))
 
+
+def _fitted(d: DataFrame) -> dict:
+    """The model of training rows; without slope where their labels can't be told apart."""
     cells = [f"n{k}" for k in range(2 * FOLDS)]
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, memo = np.zeros((2 * FOLDS, CLASSES + 1), np.int64), _Classes()  # the last cell counts documents
         for b in batches:
-            for y, t in zip(b["_y"], b["_t"], strict=True):
-                # a token counts once in a document: long texts and repeated lines don't outweigh others
-                n[2 * _fold(t) + y, np.append(np.unique(_classes(t, memo)), CLASSES)] += 1
+            for y, t, fold, weight in zip(b["_y"], b["_t"], b["_fold"], b["_w"], strict=True):
+                # a token counts once in a document, and a group of copies as one: long texts, repeated lines and texts don't outweigh others
+                n[2 * fold + y, np.append(np.unique(_classes(t, memo)), CLASSES)] += round(weight * WEIGHT_UNIT)
         at = np.flatnonzero(n.sum(0))
         yield pd.DataFrame({"c": at} | {c: n[k, at] for k, c in enumerate(cells)})
     counts = (d.mapInPandas(counted, "c bigint, " + ", ".join(f"{c} bigint" for c in cells)).groupBy("c").agg(*[F.sum(c).alias(c) for c in cells])).toArrow()  # CLASSES rows at most
     by_fold = np.zeros((FOLDS, 2, CLASSES + 1))
     for k, c in enumerate(cells):
-        by_fold[k // 2, k % 2, counts["c"].to_numpy()] = counts[c].to_numpy()
+        by_fold[k // 2, k % 2, counts["c"].to_numpy()] = counts[c].to_numpy() / WEIGHT_UNIT
     n = by_fold.sum(0)
     model = {"weights": _log_odds(n), "law": (0.0, 1.0), "fit": (0.0, 0.0)}
     if not n[0].any() or not n[1].any():
@@ -90,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Classes()
         for b in batches:
-            at = [(_classes(t, memo), _fold(t)) for t in b["_t"]]
+            at = [(_classes(t, memo), k) for t, k in zip(b["_t"], b["_fold"], strict=True)]
             yield pd.DataFrame({"y": b["_y"], "s": [segment_scores(others[k][c]) for c, k in at], "own": [segment_scores(w[c]) for c, _ in at], "n": [len(c) for c, _ in at]})
     s = d.mapInPandas(scored, "y int, s array<double>, own array<double>, n bigint").toArrow().to_pandas()  # as many rows as the sample
     y, n = s["y"].to_numpy(float), s["n"].to_numpy(float)
@@ -110,25 +152,23 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _fold(text: str) -> int:
-    """Copies of a text are in one fold."""
-    return zlib.crc32(text.encode("utf-8", "replace")) % FOLDS
-
-
 def _log_odds(n: np.ndarray) -> np.ndarray:
-    """Log-odds ratio of each class of tokens between toxic and clean documents under a Dirichlet prior. n are counts of documents with the class; the last
-    cell counts all. Classes that don't stand out get STEP_DOWN: the likelihood ratio against the common share of toxic documents holds
-    for counts of a few as well as for many."""
+    """Log-odds ratio of each class of tokens between toxic and clean documents under a Dirichlet prior, of both signs. n are counts of documents with the
+    class; the last cell counts all. Classes that don't stand out have none: the likelihood ratio against the common share of toxic documents holds
+    for counts of a few as well as for many. All are shifted so that clean documents drift downwards."""
     docs, n = n[:, -1], n[:, :-1]
     total, share = n.sum(0), docs / max(1.0, docs.sum())
     g = sum(np.where(n[y] > 0, n[y] * np.log(np.maximum(n[y], 1e-12) / np.maximum(total * share[y], 1e-12)), 0.0) for y in (0, 1))
     z = np.sign(n[1] - total * share[1]) * np.sqrt(2 * np.maximum(g, 0.0))
     prior = np.maximum(PRIOR * share, 1e-6)
     odds = [np.log((n[y] + prior[y]) / (docs[y] + PRIOR)) for y in (0, 1)]
-    low = odds[1] - odds[0] - CAUTION * np.sqrt(1 / (n[1] + prior[1]) + 1 / (n[0] + prior[0]))
+    ratio = odds[1] - odds[0]
+    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - CAUTION * np.sqrt(1 / (n[1] + prior[1]) + 1 / (n[0] + prior[0])), 0.0)
     tested = max(2, int((total >= 3).sum()))
     least = NormalDist().inv_cdf(1 - min(0.4, CHANCE_TOKENS / tested))
-    return np.where((z >= least) & (low > 0), np.minimum(low, MAX_ODDS), STEP_DOWN).astype(np.float32)
+    w = np.where((np.abs(z) >= least) & (z * ratio > 0), np.clip(ratio, -MAX_ODDS, MAX_ODDS), 0.0)
+    clean = float((w * n[0]).sum() / max(1.0, n[0].sum()))
+    return (w + STEP_DOWN - max(0.0, clean)).astype(np.float32)
 
 
 def best_score(w: np.ndarray) -> tuple[float, int]:
