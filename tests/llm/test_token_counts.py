@@ -64,3 +64,40 @@ def test_query_equals_a_full_count(spark, encoder):
         assert r["n_tokens"] == encoder.count(t)
         assert r["n_tokens_after"] == encoder.count(re.sub("[0-9]{5,}", "#", t))
         assert r["n_edits"] == len(re.findall("[0-9]{5,}", t))
+
+
+SCRIPTS = {"cyrillic": "\u0441\u043b\u043e\u0432\u043e \u0438 \u0434\u0435\u043b\u043e ", "chinese": "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u3002", "numbers": "17 4 2026\n8 15 16\n",
+           "lines": "x=1\r\n\r\n\ty_2\n\n\n", "marks": "it's  -- 'tis \u00b2\u00bd\u3000\u2028 don't\u3001'sun\u3002\x1c\x1f ' s  "}
+
+
+def test_every_script_is_cut_and_edits_stay_local():
+    encoder = tc.Encoder()
+    rng = random.Random(8)
+    for name, piece in SCRIPTS.items():
+        text = piece * (60_000 // len(piece))
+        leaves = tc.cut(text)
+        assert "".join(leaves) == text and len(leaves) >= 20, name
+        assert sum(map(encoder.count, leaves)) == encoder.count(text), name
+        tree = tc.build(text, encoder)
+        for _ in range(25):
+            s = rng.randrange(len(text) - 8)
+            edit = (s, s + rng.choice([0, 1, 2, 7]), rng.choice(["", " ", "\n", "'s", "\u4eca", "7", "\u3002", " a"]))
+            new, encoded = tc.apply(tree, text, [edit], encoder)
+            assert tc.total(new) == encoder.count(tc.edited(text, [edit])) and encoded < 12_000, (name, edit)
+
+
+def test_cuts_of_random_texts():
+    encoder = tc.Encoder()
+    rng = random.Random(9)
+    signs = "ab'st _1\u00b2 \n\t\r\x0b\x1c\x85\u00a0\u3000\u3001\u3002\u4eca\u0301\u0441.-\uff0c"
+    old = tc.LEAF
+    try:
+        tc.LEAF = 3
+        for _ in range(3000):
+            text = "".join(rng.choice(signs) for _ in range(rng.randrange(40)))
+            assert sum(map(encoder.count, tc.cut(text))) == encoder.count(text), repr(text)
+            s = rng.randrange(len(text) + 1)
+            edit = (s, rng.randrange(s, len(text) + 1), "".join(rng.choice(signs) for _ in range(rng.randrange(4))))
+            assert tc.total(tc.apply(tc.build(text, encoder), text, [edit], encoder)[0]) == encoder.count(tc.edited(text, [edit])), (text, edit)
+    finally:
+        tc.LEAF = old

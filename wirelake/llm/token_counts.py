@@ -15,9 +15,11 @@ VOCABULARY = env_path("WIRELAKE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tikto
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: characters of a leaf, at least
 LEAF = 2_048
-#: between two letters' worth of context, a blank always begins a pre-token: leaves are cut there only
-_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
-#: an edit has to be so far from a cut to leave it a cut: the letter before, the blank and the letter after
+#: where the pre-token pattern surely ends a piece, in every script: white space occurs only at the start of pieces or in pieces of its own, so one ends
+#: before each run of it; and letters and digits end before punctuation, of which the ideographic kind is taken, for texts without blanks. What
+#: follows is matched from the cut on, so it doesn't depend on what is before
+_CUT = re.compile(r"(?<=\S)(?=\s)|(?<=[^\W_])(?=[\u3001\u3002\u3008-\u3011\u3014-\u301b\uff01\uff0c\uff1a\uff1b\uff1f])")
+#: an edit has to be so far from a cut to leave it a cut: the character before it and the one or two after it
 _BEFORE, _AFTER = 2, 1
 
 TREE = "struct<lengths:array<int>,counts:array<int>,sums:array<bigint>>"
@@ -35,7 +37,8 @@ class Encoder:
 
 
 def cut(text: str) -> list[str]:
-    """Leaves: the text at the first safe cut after every LEAF characters. Encoded on their own they give the tokens of the whole text."""
+    """Leaves: the text at the first safe cut after every LEAF characters. Encoded on their own they give the tokens of the whole text. A run without white
+    space and ideographic punctuation is never cut."""
     out, at = [], 0
     while at < len(text):
         m = _CUT.search(text, at + LEAF) if at + LEAF < len(text) else None
