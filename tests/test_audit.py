@@ -125,3 +125,13 @@ def test_size_check(spark):
     d = spark.createDataFrame(rows, "r boolean, w int, h int, rw int, rh int, sw int, sh int")
     assert [x.c for x in d.select(A.size_check(*map(F.col, ("r", "w", "h", "rw", "rh", "sw", "sh"))).alias("c")).collect()] == [
         "xml_matches_displayed", "xml_matches_raw_only(EXIF rotated)", "xml_matches_displayed", "xml_size_mismatch", "unreadable_image"]
+
+
+def test_packed_documents_are_few_files(spark, tmp_path):
+    from wirelake.sources import artefacts as J
+    docs = spark.range(2000).selectExpr("concat('group', id % 10, '/', id, '.cir') AS path", "CASE WHEN id % 7 > 0 THEN concat('* ', id, char(10), '.end', char(10)) END AS text")
+    J.pack(docs, str(tmp_path / "packed"))
+    files = [f for f in (tmp_path / "packed").rglob("*") if f.is_file()]
+    assert len(files) < 50 and sum(-(-f.stat().st_size // 4096) * 4096 for f in files) < 2000 * 4096 / 4
+    got = {r.stem: (r.grp, r.text) for r in J.read_packed_netlists(spark, str(tmp_path / "packed")).collect()}
+    assert len(got) == 2000 and got["12"] == ("group2", "* 12\n.end\n") and got["14"] == ("group4", "")

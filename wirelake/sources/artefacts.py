@@ -12,8 +12,27 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 def read_netlists(spark: SparkSession, path: str) -> DataFrame:
     """Files group/stem.cir -> (group, stem, text)."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
-    return d.select(F.element_at(F.split("p", "/"), -2).alias("grp"), F.regexp_extract("p", r"([^/]+)\.cir$", 1).alias("stem"), "text")
+    return _netlists(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text")))
+
+
+def _netlists(docs: DataFrame) -> DataFrame:
+    return docs.select(F.element_at(F.split("p", "/"), -2).alias("grp"), F.regexp_extract("p", r"([^/]+)\.cir$", 1).alias("stem"), "text")
+
+
+def pack(docs: DataFrame, folder: str) -> None:
+    """docs(path, text): documents with their paths, many to a file. A document of 100 bytes as a file of its own takes a block of the disk (4 KB)
+    and an entry of every listing; keyed_files.write() is for readers that need such files."""
+    docs.select("path", F.coalesce("text", F.lit("")).alias("text")).write.parquet(folder)
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of pack(): (p, text)."""
+    return spark.read.schema("path string, text string").parquet(folder).withColumnRenamed("path", "p")
+
+
+def read_packed_netlists(spark: SparkSession, folder: str) -> DataFrame:
+    """Packed documents group/stem.cir -> (group, stem, text)."""
+    return _netlists(read_packed(spark, folder))
 
 
 def text_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -40,8 +59,12 @@ def label_boxes(lines: DataFrame, w: Column, h: Column) -> DataFrame:
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """Files split/stem.txt, one for each photo -> (split, stem, line_no, line)."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
-    return text_lines(d.select(F.element_at(F.split("p", "/"), -2).alias("split"), F.regexp_extract("p", r"([^/]+)\.txt$", 1).alias("stem"), "text"), ["split", "stem"])
+    return label_lines_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text")))
+
+
+def label_lines_of(docs: DataFrame) -> DataFrame:
+    """(p: .../split/stem.txt, text) -> (split, stem, line_no, line)."""
+    return text_lines(docs.select(F.element_at(F.split("p", "/"), -2).alias("split"), F.regexp_extract("p", r"([^/]+)\.txt$", 1).alias("stem"), "text"), ["split", "stem"])
 
 
 def read_artefacts(spark: SparkSession, path: str) -> DataFrame:
