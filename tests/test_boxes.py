@@ -167,3 +167,35 @@ def test_perfect_predictions_have_full_precision(spark):
     pr = preds(spark, [("resistor", (0, 0, 10, 10), .9), ("diode", (50, 0, 60, 10), .8)])
     got = E.average_precision(E.threshold_matches(pr, gt, [0.5, 0.75]), gt).collect()
     assert {(r.cls, round(r.ap50, 6), round(r.ap50_95, 6), r.recall) for r in got} == {("resistor", 1.0, 1.0, 1.0), ("diode", 1.0, 1.0, 1.0)}
+
+
+def test_small_and_large_images_agree(spark, monkeypatch):
+    """Crowding and close pairs by cells and by images; coincident centres, a box without corners, and an image of one box among them."""
+    rows = [(k % 7, i, "gnd", x1, y1, x2, y2) for k in range(40) for i, (_, (x1, y1, x2, y2)) in enumerate(random_boxes(k % 9, k, 300), 100 * k)]
+    rows += [(1, 9001, "gnd", 10.0, 10.0, 30.0, 20.0), (1, 9002, "gnd", 5.0, 5.0, 35.0, 25.0), (2, 9003, "gnd", None, 1.0, 2.0, 3.0), (9, 9004, "gnd", 1.0, 1.0, 2.0, 2.0)]
+    d = spark.createDataFrame(rows, "image_id long, idx long, cls string, x1 double, y1 double, x2 double, y2 double")
+    moved = d.withColumns({"x1": F.col("x1") + 1, "x2": F.col("x2") + 1})
+
+    def both():
+        c = {r.image_id: r.crowding for r in M.crowding(d).collect()}
+        return c, sorted((r.image_id, r.l_idx, r.r_idx) for r in M.close_pairs(d, moved, ["image_id"]).collect())
+    crowd, pairs = both()
+    monkeypatch.setattr(M, "FEW_SPOTS", 3)
+    monkeypatch.setattr(M, "FEW_BOXES", 3)
+    crowd2, pairs2 = both()
+    assert pairs == pairs2 and len(pairs) > 100 and crowd[9] == 0 and crowd[1] > 1e6
+    assert crowd.keys() == crowd2.keys() and all(math.isclose(crowd[k], crowd2[k], rel_tol=1e-9) for k in crowd)
+
+
+def test_small_images_take_no_pyramid(spark, monkeypatch):
+    monkeypatch.setattr(M, "nearest_distances", None)
+    monkeypatch.setattr(M, "_pairs_by_cells", None)
+    d = frame(spark, random_boxes(30, 3, 200), "idx")
+    assert M.crowding(d).collect()[0].crowding > 0 and M.close_pairs(d, d, ["image_id"]).count() >= 30
+
+
+def test_crowding_queries_read_the_boxes_as_they_are():
+    from wirelake.plans import catalogue
+    from wirelake.plans.fixtures import VIEWS
+    assert "fx_apart" not in VIEWS
+    assert all("fx_gt a LEFT JOIN fx_gt b" in catalogue.ORACLES[n] for n in ("j7_crowding", "a16_image_scores", "win5_failure_examples"))

@@ -29,25 +29,40 @@ def _renamed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[C(c).alias(prefix + c) for c in df.columns if c not in keep])
 
 
+#: groups of up to so many right boxes meet all left ones of the group; the others meet by cells
+FEW_BOXES = 64
+
+
 def close_pairs(left: DataFrame, right: DataFrame, group: list[str], min_iou: float = 0.5) -> DataFrame:
-    """Pairs with IoU >= min_iou for min_iou >= 0.5, columns prefixed l_ and r_.
+    """Pairs with IoU >= min_iou for min_iou >= 0.5, columns prefixed l_ and r_. Lower thresholds go through overlapping_pairs.
 
-    At such an overlap the centre of one box lies in the other and their longer sides differ by at
-    most a factor 2. So a left box needs one cell (its centre, at its size level) and a right box
-    the few cells it covers at the one or two levels a partner can have. Lower thresholds go through overlapping_pairs."""
+    A left box is compared with all of up to FEW_BOXES right boxes of its group; only those of larger groups are spread over cells."""
     if min_iou < 0.5:
         return overlapping_pairs(left, right, group, min_iou)
     sound = (C("x2") > C("x1")) & (C("y2") > C("y1"))
+    a, b = left.filter(sound), right.filter(sound)
+    many = cut(b.groupBy(*group).agg(F.count("*").alias("_n")).filter(C("_n") > FEW_BOXES).select(*group))
+    some = None if many.isEmpty() else _pairs_by_cells(a.join(many, group, "left_semi"), b.join(many, group, "left_semi"), group)
+    if some is not None:
+        b = b.join(many, group, "left_anti")
+    d = _renamed(a, "l_", group).join(_renamed(b, "r_", group), group)
+    d = d if some is None else d.unionByName(some)
+    return d.withColumn("iou", B.iou(B.corners("l_"), B.corners("r_"))).filter(C("iou") >= min_iou)
+
+
+def _pairs_by_cells(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Candidates for an IoU of 0.5: at such an overlap the centre of one box lies in the other and their longer sides differ by at
+    most a factor 2. So a left box needs one cell (its centre, at its size level) and a right box
+    the few cells it covers at the one or two levels a partner can have."""
     side = B.longer_side(*B.corners())
     cx, cy = B.centre(*B.corners())
-    a = left.filter(sound).withColumn("_lv", _level(side)).withColumns(
+    a = left.withColumn("_lv", _level(side)).withColumns(
         {"_gx": F.floor(cx / _cell_size(C("_lv"))), "_gy": F.floor(cy / _cell_size(C("_lv")))})
-    b = right.filter(sound).withColumn("_lv", F.explode(F.sequence(_level(side / 2), _level(side * 2))))
+    b = right.withColumn("_lv", F.explode(F.sequence(_level(side / 2), _level(side * 2))))
     b = b.withColumn("_gx", F.explode(_cells(C("x1"), C("x2"), _cell_size(C("_lv"))))) \
          .withColumn("_gy", F.explode(_cells(C("y1"), C("y2"), _cell_size(C("_lv")))))
     keys = [*group, "_lv", "_gx", "_gy"]
-    d = _renamed(a, "l_", keys).join(_renamed(b, "r_", keys), keys).drop("_lv", "_gx", "_gy")
-    return d.withColumn("iou", B.iou(B.corners("l_"), B.corners("r_"))).filter(C("iou") >= min_iou)
+    return _renamed(a, "l_", keys).join(_renamed(b, "r_", keys), keys).drop("_lv", "_gx", "_gy")
 
 
 def _known_levels(*dfs: DataFrame) -> list[int]:
@@ -273,18 +288,29 @@ def nearest_distances(spots: DataFrame) -> DataFrame:
             .groupBy("image_id", "cx", "cy").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("d")))
 
 
+#: images of up to so many spots are compared spot by spot where they are; the others go through the pyramid
+FEW_SPOTS = 64
+
+
 def crowding(boxes: DataFrame) -> DataFrame:
     """Per image the mean of longer side / distance to the nearest other centre; 0 below two boxes. Boxes without four finite corners
-    don't count, but their image has a row."""
+    don't count, but their image has a row. The spots of an image of up to FEW_SPOTS travel as one array beside each of them, in one shuffle."""
     cx, cy = B.centre(*B.corners())
     pts = boxes.select("image_id", cx.alias("cx"), cy.alias("cy"), B.longer_side(*B.corners()).alias("side"))
     finite = lambda c: C(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     ok = finite("cx") & finite("cy") & finite("side")
     pts = pts.withColumns({c: F.when(ok, C(c)) for c in ("cx", "cy", "side")})
     # boxes with one centre are one spot; those that don't count are one row of their image
-    spots = cut(pts.groupBy("image_id", "cx", "cy").agg(F.count("side").alias("n"), F.sum("side").alias("side")))
-    d = spots.filter("n > 0").join(nearest_distances(spots.filter("n > 0")), ["image_id", "cx", "cy"], "left")
+    spots = pts.groupBy("image_id", "cx", "cy").agg(F.count("side").alias("n"), F.sum("side").alias("side"))
+    image = Window.partitionBy("image_id")
+    spots = spots.withColumn("_few", F.count_if(C("n") > 0).over(image) <= FEW_SPOTS)
+    spots = spots.withColumn("_all", F.collect_list(F.when(C("_few") & (C("n") > 0), F.struct("cx", "cy"))).over(image))
+    dist = lambda o: F.sqrt((C("cx") - o["cx"]) * (C("cx") - o["cx"]) + (C("cy") - o["cy"]) * (C("cy") - o["cy"]))
+    d = F.array_min(F.transform(F.filter("_all", lambda o: (o["cx"] != C("cx")) | (o["cy"] != C("cy"))), dist))
+    spots = cut(spots.withColumn("d", d).drop("_all"))
+    many = spots.filter("NOT _few AND n > 0").drop("d")
+    if not many.isEmpty():
+        spots = spots.filter("_few OR n = 0").unionByName(many.join(nearest_distances(many.select("image_id", "cx", "cy")), ["image_id", "cx", "cy"], "left"))
     # of several boxes on one spot each has another at distance 0
     share = C("side") / (F.when(C("n") > 1, 0.0).otherwise(C("d")) + 1e-9)
-    d = d.groupBy("image_id").agg((F.sum(share) / F.sum("n")).alias("crowding"))
-    return spots.select("image_id").distinct().join(d, "image_id", "left").select("image_id", F.coalesce("crowding", F.lit(0.0)).alias("crowding"))
+    return spots.groupBy("image_id").agg(F.coalesce(F.try_divide(F.sum(share), F.sum("n")), F.lit(0.0)).alias("crowding"))

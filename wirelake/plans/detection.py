@@ -33,7 +33,7 @@ outc AS (SELECT p.image_id, p.pred_idx, p.cls, p.conf, CASE WHEN w.gt_idx IS NUL
 
 CROWD_SQL = """crowd AS (SELECT image_id, coalesce(avg(side / (d + 1e-9)), CAST(0 AS DOUBLE)) AS crowding FROM (SELECT a.image_id, a.gt_idx, greatest(any_value(a.x2 - a.x1), any_value(a.y2 - a.y1)) AS side,
  min(sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2))) AS d
- FROM fx_apart a LEFT JOIN fx_apart b ON a.image_id = b.image_id AND a.gt_idx <> b.gt_idx GROUP BY 1, 2) GROUP BY image_id)"""
+ FROM fx_gt a LEFT JOIN fx_gt b ON a.image_id = b.image_id AND a.gt_idx <> b.gt_idx GROUP BY 1, 2) GROUP BY image_id)"""
 
 SCORES_SQL = f"""{MATCH_SQL}, {CROWD_SQL}, scores AS (SELECT coalesce(g.image_id, p.image_id) AS image_id, coalesce(gt, 0) AS gt, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(gt, 0) - coalesce(tp, 0) AS fn,
  coalesce(mis, 0) AS misclassified, coalesce(txt, 0) AS text_confusion, coalesce(crowding, CAST(0 AS DOUBLE)) AS crowding FROM (SELECT image_id, count(*) AS gt FROM fx_gt GROUP BY 1) g
@@ -41,8 +41,14 @@ SCORES_SQL = f"""{MATCH_SQL}, {CROWD_SQL}, scores AS (SELECT coalesce(g.image_id
  count(*) FILTER (confused_with IS NOT NULL AND (cls = 'text' OR confused_with = 'text')) AS txt FROM outc GROUP BY 1) p ON p.image_id = g.image_id LEFT JOIN crowd c ON c.image_id = g.image_id)"""
 
 
+def shown_crowding(digits: int):
+    """Coincident centres give numbers of ten digits and more: these are shown in millions."""
+    return F.when(C("crowding") < 1e6, F.round("crowding", digits)).otherwise(F.round(C("crowding") / 1e6) * 1e6)
+
+
 def gp(spark, sf):
-    return view(spark, sf, "fx_gt"), view(spark, sf, "fx_pred")
+    """Both box tables, written once for all that read them."""
+    return cut(view(spark, sf, "fx_gt")), cut(view(spark, sf, "fx_pred"))
 
 
 def outcomes(spark, sf):
@@ -51,8 +57,8 @@ def outcomes(spark, sf):
 
 
 def scores(spark, sf):
-    _, pred = gp(spark, sf)
-    return E.image_scores(pred, view(spark, sf, "fx_apart"), cut(outcomes(spark, sf)))
+    gt, pred = gp(spark, sf)
+    return E.image_scores(pred, gt, cut(M.match_predictions(pred, gt)))
 
 
 @query("j3_iou_pairs", f"SELECT image_id, pred_idx, gt_idx, round(iou, 6) AS iou FROM ({PAIRS}) WHERE iou > 0")
@@ -95,9 +101,9 @@ def j6(spark, sf):
     return M.attach_values(d).select("image_id", "element_idx", "label_idx", "value")
 
 
-@query("j7_crowding", f"WITH {CROWD_SQL} SELECT image_id, round(crowding, 6) AS crowding FROM crowd")
+@query("j7_crowding", f"WITH {CROWD_SQL} SELECT image_id, CASE WHEN crowding < 1e6 THEN round(crowding, 6) ELSE round(crowding / 1e6) * 1e6 END AS crowding FROM crowd")
 def j7(spark, sf):
-    return M.crowding(view(spark, sf, "fx_apart")).withColumn("crowding", F.round("crowding", 6))
+    return M.crowding(view(spark, sf, "fx_gt")).withColumn("crowding", shown_crowding(6))
 
 
 @query("j8_double_labels", f"""SELECT p.image_id, p.pred_idx AS a_idx, g.pred_idx AS b_idx, p.cls AS a_cls, g.cls AS b_cls FROM fx_pred p JOIN fx_pred g ON p.image_id = g.image_id AND p.pred_idx < g.pred_idx AND p.cls <> g.cls
@@ -124,9 +130,9 @@ def j13(spark, sf):
     return M.wire_fragments(f, view(spark, sf, "fx_gt").filter("cls <> 'junction'"), ["det_idx"], 40.0, 40.0).select("image_id", "det_idx")
 
 
-@query("a16_image_scores", f"WITH RECURSIVE {SCORES_SQL} SELECT image_id, gt, tp, fp, fn, misclassified, text_confusion, round(crowding, 3) AS crowding FROM scores")
+@query("a16_image_scores", f"WITH RECURSIVE {SCORES_SQL} SELECT image_id, gt, tp, fp, fn, misclassified, text_confusion, CASE WHEN crowding < 1e6 THEN round(crowding, 3) ELSE round(crowding / 1e6) * 1e6 END AS crowding FROM scores")
 def a16(spark, sf):
-    return scores(spark, sf).withColumn("crowding", F.round("crowding", 3))
+    return scores(spark, sf).withColumn("crowding", shown_crowding(3))
 
 
 @query("a16_totals", f"WITH RECURSIVE {SCORES_SQL} SELECT CAST(sum(gt) AS BIGINT) AS gt, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM scores")
@@ -183,9 +189,9 @@ def a18(spark, sf):
 _KIND_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, image_id, {v} AS key FROM scores WHERE {p}" for k, (p, v) in E.KINDS.items())
 
 
-@query("win5_failure_examples", f"WITH RECURSIVE {SCORES_SQL} SELECT kind, CAST(rn AS INTEGER) AS rn, image_id, round(key, 3) AS key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(key, 3) DESC, image_id) AS rn FROM ({_KIND_SQL})) WHERE rn <= 6")
+@query("win5_failure_examples", f"WITH RECURSIVE {SCORES_SQL} SELECT kind, CAST(rn AS INTEGER) AS rn, image_id, CASE WHEN key < 1e6 THEN round(key, 3) ELSE round(key / 1e6) * 1e6 END AS key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN key < 1e6 THEN round(key, 3) ELSE round(key / 1e6) * 1e6 END DESC, image_id) AS rn FROM ({_KIND_SQL})) WHERE rn <= 6")
 def win5(spark, sf):
-    s = scores(spark, sf).withColumn("crowding", F.round("crowding", 3))
+    s = scores(spark, sf).withColumn("crowding", shown_crowding(3))
     return E.failure_examples(s).select("kind", "rn", "image_id", F.round("key", 3).alias("key"))
 
 
