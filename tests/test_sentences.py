@@ -113,3 +113,19 @@ def test_reports(spark):
     d = spark.createDataFrame([(1, " "), (2, "a and a")], "id long, text string").unionByName(view(spark, SF, "fx_sent").limit(1).select(F.lit(3).cast("long").alias("id"), "text"))
     got = {r.id: r.report for r in P.report(P.described(d, trained(spark, SF))).collect()}
     assert got[1] == "Type a circuit description." and got[2].startswith("No circuit components were found") and got[3] == "Validation: OK"
+
+
+def test_each_text_is_taken_apart_once_and_in_many_tasks(spark):
+    """Sentences of one row group, most of them the same text; null texts keep their rows."""
+    from pyspark.sql import functions as F
+    from wirelake.operators import sentences as P
+    d = spark.range(300, numPartitions=1).select("id", F.when(F.col("id") % 50 > 0, F.concat(F.lit("a "), F.col("id") % 20, F.lit("k resistor"))).alias("text"))
+    seen = []
+
+    def work(texts):
+        seen.append((texts.count(), texts.rdd.getNumPartitions()))
+        return texts.withColumn("n", F.length("text"))
+    got = P.per_text(d, work)
+    assert got.columns == ["id", "text", "n"] and seen[0][0] == 21 and seen[0][1] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = {r.id: (r.text, r.n) for r in got.collect()}
+    assert len(rows) == 300 and rows[50] == (None, None) and rows[21] == ("a 1k resistor", 13)

@@ -10,7 +10,7 @@ from ..functions import values as V
 from ..functions.symbols import literal_map
 from ..functions.wording import explained, tokens
 from ..vocabulary import COUNT_WORDS, ELEMENT_DEFAULT, ELEMENT_PREFIX, LEAF, NOUN_CLASS, TOKEN
-from ..session import cut
+from ..session import cut, spread
 from . import netlists as N, tagging
 
 C = F.col
@@ -132,6 +132,14 @@ def chunked(tagged: DataFrame) -> DataFrame:
     return d.drop("nouns", "claims", "loose")
 
 
+def per_text(sentences: DataFrame, work) -> DataFrame:
+    """sentences(id, text, ...) with the columns that work(texts) adds to a table of their distinct texts. What is read out of a sentence depends on its text
+    only, so a text that comes often is taken apart once; the texts are dealt over all tasks, however few row groups hold them."""
+    texts = work(spread(sentences.select("text").distinct(), "text"))
+    rows = spread(sentences, "id").alias("s").join(texts.alias("t"), C("s.text").eqNullSafe(C("t.text")), "inner")
+    return rows.select("s.*", *[C(f"t.{c}") for c in texts.columns if c not in sentences.columns])
+
+
 def entities(chunks: DataFrame) -> DataFrame:
     d = chunks.select("id", F.explode(F.filter("items", lambda x: x["kind"] == "ENT")).alias("x"))
     return d.select("id", "x.pos", "x.cls", "x.value")
@@ -330,13 +338,18 @@ def notes() -> Column:
 def described(sentences: DataFrame, model: tagging.Model) -> DataFrame:
     """sentences(id, text) -> words, tags, source, tree_text, netlist, errors, notes, error. A sentence
     without components keeps its row and says so."""
-    d = tagging.tag(sentences.withColumn("words", tokens(C("text"))), model)
+    return per_text(sentences.select("id", "text"), lambda d: _described(d, model))
+
+
+def _described(texts: DataFrame, model: tagging.Model) -> DataFrame:
+    """described() of distinct texts, without id."""
+    d = tagging.tag(texts.select(F.sha2("text", 256).alias("id"), "text").withColumn("words", tokens(C("text"))), model)
     d = cut(netlist(structured(chunked(d)), F.substring("text", 1, 60)).withColumn("notes", notes()).select(
         "id", "text", "words", "tags", "source", "tree_text", "netlist", "notes", "error"))
     lines = d.filter("netlist IS NOT NULL").select(C("id").alias("circuit_id"), F.posexplode(F.split("netlist", "\n")).alias("pos", "line")) \
              .select("circuit_id", (C("pos") + 1).cast("long").alias("line_no"), "line")
     e = N.errors(lines).groupBy(C("circuit_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "ord", "message"))), lambda x: x["message"]).alias("errors"))
-    return d.join(e, "id", "left").withColumn("errors", F.coalesce("errors", _empty("string")))
+    return d.join(e, "id", "left").withColumn("errors", F.coalesce("errors", _empty("string"))).drop("id")
 
 
 def report(d: DataFrame) -> DataFrame:

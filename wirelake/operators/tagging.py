@@ -75,6 +75,8 @@ def _dropped(sentences: DataFrame, share: float, seed: int) -> DataFrame:
 def fit(sentences: DataFrame, k: float = 0.1, dropout: float = 0.0, seed: int = 0) -> Model:
     """sentences(id, words, tags). Row-normalised log probabilities with k added to every cell."""
     spark = sentences.sparkSession
+    # tokens are cut out once for all counts
+    sentences = cut(sentences.select(*[c for c in ("id", "words", "tags") if c in sentences.columns]))
     tags = F.array(*map(F.lit, TAGS))
     counts = cut(word_counts(sentences))
     vocab = cut(vocabulary(counts))

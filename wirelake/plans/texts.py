@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wording as T
 from ..operators import sentences as P, tagging as G
-from ..session import cut, scratch_path
+from ..session import cut, scratch_path, spread
 from ..vocabulary import TAGS
 from .fixtures import table, view
 from .registry import query
@@ -24,9 +24,12 @@ def gold_tag(w):
             .when(w == "series", "SER").when(w == "parallel", "PAR").when(w.isin(",", "and"), "SEP").otherwise("O"))
 
 
+def with_gold(sentences):
+    return sentences.withColumn("words", T.tokens(C("text"))).withColumn("tags", F.transform("words", gold_tag))
+
+
 def gold(spark, sf):
-    d = view(spark, sf, "fx_sent").withColumn("words", T.tokens(C("text")))
-    return d.withColumn("tags", F.transform("words", gold_tag))
+    return with_gold(spread(view(spark, sf, "fx_sent"), "id"))
 
 
 def perturbed(spark, sf):
@@ -37,11 +40,11 @@ def perturbed(spark, sf):
 
 
 def chunks(spark, sf):
-    return P.chunked(gold(spark, sf))
+    return P.per_text(view(spark, sf, "fx_sent"), lambda d: P.chunked(with_gold(d)))
 
 
 def trees(spark, sf):
-    return P.structured(chunks(spark, sf))
+    return P.per_text(view(spark, sf, "fx_sent"), lambda d: P.structured(P.chunked(with_gold(d))))
 
 
 @query("str1_tokens", f"WITH {TOK} SELECT id, pos, word FROM tok")
@@ -115,8 +118,7 @@ def seq6(spark, sf):
 def str18(spark, sf):
     """The same sentences with all numbers, count words and the source taken out."""
     d = view(spark, sf, "fx_sent").withColumn("text", F.regexp_replace("text", r"\d+(V battery driving|k|uF) ?|\btwo ", ""))
-    d = d.withColumn("words", T.tokens(C("text"))).withColumn("tags", F.transform("words", gold_tag))
-    return P.structured(P.chunked(d)).select("id", F.explode(P.notes()).alias("note"))
+    return P.per_text(d, lambda d: P.structured(P.chunked(with_gold(d)))).select("id", F.explode(P.notes()).alias("note"))
 
 
 def trained(spark, sf):

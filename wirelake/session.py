@@ -28,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over spark.sql.shuffle.partitions tasks, for work that takes long for its bytes: a table of a single row group would be one task,
+    and adaptive execution merges small partitions of other shuffles into few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def run_dir(spark: SparkSession) -> str:
     """The folder of this application in the shared one; all intermediate tables lie in it."""
     return os.path.join(shared_dir(spark), f"run-{spark.sparkContext.applicationId}")
