@@ -171,3 +171,19 @@ def test_large_circuits_are_refined_by_spark(spark, monkeypatch):
     monkeypatch.setattr(Q, "LARGE", 8)
     c = classes(spark, texts, False)
     assert all((c[a] == c[b]) == (want[a] == want[b]) == (a.split("/")[0] == b.split("/")[0]) for a in texts for b in texts)
+
+
+def test_syntax_errors_shuffle_the_lines_once(spark):
+    """Lines that are not a written table are not made a second time for the frame of their circuit."""
+    rows = {1: ["* a", "R1 1 0 1k", ".end"], 2: ["R1 1 0 1k", ".end"], 3: ["* a", "R1 1 0 1k"], 4: ["* a", ".end", "C1 1 0 1u"], 5: ["* a", "R1 1 x 1k", "L1 1 0", ".end"], 6: ["", " "]}
+    lines = line_rows(spark, {str(k): "\n".join(v) for k, v in rows.items()})
+    d = N.syntax_errors(lines, lines.select("circuit_id").distinct())
+    assert {int(r.circuit_id): r.message for r in d.collect()} == {
+        2: "syntax error at line 1 near 'R1'", 3: "syntax error at line end near '<eof>'", 4: "syntax error at line 3 near 'C1'", 5: "syntax error at line 2 near 'x'", 6: "syntax error at line end near '<eof>'"}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_tables_of_lines_are_dealt_over_all_tasks(spark):
+    from wirelake.plans.fixtures import view
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert view(spark, "/root/testdata/sf0.001", "fx_obj").rdd.getNumPartitions() == n

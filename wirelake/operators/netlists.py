@@ -1,7 +1,7 @@
 """Netlist text as rows: tokens, elements, line shapes, semantic checks.
 
 Input: lines(circuit_id, line_no, line)."""
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import values as V
 from ..session import cut
@@ -79,14 +79,13 @@ def syntax_errors(lines: DataFrame, circuits: DataFrame) -> DataFrame:
     has a statement shape. The grammar is regular over lines, so no chart is needed."""
     d = with_tokens(lines).withColumns({"bad": _first_bad(C("toks")), "head": F.get("toks", F.lit(0))})
     is_end = (F.lower("head") == ".end") & (C("bad") == -1)
-    frame = d.groupBy("circuit_id").agg(F.min("line_no").alias("first_no"), F.min(F.when(is_end, C("line_no"))).alias("end_no"))
-    d = d.join(frame, "circuit_id")
+    circuit = Window.partitionBy("circuit_id")
+    d = d.withColumns({"first_no": F.min("line_no").over(circuit), "end_no": F.min(F.when(is_end, C("line_no"))).over(circuit)})
     title, after = C("line_no") == C("first_no"), C("line_no") > C("end_no")
     at = (F.when(title & ~C("head").startswith("*"), 0).when(title, -1).when(after, 0).otherwise(C("bad")))
-    d = d.withColumn("at", at).filter("at >= 0")
-    tok = F.coalesce(_quoted(F.get("toks", C("at"))), F.lit("'\\n'"))
-    first = d.groupBy("circuit_id").agg(F.min_by(F.struct("line_no", tok.alias("tok")), "line_no").alias("e"))
-    out = circuits.join(frame, "circuit_id", "left").join(first, "circuit_id", "left")
+    d = d.withColumn("at", at).withColumn("tok", F.when(C("at") >= 0, F.coalesce(_quoted(F.get("toks", C("at"))), F.lit("'\\n'"))))
+    first = d.groupBy("circuit_id").agg(F.min("end_no").alias("end_no"), F.min_by(F.struct("line_no", "tok"), F.when(C("at") >= 0, C("line_no"))).alias("e"))
+    out = circuits.join(first, "circuit_id", "left")
     msg = (F.when(C("e").isNotNull(), F.concat(F.lit("syntax error at line "), C("e.line_no").cast("string"), F.lit(" near "), "e.tok"))
            .when(C("end_no").isNull(), "syntax error at line end near '<eof>'"))
     return out.select("circuit_id", msg.alias("message")).filter("message IS NOT NULL")

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.audit import clipped
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources.annotations import objects, parse
 
 C = F.col
@@ -92,7 +92,7 @@ def drift(spark: SparkSession, key: str, out: str) -> DataFrame:
 def annotation_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Annotation texts (image_id, xml) of a folder as a stream of object rows, parsed as they arrive; unreadable texts give none."""
     docs = spark.readStream.schema("image_id long, xml string").parquet(folder)
-    return objects(parse(docs), ["image_id"])
+    return objects(parse(spread(docs, "image_id")), ["image_id"])
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
