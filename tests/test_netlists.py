@@ -187,3 +187,11 @@ def test_tables_of_lines_are_dealt_over_all_tasks(spark):
     from wirelake.plans.fixtures import view
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert view(spark, "/root/testdata/sf0.001", "fx_obj").rdd.getNumPartitions() == n
+
+
+def test_terminals_write_hits_and_detections_once(spark, monkeypatch):
+    from wirelake.plans import circuits
+    made = []
+    monkeypatch.setattr(circuits, "cut", lambda d: made.append(d.columns) or d)
+    circuits.term_table(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2

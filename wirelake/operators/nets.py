@@ -29,6 +29,12 @@ def net_numbers(components: DataFrame) -> DataFrame:
     return components.join(roots, ["image_id", "root"]).select("image_id", C("node").alias("frag"), "net")
 
 
+def net_table(hits: DataFrame, detections: DataFrame) -> DataFrame:
+    """(image_id, frag, net) of tables that are read more than once."""
+    nodes = hits.select("image_id", C("frag").alias("node")).distinct()
+    return net_numbers(connected(nodes, crossover_edges(hits, detections)))
+
+
 def side_rank(side: Column, positive: Column, wide: Column) -> Column:
     """Order of the sides: positive first if known, else along the longer direction of the box."""
     arr = lambda xs: F.array(*map(F.lit, xs))
@@ -88,10 +94,12 @@ def components(terms: DataFrame) -> DataFrame:
 
 def trace(hits: DataFrame, detections: DataFrame) -> DataFrame:
     """Detections and fragment hits -> components with references, nets, values and the ground rule."""
-    hits, detections = cut(hits), cut(detections)
-    nodes = hits.select("image_id", C("frag").alias("node")).distinct()
-    nets = net_numbers(connected(nodes, crossover_edges(hits, detections)))
-    comps = components(terminals(hits, detections, nets))
+    return trace_written(cut(hits), cut(detections))
+
+
+def trace_written(hits: DataFrame, detections: DataFrame) -> DataFrame:
+    """trace() of written tables."""
+    comps = components(terminals(hits, detections, net_table(hits, detections)))
     vals = attach_values(detections.withColumn("idx", C("det_idx"))).select("image_id", C("element_idx").alias("det_idx"), "value")
     return comps.join(vals, ["image_id", "det_idx"], "left")
 
