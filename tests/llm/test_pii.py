@@ -100,3 +100,28 @@ def test_very_many_spans_in_one_text():
     held = pii._Spans(spans)
     for x, y in itertools.combinations(range(70), 2):
         assert held.hold(x, y) == any(s <= x and y <= e for _, s, e in spans) and held.touch(x, y) == any(s < y and x < e for _, s, e in spans)
+
+
+def test_trees_learn_from_all_candidates(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    n = 21_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to u"), (F.col("id") % 50).cast("string"), F.lit("@mail.example.com for more")).alias("text"))
+    per = {k: len(pii.examples(f"write to u{k}@mail.example.com for more", 5)) for k in range(50)}
+    seen = []
+
+    def fit(self, data):
+        seen.append(data.agg(F.sum("n") if "n" in data.columns else F.count("*")).first()[0])
+        raise StopIteration
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    try:
+        pii.train(docs, "doc_id")
+    except StopIteration:
+        pass
+    total = sum(per[i % 50] for i in range(n))
+    assert total > 40_000 and abs(seen[0] / total - 0.75) < 0.02
+
+
+def test_bins_and_cuts(spark):
+    rows = [([float(i % 3)] + [float(i)] + [0.0] * (pii.N_FEATURES - 2), 1.0) for i in range(640)]
+    cuts = pii._cuts(spark.createDataFrame(rows, "f array<double>, n double"))
+    assert cuts[0] == [0.5, 1.5] and cuts[1] == [20 * i - 0.5 for i in range(1, 32)] and cuts[2:] == [[]] * (pii.N_FEATURES - 2)

@@ -1,4 +1,4 @@
-"""Personal data in text. Generators of high recall propose overlapping spans, boosted trees judge them by format and context,
+"""Personal data in text. Generators of high recall propose overlapping spans, boosted trees learnt from all documents judge them by format and context,
 thresholds calibrated on held-out candidates decide which of them are redacted besides the spans of the fixed patterns."""
 import bisect
 import itertools
@@ -8,10 +8,10 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches, written
+from .common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed patterns of the base kinds; the e-mail pattern is applied from its "@" on
@@ -28,8 +28,8 @@ LOOSE = {"email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Z
          "phone": re.compile(r"\(?[0-9]{2,4}\)?[ ./-]?[0-9]{3}[ ./-]?[0-9]{3,4}")}
 CUES = {"email": ("mail", "contact", "@"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay", "credit"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 N_FEATURES = 17
-#: bounds of the training sample: documents searched for candidates, and candidates among them
-TRAIN_DOCS, TRAIN_CANDIDATES = 20_000, 20_000
+#: bins of a feature that the trees tell apart
+BINS = 32
 #: share of positive ones that accepted held-out candidates have to reach
 PRECISION = 0.95
 
@@ -217,11 +217,8 @@ def examples(text: str | None, seed: int) -> list[tuple]:
 _ASCII_WORD = re.compile(r"\b[A-Za-z]+\b")
 
 
-def train(docs: DataFrame, key: str, text: str = "text", seed: int = 5) -> tuple[list, list[float]]:
-    """Boosted trees and a threshold for each kind, from examples() of the sample. One candidate in four is held out; the scores of those that aren't base spans
-    give the smallest threshold that reaches PRECISION, beyond 1e8 where none does. Without both labels: no trees."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
+def training_groups(docs: DataFrame, key: str, text: str = "text", seed: int = 5) -> DataFrame:
+    """examples() of all documents, equal ones counted: (kind, label, base, held, f, n). One candidate in four is held out."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<kind:int,start:int,end:int,label:boolean,base:boolean,f:array<double>>>")
@@ -232,31 +229,57 @@ def train(docs: DataFrame, key: str, text: str = "text", seed: int = 5) -> tuple
                 n = len(base_spans(t)) if t else 0  # the first n examples
                 rows.append([{"kind": k, "start": s, "end": e, "label": y, "base": i < n, "f": f} for i, (k, s, e, y, f) in enumerate(examples(t, seed))])
             yield pd.Series(rows, dtype=object)
-    c = (bounded_sample(docs.select(key, text), key, TRAIN_DOCS).select(key, F.explode(found(F.col(text))).alias("c"))
-         .select(F.xxhash64(F.lit(seed), F.col(key), "c.kind", "c.start").alias("_h"), F.col("c.label").cast("double").alias("label"), F.col("c.base").alias("base"), F.col("c.kind").alias("kind"), F.col("c.f").alias("f"))
-         .orderBy("_h", "kind", "base").limit(TRAIN_CANDIDATES))
-    c = written(c, "pii-train").withColumn("features", array_to_vector("f")).withColumn("held", F.pmod("_h", F.lit(4)) == 0)
-    if {r[0] for r in c.where(~F.col("held")).select("label").distinct().collect()} != {0.0, 1.0}:
+    c = docs.select(key, F.explode(found(F.col(text))).alias("c"))
+    held = F.pmod(F.xxhash64(F.lit(seed), F.col(key), "c.kind", "c.start"), F.lit(4)) == 0
+    return (c.select("c.kind", F.col("c.label").cast("double").alias("label"), "c.base", held.alias("held"), "c.f")
+            .groupBy("kind", "label", "base", "held", "f").agg(F.count("*").cast("double").alias("n")))
+
+
+def _cuts(groups: DataFrame) -> list[list[float]]:
+    """Rising cuts between the bins of each feature, midway between neighbouring values: every value has its bin where there are up to BINS of them, else
+    bins hold about equally many examples."""
+    v = groups.select("n", F.posexplode("f").alias("feature", "value")).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("feature")
+    up = own.orderBy("value")
+    v = v.withColumns({"_values": F.count("*").over(own), "_all": F.sum("n").over(own), "_rank": F.row_number().over(up), "_upto": F.sum("n").over(up)})
+    b = F.when(F.col("_values") <= BINS, F.col("_rank").cast("long")).otherwise(F.floor((F.col("_upto") - F.col("n")) * BINS / F.col("_all")))
+    ends = v.groupBy("feature", b.alias("bin")).agg(F.min("value").alias("first"), F.max("value").alias("last"))
+    cuts = [[] for _ in range(N_FEATURES)]
+    for r in ends.withColumn("next", F.lead("first").over(own.orderBy("bin"))).where("next IS NOT NULL").orderBy("feature", "bin").collect():
+        cuts[r["feature"]].append((r["last"] + r["next"]) / 2)
+    return cuts
+
+
+def train(docs: DataFrame, key: str, text: str = "text", seed: int = 5) -> tuple[list, list[float]]:
+    """Boosted trees and a threshold for each kind, from examples() of all documents. The trees see the bins of the features, so equal examples are one row with its
+    weight. The scores of held-out candidates that aren't base spans give the smallest threshold that reaches PRECISION, beyond 1e8 where none does. Without
+    both labels: no trees."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+    groups = written(training_groups(docs, key, text, seed), "pii-train")
+    if {r[0] for r in groups.where("NOT held").select("label").distinct().collect()} != {0.0, 1.0}:
         return [], [2.0] * len(KINDS)
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, maxBins=32, seed=seed).fit(c.where(~F.col("held")).coalesce(1))
-    trees = list(zip([_tree(t._call_java("rootNode")) for t in model.trees], model.treeWeights, strict=True))
-    held = c.where("held AND NOT base").select("kind", "label", margin(trees)(F.col("f")).alias("m")).collect()
-    thresholds = []
-    for k in range(len(KINDS)):
-        rows, best, good = sorted(((r["m"], r["label"]) for r in held if r["kind"] == k), reverse=True), 1e9, 0.0
-        for i, (m, y) in enumerate(rows):
-            good += y
-            if good >= PRECISION * (i + 1) and (i + 1 == len(rows) or rows[i + 1][0] < m):
-                best = m
-        thresholds.append(best)
-    return trees, thresholds
-
-
-def _tree(node) -> tuple:
+    cuts = _cuts(groups)
+    # the number of cuts below a value
+    binned = F.array(*[sum(((F.col("f")[i] > c).cast("int") for c in cuts[i]), F.lit(0)).cast("double") for i in range(N_FEATURES)])
+    learnt = written(groups.where("NOT held").select("label", "n", binned.alias("f")).groupBy("label", "f").agg(F.sum("n").alias("n")), "pii-learnt")
+    # Spark looks for splits in about maxBins squared rows: with so many it leaves none out
+    gbt = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, maxBins=2 ** 15, seed=seed, weightCol="n")
+    model = gbt.fit(learnt.select("label", "n", array_to_vector("f").alias("features")))
+    trees = list(zip([_tree(t._call_java("rootNode"), cuts) for t in model.trees], model.treeWeights, strict=True))
+    held = groups.where("held AND NOT base").select("kind", "n", "label", margin(trees)(F.col("f")).alias("m")).groupBy("kind", "m").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good"))
+    down = Window.partitionBy("kind").orderBy(F.desc("m"))
+    reach = held.withColumns({"_n": F.sum("n").over(down), "_good": F.sum("good").over(down)}).where(F.col("_good") >= PRECISION * F.col("_n"))
+    least = {r["kind"]: r["m"] for r in reach.groupBy("kind").agg(F.min("m").alias("m")).collect()}
+    return trees, [least.get(k, 1e9) for k in range(len(KINDS))]
+
+
+def _tree(node, cuts: list[list[float]]) -> tuple:
     if node.numDescendants() == 0:
         return (node.prediction(),)
     split = node.split()
-    return split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild())
+    # bins up to a whole number are the values up to its cut
+    return split.featureIndex(), cuts[split.featureIndex()][int(split.threshold())], _tree(node.leftChild(), cuts), _tree(node.rightChild(), cuts)
 
 
 def margin(trees: list):
