@@ -195,3 +195,31 @@ def test_terminals_write_hits_and_detections_once(spark, monkeypatch):
     monkeypatch.setattr(circuits, "cut", lambda d: made.append(d.columns) or d)
     circuits.term_table(spark, "/root/testdata/sf0.001")
     assert len(made) == 2
+
+
+def test_circuits_that_are_the_same_as_they_stand_are_settled_once(spark, monkeypatch):
+    sent, forms = [], Q._forms
+
+    def counted(edges, *args, **kw):
+        sent.append(edges.select("circuit_id").distinct().count())
+        return forms(edges, *args, **kw)
+    monkeypatch.setattr(Q, "_forms", counted)
+    one = [("R", "1", "2", 1.0), ("C", "2", "0", 2.0), ("D", "0", "1", None)]
+    turned = [("C", "0", "2", 2.0), ("D", "0", "1", None), ("R", "2", "1", 1.0)]
+    renamed = [("R", "a", "b", 1.0), ("C", "b", "c", 2.0), ("D", "c", "a", None)]
+    other = [("R", "1", "2", 1.0), ("C", "2", "0", 2.0), ("D", "1", "0", None)]
+    missing = [("R", None, "2", 1.0)], [("R", "2", "2", 1.0)]
+    circuits = [one] * 20 + [turned] * 20 + [renamed] * 20 + [other] * 20 + [*missing]
+    rows = [(i, p, a, b, x, None) for i, c in enumerate(circuits) for p, a, b, x in c]
+    el = spark.createDataFrame(rows, "circuit_id bigint, prefix string, n1 string, n2 string, num double, txt string")
+    ids = {r["circuit_id"]: (r["topology"], r["exact"]) for r in Q.class_ids(el, el.select("circuit_id").distinct(), ["topology", "exact"]).collect()}
+    assert len(ids) == 82 and len({ids[k] for k in range(60)}) == 1 and len({ids[k] for k in range(60, 80)}) == 1 and len(set(ids.values())) == 4
+    assert sent == [5]
+
+
+def test_records_match_by_labels_and_voltages(spark):
+    volts = spark.createDataFrame([(1, "R", [1.0, 2.0]), (1, "C", [3.0]), (2, "C", [3.0001]), (2, "R", [1.0, 2.0]), (3, "R", [1.0, 2.0]), (4, "C", [3.0]), (4, "R", [1.0])],
+                                  "circuit_id bigint, label string, volts array<double>")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (1, 9), (9, 9), (2, 1)], "circuit_id bigint, ref_id bigint")
+    got = {(r[0], r[1]): r[2] for r in N.voltages_match(pairs, volts).collect()}
+    assert got == {(1, 1): True, (1, 2): True, (1, 3): False, (1, 4): False, (1, 9): False, (9, 9): False, (2, 1): True}

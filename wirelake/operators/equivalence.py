@@ -101,17 +101,28 @@ def _large(edges: DataFrame, kind: str) -> DataFrame:
     return fp.filter("NOT tied").select("circuit_id", C("fp").alias(kind)).unionByName(_forms(tied, [kind], colours=True))
 
 
+def _first_alike(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """(circuit_id, first): the lowest circuit whose elements are the same, net names included, in any order."""
+    keep = C("polar") | (C("n1") <= C("n2"))
+    edge = F.struct(*kinds, "polar", F.when(keep, C("n1")).otherwise(C("n2")).alias("a"), F.when(keep, C("n2")).otherwise(C("n1")).alias("b"))
+    d = cut(edges.groupBy("circuit_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(edge))), 256).alias("_print")))
+    return d.join(d.groupBy("_print").agg(F.min("circuit_id").alias("first")), "_print").select("circuit_id", "first")
+
+
 def class_ids(elements: DataFrame, circuits: DataFrame, kinds: list[str]) -> DataFrame:
     """circuit_id and one class id for each of kinds ("topology": labels without values, "exact": with them): equal ids exactly where the
-    circuits are equivalent. One shuffle by circuit gives the canonical forms of all kinds; no circuit is compared with
-    another. Circuits of more than LARGE elements are refined by Spark first, so that only those whose nets stay tied are held by a task.
+    circuits are equivalent. Circuits that are the same as they stand are settled once; one shuffle by circuit gives the canonical forms of all kinds. No circuit is
+    compared with another. Circuits of more than LARGE elements are refined by Spark first, so that only those whose nets stay tied are held by a task.
     Circuits without elements form one class of their own."""
-    e = _edges(elements, kinds)
+    e = cut(_edges(elements, kinds))
     big = cut(e.groupBy("circuit_id").agg(F.count("*").alias("n")).filter(C("n") > LARGE).select("circuit_id"))
-    if big.isEmpty():
-        ids = _forms(e, kinds)
-    else:
-        ids, large = _forms(e.join(big, "circuit_id", "left_anti"), kinds), big
+    none = big.isEmpty()
+    small = e if none else e.join(big, "circuit_id", "left_anti")
+    alike = cut(_first_alike(small, kinds))
+    forms = cut(_forms(small.join(alike.filter("circuit_id = first").select("circuit_id"), "circuit_id", "left_semi"), kinds))
+    ids = alike.join(forms.withColumnRenamed("circuit_id", "first"), "first").select("circuit_id", *kinds)
+    if not none:
+        large = big
         for k in kinds:
             large = large.join(_large(cut(e.join(big, "circuit_id", "left_semi").select("circuit_id", k, "polar", "n1", "n2")), k), "circuit_id")
         ids = ids.unionByName(large)

@@ -169,18 +169,26 @@ def element_voltages(elements_: DataFrame, op: DataFrame) -> DataFrame:
         e = e.join(op.select("circuit_id", C("node").alias("n" + k), C("volts").alias("o" + k)), ["circuit_id", "n" + k], "left")
         e = e.withColumn("v" + k, F.when(C("n" + k) == "0", 0.0).otherwise(C("o" + k)))
     diff = C("v1") - C("v2")
-    e = e.withColumn("v", F.when(C("prefix").isin("D", "V"), diff).otherwise(F.abs(diff)))
-    lost = e.filter("v IS NULL").select("circuit_id").distinct()
-    e = e.join(lost, "circuit_id", "left_anti")
-    return e.groupBy("circuit_id", "label").agg(F.array_sort(F.collect_list("v")).alias("volts"))
+    v = F.when(C("prefix").isin("D", "V"), diff).otherwise(F.abs(diff))
+    e = e.groupBy("circuit_id", "label").agg(F.sort_array(F.collect_list(v)).alias("volts"), F.bool_or(v.isNull()).alias("_lost"))
+    e = e.withColumn("_lost", F.max("_lost").over(Window.partitionBy("circuit_id")))
+    return e.filter("NOT _lost").drop("_lost")
+
+
+def by_circuit(volts: DataFrame) -> DataFrame:
+    """(circuit_id, labels): the voltages of a circuit as an array of (label, volts), in order of the labels."""
+    return volts.groupBy("circuit_id").agg(F.sort_array(F.collect_list(F.struct("label", "volts"))).alias("labels"))
+
+
+def same_voltages(a: Column, b: Column, rel: float = 1e-3, tol: float = 1e-6) -> Column:
+    """Whether two arrays of by_circuit() have equal labels with equally many values, all within tolerance; false where one is missing."""
+    near = lambda v, w: F.forall(F.zip_with(v, w, lambda x, y: F.abs(x - y) <= tol + rel * F.greatest(F.abs(x), F.abs(y))), lambda x: x)
+    one = lambda x, y: x["label"].eqNullSafe(y["label"]) & (F.size(x["volts"]) == F.size(y["volts"])) & near(x["volts"], y["volts"])
+    return F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(one(x, y), F.lit(False))), lambda x: x), F.lit(False))
 
 
 def voltages_match(pairs: DataFrame, volts: DataFrame, rel: float = 1e-3, tol: float = 1e-6) -> DataFrame:
     """pairs(circuit_id, ref_id) -> op_match: equal labels, equally many values, all within tolerance. A circuit may have several references."""
-    keys = ["circuit_id", "ref_id"]
-    a = pairs.join(volts, "circuit_id").select(*keys, "label", C("volts").alias("a"))
-    b = pairs.join(volts.select(C("circuit_id").alias("ref_id"), "label", C("volts").alias("b")), "ref_id").select(*keys, "label", "b")
-    near = F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y) <= tol + rel * F.greatest(F.abs(x), F.abs(y))), lambda x: x)
-    ok = C("a").isNotNull() & C("b").isNotNull() & (F.size("a") == F.size("b")) & near
-    d = a.join(b, [*keys, "label"], "full_outer").groupBy(*keys).agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
-    return pairs.join(d, keys, "left").select(*keys, F.coalesce("ok", F.lit(False)).alias("op_match"))
+    per = cut(by_circuit(volts))
+    d = pairs.join(per.withColumnRenamed("labels", "_a"), "circuit_id", "left").join(per.select(C("circuit_id").alias("ref_id"), C("labels").alias("_b")), "ref_id", "left")
+    return d.select("circuit_id", "ref_id", same_voltages(C("_a"), C("_b"), rel, tol).alias("op_match"))

@@ -2,6 +2,8 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+@contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, tables that spread() dealt by one key are joined on that key and others without another shuffle. What is to be planned so has to be written (cut)
+    inside."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_dir(spark: SparkSession) -> str:
     """The folder of this application in the shared one; all intermediate tables lie in it."""
     return os.path.join(shared_dir(spark), f"run-{spark.sparkContext.applicationId}")
