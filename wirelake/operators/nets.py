@@ -5,7 +5,7 @@ detections(image_id, det_idx, cls, rotation, x1..y2, txt)."""
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes as B, symbols as S
-from ..session import cut
+from ..session import cut, in_place, spread
 from ..vocabulary import ELEMENT_DEFAULT, ELEMENT_PREFIX, OPPOSITE, SIDES
 from .components import connected
 from .matching import attach_values
@@ -80,11 +80,11 @@ def ground_rule(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def components(terms: DataFrame) -> DataFrame:
     """Elements with running reference names and their nets, ground nets replaced by 0, plus the rule."""
-    terms = cut(terms)
+    terms = spread(cut(terms), "image_id")
     rules, zero = ground_rule(terms)
     el = terms.filter(C("cls").isin(*ELEMENT_PREFIX)).withColumn("prefix", F.try_element_at(S.literal_map(ELEMENT_PREFIX), C("cls")))
-    el = numbered(el, ["image_id", "prefix"], ["det_idx"], "no").withColumn("ref", F.concat("prefix", C("no").cast("string")))
     pos = el.select("image_id", "det_idx", F.posexplode("nets").alias("pos", "net"))
+    el = numbered(el, ["image_id", "prefix"], ["det_idx"], "no").withColumn("ref", F.concat("prefix", C("no").cast("string")))
     pos = pos.join(zero.withColumn("zero", F.lit(0).cast("long")), ["image_id", "net"], "left")
     node = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("zero", "net").alias("node"))))
     nodes = pos.groupBy("image_id", "det_idx").agg(F.transform(node, lambda x: x["node"]).alias("nodes"))
@@ -98,21 +98,28 @@ def trace(hits: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def trace_written(hits: DataFrame, detections: DataFrame) -> DataFrame:
-    """trace() of written tables."""
-    comps = components(terminals(hits, detections, net_table(hits, detections)))
+    """trace() of written tables. Hits, symbols and terminals are dealt by image once; all steps from fragments to components join them in place."""
     vals = attach_values(detections.withColumn("idx", C("det_idx"))).select("image_id", C("element_idx").alias("det_idx"), "value")
-    return comps.join(vals, ["image_id", "det_idx"], "left")
+    with in_place(hits.sparkSession):
+        h, det = spread(hits, "image_id"), spread(detections, "image_id")
+        comps = components(terminals(h, det, net_table(h, det)))
+        return cut(comps.join(vals, ["image_id", "det_idx"], "left"))
 
 
-def netlist_lines(comps: DataFrame, title: Column, note: Column) -> DataFrame:
-    """Netlist text as rows (image_id, section, ord, line): title, note, elements, model, warnings, trailer."""
+def element_lines(comps: DataFrame) -> DataFrame:
+    """Element lines (section 2) and warnings (section 4) of a netlist text as rows (image_id, section, ord, line)."""
     val = F.coalesce("value", F.try_element_at(S.literal_map(ELEMENT_DEFAULT), C("cls")))
     two = F.size("nets") == 2
     net = lambda k: F.get("nets", F.lit(k)).cast("string")
     line = F.when(two, F.concat_ws(" ", "ref", net(0), net(1), val)).otherwise(
         F.concat(F.lit("* WARNING "), "ref", F.lit(": found "), F.size("nets").cast("string"), F.lit(" terminals ["),
                  F.concat_ws(", ", C("nets").cast("array<string>")), F.lit("], skipped")))
-    body = comps.select("image_id", F.when(two, 2).otherwise(4).alias("section"), C("det_idx").alias("ord"), line.alias("line"))
+    return comps.select("image_id", F.when(two, 2).otherwise(4).alias("section"), C("det_idx").alias("ord"), line.alias("line"))
+
+
+def netlist_lines(comps: DataFrame, title: Column, note: Column) -> DataFrame:
+    """Netlist text as rows (image_id, section, ord, line): title, note, elements, model, warnings, trailer."""
+    two = F.size("nets") == 2
     per = comps.groupBy("image_id").agg(F.max(two & (C("cls") == "diode")).alias("model"), F.first("rule").alias("rule"))
     frame = F.array_compact(F.array(
         F.struct(F.lit(0).alias("section"), F.concat(F.lit("* "), title).alias("line")),
@@ -120,7 +127,7 @@ def netlist_lines(comps: DataFrame, title: Column, note: Column) -> DataFrame:
         F.when(C("model"), F.struct(F.lit(3).alias("section"), F.lit(".model DMOD D").alias("line"))),
         F.struct(F.lit(5).alias("section"), F.lit(".op").alias("line")), F.struct(F.lit(6).alias("section"), F.lit(".end").alias("line"))))
     head = per.select("image_id", F.explode(frame).alias("f")).select("image_id", "f.section", F.lit(0).cast("long").alias("ord"), "f.line")
-    return head.unionByName(body)
+    return head.unionByName(element_lines(comps))
 
 
 def warnings(comps: DataFrame, detections: DataFrame, doubles: DataFrame, low: float = 0.5) -> DataFrame:
