@@ -101,6 +101,25 @@ def test_one_file_for_each_key(spark, tmp_path):
     assert len(files()) == 202
 
 
+def test_listings_are_made_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver keeps no status of a listed file: what it reads is the written listing."""
+    from wirelake.sources import inventory as I
+    monkeypatch.setattr(I, "_BATCH", 3)
+    want = {"top.png": 1, **{f"drafter_{k}/images/a b{i}.jpg": i for k in range(3) for i in range(5)}, "drafter_1/x/y/z/deep.xml": 4}
+    for name, n in {**want, "_SUCCESS": 1, ".hidden": 1, "_staging/a.jpg": 1, "drafter_1/images/_b.jpg": 1}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * n)
+    (tmp_path / "drafter_9").mkdir()
+    root = str(tmp_path)
+    for start in (root, root + "/", "file://" + root):
+        d = I.list_files(spark, start, empty=True)
+        assert sorted(tuple(r) for r in I.below(d, start).collect()) == sorted(want.items())
+        assert not any(f.removeprefix("file://").startswith(root) for f in d.inputFiles())
+    assert sorted(r.path for r in I.below(I.list_files(spark, root), root).collect()) == sorted(p for p, n in want.items() if n)
+    assert I.photos(I.below(I.list_files(spark, root, empty=True), root)).filter("stem = 'a b0'").count() == 3
+    assert I.list_files(spark, str(tmp_path / "drafter_9")).isEmpty()
+
+
 def test_medians_by_selection(spark):
     import random
     import statistics

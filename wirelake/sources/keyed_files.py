@@ -17,6 +17,12 @@ FORMAT = "keyed_files"
 STAGING, DONE = "_staging", "_SUCCESS"
 
 
+def file_system(folder: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: int
@@ -27,8 +33,7 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.job = folder, uuid.uuid4().hex
 
     def _root(self):
-        from pyarrow import fs
-        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (fs.LocalFileSystem(), self.folder)
+        return file_system(self.folder)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = self._root()
