@@ -197,6 +197,56 @@ def test_terminals_write_hits_and_detections_once(spark, monkeypatch):
     assert len(made) == 2
 
 
+def test_symbols_are_detections_with_their_hits(spark):
+    from wirelake.plans.fixtures import view
+    sf = "/root/testdata/sf0.001"
+    sym, det, hit = (view(spark, sf, n) for n in ("fx_sym", "fx_det", "fx_hit"))
+    cols = ["image_id", "det_idx", "cls", "rotation", "x1", "y1", "x2", "y2"]
+    same = lambda a, b: a.count() == b.count() > 1000 and a.dtypes == b.dtypes and a.exceptAll(b).isEmpty()
+    assert same(sym.select(cols), det.select(cols))
+    assert same(sym.select("image_id", "det_idx", F.explode("hits").alias("h")).select("image_id", "det_idx", "h.side", "h.frag").distinct(), hit.distinct())
+
+
+def random_symbols(spark):
+    """Images of 1 to 12 symbols, symbols of 0 to 5 hits; some without class, hits, fragment or image, crossovers in chains."""
+    rnd, rows = random.Random(5), []
+    classes = ["resistor", "capacitor", "voltage_source", "voltage_source", "diode", "gnd", "crossover", "crossover", "text", "junction", "other", None]
+    for image in [*range(120), None]:
+        kinds = rnd.sample(classes, rnd.choice((2, 5, len(classes))))
+        for k in range(1, rnd.randint(1, 12) + 1):
+            hits = [(rnd.choice(W.SIDES), rnd.choice((None, *range(1, 2 + image % 13 if image else 9)))) for _ in range(rnd.randint(0, 5))]
+            w, h = rnd.choice(((10.0, 5.0), (5.0, 10.0), (5.0, 5.0), (None, 5.0)))
+            rows.append((image, k, rnd.choice(kinds), rnd.choice((None, 0, 90, 180, 270)), 0.0, 0.0, w, h, hits if hits or k % 2 else None))
+    return spark.createDataFrame(rows, "image_id long, det_idx long, cls string, rotation int, x1 double, y1 double, x2 double, y2 double, hits array<struct<side: string, frag: bigint>>")
+
+
+def test_images_as_arrays_equal_joins(spark, monkeypatch):
+    d = random_symbols(spark).repartition("image_id").cache()
+    by_rows = lambda f: sorted(map(repr, f(d).collect()))
+    grounds = lambda s: W.symbol_grounds(s).withColumn("zero", F.array_sort("zero"))
+    found = {}
+    for limit in (64, 0, 5):
+        monkeypatch.setattr(W, "FEW_SYMBOLS", limit)
+        found[limit] = by_rows(W.symbol_components), by_rows(grounds)
+    assert found[64] == found[0] == found[5]
+    assert len(found[64][0]) > 150 and all(sum(rule in r for r in found[64][1]) > 3 for rule in W.RULES.values())
+    hits = d.filter("image_id IS NOT NULL").select("image_id", "det_idx", F.explode("hits").alias("h")).select("image_id", "det_idx", "h.side", "h.frag").filter("frag IS NOT NULL")
+    det = d.filter("image_id IS NOT NULL AND cls IS NOT NULL").drop("hits")
+    terms = W.image_terminals(d.filter("image_id IS NOT NULL")).select("image_id", F.inline("terms"))
+    want = W.terminals(hits, det, W.net_table(hits, det)).select(terms.columns)
+    assert sorted(map(repr, terms.collect())) == sorted(map(repr, want.collect()))
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_two_terminal_share_shuffles_the_lines_once(spark):
+    from wirelake.plans import circuits
+    d = circuits.a34(spark, "/root/testdata/sf0.001")
+    assert shuffles(d) == 1 and "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_circuits_that_are_the_same_as_they_stand_are_settled_once(spark, monkeypatch):
     sent, forms = [], Q._forms
 

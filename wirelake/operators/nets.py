@@ -1,7 +1,9 @@
 """Wire fragments and symbol boxes -> nets, terminals, components.
 
 Tables: hits(image_id, det_idx, side, frag) says which fragment touches which side of a symbol;
-detections(image_id, det_idx, cls, rotation, x1..y2, txt)."""
+detections(image_id, det_idx, cls, rotation, x1..y2, txt); symbols are detections with their hits as an array (side, frag)."""
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes as B, symbols as S
@@ -35,15 +37,18 @@ def net_table(hits: DataFrame, detections: DataFrame) -> DataFrame:
     return net_numbers(connected(nodes, crossover_edges(hits, detections)))
 
 
-def side_rank(side: Column, positive: Column, wide: Column) -> Column:
-    """Order of the sides: positive first if known, else along the longer direction of the box."""
+def side_order(positive: Column, wide: Column) -> Column:
+    """The sides in order: positive first if known, else along the longer direction of the box."""
     arr = lambda xs: F.array(*map(F.lit, xs))
     known = F.lit(None).cast("array<string>")
     for p in SIDES:
         order = [p, OPPOSITE[p]] + [s for s in SIDES if s not in (p, OPPOSITE[p])]
         known = F.when(positive == p, arr(order)).otherwise(known)
-    order = F.coalesce(known, F.when(wide, arr(["left", "right", "top", "bottom"])).otherwise(arr(["top", "bottom", "left", "right"])))
-    return F.array_position(order, side)
+    return F.coalesce(known, F.when(wide, arr(["left", "right", "top", "bottom"])).otherwise(arr(["top", "bottom", "left", "right"])))
+
+
+def side_rank(side: Column, positive: Column, wide: Column) -> Column:
+    return F.array_position(side_order(positive, wide), side)
 
 
 def terminals(hits: DataFrame, detections: DataFrame, nets: DataFrame) -> DataFrame:
@@ -92,6 +97,113 @@ def components(terms: DataFrame) -> DataFrame:
     return d.select("image_id", "det_idx", "ref", "cls", F.coalesce("nodes", F.array().cast("array<bigint>")).alias("nets"), "rule")
 
 
+# ---- images as rows of arrays ----
+#: images of up to so many detections are one row, and fragments, nets, ground and references are settled inside it; larger ones go through the joins above
+FEW_SYMBOLS = 64
+NO_TERMINALS = ("crossover", "text", "junction")
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once though f uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def few_and_many(symbols: DataFrame, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Symbols of images of up to FEW_SYMBOLS, and of the others (None: there is none). Rows without an image belong nowhere. images(image_id) may be a
+    cheaper table with as many rows of each image."""
+    d = symbols.filter("image_id IS NOT NULL")
+    sizes = (d if images is None else images).groupBy("image_id").agg(F.count("*").alias("n"))
+    many = cut(sizes.filter(C("n") > FEW_SYMBOLS).select("image_id"))
+    if many.isEmpty():
+        return d, None
+    return d.join(F.broadcast(many), "image_id", "left_anti"), d.join(many, "image_id", "left_semi")
+
+
+def image_terminals(symbols: DataFrame) -> DataFrame:
+    """terminals() with one row for each image: (image_id, terms: det_idx, cls, nets by det_idx). Where the symbols are dealt by image nothing is shuffled."""
+    horizontal = lambda h: F.coalesce(h["side"].isin("left", "right"), F.lit(False))
+    wide = (C("x2") - C("x1")) >= (C("y2") - C("y1"))
+    symbols = symbols.withColumn("_plus", S.positive_side(C("cls"), C("rotation")))
+    at = F.filter(F.coalesce("hits", F.array().cast(symbols.schema["hits"].dataType)), lambda h: h["frag"].isNotNull())
+    ranked = _let(side_order(C("_plus"), wide), lambda order: F.transform(at, lambda h: F.struct(F.array_position(order, h["side"]).alias("rank"), h["frag"].alias("frag"))))
+    frags = F.transform(F.sort_array(ranked), lambda x: x["frag"])
+
+    def edges(along):
+        on_axis = F.transform(F.filter(at, along), lambda h: h["frag"])
+        return _let(on_axis, lambda fs: _let(F.array_min(fs), lambda low: F.transform(
+            F.filter(fs, lambda f: f != low), lambda f: F.struct(low.alias("u"), f.alias("v")))))
+    crossed = F.when(C("cls") == "crossover", F.concat(edges(horizontal), edges(lambda h: ~horizontal(h))))
+    d = symbols.select("image_id", F.struct("det_idx", "cls", frags.alias("frags"), crossed.alias("edges")).alias("s"))
+    d = d.groupBy("image_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    d = d.select("image_id", "s", F.array_distinct(F.flatten("s.frags")).alias("nodes"), F.flatten(F.array_compact("s.edges")).alias("edges"))
+
+    # the lowest fragment of each fragment's component: an edge gives the higher of two roots the lower one
+    def merge(roots, e):
+        a, b = roots[e["u"]], roots[e["v"]]
+        return _let(F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")), lambda p: F.transform_values(
+            roots, lambda _, r: F.when(r == p["high"], p["low"]).otherwise(r)))
+    d = d.select("image_id", "s", F.aggregate("edges", F.map_from_arrays("nodes", "nodes"), merge).alias("roots"))
+    number = _let(F.sort_array(F.array_distinct(F.map_values("roots"))), lambda order: F.transform_values("roots", lambda _, r: F.array_position(order, r)))
+    parts = F.filter("s", lambda s: ~s["cls"].isin(*NO_TERMINALS))
+    terms = _let(number, lambda net: F.transform(parts, lambda s: F.struct(
+        s["det_idx"].alias("det_idx"), s["cls"].alias("cls"), F.array_distinct(F.transform(s["frags"], lambda f: net[f])).alias("nets"))))
+    return d.select("image_id", terms.alias("terms")).filter(F.size("terms") > 0)
+
+
+def image_ground(images: DataFrame) -> DataFrame:
+    """ground_rule() of image_terminals(): adds rule and zero, the nets that become node 0."""
+    of = lambda keep: F.filter("terms", keep)
+    nets = lambda terms: F.flatten(F.transform(terms, lambda t: t["nets"]))
+    source = of(lambda t: (t["cls"] == "voltage_source") & (F.size(t["nets"]) == 2))
+    # nets in the order in which elements meet them; the first of the most frequent ones
+    top = _let(nets(of(lambda t: t["cls"].isin(*ELEMENT_PREFIX))), lambda ends: F.array_min(F.transform(
+        F.array_distinct(ends), lambda n, i: F.struct((-F.size(F.filter(ends, lambda e: e == n))).alias("a"), i.alias("b"), n.alias("net")))))
+    d = images.select("*", F.array_distinct(nets(of(lambda t: t["cls"] == "gnd"))).alias("gnd"),
+                      F.get(F.get(source, F.lit(0))["nets"], F.lit(1)).alias("src_net"), top["net"].alias("top_net"))
+    has = F.size("gnd") > 0
+    rule = F.when(has, RULES["symbol"]).when(C("src_net").isNotNull(), RULES["source"]) \
+            .when(C("top_net").isNotNull(), RULES["degree"]).otherwise(RULES["none"])
+    zero = F.when(has, C("gnd")).otherwise(F.array_compact(F.array(F.coalesce("src_net", "top_net"))))
+    return d.select(*images.columns, rule.alias("rule"), zero.alias("zero"))
+
+
+def image_components(images: DataFrame) -> DataFrame:
+    """components() of image_ground(): one row for each element."""
+    prefix = S.literal_map(ELEMENT_PREFIX)
+    number = lambda names, t, i: F.size(F.filter(F.slice(names, 1, i + 1), lambda n: n == t["cls"]))
+    rows = _let(F.filter("terms", lambda t: t["cls"].isin(*ELEMENT_PREFIX)), lambda el: _let(F.transform(el, lambda t: t["cls"]), lambda names: F.transform(
+        el, lambda t, i: F.struct(t["det_idx"].alias("det_idx"), F.concat(F.try_element_at(prefix, t["cls"]), number(names, t, i).cast("string")).alias("ref"),
+                                  t["cls"].alias("cls"), t["nets"].alias("nets")))))
+    d = images.select("image_id", "rule", "zero", F.explode(rows).alias("c"))
+    grounded = F.transform("c.nets", lambda n: F.when(F.array_contains("zero", n), F.lit(0).cast("long")).otherwise(n))
+    return d.select("image_id", "c.det_idx", "c.ref", "c.cls", grounded.alias("nets"), "rule")
+
+
+def _terminals_by_rows(symbols: DataFrame) -> DataFrame:
+    d = cut(symbols)
+    hits = d.select("image_id", "det_idx", F.explode("hits").alias("h")).select("image_id", "det_idx", "h.side", "h.frag").filter("frag IS NOT NULL")
+    det = d.drop("hits").filter("cls IS NOT NULL")
+    return terminals(hits, det, net_table(hits, det))
+
+
+def symbol_grounds(symbols: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Rule of each image and the nets that become node 0: (image_id, rule, zero)."""
+    few, many = few_and_many(symbols, images)
+    d = image_ground(image_terminals(few)).select("image_id", "rule", "zero")
+    if many is None:
+        return d
+    rules, zero = ground_rule(cut(_terminals_by_rows(many)))
+    z = zero.groupBy("image_id").agg(F.collect_list("net").alias("zero"))
+    return d.unionByName(rules.join(z, "image_id", "left").withColumn("zero", F.coalesce("zero", F.array().cast("array<bigint>"))))
+
+
+def symbol_components(symbols: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """components() of symbols."""
+    few, many = few_and_many(symbols, images)
+    d = image_components(image_ground(image_terminals(few)))
+    return d if many is None else d.unionByName(components(_terminals_by_rows(many)))
+
+
 def trace(hits: DataFrame, detections: DataFrame) -> DataFrame:
     """Detections and fragment hits -> components with references, nets, values and the ground rule."""
     return trace_written(cut(hits), cut(detections))
